@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, secrets
+from . import media, packing, secrets, simhash
 from .common import table
 
 
@@ -16,5 +16,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_media": op4_media}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_packing": op6_packing, "op9_simhash": op9_simhash, "op3_secrets": op3_secrets, "op4_media": op4_media}
 ORACLE_SQL: dict[str, str] = {}
