@@ -1,0 +1,92 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from llmfixtures import ODD
+
+from wavelark.llm import secrets as S
+
+ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def plain(text):
+    """All spans, by the definition: patterns, then windows counted afresh."""
+    t = text or ""
+    base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 12]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    new = []
+    for rank, (run, _, must, bits) in enumerate(S.CLASSES.values(), 3):
+        end = 0
+        for m in re.finditer(run, t):
+            before, end = t[end : m.start()][-200:], m.end()
+            if not re.search(must, m[0]) or re.search(S.ALLOWED_RUN, m[0]) or re.search(S.ALLOWED_BEFORE, before):
+                continue
+            hot = []
+            for i in range(len(m[0]) - S.WINDOW + 1):
+                n = Counter(m[0][i : i + S.WINDOW]).values()
+                if math.log2(S.WINDOW) - sum(c * math.log2(c) for c in n) / S.WINDOW >= bits:
+                    hot.append(i)
+            if hot:
+                new.append((m.start() + hot[0], rank, m.start() + hot[-1] + S.WINDOW))
+    new = [e for e in new if not any(b[0] <= e[0] and e[2] <= b[2] for b in base)]
+    return sorted(base), sorted(base + new)
+
+
+def joined(spans):
+    return ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def check(docs, texts):
+    got = {r.doc_id: r for r in S.scan(docs).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        base, found = plain(t)
+        n = Counter(k for _, k, _ in base)
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex, r.spans) == (n[0], n[1], n[2], joined(found)), t
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+    return got
+
+
+def random_texts(n):
+    rng = random.Random(4)
+    pool = ["password = ", "API_KEY: '", "token:", "secret=", "AKIA", "é🙂 ", "\n", " ", "=", "/", "https://x.org/", "sha256-", "0123456789abcdef0123", "aaaaaaaaaaaa", "EXAMPLE"]
+    runs = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "etaoin "]
+    out = []
+    for _ in range(n):
+        out.append("".join(rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(runs), k=rng.randint(1, 60))) for _ in range(rng.randint(1, 12))))
+    return out
+
+
+def test_scan_against_the_definition(make_docs):
+    texts = [*ODD, *random_texts(400), "x 00ff00ff00ff00ff " * 2000, "k" + "9f" * 300 + " Zq8" * 3 + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7" * 20]
+    got = check(make_docs(texts), dict(enumerate(texts)))
+    assert sum(r.n_entropy for r in got.values()) > 30
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check(docs, {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_redaction_covers_the_spans_and_nothing_else(make_docs):
+    texts = [*ODD, *random_texts(120)]
+    docs = make_docs(texts)
+    out = S.redact(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        t, pieces, at = texts[r.doc_id], [], 0
+        if t is None:
+            assert r.text is None and r.n_chars is None
+            continue
+        for a, _, b in plain(t)[1]:
+            if pieces and a <= at:
+                at = max(at, b)
+                continue
+            pieces.append(t[at:a])
+            at = b
+        assert r.text == "[SECRET]".join([*pieces, t[at:]]) and r.n_chars == len(r.text)
+    assert S.redact(docs.limit(0)).count() == 0 and S.scan(docs.limit(0)).count() == 0
