@@ -17,8 +17,10 @@ columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable, map_arrow
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
-CACHE_WORDS, LONGEST_CACHED = 300_000, 64
+CACHE_WORDS, CACHE_CORES, LONGEST_CACHED, PORTION = 900_000, 900_000, 64, 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,11 +38,12 @@ class Encoder:
     """Token ids by the named public tokenizer, encoding each different word once.
 
     This tokenizer drops white space and never joins characters across it, so a text's ids are its
-    words' ids in a row. Only the four commonest white-space characters are cut at here; the
-    tokenizer itself sees to the others.
+    words' ids in a row; only the four commonest white-space characters are cut at here, the
+    tokenizer sees to the others. It lower-cases, and parts letters from ASCII marks, so a plain
+    word's ids are those of its lower-cased letters and then those of the marks that end it.
     """
 
-    SPACES = str.maketrans("\n\t\r", "   ")
+    PLAIN = re.compile("([^\\W\\d_]+)([.,;:!?%&#*$|\"()]*)")
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,34 +52,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.words: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.cores: dict[str, bytes] = {}
+
+    def _cut(self, word: str) -> tuple[str, str]:
+        """A plain word's letters, lower-cased, and its marks; any other word whole."""
+        if word.isascii() and word.isalpha():
+            return word.lower(), ""
+        m = self.PLAIN.fullmatch(word)
+        # Below U+0250 lower case is the same character by character; U+0130 apart, all of it is composed.
+        return (m[1].lower(), m[2]) if m and max(word) < "\u0250" and "\u0130" not in word else (word, "")
+
+    def learn(self, words: set[str]) -> None:
+        """Sees to it that all of these have their ids."""
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self.words.clear()
+        new = list(words - self.words.keys())
+        cut, cores = [self._cut(w) for w in new], self.cores
+        if len(cores) + len(cut) > CACHE_CORES:
+            cores.clear()
+        cores[""] = b""
+        unknown = list({c for pair in cut for c in pair} - cores.keys())
+        cores.update(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))))
+        self.words.update(zip(new, (cores[a] + cores[b] for a, b in cut)))
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        different = set().union(*split)
+        self.learn(different)
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in split]
+        for w in [w for w in different if len(w) > LONGEST_CACHED]:  # these aren't kept
+            for x in (self._cut(w)[0], w):
+                self.cores.pop(x, None)
+            del self.words[w]
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words, known = text.translate(self.SPACES).split(" "), self.words
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        except KeyError:
-            new = [w for w in set(words) if w not in known]
-        short = [w for w in new if len(w) <= LONGEST_CACHED]
-        known.update(zip(short, self._encode(short)))
-        long = dict(zip(ws := [w for w in new if len(w) > LONGEST_CACHED], self._encode(ws)))
-        return np.frombuffer(b"".join(long[w] if w in long else known[w] for w in words), "<u4")
+        return self.many([text])[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(name: str) -> Encoder:
+    """One to a process: what it has encoded serves its next tasks too."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
+
+
+def portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts that have about PORTION characters together."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > PORTION:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """Each document's pieces: doc_id, piece, start, length, ids_crc32."""
 
     def make():
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(text), np.uint32(0)).astype("<u4")
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, ids in ((docs[lo + i], x) for lo, hi in portions(texts) for i, x in enumerate(encode.many(texts[lo:hi]))):
+                ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for k, lo in enumerate(range(0, len(ids), capacity)):
                     part = ids[lo : lo + capacity]
                     for col, v in zip(out, (doc, k, lo, len(part), zlib.crc32(part.tobytes()))):
