@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, packing, quality, secrets, simhash, wrappers
+from . import decontaminate, langid, lm, media, packing, pii, quality, secrets, simhash, wrappers
 from .common import table
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +32,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_decontamination, op3_secrets, op4_media, op5_extraction, op6_packing, op8_language, op9_simhash, op10_quality)
+    f.__name__: f for f in (op1_surrogates, op2_decontamination, op3_secrets, op4_media, op5_extraction, op6_packing, op7_lm_scores, op8_language, op9_simhash, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {}
