@@ -2,5 +2,455 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .config import DEFAULT
+from .functions import scalars
+from .functions.vectors import cosine
+from .operators import clipping, effects, framing, logs, regions, scoring, selection, spectral, timeline
+from .plans import analysis
+from .plans import oracle as O
+from .sources import tables as T
+
+DIM, WAVE_RATE, RATE = 64, 16, 100
+FRAME = 5
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name; columns that are doubles are rounded to 6 places on both sides."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(*names: str) -> list[F.Column]:
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+def s6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return spectral.window_features(T.waves(spark, d), WAVE_RATE)
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.candidate_pool(T.windows(spark, d), _features(spark, d), DIM)
+
+
+def _segmented(spark: SparkSession, d: str, seed: int | None = None) -> DataFrame:
+    return analysis.ranked(T.windows(spark, d), _features(spark, d), DIM, seed)
+
+
+JITTER = scoring.jittered_weights(1)[0]
+FACTORS = scoring.jitter_factors(1, 2000)
+PLAIN, JITTERED = O.scored([0.2] * 5), O.scored([JITTER[c] for c in scoring.COMPONENTS], FACTORS)
+
+
+# Signals
+
+
+@query(f"WITH {O.ENVELOPE} SELECT frame, {s6('rms')} FROM env")
+def energy_envelope(spark, d):
+    return framing.energy_envelope(T.signal(spark, d), FRAME).select("frame", *r6("rms"))
+
+
+@query("WITH s AS (SELECT user_id::VARCHAR AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v FROM events) SELECT recording_id, i // 5 AS frame, round(sqrt(avg(v * v) + 1e-12), 6) AS rms FROM s GROUP BY 1, 2 HAVING count(*) = 5 OR i // 5 = 0")
+def energy_envelope_by_user(spark, d):
+    return framing.energy_envelope(T.user_signals(spark, d), FRAME).select("recording_id", "frame", *r6("rms"))
+
+
+def _grid_sql(window: int, hop: int) -> str:
+    return f"""WITH {O.SIGNAL}, n AS (SELECT CASE WHEN count(*) <= {window} THEN 1 ELSE ceil((count(*) - {window}) / {hop}.0)::BIGINT + 1 END AS n FROM sig), g AS (SELECT unnest(range(0, n)) AS window_idx FROM n)
+SELECT window_idx, window_idx * {hop} / 100.0::DOUBLE AS start_seconds, count(*) AS n_samples, round(sqrt(sum(v * v) / {window}), 6) AS rms FROM g JOIN sig ON i >= window_idx * {hop} AND i < window_idx * {hop} + {window} GROUP BY window_idx"""
+
+
+def _grid(spark, d, window: int, hop: int) -> DataFrame:
+    rows = framing.sliding(T.signal(spark, d), window, hop, F.count(F.lit(1)).alias("n_samples"), F.sqrt(F.sum(F.col("value") * F.col("value")) / window).alias("rms"))
+    return rows.select("window_idx", (F.col("window_idx") * hop / float(RATE)).alias("start_seconds"), "n_samples", *r6("rms"))
+
+
+@query(_grid_sql(400, 200))
+def window_grid(spark, d):
+    return _grid(spark, d, 400, 200)
+
+
+@query(_grid_sql(6000, 5800))
+def chunk_grid(spark, d):
+    return _grid(spark, d, 6000, 5800)
+
+
+@query(_grid_sql(200, 100))
+def fixed_sub_windows(spark, d):
+    return _grid(spark, d, 200, 100)
+
+
+@query("SELECT user_id::VARCHAR AS recording_id, CASE WHEN count(*) <= 40 THEN 1 ELSE ceil((count(*) - 40) / 20.0)::BIGINT + 1 END AS windows FROM events GROUP BY user_id")
+def window_counts(spark, d):
+    return framing.sliding(T.user_signals(spark, d), 40, 20).groupBy("recording_id").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query(f"WITH {O.ENVELOPE}, f AS (SELECT *, quantile_cont(rms, 0.2) OVER () AS floor FROM env) SELECT frame, {s6('rms', 'floor')}, rms > floor * 1.6::DOUBLE AS active FROM f")
+def noise_floor_activity(spark, d):
+    return framing.noise_floor(framing.energy_envelope(T.signal(spark, d), FRAME), DEFAULT.active_ratio).select("frame", *r6("rms", "floor"), "active")
+
+
+@query("""WITH s AS (SELECT user_id::VARCHAR AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v FROM events),
+env AS (SELECT recording_id, i // 5 AS frame, sqrt(avg(v * v) + 1e-12) AS rms FROM s GROUP BY recording_id, i // 5 HAVING count(*) = 5 OR i // 5 = 0),
+act AS (SELECT *, rms > quantile_cont(rms, 0.2) OVER (PARTITION BY recording_id) * 1.6::DOUBLE AS active FROM env),
+e AS (SELECT recording_id, min(frame) FILTER (active) AS a, max(frame) FILTER (active) AS b FROM act GROUP BY 1), l AS (SELECT recording_id, count(*) / 100.0::DOUBLE AS duration FROM s GROUP BY 1)
+SELECT recording_id, round(coalesce(a * 0.05::DOUBLE, 0), 6) AS onset, round(CASE WHEN b IS NULL THEN 0 ELSE greatest(0, duration - (b + 1) * 0.05::DOUBLE) END, 6) AS trailing_silence, round(duration, 6) AS duration FROM l LEFT JOIN e USING (recording_id)""")
+def usable_bounds(spark, d):
+    return framing.usable_bounds(T.user_signals(spark, d), FRAME, RATE, DEFAULT.active_ratio).select("recording_id", *r6("onset", "trailing_silence", "duration"))
+
+
+@query("SELECT i // 4 AS sample_idx, round(avg(v), 6) AS value FROM (SELECT event_id AS i, value AS v FROM events) GROUP BY 1")
+def decimated_signal(spark, d):
+    return framing.decimate(T.signal(spark, d), 4).select("sample_idx", *r6("value"))
+
+
+@query("SELECT event_id AS sample_idx, value FROM events WHERE event_id BETWEEN 250 AND 899")
+def region_scan(spark, d):
+    return T.signal(spark, d).filter("sample_idx between 250 and 899").select("sample_idx", "value")
+
+
+# Features
+
+
+@query(f"WITH {O.FEATURES} SELECT window_idx, {s6('flux')} FROM feats")
+def temporal_flux(spark, d):
+    return spectral.temporal_flux(T.waves(spark, d), 8).select("window_idx", *r6("flux"))
+
+
+@query(f"WITH {O.SPECTRUM} SELECT vec_id AS window_idx, k::INTEGER AS bin, round(m, 6) AS magnitude FROM dft")
+def magnitude_spectrum(spark, d):
+    return spectral.magnitude_spectrum(T.waves(spark, d)).select("window_idx", "bin", *r6("magnitude"))
+
+
+@query(f"WITH {O.FEATURES} SELECT window_idx, {s6('layering')} FROM feats")
+def layering(spark, d):
+    return _features(spark, d).select("window_idx", F.round("layering_raw", 6).alias("layering"))
+
+
+@query(f"WITH {O.FEATURES} SELECT window_idx, {s6('crest')} FROM feats")
+def crest(spark, d):
+    return _features(spark, d).select("window_idx", F.round("distinctiveness_raw", 6).alias("crest"))
+
+
+@query("SELECT count(*) AS windows, count(*) FILTER (label = 0) AS with_speech, count(*) FILTER (label <> 0) AS eligible FROM embeddings")
+def speech_gate(spark, d):
+    return T.windows(spark, d).agg(F.count(F.lit(1)).alias("windows"), F.count_if("has_speech").alias("with_speech"), F.count_if(~F.col("has_speech")).alias("eligible"))
+
+
+@query("SELECT vec_id AS window_idx, greatest(embedding[3], embedding[8], embedding[41]) >= 0.15::FLOAT AS has_speech FROM embeddings")
+def speech_by_class_scores(spark, d):
+    return T.read(spark, d, "embeddings").select(F.col("vec_id").alias("window_idx"), scoring.has_speech(F.col("embedding").cast("array<double>"), [2, 7, 40]).alias("has_speech"))
+
+
+# Pool and selection
+
+
+@query(f"WITH {O.WINDOWS}, {O.EMBEDDED} SELECT window_idx, {s6('novelty')} FROM nov")
+def novelty(spark, d):
+    return scoring.novelty(scoring.eligible(T.windows(spark, d)), DIM).select("window_idx", F.round("novelty_raw", 6).alias("novelty"))
+
+
+@query(f"WITH {O.WINDOWS}, {O.EMBEDDED} SELECT window_idx, {s6('contrast')} FROM con")
+def contrast(spark, d):
+    return scoring.contrast(scoring.eligible(T.windows(spark, d)), DIM).select("window_idx", F.round("contrast_raw", 6).alias("contrast"))
+
+
+@query(f"WITH {O.POOL} SELECT window_idx, start_seconds, {s6(*scoring.COMPONENTS)} FROM pool")
+def candidate_pool(spark, d):
+    return _pool(spark, d).select("window_idx", "start_seconds", *r6(*scoring.COMPONENTS))
+
+
+@query(f"WITH {PLAIN} SELECT window_idx, {s6('score')} FROM scored")
+def composite_score(spark, d):
+    return scoring.composite_score(_pool(spark, d)).select("window_idx", *r6("score"))
+
+
+@query(f"WITH {JITTERED} SELECT window_idx, {s6('score')} FROM scored")
+def score_jitter(spark, d):
+    return scoring.composite_score(_pool(spark, d), 1).select("window_idx", *r6("score"))
+
+
+@query(f"WITH {PLAIN}, {O.REGIONS} SELECT window_idx, region_id FROM reg")
+def sound_regions(spark, d):
+    return _segmented(spark, d).select("window_idx", "region_id")
+
+
+@query(f"WITH {PLAIN}, {O.REGIONS} SELECT count(DISTINCT region_id) AS regions FROM reg")
+def region_count(spark, d):
+    return regions.count_regions(_segmented(spark, d)).select("regions")
+
+
+@query(f"WITH {PLAIN}, {O.REGIONS} SELECT region_id, window_idx, start_seconds, {s6('score')}, region_window_count FROM reps")
+def region_representatives(spark, d):
+    return regions.representatives(_segmented(spark, d)).select("region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
+
+
+SHORT_COLUMNS = "pick, region_id, window_idx, start_seconds, round(score, 6) AS score, region_window_count"
+
+
+def _short(spark, d) -> DataFrame:
+    return analysis.shortlisted(T.windows(spark, d), _features(spark, d), DIM)
+
+
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)} SELECT {SHORT_COLUMNS} FROM short")
+def shortlist_25(spark, d):
+    return _short(spark, d).select("pick", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
+
+
+@query(f"WITH RECURSIVE {JITTERED}, {O.REGIONS}, prior AS (SELECT window_idx, embedding FROM reps WHERE region_id % 9 = 0), {O.greedy(25, 'prior')} SELECT {SHORT_COLUMNS} FROM short")
+def shortlist_prior_history(spark, d):
+    reps = regions.representatives(_segmented(spark, d, 1))
+    return selection.shortlist(reps, DEFAULT.shortlist, reps.filter("region_id % 9 = 0")).select("pick", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
+
+
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, ok AS (SELECT *, row_number() OVER (ORDER BY start_seconds) AS n FROM short WHERE window_idx % 7 <> 3) SELECT n::INTEGER AS candidate_id, window_idx, start_seconds, {s6('score')} FROM ok WHERE n <= 10")
+def final_10(spark, d):
+    short = _short(spark, d)
+    failed = T.windows(spark, d).filter("window_idx % 7 = 3")
+    return selection.final(short, failed).select("candidate_id", "window_idx", "start_seconds", *r6("score"))
+
+
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, ok AS (SELECT *, row_number() OVER (ORDER BY pick) AS n FROM short WHERE window_idx % 7 <> 3) SELECT row_number() OVER (ORDER BY start_seconds)::INTEGER AS candidate_id, window_idx, pick FROM ok WHERE n <= 10")
+def final_10_best_first(spark, d):
+    return selection.final(_short(spark, d), T.windows(spark, d).filter("window_idx % 7 = 3"), order="score").select("candidate_id", "window_idx", "pick")
+
+
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)} SELECT (SELECT count(*) FROM w) AS total_windows_analyzed, (SELECT count(*) FROM w WHERE has_speech) AS excluded_speech_windows, (SELECT count(*) FROM pool) AS pool_size, (SELECT count(DISTINCT region_id) FROM reg) AS region_count, (SELECT count(*) FROM short) AS shortlist_size, (SELECT least(10, count(*)) FROM short WHERE window_idx % 7 <> 3) AS final_count")
+def run_counters(spark, d):
+    short = _short(spark, d)
+    final = selection.final(short, T.windows(spark, d).filter("window_idx % 7 = 3"))
+    return analysis.counters(T.windows(spark, d), _segmented(spark, d), short, final).drop("recording_id")
+
+
+@query(f"WITH {O.WINDOWS}, p AS (SELECT *, lag(embedding) OVER (ORDER BY window_idx) AS pe FROM w) SELECT window_idx, round({O.cos('pe', 'embedding')}, 6) AS similarity FROM p WHERE pe IS NOT NULL")
+def adjacent_similarity(spark, d):
+    rows = T.windows(spark, d).withColumn("p", F.lag("embedding").over(Window.partitionBy("recording_id").orderBy("window_idx")))
+    return rows.filter("p is not null").select("window_idx", F.round(cosine(F.col("p"), F.col("embedding")), 6).alias("similarity"))
+
+
+# Clips
+
+
+def _candidates(spark, d) -> DataFrame:
+    length = clipping.durations(T.signal(spark, d), RATE)
+    return scoring.eligible(T.windows(spark, d)).join(length, "recording_id").filter(F.col("start_seconds") < F.col("duration")).select("recording_id", "window_idx", "start_seconds")
+
+
+def _clips(spark, d) -> DataFrame:
+    return clipping.clip_bounds(clipping.event_spans(_candidates(spark, d), T.signal(spark, d), RATE))
+
+
+@query(f"WITH {O.SPANS} SELECT window_idx, {s6('span_start', 'span_end')} FROM spans")
+def event_span(spark, d):
+    return clipping.event_spans(_candidates(spark, d), T.signal(spark, d), RATE).select("window_idx", *r6("span_start", "span_end"))
+
+
+@query(f"WITH {O.BOUNDS} SELECT window_idx, {s6('clip_start', 'clip_end')} FROM clips")
+def clip_bounds(spark, d):
+    return _clips(spark, d).select("window_idx", *r6("clip_start", "clip_end"))
+
+
+@query(f"WITH {O.BOUNDS} SELECT window_idx, count(*) AS n_samples, round(sum(v), 6) AS total FROM clips JOIN sig ON i >= round_even(clip_start * 100, 0) AND i < round_even(clip_end * 100, 0) GROUP BY window_idx")
+def clip_samples(spark, d):
+    return clipping.clip_samples(_clips(spark, d), T.signal(spark, d), RATE).groupBy("window_idx").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def _sub_scores(spark, d):
+    """A stand-in for the model: the share of a sub-window's samples above 95."""
+
+    def score(subs: DataFrame) -> DataFrame:
+        ranges = subs.withColumn("lo", F.bround(F.col("sub_start") * RATE).cast("long")).withColumn("hi", F.bround(F.col("sub_end") * RATE).cast("long"))
+        hit = clipping.range_join(ranges, T.signal(spark, d), 8 * RATE)
+        return hit.groupBy("recording_id", "window_idx", "sub_idx").agg(F.avg(F.when(F.col("value") > 95, 1.0).otherwise(0.0)).alias("speech_score"))
+
+    return score
+
+
+SUBS = f"""{O.BOUNDS}, cnt AS (SELECT *, CASE WHEN clip_end - clip_start <= 2 THEN 1 ELSE ceil(clip_end - clip_start - 2 - 1e-9)::BIGINT + 1 END AS n FROM clips),
+sub AS (SELECT window_idx, unnest(range(0, n)) AS k, clip_start, clip_end FROM cnt), sc AS (SELECT window_idx, k, avg(CASE WHEN v > 95 THEN 1.0 ELSE 0.0 END) AS s FROM sub JOIN sig ON i >= round_even((clip_start + k) * 100, 0) AND i < round_even(least(clip_end, clip_start + k + 2) * 100, 0) GROUP BY ALL)"""
+
+
+@query(f"WITH {SUBS} SELECT window_idx FROM sc GROUP BY window_idx HAVING max(s) >= 0.15")
+def clip_speech_recheck(spark, d):
+    return clipping.clips_with_speech(_sub_scores(spark, d)(clipping.check_windows(_clips(spark, d)))).select("window_idx")
+
+
+@query(f"""WITH RECURSIVE {PLAIN.replace("w AS (", "w0 AS (", 1).replace("pool AS (", "w AS (SELECT * FROM w0 WHERE start_seconds + 4 <= (SELECT (max(event_id) + 1) / 100.0 FROM events)), pool AS (", 1).replace("el AS (SELECT * FROM w ", "el AS (SELECT * FROM w0 WHERE start_seconds + 4 <= (SELECT (max(event_id) + 1) / 100.0 FROM events) AND ", 1).replace("AND WHERE", "AND", 1)}, {O.REGIONS}, {O.greedy(25)},
+{SUBS.replace(O.WINDOWS + ", ", "", 1).replace("lev AS", "lev2 AS", 1).replace("FROM lev)", "FROM lev2)", 1)},
+ok AS (SELECT short.*, row_number() OVER (ORDER BY start_seconds) AS n FROM short WHERE window_idx NOT IN (SELECT window_idx FROM sc GROUP BY window_idx HAVING max(s) >= 0.15))
+SELECT n::INTEGER AS candidate_id, window_idx, start_seconds, {s6('clip_start', 'clip_end')} FROM ok JOIN clips USING (window_idx) WHERE n <= 10""")
+def verified_candidates(spark, d):
+    length = clipping.durations(T.signal(spark, d), RATE)
+    inside = T.windows(spark, d).join(length, "recording_id").filter(F.col("start_seconds") + 4 <= F.col("duration")).drop("duration")
+    short = analysis.shortlisted(inside, _features(spark, d), DIM)
+    out = analysis.verified(short, T.signal(spark, d), _sub_scores(spark, d), RATE)
+    return out.select("candidate_id", "window_idx", "start_seconds", *r6("clip_start", "clip_end"))
+
+
+# Scalars
+
+
+@query("WITH t AS (SELECT doc_id, round_even(n_chars / 2.0, 0)::BIGINT AS s FROM documents) SELECT doc_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS stamp FROM t")
+def format_timestamp(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", scalars.format_timestamp(F.col("n_chars") / 2.0).alias("stamp"))
+
+
+@query("SELECT doc_id, printf('candidate_%02d_%02dm%02ds.wav', doc_id % 25, floor(n_chars / 2.0)::BIGINT // 60, floor(n_chars / 2.0)::BIGINT % 60) AS name FROM documents")
+def download_names(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", scalars.download_name(F.col("doc_id") % 25, F.col("n_chars") / 2.0).alias("name"))
+
+
+@query("SELECT p_partkey, round(pow(10, (p_size - 25) / 20.0), 6) AS gain, round(pow(2, (p_size - 25) / 12.0), 6) AS ratio FROM part")
+def gain_and_pitch(spark, d):
+    x = F.col("p_size") - 25
+    return T.read(spark, d, "part").select("p_partkey", F.round(scalars.gain(x), 6).alias("gain"), F.round(scalars.semitones(x), 6).alias("ratio"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN e - s < 0.2 THEN least(c, s + 0.2) ELSE e END, 6) AS trim_end FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS s, l_discount * 10 + l_tax AS e, 1.0 AS c FROM lineitem)")
+def trim_floor(spark, d):
+    s = F.col("l_discount") * 10
+    return T.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(scalars.trim_floor(s, s + F.col("l_tax"), F.lit(1.0)), 6).alias("trim_end"))
+
+
+@query("SELECT l_orderkey, '[Sound ' || string_agg(l_linenumber::VARCHAR, '] → [Sound ' ORDER BY l_linenumber) || ']' AS label FROM lineitem GROUP BY l_orderkey")
+def order_labels(spark, d):
+    return T.read(spark, d, "lineitem").groupBy("l_orderkey").agg(scalars.order_label(F.array_sort(F.collect_list("l_linenumber"))).alias("label"))
+
+
+# Timeline
+
+
+ITEMS_SQL = "items AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p, l_quantity / 10 AS d, l_returnflag = 'R' AS x FROM lineitem)"
+
+
+def _items(spark, d) -> DataFrame:
+    return T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long").alias("position"), (F.col("l_quantity") / 10).alias("duration"), (F.col("l_returnflag") == "R").alias("crossfade_into_next"))
+
+
+@query(f"""WITH {ITEMS_SQL}, l AS (SELECT *, lag(d) OVER k AS pd, lag(x) OVER k AS px FROM items WINDOW k AS (PARTITION BY run ORDER BY p)),
+f AS (SELECT *, CASE WHEN px AND least(0.4, pd * 0.9, d * 0.9) > 0.05 THEN least(0.4, pd * 0.9, d * 0.9) ELSE 0 END AS fade FROM l)
+SELECT run AS run_id, p AS position, round(fade, 6) AS fade, round(coalesce(sum(d) OVER (PARTITION BY run ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - sum(fade) OVER (PARTITION BY run ORDER BY p ROWS UNBOUNDED PRECEDING), 6) AS start FROM f""")
+def composition_timeline(spark, d):
+    return timeline.timeline(_items(spark, d)).select("run_id", "position", *r6("fade", "start"))
+
+
+@query("""WITH a AS (SELECT event_id AS i, value AS v FROM events WHERE event_id < 400), b AS (SELECT event_id - 400 AS i, value AS v FROM events WHERE event_id >= 400 AND event_id < 900),
+u AS (SELECT i, v * CASE WHEN i >= 360 THEN 1 - (i - 360) / 40.0 ELSE 1 END AS v FROM a UNION ALL SELECT i + 360, v * CASE WHEN i < 40 THEN i / 40.0 ELSE 1 END FROM b) SELECT i AS sample_idx, round(sum(v), 6) AS value FROM u GROUP BY i""")
+def crossfade_mix(spark, d):
+    s = T.signal(spark, d)
+    a, b = s.filter("sample_idx < 400"), s.filter("sample_idx >= 400 and sample_idx < 900").withColumn("sample_idx", F.col("sample_idx") - 400)
+    return timeline.crossfade(a, b, 400, 40).select("sample_idx", *r6("value"))
+
+
+@query("""WITH a AS (SELECT event_id AS i, value AS v FROM events WHERE event_id < 400), b AS (SELECT event_id - 400 AS i, value AS v FROM events WHERE event_id >= 400 AND event_id < 900)
+SELECT i AS sample_idx, round(v * CASE WHEN i >= 398 THEN 1 - (i - 398) / 2.0 ELSE 1 END, 6) AS value FROM a UNION ALL SELECT i + 400, round(v * CASE WHEN i < 2 THEN i / 2.0 ELSE 1 END, 6) FROM b""")
+def declick_concat(spark, d):
+    s = T.signal(spark, d)
+    a, b = s.filter("sample_idx < 400"), s.filter("sample_idx >= 400 and sample_idx < 900").withColumn("sample_idx", F.col("sample_idx") - 400)
+    return timeline.declick_concat(a, b, 400, 2).select("sample_idx", *r6("value"))
+
+
+@query()
+def composition_render(spark, d):
+    """Ten clips of the signal, composed with boundary cuts: a fold over the running mix, which SQL can't say."""
+    s = T.signal(spark, d).filter("sample_idx < 1000")
+    clips = s.groupBy((F.floor(F.col("sample_idx") / 100)).alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
+    items = clips.select(F.lit("run").alias("run_id"), "position", "samples", (F.col("position") % 2 == 0).alias("crossfade_into_next"))
+    return timeline.compose(items, RATE).select("run_id", F.round("duration", 6).alias("duration"), F.size("samples").alias("n_samples"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("WITH i AS (SELECT l_orderkey AS run_id, l_linenumber AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS c FROM lineitem) SELECT run_id, CASE WHEN c = 2 AND max(c) OVER (PARTITION BY run_id) > 2 THEN 3 WHEN c = 3 THEN 2 ELSE c END AS position, c AS candidate_id FROM i")
+def move_down(spark, d):
+    rows = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).cast("long").alias("position"))
+    return timeline.swap_neighbours(rows.withColumn("candidate_id", F.col("position")), 2, True).select("run_id", "position", "candidate_id")
+
+
+@query("""WITH g(lo, hi, fade, depth) AS (VALUES (100, 200, 20, 0.1), (150, 260, 30, 0.25)), f AS (SELECT event_id AS i, product(CASE WHEN event_id - lo < fade THEN 1 - (event_id - lo) * (1 - depth) / (fade - 1)
+WHEN event_id - lo >= hi - lo - fade THEN depth + (event_id - lo - (hi - lo - fade)) * (1 - depth) / (fade - 1) ELSE depth END) AS m FROM events JOIN g ON event_id >= lo AND event_id < hi GROUP BY event_id)
+SELECT event_id AS sample_idx, round(value * coalesce(m, 1), 6) AS value FROM events LEFT JOIN f ON i = event_id""")
+def gating_envelope(spark, d):
+    gates = spark.createDataFrame([(T.RECORDING, 100, 200, 20, 0.1), (T.RECORDING, 150, 260, 30, 0.25)], "recording_id string, lo long, hi long, fade long, depth double")
+    return effects.apply_gates(T.signal(spark, d), gates, 800).select("sample_idx", *r6("value"))
+
+
+def _requests(spark, d) -> DataFrame:
+    tones = spark.createDataFrame([(t,) for t in effects.TONES], "tone string")
+    clips = T.read(spark, d, "part").filter("p_partkey <= 50").select(F.concat(F.lit("clip_"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("basename"), (F.col("p_size") * 3200 + 96_000).cast("long").alias("n_samples"))
+    return clips.join(F.broadcast(tones)).withColumn("version", F.lit(1))
+
+
+@query()
+def tone_params(spark, d):
+    rows = effects.effect_plans(_requests(spark, d)).select("basename", "tone", F.posexplode("params").alias("draw", "p"))
+    return rows.select("basename", "tone", "draw", "p.name", F.transform("p.values", lambda x: F.round(x, 6)).alias("values"))
+
+
+@query()
+def effect_plan(spark, d):
+    return effects.effect_plans(_requests(spark, d)).select("basename", "tone", "version", "graph", F.size("gates").alias("n_gates"))
+
+
+# Logs
+
+RUNS = "runs AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS analysis_number, ts AS at_ FROM events WHERE event_type = 'view')"
+DECS = "decs AS (SELECT user_id AS run_id, 1 + event_id % 10 AS candidate_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'kept' ELSE 'discarded' END AS decision, ts AS decided_at, event_id FROM events WHERE event_type <> 'view')"
+ASOF = f"{RUNS}, {DECS}, dec AS (SELECT d.*, r.analysis_number FROM decs d ASOF LEFT JOIN runs r ON d.run_id = r.run_id AND d.decided_at >= r.at_)"
+
+
+def _asof(spark, d) -> DataFrame:
+    return logs.as_of(T.decisions(spark, d), T.analysis_runs(spark, d), ["run_id"], "decided_at", "at", ["analysis_number"])
+
+
+@query(f"WITH {ASOF} SELECT event_id, run_id, candidate_id, decision, analysis_number FROM dec")
+def decision_asof_run(spark, d):
+    return _asof(spark, d).select("event_id", "run_id", "candidate_id", "decision", "analysis_number")
+
+
+@query(f"WITH {ASOF} SELECT run_id, analysis_number, candidate_id, arg_max(decision, event_id) AS decision, count(*) AS n_decisions FROM dec GROUP BY ALL")
+def latest_decision(spark, d):
+    return logs.latest_decisions(_asof(spark, d), ["run_id", "analysis_number", "candidate_id"], "event_id")
+
+
+@query(f"WITH {ASOF}, l AS (SELECT run_id, analysis_number, candidate_id, arg_max(decision, event_id) AS decision FROM dec GROUP BY ALL) SELECT run_id, count(*) AS candidates, count(*) FILTER (decision = 'kept') AS kept, count(*) FILTER (decision = 'discarded') AS discarded FROM l GROUP BY run_id")
+def decision_funnel(spark, d):
+    return logs.funnel(logs.latest_decisions(_asof(spark, d), ["run_id", "analysis_number", "candidate_id"], "event_id"))
+
+
+@query(f"WITH {ASOF}, l AS (SELECT run_id, analysis_number, candidate_id, arg_max(decision, event_id) AS decision FROM dec GROUP BY ALL) SELECT run_id, analysis_number, c AS candidate_id FROM runs, range(1, 11) q(c) EXCEPT SELECT run_id, analysis_number, candidate_id FROM l WHERE decision = 'kept'")
+def surfaced_minus_kept(spark, d):
+    kept = logs.latest_decisions(_asof(spark, d), ["run_id", "analysis_number", "candidate_id"], "event_id").filter("decision = 'kept'")
+    out = T.analysis_runs(spark, d).select("run_id", "analysis_number", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("candidate_id"))
+    return out.subtract(kept.select("run_id", "analysis_number", "candidate_id"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, '{\"event_id\":' || event_id || ',\"k\":' || json_extract(props, '$.k')::BIGINT || '}' AS line FROM events")
+def log_json_roundtrip(spark, d):
+    rows = T.read(spark, d, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))
+    return rows.withColumn("line", F.to_json(F.struct("event_id", "k")))
+
+
+@query("SELECT user_id, count(*) AS n_starts FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM events) WHERE g IS NULL OR g >= INTERVAL 30 MINUTE GROUP BY user_id")
+def session_counts(spark, d):
+    rows = T.read(spark, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_starts"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY ALL")
+def hourly_levels(spark, d):
+    rows = T.read(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"))
+    return rows.select(F.col("w.start").alias("hour"), "event_type", "n", "rms")
