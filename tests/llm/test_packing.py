@@ -24,6 +24,17 @@ def test_word_cache_gives_the_tokenizers_ids(text):
         assert encode(t).tolist() == TOK.encode(t, add_special_tokens=False).ids
 
 
+def test_portions_change_nothing(monkeypatch):
+    text = "Ein Satz, der öfter kommt; and İt's new. " * 40 + "x" * 300
+    want = TOK.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "PORTION", 50)
+    small = packing.Encoder()
+    assert small(text).tolist() == want
+    assert [x.tolist() for x in small.many(["", text, " ", "a"])] == [[], want, [], TOK.encode("a", add_special_tokens=False).ids]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    assert small(text).tolist() == want
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):

@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_text, durable, map_arrow
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
-CACHE_WORDS, CACHE_CORES, LONGEST_CACHED, PORTION = 900_000, 900_000, 64, 2_000_000
+CACHE_WORDS, CACHE_CORES, CACHE_IDS, LONG, PORTION = 800_000, 800_000, 16_000_000, 64, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,11 +40,14 @@ class Encoder:
 
     This tokenizer drops white space and never joins characters across it, so a text's ids are its
     words' ids in a row; only the four commonest white-space characters are cut at here, the
-    tokenizer sees to the others. It lower-cases, and parts letters from ASCII marks, so a plain
-    word's ids are those of its lower-cased letters and then those of the marks that end it.
+    tokenizer sees to the others. Words are found and hashed (64 bits: a polynomial of their bytes,
+    or XXH64 where longer than LONG) for a portion of text at once; what each different word stands
+    for lies in one array of ids. A word met first is encoded: a plain one as its lower-cased
+    letters and then the marks that end it, since the tokenizer lower-cases and parts these.
     """
 
     PLAIN = re.compile("([^\\W\\d_]+)([.,;:!?%&#*$|\"()]*)")
+    STEP = 0xD6E8FEB86659FD93
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,8 +55,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.words: dict[str, bytes] = {}
+        self.is_space = np.zeros(256, bool)
+        self.is_space[[32, 10, 9, 13]] = True
+        self.of_byte = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+        self._powers(PORTION)
         self.cores: dict[str, bytes] = {}
+        self._forget()
+
+    def _powers(self, n: int) -> None:
+        back = pow(self.STEP, -1, 1 << 64)
+        self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)])) for m in (self.STEP, back))
+
+    def _forget(self) -> None:
+        self.row: dict[int, int] = {}
+        self.ids, self.first, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
 
     def _cut(self, word: str) -> tuple[str, str]:
         """A plain word's letters, lower-cased, and its marks; any other word whole."""
@@ -62,32 +79,69 @@ class Encoder:
         # Below U+0250 lower case is the same character by character; U+0130 apart, all of it is composed.
         return (m[1].lower(), m[2]) if m and max(word) < "\u0250" and "\u0130" not in word else (word, "")
 
-    def learn(self, words: set[str]) -> None:
-        """Sees to it that all of these have their ids."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        new = list(words - self.words.keys())
-        cut, cores = [self._cut(w) for w in new], self.cores
+    def _encode(self, words: list[str]) -> list[bytes]:
+        cut, cores = [self._cut(w) for w in words], self.cores
         if len(cores) + len(cut) > CACHE_CORES:
             cores.clear()
         cores[""] = b""
         unknown = list({c for pair in cut for c in pair} - cores.keys())
         cores.update(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))))
-        self.words.update(zip(new, (cores[a] + cores[b] for a, b in cut)))
+        out = [cores[a] + cores[b] for a, b in cut]
+        for c in [c for c in unknown if len(c) > LONG]:
+            del cores[c]
+        return out
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        new = self._encode([w.decode("utf-8", "surrogatepass") for w in words])
+        n, sizes = len(self.row), np.array([len(x) // 4 for x in new], np.int64)
+        total = self.used + int(sizes.sum())
+        while len(self.ids) < total:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.first) < n + len(new):
+            self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.ids[self.used : total] = np.frombuffer(b"".join(new), "<u4")
+        self.size[n : n + len(new)] = sizes
+        self.first[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.row.update(zip(hashes, range(n, n + len(new))))
+        self.used = total
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        different = set().union(*split)
-        self.learn(different)
-        out = [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in split]
-        for w in [w for w in different if len(w) > LONGEST_CACHED]:  # these aren't kept
-            for x in (self._cut(w)[0], w):
-                self.cores.pop(x, None)
-            del self.words[w]
-        return out
+        """The ids of each text."""
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b" ".join([b"", *raws, b""])  # a space before and after each
+        at = np.cumsum([1, *(len(r) + 1 for r in raws)])
+        data = np.frombuffer(raw, np.uint8)
+        if len(data) >= len(self.up):
+            self._powers(len(data))
+        gap = self.is_space[data]
+        lo, hi = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.of_byte[data] * self.up[: len(data)])])
+        h = (sums[hi] - sums[lo]) * self.down[lo]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        for k in np.flatnonzero(hi - lo > LONG).tolist():
+            h[k] = xxhash.xxh64_intdigest(raw[lo[k] : hi[k]])
+        if len(self.row) > CACHE_WORDS or self.used > CACHE_IDS:
+            self._forget()
+        different, first, where = np.unique(h, return_index=True, return_inverse=True)
+        different = different.tolist()
+        new = [k for k, x in enumerate(different) if x not in self.row]
+        if new:
+            self._learn([different[k] for k in new], [raw[lo[first[k]] : hi[first[k]]] for k in new])
+        rows = np.fromiter(map(self.row.__getitem__, different), np.int64, len(different))[where]
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[rows] - (ends - sizes), sizes)]
+        ends = np.concatenate([np.zeros(1, np.int64), ends])
+        cuts = ends[np.searchsorted(lo, at)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
+        """The ids of one text; a very long one in portions that end at a space."""
+        out, at = [], 0
+        while len(text) - at > PORTION and (end := text.find(" ", at + PORTION)) > 0:
+            out += self.many([text[at:end]])
+            at = end
+        return np.concatenate([*out, *self.many([text[at:]])])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -104,10 +158,10 @@ def portions(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Bounds of neighbouring texts that have about PORTION characters together."""
     lo = size = 0
     for i, t in enumerate(texts):
+        if size + len(t) > PORTION and i > lo:
+            yield lo, i
+            lo, size = i, 0
         size += len(t)
-        if size > PORTION:
-            yield lo, i + 1
-            lo, size = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
 
@@ -121,7 +175,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], [], [], []]
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, ids in ((docs[lo + i], x) for lo, hi in portions(texts) for i, x in enumerate(encode.many(texts[lo:hi]))):
+            for doc, ids in ((docs[lo + i], x) for lo, hi in portions(texts) for i, x in enumerate(encode.many(texts[lo:hi]) if hi - lo > 1 else [encode(texts[lo])])):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for k, lo in enumerate(range(0, len(ids), capacity)):
                     part = ids[lo : lo + capacity]
