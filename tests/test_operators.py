@@ -223,15 +223,17 @@ def test_analyse_end_to_end(spark):
 def test_streams(spark, tmp_path):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(ev.schema).parquet("/root/testdata/sf0.001/events.parquet*")
-    q = live.windowed_levels(stream).writeStream.format("memory").queryName("levels").outputMode("complete").start()
-    q.processAllAvailable()
+    q = live.windowed_levels(stream).writeStream.format("memory").queryName("levels").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     assert spark.sql("select sum(n) from levels").first()[0] == 2 * ev.count()
     rows = [("r", 0.0, 0.1, [1.0, 0.0]), ("r", 2.0, 0.5, [1.0, 0.0]), ("r", 4.0, 0.2, [0.0, 1.0]), ("r", 20.0, 0.2, [0.0, 1.0])]
     w = spark.createDataFrame(rows, "recording_id string, start_seconds double, score double, embedding array<double>")
     w.write.parquet(f"{tmp_path}/w")
-    q = live.live_regions(spark.readStream.schema(w.schema).parquet(f"{tmp_path}/w")).writeStream.format("memory").queryName("regions").outputMode("append").start()
-    q.processAllAvailable()
+    q = live.live_regions(spark.readStream.schema(w.schema).parquet(f"{tmp_path}/w")).writeStream.format("memory").queryName("regions").outputMode("append").trigger(availableNow=True).start()
+    for _ in range(60):  # idle timeouts keep this one running
+        if q.awaitTermination(1) or spark.sql("select * from regions").count() == 2:
+            break
     q.stop()
     assert sorted((r.first_start, r.last_start, r.best_start, r.n) for r in spark.sql("select * from regions").collect()) == [(0, 2, 2, 2), (4, 4, 4, 1)]
 
