@@ -90,3 +90,17 @@ def test_redaction_covers_the_spans_and_nothing_else(make_docs):
             at = b
         assert r.text == "[SECRET]".join([*pieces, t[at:]]) and r.n_chars == len(r.text)
     assert S.redact(docs.limit(0)).count() == 0 and S.scan(docs.limit(0)).count() == 0
+
+
+def test_sql_twin(spark, make_docs, tmp_path):
+    import duckdb
+
+    docs = make_docs([*ODD, *random_texts(300)])
+    docs.select("doc_id", "text").toPandas().to_parquet(tmp_path / "d.parquet")
+    for frame, path in ((docs, tmp_path / "d.parquet"), (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "/root/testdata/sf0.01/documents.parquet")):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        want = con.sql(S.ORACLE_SQL)
+        got = S.scan(frame)
+        assert sorted(want.columns) == sorted(got.columns)
+        assert sorted(want.select(", ".join(got.columns)).fetchall()) == sorted(map(tuple, got.collect()))

@@ -52,4 +52,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_surrogates, op2_decontamination, op3_secrets, op4_media, op5_extraction, op6_packing, op7_lm_scores, op8_language, op9_simhash, op10_quality)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.ORACLE_SQL}
