@@ -1,4 +1,4 @@
-"""Queries over the reference tables, by name, and their SQL twins for DuckDB."""
+"""Queries over the given tables, by name, and their SQL twins for DuckDB."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The reference tables seen as recordings: windows with embeddings, waves, signals, decisions and runs."""
+"""The given tables seen as recordings: windows with embeddings, waves, signals, decisions and runs."""
 
 from __future__ import annotations
 
