@@ -47,6 +47,16 @@ def test_distinct_values_stay_distinct_and_miss_real_ones(make_docs, monkeypatch
     assert all(again[i].text == got[i].text for i in got)
 
 
+def test_what_stands_next_to_a_value_does_not_hide_it():
+    values = ["a.b@c.example.com", "+1 (509) 555-6973", "152.143.123.131", "4785380592391139"]
+    for before, after in (("x ", " y"), ("", ""), (",", ","), ("...", "."), ("(", ")"), ("***", "###"), ('"', '",')):
+        for v in values:
+            found = pii.find(before + v + after)
+            assert [f[3].lstrip(".") for f in found] == [v], (before, v, after)
+    for clean in ("1.2.3.4.5", "v1.2.3.4", "3.14159265358979323", "1,234,567", "2024-01-02 10:11", "0.1234567890123456"):
+        assert pii.find(clean) == [], clean
+
+
 def test_repeats_missing_ids_and_empty_table(make_docs):
     docs = make_docs([(1, TEXT), (1, TEXT), (None, TEXT), (2, "")])
     got = pii.pseudonymise(docs).collect()

@@ -36,9 +36,9 @@ FEW, TRIES = 500_000, 64
 EMAIL = r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
 IBAN = r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
 SSN = r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-CARD = r"(?P<card>(?<![\d.,])(?:\d{4}(?P<sep>[\x20-]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}\x20\d{6}\x20\d{5}|\d{13,19})(?![\d]))"
-PHONE = r"(?P<phone>(?<![\w+.])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{1,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}[-.\x20]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w]))"
-IP = r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
+CARD = r"(?P<card>(?<!\d)(?<!\d[.,])(?:\d{4}(?P<sep>[\x20-]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}\x20\d{6}\x20\d{5}|\d{13,19})(?![\d]))"
+PHONE = r"(?P<phone>(?<![\w+])(?<!\d\.)(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{1,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}[-.\x20]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d))"
+IP = r"(?P<ip>(?<![\dvV])(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
 CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 #: Forms of address that tell a gender, or none, and common given names by script and gender.
 ADDRESS = {
