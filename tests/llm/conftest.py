@@ -2,6 +2,8 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
+CLASHES = "row key _text base found _id id hash at rep component_id keep".split()
+
 
 @pytest.fixture(scope="session")
 def make_docs(spark):
@@ -9,8 +11,8 @@ def make_docs(spark):
 
     def make(texts):
         rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
-        rows = [(i, t, "en" if i is None or i % 2 else None, None, None if t is None else len(t), 1, "x", 0) for i, t in rows]
-        return spark.createDataFrame(rows, DOCS + ", n int, fp string, label int").repartition(3)
+        rows = [(i, t, "en" if i is None or i % 2 else None, None, None if t is None else len(t), 1, "x", 0, *"abcdefghijkl") for i, t in rows]
+        return spark.createDataFrame(rows, DOCS + ", n int, fp string, label int" + "".join(f", {c} string" for c in CLASHES)).repartition(3)
 
     return make
 

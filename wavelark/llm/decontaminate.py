@@ -179,6 +179,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without those that hold an item of the benchmark."""
-    bad = durable(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct())
+    bad = durable(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct())
     small = F.broadcast(bad) if bad.count() <= FEW_IDS else bad
-    return docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    # The columns travel as one, so none of theirs can clash with those made here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row"))
+    return rows.join(small, F.col("key").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")

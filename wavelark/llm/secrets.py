@@ -139,7 +139,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """`docs` with each stretch that spans cover replaced by `mask`, and n_chars (if a column) set anew."""
-    df = find_secrets(docs)
+    # The columns travel as one, so none of theirs can clash with those made here.
+    df = find_secrets(docs.select(F.struct("*").alias("row"), "text"))
     start = F.array().cast("array<struct<start:int,end:int>>")
     last = lambda a: F.element_at(a, -1)
     merged = F.aggregate(
@@ -155,7 +156,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     )
     clean = F.when(F.size("_merged") > 0, F.array_join(gaps, mask)).otherwise(F.col("text"))
     out = df.withColumn("_clean", clean)
-    return out.select(*[F.col("_clean").alias(c) if c == "text" else F.when(F.size("_merged") > 0, F.length("_clean").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    new_length = F.when(F.size("_merged") > 0, F.length("_clean").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None).alias("n_chars")
+    made = {"text": F.col("_clean").alias("text"), "n_chars": new_length}
+    return out.select(*[made[c] if c in made else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _matches_sql(name: str, pattern: str, keep: str) -> str:

@@ -221,7 +221,9 @@ def near_duplicates(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row left of each component: that of its least doc_id (rows without an id stay)."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    ids = durable(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("_n = 1").drop("_n")
-    return once.unionByName(docs.filter("doc_id is null"))
+    ids = durable(found.filter("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
+    # The columns travel as one, so none of theirs can clash with those made here.
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row"))
+    kept = rows.filter("key is not null").join(ids, "key", "left_semi")
+    once = kept.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))).filter("n = 1")
+    return once.select("row.*").unionByName(docs.filter(docs["doc_id"].isNull()))
