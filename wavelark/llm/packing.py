@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable, map_arrow
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
-CACHE_WORDS, CACHE_CORES, CACHE_IDS, LONG, PORTION = 800_000, 800_000, 16_000_000, 64, 1_000_000
+CACHE_WORDS, CACHE_CORES, CACHE_IDS, LONG, PORTION = 600_000, 500_000, 8_000_000, 64, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
