@@ -125,6 +125,26 @@ def test_final_takes_the_earliest(spark):
     assert [r.window_idx for r in selection.final(short, bad, order="score").orderBy("candidate_id").collect()] == list(range(16, 26))
 
 
+def test_log_entries(spark, tmp_path):
+    short = spark.createDataFrame([("r", 26 - i, i, i, 8.0 * i, 0.1 * i, 1) for i in range(1, 26)], selection.SHORTLIST)
+    bad = spark.createDataFrame([("r", 2), ("r", 5), ("r", 20)], "recording_id string, window_idx long")
+    final, excluded = selection.final(short, bad), selection.excluded_in_clips(short, bad)
+    assert excluded.first().excluded_speech_in_clip == 2
+    pool = short.select("recording_id", "window_idx", *[F.lit(0.5).alias(c) for c in scoring.COMPONENTS])
+    counted = spark.createDataFrame([("r", 30, 5, 25, 25, 25, 10)], "recording_id string, total_windows_analyzed long, excluded_speech_windows long, pool_size long, region_count long, shortlist_size long, final_count long")
+    rows = logs.analysis_entries(counted, excluded, final, pool, "run", 2, 1, 5.0, "Table")
+    logs.append(rows, f"{tmp_path}/a", "analysis")
+    back = logs.read(spark, f"{tmp_path}/a", "analysis")
+    r = back.first()
+    assert (r.run_id, r.analysis_number, r.jitter_seed, r.excluded_speech_in_clip, len(r.final_candidates)) == ("run", 2, 1, 2, 10)
+    assert [x.start_seconds for x in logs.surfaced(back).orderBy("candidate_id").collect()] == [8.0 * i for i in (1, 3, 4, 6, 7, 8, 9, 10, 11, 12)]
+    state = spark.createDataFrame([("run", "kept", 1, 3, 0.5, 2.0, False), ("run", "kept", 0, 9, 0.0, 5.0, True), ("run", "removed", 0, 4, 0.0, 5.0, False)], timeline.EDIT_STATE)
+    clips = spark.createDataFrame([("run", 3, 10.0, 15.0), ("run", 9, 30.0, 35.0)], "run_id string, candidate_id int, start_seconds double, end_seconds double")
+    logs.append(logs.composition_entries(state, clips, 6.0), f"{tmp_path}/c", "composition")
+    c = logs.read(spark, f"{tmp_path}/c", "composition").first()
+    assert (c.final_order, c.removed, [x.edited_duration for x in c.items]) == ([9, 3], [4], [5.0, 1.5])
+
+
 def test_jitter_draws():
     w, _ = scoring.jittered_weights(1)
     assert list(w.values()) == pytest.approx([0.141587, 0.25575, 0.242356, 0.160912, 0.199395], abs=1e-6)

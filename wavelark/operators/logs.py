@@ -54,6 +54,27 @@ def funnel(decided: DataFrame) -> DataFrame:
     return decided.groupBy("run_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("decision") == "kept").alias("kept"), F.count_if(F.col("decision") == "discarded").alias("discarded"))
 
 
+def analysis_entries(counted: DataFrame, excluded: DataFrame, final: DataFrame, pool: DataFrame, run_id: str, number: int, seed: int | None, at: float, classifier: str) -> DataFrame:
+    """One ANALYSIS row a recording: its counters and its final candidates (ten at most) with their component scores."""
+    scores = pool.select("recording_id", "window_idx", F.struct("novelty", "contrast", "layering", "distinctiveness", "temporal_interest").alias("component_scores"))
+    each = final.select("recording_id", "window_idx", "start_seconds", "region_window_count", "score").join(scores, ["recording_id", "window_idx"])
+    lists = each.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("start_seconds", "region_window_count", "score", "component_scores"))).alias("final_candidates"))
+    rows = counted.join(excluded, "recording_id", "left").join(lists, "recording_id", "left")
+    fixed = [F.lit(run_id).alias("run_id"), F.lit(number).alias("analysis_number"), F.lit(seed).cast("long").alias("jitter_seed"), F.lit(at).alias("at"), F.lit(classifier).alias("classifier")]
+    return rows.select(*fixed, *[c for c in counted.columns if c != "recording_id"], F.coalesce("excluded_speech_in_clip", F.lit(0)).alias("excluded_speech_in_clip"), F.coalesce("final_candidates", F.array().cast(lists.schema["final_candidates"].dataType)).alias("final_candidates"))
+
+
+def composition_entries(state: DataFrame, clips: DataFrame, at: float) -> DataFrame:
+    """One COMPOSITION row a run: of replayed edits (run_id, status, position, candidate_id, trim_start, trim_end, crossfade_into_next) and clips (run_id, candidate_id, start_seconds, end_seconds)."""
+    rows = state.join(clips, ["run_id", "candidate_id"], "left")
+    item = F.struct(
+        "candidate_id", F.col("start_seconds").alias("original_start_seconds"), F.col("end_seconds").alias("original_end_seconds"), "trim_start", "trim_end", (F.col("trim_end") - F.col("trim_start")).alias("edited_duration"), "crossfade_into_next"
+    )
+    ordered = lambda status, what: F.transform(F.array_sort(F.collect_list(F.when(F.col("status") == status, F.struct("position", what.alias("x"))))), lambda p: p["x"])
+    out = rows.groupBy("run_id").agg(ordered("kept", F.col("candidate_id")).alias("final_order"), ordered("removed", F.col("candidate_id")).alias("removed"), ordered("kept", item).alias("items"))
+    return out.select("run_id", F.lit(at).alias("at"), "final_order", "removed", "items")
+
+
 def surfaced(analyses: DataFrame) -> DataFrame:
     """One row a final candidate: its place in the list, from 1, is its id."""
     rows = analyses.select("run_id", "analysis_number", F.posexplode("final_candidates").alias("_p", "c"))

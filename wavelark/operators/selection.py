@@ -72,3 +72,12 @@ def final(short: DataFrame, failed: DataFrame, cfg: Config = DEFAULT, order: str
     left = left.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= cfg.max_candidates)
     rank = Window.partitionBy("recording_id").orderBy("start_seconds")
     return left.withColumn("candidate_id", F.row_number().over(rank)).drop("_n")
+
+
+def excluded_in_clips(short: DataFrame, failed: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """recording_id, excluded_speech_in_clip: shortlisted ones that fail the gate before max_candidates have passed, in time order; later ones are never looked at."""
+    bad = failed.select("recording_id", "window_idx").distinct().withColumn("_bad", F.lit(True))
+    before = Window.partitionBy("recording_id").orderBy("start_seconds").rowsBetween(Window.unboundedPreceding, -1)
+    rows = short.join(bad, ["recording_id", "window_idx"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    rows = rows.withColumn("_passed", F.coalesce(F.count_if(~F.col("_bad")).over(before), F.lit(0)))
+    return rows.groupBy("recording_id").agg(F.count_if(F.col("_bad") & (F.col("_passed") < cfg.max_candidates)).alias("excluded_speech_in_clip"))
