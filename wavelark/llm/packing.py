@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable, map_arrow
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
-CACHE_WORDS, CACHE_CORES, CACHE_IDS, LONG, PORTION = 600_000, 500_000, 8_000_000, 64, 500_000
+CACHE_WORDS, CACHE_CORES, CACHE_IDS, LONG, PORTION = 1_500_000, 900_000, 16_000_000, 64, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -67,7 +67,7 @@ class Encoder:
         self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)])) for m in (self.STEP, back))
 
     def _forget(self) -> None:
-        self.row: dict[int, int] = {}
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the word each is
         self.ids, self.first, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
@@ -91,7 +91,8 @@ class Encoder:
             del cores[c]
         return out
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Adds words by their sorted hashes."""
         new = self._encode([w.decode("utf-8", "surrogatepass") for w in words])
         n, sizes = len(self.row), np.array([len(x) // 4 for x in new], np.int64)
         total = self.used + int(sizes.sum())
@@ -102,7 +103,8 @@ class Encoder:
         self.ids[self.used : total] = np.frombuffer(b"".join(new), "<u4")
         self.size[n : n + len(new)] = sizes
         self.first[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.row.update(zip(hashes, range(n, n + len(new))))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.row = np.insert(self.known, at, hashes), np.insert(self.row, at, np.arange(n, n + len(new)))
         self.used = total
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
@@ -123,11 +125,13 @@ class Encoder:
         if len(self.row) > CACHE_WORDS or self.used > CACHE_IDS:
             self._forget()
         different, first, where = np.unique(h, return_index=True, return_inverse=True)
-        different = different.tolist()
-        new = [k for k, x in enumerate(different) if x not in self.row]
-        if new:
-            self._learn([different[k] for k in new], [raw[lo[first[k]] : hi[first[k]]] for k in new])
-        rows = np.fromiter(map(self.row.__getitem__, different), np.int64, len(different))[where]
+        place = np.searchsorted(self.known, different)
+        there = place < len(self.known)
+        there[there] = self.known[place[there]] == different[there]
+        if not there.all():
+            self._learn(different[~there], [raw[lo[k] : hi[k]] for k in first[~there].tolist()])
+            place = np.searchsorted(self.known, different)
+        rows = self.row[place][where]
         sizes = self.size[rows]
         ends = np.cumsum(sizes)
         ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[rows] - (ends - sizes), sizes)]
