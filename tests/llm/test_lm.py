@@ -77,3 +77,36 @@ def test_states_sum_to_one_and_the_traversal_follows_them(make_docs, monkeypatch
         ids = [*(letter[lm.word_hash(w.encode())] for w in t.split()), letter[lm.END]]
         want = sum(math.log10(prob(tuple(ids[max(0, j - 2) : j]), w)) for j, w in enumerate(ids))
         assert got[i].score == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 4])
+def test_all_repeated_ngrams_count_whatever_their_share(make_docs, monkeypatch, hot):
+    monkeypatch.setattr(lm, "ALPHABET_SHARE", 4)
+    monkeypatch.setattr(lm, "GRAM_SHARE", hot)
+    monkeypatch.setattr(lm, "WORD_SHARE", 64 if hot == 4 else 1 << 18)
+    texts = [f"w{i % 50} x{i % 50} y{i % 50} and w{(i * 7) % 50} x{i % 9}" for i in range(300)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in lm.score_documents(make_docs(rows)).collect()}
+    train = [[*t.split(), "END"] for i, t in rows if not lm.is_held_out(i)]
+    count = Counter(tuple(t[j : j + k]) for t in train for k in (1, 2, 3) for j in range(len(t) - k + 1))
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    after = {}
+    for g, c in count.items():
+        if len(g) > 1 and c >= lm.LEAST:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def prob(h, w):
+        if not h:
+            return (count[w,] + 1) / (n + v + 1)
+        seen = after.get(h)
+        if not seen:
+            return prob(h[1:], w)
+        if w in seen:
+            return (seen[w] - lm.DISCOUNT) / count[h]
+        left = 1 - sum((c - lm.DISCOUNT) / count[h] for c in seen.values())
+        return left / (1 - sum(prob(h[1:], x) for x in seen)) * prob(h[1:], w)
+
+    for i, t in rows:
+        ids = [*t.split(), "END"]
+        want = sum(math.log10(prob(tuple(ids[max(0, j - 2) : j]), w)) for j, w in enumerate(ids))
+        assert got[i].score == pytest.approx(want, rel=1e-9)

@@ -1,17 +1,19 @@
 """Language-model scores from a weighted backoff automaton.
 
-Counting: words of the training documents are counted exactly, all of them, by a 64-bit hash. Words
-with at least 1/2**12 of the tokens (so at most 2**12 of them) are the alphabet of the longer
-n-grams; n-grams of these with at least 1/2**20 of the tokens (at most 2**20 of them) are kept. Such
-shares bound what is broadcast whatever the corpus holds, and grow with it in what they stand for.
+Counting: words of the training documents are counted exactly, all of them, by a 64-bit hash, and so
+are their two- and three-word n-grams. All n-grams seen at least LEAST times are kept, whatever the
+size of the corpus; they are a table of arcs, dealt by hash, that grows with the input.
 
-Model: the root state gives any word its add-one unigram probability. Every kept n-gram that others
-extend is a state; its arcs carry discounted probabilities, and its failure arc, to the state of its
-longest suffix, carries the mass that the arcs leave over. Each state sums to one over words.
+Model: the root state gives any word its add-one unigram probability. Every word or n-gram that kept
+ones extend is a state; its arcs carry discounted probabilities, and its failure arc, to the state of
+its longest suffix, carries the mass that the arcs leave over. Each state sums to one over words.
 
-Scoring: each text is read once from left to right; the traversal carries the state and adds the
-weights of arcs and failure arcs, relative to the root's. Root weights of frequent words (a share of
-1/2**18) are looked up in place; those of all other words are joined by hash and summed by text.
+Scoring: reading a word adds the failure arcs on the way and the arc taken. A state's failure arc is
+passed unless one of its own arcs is taken, so an arc's weight is counted relative to it, and each
+n-gram has one weight wherever it occurs: a text's score is the sum over its words and n-grams. The
+hottest ones (a share of 1/2**18 of words, 1/2**20 of n-grams, which bounds their number) are
+looked up in place; all others are dealt by hash to where their weights are and summed by text.
+Both go in packed arrays, one a task and bucket.
 
 Defined cases: null or empty text is the end token alone. A null doc_id counts as an empty one when
 held-out texts are chosen. Rows that repeat are scored each. With nothing to learn from, every
@@ -21,19 +23,22 @@ ignored; long texts are read whole, and no list but one text's words is held.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_text, durable, map_arrow
+from .common import doc_text, durable
 
 ORDER, DISCOUNT = 3, 0.5
+#: ALPHABET_SHARE: words of the explicit Automaton. GRAM_SHARE, WORD_SHARE: what is looked up in place.
 ALPHABET_SHARE, GRAM_SHARE, WORD_SHARE = 1 << 12, 1 << 20, 1 << 18
 LEAST = 2
 BUFFER, CACHE, MEMO = 2_000_000, 300_000, 1_000_000
@@ -103,7 +108,7 @@ def _counted(docs: DataFrame, make_ids, train_only: bool) -> DataFrame:
 
 
 class Automaton:
-    """States are numbered n-grams (0: the root). Arcs: weight and next state, weights relative to the root's."""
+    """The hottest arcs as an explicit machine, by which `score` is checked. States are numbered n-grams (0: the root). Arcs: weight and next state, weights relative to the root's."""
 
     def __init__(self, grams: list[dict[tuple[int, ...], int]], letters: np.ndarray, n: int, v: int):
         """grams[k]: counts of the (k+2)-grams kept, as letters; letters[i]: count of letter i + 1."""
@@ -160,7 +165,7 @@ class Automaton:
 
 
 def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """All words with their counts (durable), and the bounded rest of the model."""
+    """All words with their counts (durable), and the model."""
 
     def make_words():
         known = Lookup(word_hash)
@@ -179,94 +184,306 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     often = vocab.filter(F.col("n") >= max(everything / WORD_SHARE, 1)).orderBy(F.desc("train"), "key").toArrow()  # at most WORD_SHARE rows
     often = {k: often[k].to_numpy() for k in ("key", "train")}
     letters = int((often["train"] >= max(n / ALPHABET_SHARE, 1)).sum()) if n else 0
-    index = {int(k): i + 1 for i, k in enumerate(often["key"][:letters])}
-    sc, grams = docs.sparkSession.sparkContext, []
+    arcs = []
+    for order in range(2, ORDER + 1):  # one after the other, so that what is dealt of one is gone when the next comes
+        arcs.append(durable(count_arcs(docs, order)))
+        release(docs.sparkSession)
+    parts = weights(vocab, arcs, n, v)
+    # Of words and of each order, no more can have such a share than its inverse.
+    hot = parts.filter((F.col("order") > 1) & (F.col("n") >= max(n / GRAM_SHARE, LEAST)))
+    lead = parts.join(F.broadcast(vocab.filter(F.col("n") >= max(everything / WORD_SHARE, 1)).select(F.col("key").alias("k"))), (F.col("key") == F.col("k")) & (F.col("order") == 1)).drop("k")
+    hot = hot.union(lead).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("base", "beyond", "known"))).orderBy("key").toArrow()
+    return vocab, Model(n=n, v=v, key=often["key"], train=often["train"], letters=letters, arcs=arcs, parts=parts, hot=[hot[c].to_numpy() for c in ("key", "base", "beyond", "known")])
+
+
+class Model(dict):
+    """What `score` needs, and on demand the counts of the n-grams that the explicit Automaton has."""
+
+    def __missing__(self, name: str) -> list[dict[tuple[int, ...], int]]:
+        if name != "grams":
+            raise KeyError(name)
+        named, grams = {int(k): (i + 1,) for i, k in enumerate(self["key"][: self["letters"]])}, []
+        for order in range(2, ORDER + 1):
+            some = self["arcs"][order - 2].filter((F.col("n") >= max(self["n"] / GRAM_SHARE, LEAST))).toArrow().to_pylist()  # at most GRAM_SHARE rows
+            named = {r["key"]: (*named[r["ctx"]], named[r["last"]][-1], r["n"]) for r in some if r["ctx"] in named and r["last"] in named}
+            grams.append({g[:-1]: g[-1] for g in named.values()})
+            named = {k: g[:-1] for k, g in named.items()}
+        self[name] = grams
+        return grams
+
+
+def join_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that pairs of shorter ones make: of two words, or of two bigrams that share a word."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(29)).view(np.int64)
+
+
+def pairs_of(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours' places within the same row: (first, second)."""
+    at = np.flatnonzero(rows[1:] == rows[:-1])
+    return at, at + 1
+
+
+def split(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, places) of keys, each bucket's in order."""
+    of = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[by])) + 1
+    return [(int(of[p[0]]), p) for p in np.split(by, cuts) if len(p)]
+
+
+PACKED = "bucket int, tag int, data binary"
+
+
+def packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    b, t, d = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(t, pa.int32()), pa.array(d, pa.binary())], names=["bucket", "tag", "data"])
+
+
+def in_parts(rows: list[tuple[int, int, bytes]], most: int = 8 << 20) -> "list[pa.RecordBatch]":
+    """Batches of packed rows, of some megabytes each."""
+    out, here, size = [], [], 0
+    for r in rows:
+        here.append(r)
+        size += len(r[2])
+        if size > most:
+            out.append(packed(here))
+            here, size = [], 0
+    return out + ([packed(here)] if here else [])
+
+
+def dealt(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tag")
+
+
+def grouped(batches):
+    """(bucket, {tag: [data]}) of dealt rows, bucket after bucket."""
+    now, held = None, {}
+    for batch in batches:
+        for b, t, d in zip(*(c.to_pylist() for c in batch.columns)):
+            if b != now:
+                if held:
+                    yield now, held
+                now, held = b, {}
+            held.setdefault(t, []).append(d)
+    if held:
+        yield now, held
+
+
+def buckets_of(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark) -> None:
+    """Lets Spark delete the shuffled files and checkpoints that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def count_arcs(docs: DataFrame, order: int) -> DataFrame:
+    """(key, ctx, last, n, total): n-grams of this order of the training documents seen at least LEAST times. total: how often their context is extended."""
+    buckets = buckets_of(docs.sparkSession)
+
+    def flush(ids: list[np.ndarray]):
+        keys, rows = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        for _ in range(order - 1):
+            i, j = pairs_of(keys, rows)
+            ctx, last, rows = keys[i], keys[j], rows[i]
+            keys = join_key(ctx, last)
+        _, first, n = np.unique(keys, return_index=True, return_counts=True)
+        first = first[by := np.argsort(ctx[first], kind="stable")]
+        n, out = n[by].astype(np.uint32), []
+        for b, at in split(ctx[first], buckets):
+            some, runs = np.unique(ctx[first[at]], return_counts=True)
+            out.append((b, 0, np.array([len(some), len(at)], np.int64).tobytes() + some.tobytes() + last[first[at]].tobytes() + runs.astype(np.uint32).tobytes() + n[at].tobytes()))
+        return in_parts(out)
+
+    def gather(batches):
+        known, ids, size = Lookup(word_hash), [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not is_held_out(doc):
+                    known.trim()
+                    w = words_of(text)
+                    ids.append(np.array([*map(known.__getitem__, w), END], np.int64))
+                    size += len(w) + 1
+            if size > BUFFER:
+                yield from flush(ids)
+                ids, size = [], 0
+        if size:
+            yield from flush(ids)
+
+    def unpack(data: bytes):
+        k, m = np.frombuffer(data, np.int64, 2)
+        words, rest = np.frombuffer(data, np.int64, k + m, 16), np.frombuffer(data, np.uint32, k + m, 16 + 8 * (k + m))
+        return np.repeat(words[:k], rest[:k]), words[k:], rest[k:].astype(np.int64)
+
+    def summed(batches):
+        for _, held in grouped(batches):
+            ctx, last, n = (np.concatenate(c) for c in zip(*map(unpack, held[0])))
+            by = np.lexsort((last, ctx))
+            ctx, last, n = ctx[by], last[by], n[by]
+            new = np.r_[True, ctx[1:] != ctx[:-1]]
+            total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
+            at = np.flatnonzero(new | np.r_[True, last[1:] != last[:-1]])
+            sums = np.add.reduceat(n, at)
+            at, sums = at[sums >= LEAST], sums[sums >= LEAST]
+            cols = [join_key(ctx[at], last[at]), ctx[at], last[at], sums, total[at]]
+            for lo in range(0, len(at), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=["key", "ctx", "last", "n", "total"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text())
+    return dealt(rows.mapInArrow(gather, PACKED), buckets).mapInArrow(summed, "key long, ctx long, last long, n long, total long")
+
+
+def weights(vocab: DataFrame, arcs: list[DataFrame], n: int, v: int) -> DataFrame:
+    """Durable (order, key, n, base, beyond, known): a key's weights are the sum of its rows. base lacks the words' common denominator."""
+
+    def with_failure(rows: DataFrame) -> DataFrame:
+        """Adds p of the arc and the log of its context's failure arc."""
+        p = F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.1)) / F.col("total")
+        left = lambda c: F.greatest(1 - F.sum(c).over(Window.partitionBy("ctx")), F.lit(1e-12))
+        return rows.withColumn("p", p).withColumn("back", F.log10(left("p") / left("lower")))
+
+    def parts(order: int, rows: DataFrame) -> list[DataFrame]:
+        zero = F.lit(0.0).alias("base")
+        arc = rows.select(F.lit(order).alias("order"), "key", "n", zero, (F.log10("p") - F.log10("lower") - F.col("back")).alias("beyond"), F.lit(0).alias("known"))
+        back = rows.groupBy("ctx").agg(F.first("total").alias("n"), F.first("back").alias("beyond"))
+        return [arc, back.select(F.lit(order - 1).alias("order"), F.col("ctx").alias("key"), "n", zero, "beyond", F.lit(0).alias("known"))]
+
+    word = vocab.filter("train > 0").select(F.col("key").alias("last"), ((F.col("train") + 1) / F.lit(float(n + v + 1))).alias("lower"))
+    out = [vocab.filter("train > 0").select(F.lit(1).alias("order"), "key", "n", F.log10(F.col("train") + 1).alias("base"), F.lit(0.0).alias("beyond"), F.lit(1).alias("known"))]
+    lower = word
     for order in range(2, ORDER + 1):
-        shared = sc.broadcast((index, sorted(grams[-1]) if grams else None))
-
-        def make_grams(shared=shared):
-            index, shorter = shared.value
-            letter = Lookup(lambda w: index.get(word_hash(w), 0))
-            known = None if shorter is None else np.array([_pack(g) for g in shorter], np.int64).reshape(-1)
-
-            def ids(text):
-                letter.trim()
-                w = words_of(text)
-                a = np.array([*map(letter.__getitem__, w), index.get(END, 0)], np.int64)
-                if len(a) < order:
-                    return a[:0]
-                cols = [a[k : len(a) - order + 1 + k] for k in range(order)]
-                ok = np.logical_and.reduce([c > 0 for c in cols])
-                packed = np.zeros(len(ok), np.int64)
-                for c in cols:
-                    packed = packed << BITS | c
-                if known is not None:  # both shorter n-grams within must have been kept
-                    for part in (packed >> BITS, packed & (1 << BITS * (order - 1)) - 1):
-                        at = np.searchsorted(known, part)
-                        ok &= (known[np.minimum(at, len(known) - 1)] == part) if len(known) else False
-                return packed[ok]
-
-            return ids
-
-        kept = _counted(docs, make_grams, True).filter(F.col("train") >= max(n / GRAM_SHARE, LEAST)).toArrow()  # at most GRAM_SHARE rows
-        grams.append({_unpack(k, order): c for k, c in zip(kept["key"].to_pylist(), kept["train"].to_pylist())})
-    return vocab, {"n": n, "v": v, "key": often["key"], "train": often["train"], "letters": letters, "grams": grams}
-
-
-def _pack(gram: tuple[int, ...]) -> int:
-    out = 0
-    for w in gram:
-        out = out << BITS | w
+        rows = durable(with_failure(arcs[order - 2].join(lower, "last")))
+        out += parts(order, rows)
+        lower = rows.select(F.col("key").alias("last"), F.col("p").alias("lower"))
+        release(vocab.sparkSession)
+    out = durable(reduce(DataFrame.union, out))
+    del rows, lower
+    release(vocab.sparkSession)
     return out
 
 
-def _unpack(key: int, order: int) -> tuple[int, ...]:
-    return tuple(key >> BITS * k & (1 << BITS) - 1 for k in range(order - 1, -1, -1))
+ROW = np.dtype([("row", "<i8"), ("known", "<i8"), ("base", "<f8"), ("beyond", "<f8")])
+DOC = np.dtype([*ROW.descr, ("doc", "<i8"), ("n", "<i8"), ("has_id", "?"), ("held", "?")])
+PART = np.dtype([("key", "<i8"), ("base", "<f8"), ("beyond", "<f8"), ("known", "<i4")])
 
 
-def score(docs: DataFrame, vocab: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    n, v = model["n"], model["v"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, vocab: DataFrame | None, model: dict) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row. The weights hold what is needed of `vocab`."""
+    n, v, parts = model["n"], model["v"], model["parts"]
+    denominator = math.log10(n + v + 1)
+    spark = docs.sparkSession
+    buckets, shared = buckets_of(spark), spark.sparkContext.broadcast(model["hot"])
 
-    def make():
-        m = shared.value
-        index = {int(k): i for i, k in enumerate(m["key"])}
-        place = Lookup(lambda w: index.get(word_hash(w), -1))
-        train = np.append(m["train"], 0)  # the last for words that aren't there
-        base = np.log10((train + 1) / (n + v + 1))
-        base[-1] = 0
-        auto = Automaton(m["grams"], m["train"][: m["letters"]], n, v)
-        letter = np.append(np.where(np.arange(len(m["key"])) < m["letters"], np.arange(len(m["key"])) + 1, 0), 0)
-        first, rows = TaskContext.get().partitionId() << 33, [0]
+    def pack_parts(batches):
+        held, size = [], 0
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                place.trim()
-                w = words_of(text)
-                at = np.array([*map(place.__getitem__, w), index.get(END, -1)], np.int64)
-                rare = [word_hash(w[i]) if i < len(w) else END for i in np.flatnonzero(at < 0).tolist()]
-                row = is_held_out(doc), len(at), int((train[at] > 0).sum()), float(base[at].sum()), auto.traverse(letter[at].tolist()), rare
-                for c, x in zip(cols, row):
-                    c.append(x)
-            keys = np.arange(first + rows[0], first + rows[0] + batch.num_rows)
-            rows[0] += batch.num_rows
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "beyond", "rare"])
-
-        return run
-
-    each = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text()), make, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, beyond double, rare array<long>")
-    each = durable(each)  # rows are numbered here, once
-    rare = each.select("row", F.explode("rare").alias("key")).join(vocab.select("key", "train"), "key", "left")
-    sums = rare.groupBy("row").agg(F.sum(F.log10((F.coalesce("train", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("more"), F.count_if(F.col("train") > 0).alias("also"))
-    full = each.drop("rare").join(sums, "row", "left")
-    base = F.col("base") + F.coalesce("more", F.lit(0.0))
-    return full.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("beyond")).alias("score")
-    )
+        def out():
+            rows = np.concatenate(held)
+            return in_parts([(b, 0, rows[at].tobytes()) for b, at in split(rows["key"].copy(), buckets)])
+
+        for batch in batches:
+            rows = np.empty(batch.num_rows, PART)
+            for name, c in zip(batch.schema.names, batch.columns):
+                rows[name] = c.to_numpy(zero_copy_only=False)
+            held.append(rows)
+            size += len(rows)
+            if size > BUFFER:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    def gather(batches):
+        """Tag 1: keys without a weight here, and the rows that have them; tag 2: what is known of the rows, as it goes to their own bucket."""
+        hot, base, beyond, known = shared.value
+        of, first, done = Lookup(word_hash), TaskContext.get().partitionId() << 33, 0
+        keys_held, rows_held, size = [], [], 0
+
+        def out():
+            keys, rows = np.concatenate(keys_held), np.concatenate(rows_held)
+            return in_parts([(b, 1, np.array([first, len(at)], np.int64).tobytes() + keys[at].tobytes() + rows[at].astype(np.uint32).tobytes()) for b, at in split(keys, buckets)])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = []
+            for text in batch.column(1).to_pylist():
+                of.trim()
+                ids.append(np.array([*map(of.__getitem__, words_of(text)), END], np.int64))
+            doc = batch.column(0)
+            info = np.zeros(len(ids), DOC)
+            info["row"] = first + done + np.arange(len(ids))
+            info["doc"], info["has_id"] = doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False)
+            info["held"] = [is_held_out(d) for d in doc.to_pylist()]
+            info["n"] = [len(i) for i in ids]
+            keys, rows = np.concatenate(ids), np.repeat(np.arange(len(ids)), info["n"])
+            for order in range(1, ORDER + 1):
+                if order > 1:
+                    i, j = pairs_of(keys, rows)
+                    keys, rows = join_key(keys[i], keys[j]), rows[i]
+                at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
+                hit = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
+                for name, w in (("base", base), ("beyond", beyond), ("known", known)):
+                    if len(hot):
+                        info[name] += np.bincount(rows[hit], w[at[hit]], len(ids)).astype(info[name].dtype)
+                keys_held.append(keys[~hit])
+                rows_held.append(rows[~hit] + done)
+                size += len(keys_held[-1])
+            info["base"] -= info["n"] * denominator
+            done += len(ids)
+            yield from in_parts([(b, 2, info[at].tobytes()) for b, at in split(info["row"].copy(), buckets)])
+            if size > 2 * BUFFER:
+                yield from out()
+                keys_held, rows_held, size = [], [], 0
+        if size:
+            yield from out()
+
+    def meet(batches):
+        for bucket, held in grouped(batches):
+            yield from in_parts([(bucket, 0, d) for d in held.get(2, ())])
+            if 0 not in held or 1 not in held:
+                continue
+            some = np.frombuffer(b"".join(held[0]), PART)
+            names, where = np.unique(some["key"], return_inverse=True)
+            w = {c: np.bincount(where, some[c], len(names)) for c in ("base", "beyond", "known")}
+            found: list[tuple] = []
+            for data in held[1]:
+                first, m = np.frombuffer(data, np.int64, 2)
+                keys, rows = np.frombuffer(data, np.int64, m, 16), np.frombuffer(data, np.uint32, m, 16 + 8 * m)
+                at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+                hit = names[at] == keys
+                found.append((first + rows[hit].astype(np.int64), at[hit]))
+            rows, at = (np.concatenate(c) for c in zip(*found))
+            different, where = np.unique(rows, return_inverse=True)
+            out = np.zeros(len(different), ROW)
+            out["row"] = different
+            for c in w:
+                out[c] = np.bincount(where, w[c][at], len(different))
+            yield from in_parts([(b, 1, out[p].tobytes()) for b, p in split(different, buckets)])
+
+    def finish(batches):
+        for _, held in grouped(batches):
+            docs = np.sort(np.frombuffer(b"".join(held[0]), DOC), order="row")
+            more = np.frombuffer(b"".join(held.get(1, ())), ROW)
+            at = np.searchsorted(docs["row"], more["row"])
+            sums = {c: docs[c] + np.bincount(at, more[c], len(docs)) for c in ("base", "beyond", "known")}
+            ids = pa.array(docs["doc"], mask=~docs["has_id"])
+            cols = [ids, docs["held"], docs["n"], sums["known"].astype(np.int64), np.full(len(docs), n, np.int64), sums["base"], sums["base"] + sums["beyond"]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text()).mapInArrow(gather, PACKED)
+    all_parts = parts.select("key", "base", "beyond", "known").mapInArrow(pack_parts, PACKED)
+    met = dealt(each.union(all_parts), buckets).mapInArrow(meet, PACKED)
+    return dealt(met, buckets).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    return score(docs, *fit(docs))
+    vocab, model = fit(docs)
+    del vocab, model["arcs"]  # scoring needs their weights alone
+    release(docs.sparkSession)
+    return score(docs, None, model)
