@@ -62,3 +62,19 @@ def test_whole_table_against_brute_force(spark):
     texts = {r.doc_id: " " + words(r.text) + " " for r in docs.collect()}
     want = {(i, r.item_id) for r in items.collect() for i, t in texts.items() if " " + words(r.text) + " " in t}
     assert want and got == want
+
+
+def test_a_copy_counts_beside_others_of_other_values(spark, make_docs):
+    item = "If Alice Baker walks 5 km in 40 minutes then how far does she walk in 70 minutes at the same pace?"
+    other = "If {} walks {} km in {} minutes then how far does she walk in {} minutes at the same pace?"
+    others = [other.format(n, 2 * i + 3, 10 * i + 11, 20 * i + 13) for i, n in enumerate(["Carla Dean", "Emma Frost", "Gina Hall", "Ida Jones"])]
+    torn = item.replace("then how", "and then, so they say, how")
+    docs = make_docs([(1, "\n".join([*others, item])), (2, "\n".join([others[0], torn, *others[1:]])), (3, item), (3, others[0]), (3, others[1]), (3, others[2]), (None, item), *((None, o) for o in others)])
+    got = found(docs, bench(spark, [(1, item)]))
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (None, 1)} and all(r.literal for r in got.values())
+
+
+def test_an_item_that_repeats_a_window_is_found(spark, make_docs):
+    item = "the tank holds 10 litres of the water and the tank holds 20 litres of the water and the tank holds 30 litres of the water"
+    got = found(make_docs([item, "the tank holds 1 litres of the oil"]), bench(spark, [(1, item)]))
+    assert set(got) == {(0, 1)} and got[0, 1].literal

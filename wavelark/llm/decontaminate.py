@@ -6,13 +6,16 @@ words are lower-cased, without the marks around them. Windows of WINDOW tokens a
 hash-joined with the benchmark's. A document holds an item if its windows cover at least COVER of
 the item's different windows, and if the slots agree: an item's value must meet one value in the
 document (its own, or another's in a re-parameterised copy), so that pairs of values number no more
-than 1 / CONSISTENT of the values. Items shorter than a window are one window as long as they are.
+than 1 / CONSISTENT of the values. They may agree over the whole document or over one occurrence
+that covers as much: the windows that lie in one row as far apart as in the item, exactly or but for
+some words (within half an item). So other copies beside one don't matter. Items shorter than a window are one window as long as they are.
 Windows of placeholders alone count for nothing.
 
 Index of the benchmark: if its different hashes number at most FILTER_MOST, they are broadcast as a
 sorted array that drops other windows before the join (8 bytes each); beyond that all windows are
 joined. Defined cases: null or empty texts hold nothing; an item without a window is never found;
-rows of the same doc_id count as one document, and a null doc_id as one more; repeated items are
+rows of the same doc_id count as one document, and a null doc_id as one more, but an occurrence lies
+in one row; repeated items are
 found each under its own id; an empty table gives no rows; long texts are read whole, in one pass.
 Extra columns don't matter.
 """
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,11 +115,11 @@ def window_hashes(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return h.view(np.int64), literal >= min(LITERALS, size)
 
 
-SCHEMA = "id long, at int, hash long, keys array<string>, vals array<string>"
+SCHEMA = "id long, row long, at int, hash long, keys array<string>, vals array<string>"
 
 
 def windows(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, whole: bool = False) -> DataFrame:
-    """Windows of (id, text) as SCHEMA: `vals` are its slot values in order, `keys` the slot kinds.
+    """Windows of (id, text) as SCHEMA: `row` numbers the rows, `vals` are its slot values in order, `keys` the slot kinds.
 
     `sizes`: lengths of windows. `known`: sorted hashes to keep, or all. `whole`: texts shorter than
     the first size are one window of their length instead.
@@ -138,15 +142,18 @@ def windows(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, w
 
     def make():
         canon = Canon()
+        row = TaskContext.get().partitionId() << 33
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            cols: list[list] = [[], [], [], [], []]
+            nonlocal row
+            cols: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for at, h, size, vals in found(canon, text or ""):
-                    for c, v in zip(cols, (key, at, h, [str(size)], vals)):
+                    for c, v in zip(cols, (key, row, at, h, [str(size)], vals)):
                         c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "at", "hash", "keys", "vals"])
+                row += 1
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "row", "at", "hash", "keys", "vals"])
 
         return run
 
@@ -165,16 +172,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = None
     if hashes.count() <= FILTER_MOST:
         known = np.sort(hashes.toPandas()["hash"].to_numpy(np.int64))
-    found = windows(docs.select(F.col("doc_id").cast("long").alias("id"), doc_text()), sizes or (WINDOW,), known)
+    found = durable(windows(docs.select(F.col("doc_id").cast("long").alias("id"), doc_text()), sizes or (WINDOW,), known))
     size_of = index.groupBy("id").agg(F.countDistinct("hash").alias("of"))
-    pairs = durable(found.select(F.col("id").alias("doc_id"), "hash", F.col("vals").alias("doc_vals")).distinct().join(index.select(F.col("id").alias("item_id"), "hash", F.col("vals").alias("item_vals")), "hash"))
-    cover = pairs.groupBy("doc_id", "item_id").agg(F.countDistinct("hash").alias("hits")).join(size_of, F.col("item_id") == size_of.id)
-    cover = cover.filter(F.col("hits") >= COVER * F.col("of")).select("doc_id", "item_id", (F.col("hits") / F.col("of")).alias("coverage"))
-    slots = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip("item_vals", "doc_vals")).alias("s")).select("doc_id", "item_id", F.col("s.item_vals").alias("i"), F.col("s.doc_vals").alias("d")).distinct()
-    slots = slots.groupBy("doc_id", "item_id").agg((F.countDistinct("i") / F.count(F.lit(1))).alias("consistency"), (F.count_if(F.col("i") == F.col("d")) >= F.countDistinct("i")).alias("literal"))
-    both = cover.alias("c").join(slots.alias("s"), F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("c.item_id") == F.col("s.item_id")), "left")
-    out = both.select("c.doc_id", "c.item_id", "coverage", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("literal", F.lit(True)).alias("literal"))
-    return out.filter(F.col("consistency") >= CONSISTENT)
+    hits = found.select(F.col("id").alias("doc_id"), "hash").distinct().join(index.select(F.col("id").alias("item_id"), "hash").distinct(), "hash")
+    cover = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits")).join(size_of, F.col("item_id") == size_of.id)
+    cover = durable(cover.filter(F.col("hits") >= COVER * F.col("of")).select("doc_id", "item_id", "of", (F.col("hits") / F.col("of")).alias("coverage")))
+    met = found.select("id", "row", F.col("at").alias("doc_at"), "hash", F.col("vals").alias("doc_vals")).join(index.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", F.col("vals").alias("item_vals")), "hash")
+    met = met.join(cover, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("item") == F.col("item_id")))
+    # Occurrences: all of the document, a row's windows of one shift, and those of shifts close together, in two grids.
+    shift, wide = F.col("doc_at") - F.col("item_at"), F.greatest(F.col("of") / 2, F.lit(2.0))
+    of_row = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col("row").alias("row"), c.cast("long").alias("shift"))
+    groups = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("shift")), of_row(1, shift), of_row(2, F.floor(shift / wide)), of_row(3, F.floor(shift / wide + 0.5)))
+    met = durable(met.select("doc_id", "item_id", "of", "hash", "item_vals", "doc_vals", F.explode(groups).alias("where")))
+    by = ["doc_id", "item_id", "where"]
+    whole = met.groupBy(*by, "of").agg(F.countDistinct("hash").alias("hits")).filter(F.col("hits") >= COVER * F.col("of"))
+    slots = met.select(*by, F.explode(F.arrays_zip("item_vals", "doc_vals")).alias("s")).select(*by, F.col("s.item_vals").alias("i"), F.col("s.doc_vals").alias("d")).distinct()
+    slots = slots.groupBy(*by).agg((F.countDistinct("i") / F.count(F.lit(1))).alias("consistency"), (F.count_if(F.col("i") == F.col("d")) >= F.countDistinct("i")).alias("literal"))
+    both = whole.alias("w").join(slots.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.item_id") == F.col("s.item_id")) & (F.col("w.where") == F.col("s.where")), "left")
+    both = both.select("w.doc_id", "w.item_id", "w.where", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("literal", F.lit(True)).alias("literal"))
+    held = both.filter((F.col("consistency") >= CONSISTENT) | F.col("literal") & (F.col("where.kind") > 0)).groupBy("doc_id", "item_id").agg(F.max("consistency").alias("consistency"), F.max("literal").alias("literal"))
+    out = cover.alias("c").join(held.alias("h"), F.col("c.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("c.item_id") == F.col("h.item_id")))
+    return out.select("c.doc_id", "c.item_id", "coverage", "consistency", "literal")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
