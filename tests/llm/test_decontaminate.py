@@ -78,3 +78,10 @@ def test_an_item_that_repeats_a_window_is_found(spark, make_docs):
     item = "the tank holds 10 litres of the water and the tank holds 20 litres of the water and the tank holds 30 litres of the water"
     got = found(make_docs([item, "the tank holds 1 litres of the oil"]), bench(spark, [(1, item)]))
     assert set(got) == {(0, 1)} and got[0, 1].literal
+
+
+def test_items_dense_in_numbers_and_names_are_found(spark, make_docs):
+    items = [(1, "Solve 3x + 5 = 20"), (2, "What is 12 + 45 * 3?"), (3, "12 + 45 * 3 - 7 / 9 = 80"), (4, "7 km 8")]
+    docs = make_docs([*(f"Before that. {t} And so on." for _, t in items), "Before that. 13 + 46 * 4 - 8 / 10 = 81 And so on.", "9 km 8"])
+    got = found(docs, bench(spark, items))
+    assert set(got) == {(0, 1), (1, 2), (2, 3), (3, 4)} and all(r.literal for r in got.values())

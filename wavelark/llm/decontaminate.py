@@ -9,7 +9,8 @@ document (its own, or another's in a re-parameterised copy), so that pairs of va
 than 1 / CONSISTENT of the values. They may agree over the whole document or over one occurrence
 that covers as much: the windows that lie in one row as far apart as in the item, exactly or but for
 some words (within half an item). So other copies beside one don't matter. Items shorter than a window are one window as long as they are.
-Windows of placeholders alone count for nothing.
+Windows of placeholders alone count for nothing, but where an item has no others, they are hashed with
+their values, so that verbatim copies are found.
 
 Index of the benchmark: if its different hashes number at most FILTER_MOST, they are broadcast as a
 sorted array that drops other windows before the join (8 bytes each); beyond that all windows are
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable, map_arrow
 
 WINDOW, COVER, CONSISTENT = 5, 0.5, 0.5
-LITERALS = 3
+#: Tokens of a window that aren't placeholders, at least.
+LITERALS = 1
 FILTER_MOST = 4_000_000
 FEW_IDS = 1_000_000
 NUM, NAME, UNIT = 1, 2, 3
@@ -115,6 +117,14 @@ def window_hashes(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
     return h.view(np.int64), literal >= min(LITERALS, size)
 
 
+def with_values(tokens: np.ndarray, slots: list[tuple[int, str]]) -> np.ndarray:
+    """The tokens with slots' values in place of placeholders."""
+    out = tokens.copy()
+    for at, value in slots:
+        out[at] = 1 << 40 | zlib.crc32(value.lower().encode("utf-8", "surrogatepass")) << 2 | 4
+    return out
+
+
 SCHEMA = "id long, row long, at int, hash long, keys array<string>, vals array<string>"
 
 
@@ -122,7 +132,8 @@ def windows(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, w
     """Windows of (id, text) as SCHEMA: `row` numbers the rows, `vals` are its slot values in order, `keys` the slot kinds.
 
     `sizes`: lengths of windows. `known`: sorted hashes to keep, or all. `whole`: texts shorter than
-    the first size are one window of their length instead.
+    the first size are one window of their length instead. Windows of placeholders alone have their
+    values hashed too; with `whole` only where a text has no others, else they are left out.
     """
     shared = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
@@ -131,6 +142,9 @@ def windows(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, w
         where = [s[0] for s in slots]
         for size in sizes if not (whole and 0 < len(tokens) < sizes[0]) else (len(tokens),):
             h, ok = window_hashes(tokens, size)
+            if not ok.all() and not (whole and ok.any()):
+                h = np.where(ok, h, window_hashes(with_values(tokens, slots), size)[0])
+                ok[:] = True
             at = np.flatnonzero(ok)
             if shared is not None and len(at):
                 keep = np.searchsorted(shared.value, h[at])
