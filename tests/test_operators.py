@@ -266,3 +266,13 @@ def test_plans_have_no_cross_joins(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = catalog.QUERIES["region_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(event_id,250)" in plan
+
+
+def test_queries_without_twins_take_all_rows(spark):
+    from wavelark import catalog
+
+    d = "/root/testdata/sf0.001"
+    run, parts = catalog.QUERIES, spark.read.parquet(f"{d}/part.parquet").count()
+    assert run["tone_params"](spark, d).select("basename").distinct().count() == run["effect_plan"](spark, d).select("basename").distinct().count() == parts > 50
+    runs, events = run["composition_render"](spark, d).collect(), spark.read.parquet(f"{d}/events.parquet")
+    assert len(runs) == len({r.run_id for r in runs}) == events.selectExpr("floor(event_id / 1000) as k").distinct().count()

@@ -367,10 +367,10 @@ def declick_concat(spark, d):
 
 @query()
 def composition_render(spark, d):
-    """Ten clips of the signal, composed with boundary cuts: a fold over the running mix, which SQL can't say."""
-    s = T.signal(spark, d).filter("sample_idx < 1000")
-    clips = s.groupBy((F.floor(F.col("sample_idx") / 100)).alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
-    items = clips.select(F.lit("run").alias("run_id"), "position", "samples", (F.col("position") % 2 == 0).alias("crossfade_into_next"))
+    """The whole signal in runs of ten clips, each composed with boundary cuts: a fold over the running mix, which SQL can't say."""
+    clip = F.floor(F.col("sample_idx") / 100)
+    clips = T.signal(spark, d).groupBy(F.concat(F.lit("run"), F.floor(clip / 10).cast("string")).alias("run_id"), (clip % 10).alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
+    items = clips.select("run_id", "position", "samples", (F.col("position") % 2 == 0).alias("crossfade_into_next"))
     return timeline.compose(items, RATE).select("run_id", F.round("duration", 6).alias("duration"), F.size("samples").alias("n_samples"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
@@ -390,7 +390,7 @@ def gating_envelope(spark, d):
 
 def _requests(spark, d) -> DataFrame:
     tones = spark.createDataFrame([(t,) for t in effects.TONES], "tone string")
-    clips = T.read(spark, d, "part").filter("p_partkey <= 50").select(F.concat(F.lit("clip_"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("basename"), (F.col("p_size") * 3200 + 96_000).cast("long").alias("n_samples"))
+    clips = T.read(spark, d, "part").select(F.concat(F.lit("clip_"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("basename"), (F.col("p_size") * 3200 + 96_000).cast("long").alias("n_samples"))
     return clips.join(F.broadcast(tones)).withColumn("version", F.lit(1))
 
 
