@@ -2,30 +2,79 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from llmfixtures import ODD
 
 from wavelark.llm import lm
 
 
-def plain(rows):
-    """N, V, and by row: held out, tokens, known tokens and base score."""
-    texts = [("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split(), zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2) for d, t in rows]
-    count = Counter(w for ws, held in texts if not held for w in [*ws, "END"])
-    n, v = sum(count.values()), len(count)
-    return n, [(held, len(ws) + 1, sum(count[w] > 0 for w in [*ws, "END"]), sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*ws, "END"])) for ws, held in texts]
+def tokens(t):
+    return [*"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split(), "END"]
 
 
-def check(got, rows):
-    n, want = plain(rows)
-    key = lambda x: (x[0] is None, x[0] or 0, x[2])
-    a = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score) for r in got), key=key)
-    b = sorted(((d, *w) for (d, _), w in zip(rows, want)), key=key)
-    assert [x[:4] for x in a] == [x[:4] for x in b] and all(r.train_tokens == n for r in got)
+def held_out(d):
+    return zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+
+
+class Automaton:
+    """The model by its definition, as states, arcs and failure arcs in dictionaries."""
+
+    def __init__(self, rows, order=lm.ORDER):
+        train = [tokens(t) for d, t in rows if not held_out(d)]
+        self.count = Counter(tuple(t[j : j + k]) for t in train for k in range(1, order + 1) for j in range(len(t) - k + 1))
+        self.n, self.v = sum(c for g, c in self.count.items() if len(g) == 1), sum(len(g) == 1 for g in self.count)
+        self.arcs = {}
+        for g, c in self.count.items():
+            if len(g) > 1 and c >= lm.LEAST:
+                self.arcs.setdefault(g[:-1], {})[g[-1]] = c
+        self.order = order
+
+    def root(self, w):
+        return (self.count[w,] + 1) / (self.n + self.v + 1)
+
+    def failure(self, state):
+        return 1 - sum(n - lm.DISCOUNT for n in self.arcs[state].values()) / self.count[state]
+
+    def weight(self, state, w):
+        if not state:
+            return self.root(w)
+        lower = self.weight(state[1:], w)
+        if state not in self.arcs:
+            return lower
+        n = self.arcs[state].get(w, 0)
+        return (n - lm.DISCOUNT if n else 0) / self.count[state] + self.failure(state) * lower
+
+    def score(self, text):
+        state, total = (), 0.0
+        for w in tokens(text):
+            total += math.log10(self.weight(state, w))
+            state = (*state, w)[1 - self.order :]
+            while len(state) > 1 and self.count[state] < lm.LEAST:
+                state = state[1:]
+        return total
+
+    def base(self, text):
+        return sum(math.log10(self.root(w)) for w in tokens(text))
+
+    def known(self, text):
+        return sum(self.count[w,] > 0 for w in tokens(text))
+
+
+def check(got, rows, order=lm.ORDER):
+    auto = Automaton(rows, order)
+    key = lambda x: (x[0] is None, x[0] or 0, x[2], x[4])
+    a = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=key)
+    b = sorted(((d, held_out(d), len(tokens(t)), auto.known(t), auto.base(t), auto.score(t)) for d, t in rows), key=key)
+    assert [x[:4] for x in a] == [x[:4] for x in b] and all(r.train_tokens == auto.n for r in got)
     assert [x[4] for x in a] == pytest.approx([x[4] for x in b], rel=1e-9)
+    assert [x[5] for x in a] == pytest.approx([x[5] for x in b], rel=1e-9)
 
 
-def test_whole_table(spark):
+@pytest.mark.parametrize("hot,buffer", [(1 << 10, 1_500_000), (8, 20_000)])
+def test_whole_table(spark, monkeypatch, hot, buffer):
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "BUFFER", buffer)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = lm.score_documents(docs).collect()
@@ -34,79 +83,39 @@ def test_whole_table(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_rare_words_are_joined(make_docs, monkeypatch):
-    monkeypatch.setattr(lm, "WORD_SHARE", 20)
-    monkeypatch.setattr(lm, "ALPHABET_SHARE", 10)
+@pytest.mark.parametrize("order", [2, 3])
+def test_odd_rows(make_docs, monkeypatch, order):
+    monkeypatch.setattr(lm, "HOT", 20)
+    monkeypatch.setattr(lm, "BUFFER", 100)
     texts = [*ODD, *(f"the word{i} of the {'x' * (i % 7)} Word{i // 2}" for i in range(60))]
-    docs = make_docs([*enumerate(texts), (5, "a b"), (5, "a b"), (None, "the end")])
-    check(lm.score_documents(docs).collect(), [*enumerate(texts), (5, "a b"), (5, "a b"), (None, "the end")])
-    assert lm.score_documents(docs.limit(0)).count() == 0
-
-
-def test_states_sum_to_one_and_the_traversal_follows_them(make_docs, monkeypatch):
-    monkeypatch.setattr(lm, "GRAM_SHARE", 1 << 30)
-    texts = [" ".join("abcde"[(i * j + j // 3) % 5] for j in range(3 + i % 11)) for i in range(120)]
-    docs = make_docs(texts)
-    vocab, m = lm.fit(docs)
-    n, v, k = m["n"], m["v"], m["letters"]
-    assert k == v == 6 and m["grams"][0] and m["grams"][1]
-    auto = lm.Automaton(m["grams"], m["train"][:k], n, v)
-    root = {w: (c + 1) / (n + v + 1) for w, c in enumerate(m["train"][:k].tolist(), 1)}
-    assert sum(root.values()) + 1 / (n + v + 1) == pytest.approx(1)
-    for state in auto.name:
-        other = 10 ** auto.step(state, 0)[0] / (n + v + 1)  # a word never seen
-        assert sum(10 ** auto.step(state, w)[0] * root[w] for w in root) + other == pytest.approx(1, abs=1e-6)
-    # by definition, n-gram after n-gram
-    count = [Counter(), *m["grams"]]
-
-    def prob(h, w):
-        if not h:
-            return root[w]
-        total = root and (m["train"][h[0] - 1] if len(h) == 1 else m["grams"][0].get(h))
-        seen = {g[-1]: c for g, c in count[len(h)].items() if g[:-1] == h}
-        if not seen:
-            return prob(h[1:], w)
-        if w in seen:
-            return (seen[w] - lm.DISCOUNT) / total
-        left = 1 - sum((c - lm.DISCOUNT) / total for c in seen.values())
-        return left / (1 - sum(prob(h[1:], x) for x in seen)) * prob(h[1:], w)
-
-    letter = {int(key): i + 1 for i, key in enumerate(m["key"])}
-    got = {r.doc_id: r for r in lm.score(docs, vocab, m).collect()}
-    for i, t in enumerate(texts[:40]):
-        ids = [*(letter[lm.word_hash(w.encode())] for w in t.split()), letter[lm.END]]
-        want = sum(math.log10(prob(tuple(ids[max(0, j - 2) : j]), w)) for j, w in enumerate(ids))
-        assert got[i].score == pytest.approx(want, rel=1e-9)
+    rows = [*enumerate(texts), (5, "a b"), (5, "a b"), (None, "the end"), (None, None)]
+    check(lm.score_documents(make_docs(rows), order).collect(), rows, order)
+    assert lm.score_documents(make_docs(rows).limit(0)).count() == 0
+
+
+def test_nothing_to_learn_from(make_docs):
+    rows = [(d, "a b") for d in range(200) if lm.is_held_out(d)]
+    assert all((r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0, 0) for r in lm.score_documents(make_docs(rows)).collect())
+
+
+def test_states_sum_to_one():
+    rows = [(i, " ".join("abcde"[(i * j + j // 3) % 5] for j in range(3 + i % 11))) for i in range(120)]
+    auto = Automaton(rows)
+    assert any(len(s) == 2 for s in auto.arcs)
+    words = [g[0] for g in auto.count if len(g) == 1]
+    for state in [(), *auto.arcs]:
+        assert sum(auto.weight(state, w) for w in [*words, b"never"]) == pytest.approx(1)
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 4])
 def test_all_repeated_ngrams_count_whatever_their_share(make_docs, monkeypatch, hot):
-    monkeypatch.setattr(lm, "ALPHABET_SHARE", 4)
-    monkeypatch.setattr(lm, "GRAM_SHARE", hot)
-    monkeypatch.setattr(lm, "WORD_SHARE", 64 if hot == 4 else 1 << 18)
-    texts = [f"w{i % 50} x{i % 50} y{i % 50} and w{(i * 7) % 50} x{i % 9}" for i in range(300)]
-    rows = list(enumerate(texts))
-    got = {r.doc_id: r for r in lm.score_documents(make_docs(rows)).collect()}
-    train = [[*t.split(), "END"] for i, t in rows if not lm.is_held_out(i)]
-    count = Counter(tuple(t[j : j + k]) for t in train for k in (1, 2, 3) for j in range(len(t) - k + 1))
-    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
-    after = {}
-    for g, c in count.items():
-        if len(g) > 1 and c >= lm.LEAST:
-            after.setdefault(g[:-1], {})[g[-1]] = c
-
-    def prob(h, w):
-        if not h:
-            return (count[w,] + 1) / (n + v + 1)
-        seen = after.get(h)
-        if not seen:
-            return prob(h[1:], w)
-        if w in seen:
-            return (seen[w] - lm.DISCOUNT) / count[h]
-        left = 1 - sum((c - lm.DISCOUNT) / count[h] for c in seen.values())
-        return left / (1 - sum(prob(h[1:], x) for x in seen)) * prob(h[1:], w)
-
-    for i, t in rows:
-        ids = [*t.split(), "END"]
-        want = sum(math.log10(prob(tuple(ids[max(0, j - 2) : j]), w)) for j, w in enumerate(ids))
-        assert got[i].score == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(lm, "HOT", hot)
+    rows = [(i, f"w{i % 50} x{i % 50} y{i % 50} and w{(i * 7) % 50} x{i % 9}") for i in range(300)]
+    check(lm.score_documents(make_docs(rows)).collect(), rows)
+
+
+def test_arrays_come_back():
+    cols = [np.arange(5), np.array([1 << 40], np.int64), np.zeros(0, np.int64), np.array([True, False]), np.array([0.5])]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(cols, lm.unpacked(lm.packed(*cols))))
+    h = np.random.default_rng(0).integers(0, 1 << 63, 100, np.uint64)
+    assert (lm.long(lm.short(h)) == h >> np.uint64(16) << np.uint64(16)).all()

@@ -1,24 +1,28 @@
-"""Language-model scores from a weighted backoff automaton.
-
-Counting: words of the training documents are counted exactly, all of them, by a 64-bit hash, and so
-are their two- and three-word n-grams. All n-grams seen at least LEAST times are kept, whatever the
-size of the corpus; they are a table of arcs, dealt by hash, that grows with the input.
-
-Model: the root state gives any word its add-one unigram probability. Every word or n-gram that kept
-ones extend is a state; its arcs carry discounted probabilities, and its failure arc, to the state of
-its longest suffix, carries the mass that the arcs leave over. Each state sums to one over words.
-
-Scoring: reading a word adds the failure arcs on the way and the arc taken. A state's failure arc is
-passed unless one of its own arcs is taken, so an arc's weight is counted relative to it, and each
-n-gram has one weight wherever it occurs: a text's score is the sum over its words and n-grams. The
-hottest ones (a share of 1/2**18 of words, 1/2**20 of n-grams, which bounds their number) are
-looked up in place; all others are dealt by hash to where their weights are and summed by text.
-Both go in packed arrays, one a task and bucket.
+"""Language-model scores from a weighted backoff automaton that lies in shards.
+
+Model: the root state gives any word its add-one unigram probability. Every word, and every n-gram
+seen at least LEAST times in training documents, is a state. A state's arcs are the words that
+followed it at least LEAST times; their weights are interpolated by absolute discounting: with c
+the state's count, n the arc's, S and T the sum and number of its arcs, an arc weighs
+(n - DISCOUNT) / c + rest * lower, where rest = 1 - (S - DISCOUNT * T) / c is the weight of the
+failure arc, to the state of the longest proper suffix, and lower what that state gives the word.
+Each state sums to one over words, and an arc needs nothing from other states but `lower`. All words
+and all such n-grams are kept, at every size of corpus, in shards dealt by the state's hash.
+
+Counting and scoring are one traversal, in chunks of about BUFFER tokens: a chunk asks the shards
+about its different words and the words that follow them (their counts come with the question), gets
+the counts over the corpus back in its own order, and walks its texts from left to right. Where the
+walk is in a state of two words or more it asks once more, about n-grams whose parts were all kept,
+since no other can be seen LEAST times. So one exchange carries different n-grams of a chunk, no
+occurrences, and one pass over the texts is enough.
+
+Skew: contexts that hold a share of 1/HOT of a sample of the tokens are dealt by the following word,
+and their sums put together from the shards; that changes where things are counted, nothing else.
 
 Defined cases: null or empty text is the end token alone. A null doc_id counts as an empty one when
-held-out texts are chosen. Rows that repeat are scored each. With nothing to learn from, every
-token has probability one (log 0): N and V are 0. An empty table gives no rows. Extra columns are
-ignored; long texts are read whole, and no list but one text's words is held.
+held-out texts are chosen. Rows that repeat are scored each. With nothing to learn from, N and V are
+0 and every token has probability one. An empty table gives no rows. Extra columns are ignored; long
+texts are read whole, and no list but one chunk's words is held.
 """
 
 from __future__ import annotations
@@ -26,28 +30,29 @@ from __future__ import annotations
 import gc
 import math
 import zlib
-from functools import reduce
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_text, durable
 
-ORDER, DISCOUNT = 3, 0.5
-#: ALPHABET_SHARE: words of the explicit Automaton. GRAM_SHARE, WORD_SHARE: what is looked up in place.
-ALPHABET_SHARE, GRAM_SHARE, WORD_SHARE = 1 << 12, 1 << 20, 1 << 18
-LEAST = 2
-BUFFER, CACHE, MEMO = 2_000_000, 300_000, 1_000_000
-BITS = 13  # of a letter of the alphabet, 0 for words outside it
-END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)  # no word has a new line
+ORDER, DISCOUNT, LEAST = 3, 0.5, 2
+BUFFER, CACHE = 1_500_000, 300_000
+#: Contexts with such a share of a sample of SAMPLE rows are dealt by the next word too; at most 2 * HOT of them.
+HOT, SAMPLE = 1 << 10, 5000
+END = xxhash.xxh64_intdigest(b"\n")  # no word has a new line
+MESSAGE = "shard int, chunk long, tag int, data binary"
+ASK, ANSWER, SUMS, HOME = range(4)
 
 
 def word_hash(w: bytes) -> int:
-    return xxhash.xxh64_intdigest(w) - (1 << 63)
+    return xxhash.xxh64_intdigest(w)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,431 +64,339 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 class Lookup(dict):
-    """word: what `of` says of it; forgets all when it has grown too large."""
-
-    def __init__(self, of):
-        self.of = of
+    """word: its hash; forgets all when it has grown too large."""
 
     def __missing__(self, w: bytes) -> int:
-        v = self.of(w)
+        v = word_hash(w)
         if len(w) < 64:
             self[w] = v
         return v
 
-    def trim(self) -> None:
+    def of(self, text: str | None) -> np.ndarray:
         if len(self) > CACHE:
             self.clear()
+        w = words_of(text)
+        return np.append(np.fromiter(map(self.__getitem__, w), np.uint64, len(w)), np.uint64(END))
 
 
-def _counted(docs: DataFrame, make_ids, train_only: bool) -> DataFrame:
-    """(key, n, train): how often the long keys occur that `make_ids()(text)` gives, over all texts and over training texts."""
-
-    def run(batches):
-        ids, held, size = make_ids(), [[], []], 0
-
-        def out():
-            rest = np.concatenate(held[1]) if held[1] else np.zeros(0, np.int64)
-            train = np.concatenate(held[0]) if held[0] else np.zeros(0, np.int64)
-            keys, where = np.unique(np.concatenate([train, rest]), return_inverse=True)
-            n = np.bincount(where, minlength=len(keys))
-            t = np.bincount(where[: len(train)], minlength=len(keys))
-            held[0].clear()
-            held[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(t)], names=["key", "n", "train"])
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                away = is_held_out(doc)
-                if not (away and train_only):
-                    held[away].append(ids(text))
-                    size += len(held[away][-1])
-            if size > BUFFER:
-                yield out()
-                size = 0
-        if size:
-            yield out()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text()).mapInArrow(run, "key long, n long, train long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("train").alias("train"))
-
-
-class Automaton:
-    """The hottest arcs as an explicit machine, by which `score` is checked. States are numbered n-grams (0: the root). Arcs: weight and next state, weights relative to the root's."""
-
-    def __init__(self, grams: list[dict[tuple[int, ...], int]], letters: np.ndarray, n: int, v: int):
-        """grams[k]: counts of the (k+2)-grams kept, as letters; letters[i]: count of letter i + 1."""
-        root = {w + 1: (c + 1) / (n + v + 1) for w, c in enumerate(letters.tolist())}
-        prob: dict[tuple[int, ...], float] = {(w,): p for w, p in root.items()}
-        self.back: dict[tuple[int, ...], float] = {}
-        count = {(w + 1,): int(c) for w, c in enumerate(letters.tolist())}
-        by_state: dict[tuple[int, ...], list[int]] = {}
-
-        def p(context: tuple[int, ...], w: int) -> float:
-            got = prob.get((*context, w))
-            return got if got is not None or not context else self.back.get(context, 1.0) * p(context[1:], w)
-
-        for kept in grams:
-            here: dict[tuple[int, ...], list[int]] = {}
-            for g in kept:
-                here.setdefault(g[:-1], []).append(g[-1])
-            for h, ws in here.items():
-                lower = math.fsum(p(h[1:], w) for w in ws)
-                for w in ws:
-                    prob[(*h, w)] = max(kept[(*h, w)] - DISCOUNT, 0.1) / count[h]
-                self.back[h] = max(1 - math.fsum(prob[(*h, w)] for w in ws), 1e-12) / max(1 - lower, 1e-12)
-            count.update(kept)
-            by_state |= here
-        self.state = {(): 0, **{h: i for i, h in enumerate(sorted(by_state), 1)}}
-        self.name = {i: h for h, i in self.state.items()}
-        self.prob, self.root = prob, root
-        self.memo: dict[int, tuple[float, int]] = {}
-
-    def step(self, state: int, w: int) -> tuple[float, int]:
-        """What reading letter w (0: another word) adds beyond the root's weight, and where it leads: failure arcs until an arc fits."""
-        h, add = self.name[state], 0.0
-        while h and (*h, w) not in self.prob:
-            add += math.log10(self.back.get(h, 1.0))
-            h = h[1:]
-        if h:
-            add += math.log10(self.prob[(*h, w)]) - math.log10(self.root[w])
-        to = (*h, w) if w else ()
-        while to not in self.state:
-            to = to[1:]
-        out = add, self.state[to]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.memo[state << BITS | w] = out
-        return out
-
-    def traverse(self, letters: list[int]) -> float:
-        """Sum of the weights beyond the root's along the text."""
-        total, state, get = 0.0, 0, self.memo.get
-        for w in letters:
-            add, state = get(state << BITS | w) or self.step(state, w)
-            total += add
-        return total
-
-
-def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
-    """All words with their counts (durable), and the model."""
-
-    def make_words():
-        known = Lookup(word_hash)
-
-        def ids(text):
-            known.trim()
-            w = words_of(text)
-            out = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-            return np.append(out, END)
-
-        return ids
-
-    vocab = durable(_counted(docs, make_words, False))
-    totals = vocab.agg(F.sum("n"), F.sum("train"), F.count_if(F.col("train") > 0)).first()
-    everything, n, v = (x or 0 for x in totals)
-    often = vocab.filter(F.col("n") >= max(everything / WORD_SHARE, 1)).orderBy(F.desc("train"), "key").toArrow()  # at most WORD_SHARE rows
-    often = {k: often[k].to_numpy() for k in ("key", "train")}
-    letters = int((often["train"] >= max(n / ALPHABET_SHARE, 1)).sum()) if n else 0
-    arcs = []
-    for order in range(2, ORDER + 1):  # one after the other, so that what is dealt of one is gone when the next comes
-        arcs.append(durable(count_arcs(docs, order)))
-        release(docs.sparkSession)
-    parts = weights(vocab, arcs, n, v)
-    # Of words and of each order, no more can have such a share than its inverse.
-    hot = parts.filter((F.col("order") > 1) & (F.col("n") >= max(n / GRAM_SHARE, LEAST)))
-    lead = parts.join(F.broadcast(vocab.filter(F.col("n") >= max(everything / WORD_SHARE, 1)).select(F.col("key").alias("k"))), (F.col("key") == F.col("k")) & (F.col("order") == 1)).drop("k")
-    hot = hot.union(lead).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("base", "beyond", "known"))).orderBy("key").toArrow()
-    return vocab, Model(n=n, v=v, key=often["key"], train=often["train"], letters=letters, arcs=arcs, parts=parts, hot=[hot[c].to_numpy() for c in ("key", "base", "beyond", "known")])
-
-
-class Model(dict):
-    """What `score` needs, and on demand the counts of the n-grams that the explicit Automaton has."""
-
-    def __missing__(self, name: str) -> list[dict[tuple[int, ...], int]]:
-        if name != "grams":
-            raise KeyError(name)
-        named, grams = {int(k): (i + 1,) for i, k in enumerate(self["key"][: self["letters"]])}, []
-        for order in range(2, ORDER + 1):
-            some = self["arcs"][order - 2].filter((F.col("n") >= max(self["n"] / GRAM_SHARE, LEAST))).toArrow().to_pylist()  # at most GRAM_SHARE rows
-            named = {r["key"]: (*named[r["ctx"]], named[r["last"]][-1], r["n"]) for r in some if r["ctx"] in named and r["last"] in named}
-            grams.append({g[:-1]: g[-1] for g in named.values()})
-            named = {k: g[:-1] for k, g in named.items()}
-        self[name] = grams
-        return grams
-
-
-def join_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams that pairs of shorter ones make: of two words, or of two bigrams that share a word."""
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.view(np.uint64) + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xBF58476D1CE4E5B9)
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two, in order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
-    return (x ^ x >> np.uint64(29)).view(np.int64)
+    return x ^ x >> np.uint64(29)
+
+
+def packed(*cols: np.ndarray) -> bytes:
+    """Arrays in as few bytes as their greatest values allow."""
+    parts = []
+    for c in cols:
+        if c.dtype.kind in "iu":
+            top = int(c.max()) if len(c) else 0
+            c = c.astype(next(t for t, most in (("u1", 1 << 8), ("u2", 1 << 16), ("u4", 1 << 32), ("u8", 1 << 64)) if top < most))
+        parts += [c.dtype.str[1:].encode(), len(c).to_bytes(8, "little"), c.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        kind, n = np.dtype(raw[at : at + 2].decode()), int.from_bytes(raw[at + 2 : at + 10], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 10))
+        at += 10 + n * kind.itemsize
+    return out
 
 
-def pairs_of(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbours' places within the same row: (first, second)."""
-    at = np.flatnonzero(rows[1:] == rows[:-1])
-    return at, at + 1
+def short(h: np.ndarray) -> np.ndarray:
+    """The first 48 bits of hashes, as bytes: what tells the words after one context apart."""
+    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
 
 
-def split(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places) of keys, each bucket's in order."""
-    of = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(of, kind="stable")
-    cuts = np.flatnonzero(np.diff(of[by])) + 1
-    return [(int(of[p[0]]), p) for p in np.split(by, cuts) if len(p)]
+def long(six: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(six) // 6, 8), np.uint8)
+    out[:, :6] = six.reshape(-1, 6)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
 
 
-PACKED = "bucket int, tag int, data binary"
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """By ranges of hashes, so that what is sorted by hash lies in order of shards."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    b, t, d = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(t, pa.int32()), pa.array(d, pa.binary())], names=["bucket", "tag", "data"])
+class Asked:
+    """Questions about contexts and what follows them, and the order in which answers come back.
 
+    ctx: the contexts' hashes, sorted and distinct; count: how often they occur here in training;
+    follow_ctx, follow: context (its place) and the next word's hash of each different pair, sorted
+    by these; n: how often the pair occurs here in training.
+    """
 
-def in_parts(rows: list[tuple[int, int, bytes]], most: int = 8 << 20) -> "list[pa.RecordBatch]":
-    """Batches of packed rows, of some megabytes each."""
-    out, here, size = [], [], 0
-    for r in rows:
-        here.append(r)
-        size += len(r[2])
-        if size > most:
-            out.append(packed(here))
-            here, size = [], 0
-    return out + ([packed(here)] if here else [])
+    def __init__(self, ctx: np.ndarray, count: np.ndarray, follow_ctx: np.ndarray, follow: np.ndarray, n: np.ndarray, hot: np.ndarray):
+        self.ctx, self.count, self.follow_ctx, self.follow, self.n = ctx, count, follow_ctx, follow, n
+        at = np.minimum(np.searchsorted(hot, ctx), max(len(hot) - 1, 0))
+        self.hot = np.where(hot[at] == ctx, at, -1) if len(hot) else np.full(len(ctx), -1)
+        is_hot = self.hot[follow_ctx] >= 0
+        self.cold, spread = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        self.spread = spread[np.lexsort((follow_ctx[spread], follow[spread]))]
 
+    def messages(self, chunk: int, shards: int) -> list[tuple[int, int, int, bytes]]:
+        edge = np.arange(shards + 1)
+        a = np.searchsorted(shard_of(self.ctx, shards), edge)
+        c = np.searchsorted(self.follow_ctx[self.cold], a)
+        s = np.searchsorted(shard_of(self.follow[self.spread], shards), edge)
+        many, out = np.bincount(self.follow_ctx[self.cold], minlength=len(self.ctx)), []
+        for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(s) > 0)).tolist():
+            own, cold, spread = slice(a[k], a[k + 1]), self.cold[c[k] : c[k + 1]], self.spread[s[k] : s[k + 1]]
+            data = packed(self.ctx[own], self.count[own], many[own], short(self.follow[cold]), self.n[cold], self.hot[self.follow_ctx[spread]], short(self.follow[spread]), self.n[spread])
+            out.append((k, chunk, ASK, data))
+        return out
 
-def dealt(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "tag")
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.cold, self.spread
+
+
+def answers(held: dict[int, list[tuple[int, bytes]]], shard: int) -> tuple[list[tuple[int, int, int, bytes]], tuple]:
+    """What a shard says to all questions, and its totals: tokens, words, and sums of hot contexts."""
+    asked = [(chunk, unpacked(data)) for chunk, data in held.get(ASK, ())]
+    if not asked:
+        return [], (0, 0, *[np.zeros(0, np.int64)] * 3)
+    col = lambda k: np.concatenate([x[k] for _, x in asked])
+    names, word = np.unique(col(0), return_inverse=True)
+    count = np.bincount(word, col(1), len(names)).astype(np.int64)
+    ctx = np.repeat(word, col(2))
+    # Followers of cold contexts by their context, those of hot ones by its number.
+    keys = np.concatenate([mix(names[ctx], long(col(3))), mix(~col(5).astype(np.uint64), long(col(6)))])
+    kinds, first, pair = np.unique(keys, return_index=True, return_inverse=True)
+    n = np.bincount(pair, np.concatenate([col(4), col(7)]), len(kinds)).astype(np.int64)
+    n[n < LEAST] = 0
+    kept, is_cold = n > 0, first < len(ctx)
+    own = ctx[first[kept & is_cold]]
+    total, kept_of = (np.bincount(own, w, len(names)).astype(np.int64) for w in (n[kept & is_cold], None))
+    number = col(5).astype(np.int64)[first[kept & ~is_cold] - len(ctx)]
+    some, where = np.unique(number, return_inverse=True)
+    hot = some, np.bincount(where, n[kept & ~is_cold], len(some)).astype(np.int64), np.bincount(where, minlength=len(some))
+    out, w, p, q = [], 0, 0, len(ctx)
+    for chunk, x in asked:
+        a, b, c = len(x[0]), len(x[4]), len(x[7])
+        own = word[w : w + a]
+        out.append((shard, chunk, ANSWER, packed(count[own], total[own], kept_of[own], n[pair[p : p + b]], n[pair[q : q + c]])))
+        w, p, q = w + a, p + b, q + c
+    return out, (int(count.sum()), int((count > 0).sum()), *hot)
+
+
+def joined(found: list[tuple[int, bytes]], places: tuple[np.ndarray, np.ndarray], pairs: int) -> tuple[np.ndarray, ...]:
+    """A chunk's answers, shard after shard: counts, sums and numbers of arcs by context, and n by pair."""
+    cols = [np.concatenate(c).astype(np.int64) for c in zip(*(unpacked(data) for _, data in sorted(found)))]
+    n = np.zeros(pairs, np.int64)
+    n[places[0]], n[places[1]] = cols[3], cols[4]
+    return cols[0], cols[1], cols[2], n
+
+
+def with_hot(total: np.ndarray, arcs: np.ndarray, hot: np.ndarray, sums: dict[int, tuple[int, int]]) -> None:
+    for at in np.flatnonzero(hot >= 0).tolist():
+        total[at], arcs[at] = sums.get(int(hot[at]), (0, 0))
+
+
+def in_parts(rows: list[tuple[int, int, int, bytes]], most: int = 8 << 20):
+    """Batches of messages, of some megabytes each."""
+    here, size = [], 0
+    for i, r in enumerate(rows):
+        here.append(r)
+        size += len(r[3])
+        if size > most or i == len(rows) - 1:
+            cols = [pa.array(c, k) for c, k in zip(zip(*here), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "chunk", "tag", "data"])
+            here, size = [], 0
 
 
-def grouped(batches):
-    """(bucket, {tag: [data]}) of dealt rows, bucket after bucket."""
+def grouped(batches, by: int):
+    """(key, {tag: [(the other of shard and chunk, data)]}) of dealt messages, key after key."""
     now, held = None, {}
     for batch in batches:
-        for b, t, d in zip(*(c.to_pylist() for c in batch.columns)):
-            if b != now:
+        shard, chunk, tag, data = batch.columns
+        for key, other, t, d in zip((shard, chunk)[by].to_pylist(), (chunk, shard)[by].to_pylist(), tag.to_pylist(), data.to_pylist()):
+            if key != now:
                 if held:
                     yield now, held
-                now, held = b, {}
-            held.setdefault(t, []).append(d)
+                now, held = key, {}
+            held.setdefault(t, []).append((other, d))
     if held:
         yield now, held
 
 
-def buckets_of(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def release(spark) -> None:
     """Lets Spark delete the shuffled files and checkpoints that nothing refers to; else they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def count_arcs(docs: DataFrame, order: int) -> DataFrame:
-    """(key, ctx, last, n, total): n-grams of this order of the training documents seen at least LEAST times. total: how often their context is extended."""
-    buckets = buckets_of(docs.sparkSession)
-
-    def flush(ids: list[np.ndarray]):
-        keys, rows = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-        for _ in range(order - 1):
-            i, j = pairs_of(keys, rows)
-            ctx, last, rows = keys[i], keys[j], rows[i]
-            keys = join_key(ctx, last)
-        _, first, n = np.unique(keys, return_index=True, return_counts=True)
-        first = first[by := np.argsort(ctx[first], kind="stable")]
-        n, out = n[by].astype(np.uint32), []
-        for b, at in split(ctx[first], buckets):
-            some, runs = np.unique(ctx[first[at]], return_counts=True)
-            out.append((b, 0, np.array([len(some), len(at)], np.int64).tobytes() + some.tobytes() + last[first[at]].tobytes() + runs.astype(np.uint32).tobytes() + n[at].tobytes()))
-        return in_parts(out)
-
-    def gather(batches):
-        known, ids, size = Lookup(word_hash), [], 0
+def hot_contexts(docs: DataFrame) -> np.ndarray:
+    """Hashes of words and pairs with 1/HOT of a sample's tokens, sorted: how to deal them out, no more."""
+    rows = docs.count()
+
+    def run(batches):
+        of, seen = Lookup(), Counter()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not is_held_out(doc):
-                    known.trim()
-                    w = words_of(text)
-                    ids.append(np.array([*map(known.__getitem__, w), END], np.int64))
-                    size += len(w) + 1
-            if size > BUFFER:
-                yield from flush(ids)
-                ids, size = [], 0
-        if size:
-            yield from flush(ids)
-
-    def unpack(data: bytes):
-        k, m = np.frombuffer(data, np.int64, 2)
-        words, rest = np.frombuffer(data, np.int64, k + m, 16), np.frombuffer(data, np.uint32, k + m, 16 + 8 * (k + m))
-        return np.repeat(words[:k], rest[:k]), words[k:], rest[k:].astype(np.int64)
-
-    def summed(batches):
-        for _, held in grouped(batches):
-            ctx, last, n = (np.concatenate(c) for c in zip(*map(unpack, held[0])))
-            by = np.lexsort((last, ctx))
-            ctx, last, n = ctx[by], last[by], n[by]
-            new = np.r_[True, ctx[1:] != ctx[:-1]]
-            total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
-            at = np.flatnonzero(new | np.r_[True, last[1:] != last[:-1]])
-            sums = np.add.reduceat(n, at)
-            at, sums = at[sums >= LEAST], sums[sums >= LEAST]
-            cols = [join_key(ctx[at], last[at]), ctx[at], last[at], sums, total[at]]
-            for lo in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in cols], names=["key", "ctx", "last", "n", "total"])
+            for text in batch.column(0).to_pylist():
+                h = of.of(text)
+                for x in (h, mix(h[:-1], h[1:])):
+                    seen.update(dict(zip(*(c.tolist() for c in np.unique(x, return_counts=True)))))
+                seen[END] += 0
+        tokens = sum(seen.values()) / 2
+        some = [(h, n) for h, n in seen.items() if n > tokens / (2 * HOT) and h != END] + [(0, int(tokens))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in some], np.uint64).view(np.int64)), pa.array([n for _, n in some], pa.int64())], names=["h", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text())
-    return dealt(rows.mapInArrow(gather, PACKED), buckets).mapInArrow(summed, "key long, ctx long, last long, n long, total long")
-
-
-def weights(vocab: DataFrame, arcs: list[DataFrame], n: int, v: int) -> DataFrame:
-    """Durable (order, key, n, base, beyond, known): a key's weights are the sum of its rows. base lacks the words' common denominator."""
-
-    def with_failure(rows: DataFrame) -> DataFrame:
-        """Adds p of the arc and the log of its context's failure arc."""
-        p = F.greatest(F.col("n") - F.lit(DISCOUNT), F.lit(0.1)) / F.col("total")
-        left = lambda c: F.greatest(1 - F.sum(c).over(Window.partitionBy("ctx")), F.lit(1e-12))
-        return rows.withColumn("p", p).withColumn("back", F.log10(left("p") / left("lower")))
-
-    def parts(order: int, rows: DataFrame) -> list[DataFrame]:
-        zero = F.lit(0.0).alias("base")
-        arc = rows.select(F.lit(order).alias("order"), "key", "n", zero, (F.log10("p") - F.log10("lower") - F.col("back")).alias("beyond"), F.lit(0).alias("known"))
-        back = rows.groupBy("ctx").agg(F.first("total").alias("n"), F.first("back").alias("beyond"))
-        return [arc, back.select(F.lit(order - 1).alias("order"), F.col("ctx").alias("key"), "n", zero, "beyond", F.lit(0).alias("known"))]
-
-    word = vocab.filter("train > 0").select(F.col("key").alias("last"), ((F.col("train") + 1) / F.lit(float(n + v + 1))).alias("lower"))
-    out = [vocab.filter("train > 0").select(F.lit(1).alias("order"), "key", "n", F.log10(F.col("train") + 1).alias("base"), F.lit(0.0).alias("beyond"), F.lit(1).alias("known"))]
-    lower = word
-    for order in range(2, ORDER + 1):
-        rows = durable(with_failure(arcs[order - 2].join(lower, "last")))
-        out += parts(order, rows)
-        lower = rows.select(F.col("key").alias("last"), F.col("p").alias("lower"))
-        release(vocab.sparkSession)
-    out = durable(reduce(DataFrame.union, out))
-    del rows, lower
-    release(vocab.sparkSession)
-    return out
+    some = docs.sample(min(1.0, SAMPLE / max(rows, 1)), seed=7).select(doc_text())
+    by = {r.h: r.n for r in some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(2 * HOT + 1).collect()}
+    tokens = by.pop(0, 0)
+    return np.sort(np.array([h for h, n in by.items() if n >= tokens / HOT], np.int64).view(np.uint64))
 
 
-ROW = np.dtype([("row", "<i8"), ("known", "<i8"), ("base", "<f8"), ("beyond", "<f8")])
-DOC = np.dtype([*ROW.descr, ("doc", "<i8"), ("n", "<i8"), ("has_id", "?"), ("held", "?")])
-PART = np.dtype([("key", "<i8"), ("base", "<f8"), ("beyond", "<f8"), ("known", "<i4")])
+def exchange(messages: DataFrame, shards: int, hot: np.ndarray) -> tuple[DataFrame, int, int, dict]:
+    """The shards' answers and the chunks' own messages, durable; tokens, words, and the sums of hot contexts by number."""
 
+    def run(batches):
+        for shard, held in grouped(batches, 0):
+            yield from in_parts([(shard, chunk, HOME, data) for chunk, data in held.get(HOME, ())])
+            said, (tokens, words, *of_hot) = answers(held, shard)
+            yield from in_parts([*said, (shard, -1, SUMS, packed(np.array([tokens, words]), *of_hot))])
 
-def score(docs: DataFrame, vocab: DataFrame | None, model: dict) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row. The weights hold what is needed of `vocab`."""
-    n, v, parts = model["n"], model["v"], model["parts"]
-    denominator = math.log10(n + v + 1)
-    spark = docs.sparkSession
-    buckets, shared = buckets_of(spark), spark.sparkContext.broadcast(model["hot"])
+    dealt = messages.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "tag", "chunk")
+    met = durable(dealt.mapInArrow(run, MESSAGE))
 
-    def pack_parts(batches):
-        held, size = [], 0
+    def sums(batches):
+        for batch in batches:
+            cols: list[list] = [[], [], []]
+            for data in batch.column(0).to_pylist():
+                total, *of_hot = unpacked(data)
+                for c, x, y in zip(cols, ([-1], total[:1], total[1:]), of_hot):
+                    c.append(np.concatenate([x, y]).astype(np.int64))
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["at", "s", "t"])
 
-        def out():
-            rows = np.concatenate(held)
-            return in_parts([(b, 0, rows[at].tobytes()) for b, at in split(rows["key"].copy(), buckets)])
+    found = met.filter(F.col("tag") == SUMS).select("data").mapInArrow(sums, "at long, s long, t long").groupBy("at").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).collect()  # at most 2 * HOT + 1 rows
+    by = {r.at: (r.s, r.t) for r in found}
+    return met.filter(F.col("tag") != SUMS), *by.pop(-1, (0, 0)), by
+
+
+def at_home(met: DataFrame, run, schema: str) -> DataFrame:
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, "chunk").sortWithinPartitions("chunk", "tag", "shard").mapInArrow(run, schema)
 
-        for batch in batches:
-            rows = np.empty(batch.num_rows, PART)
-            for name, c in zip(batch.schema.names, batch.columns):
-                rows[name] = c.to_numpy(zero_copy_only=False)
-            held.append(rows)
-            size += len(rows)
-            if size > BUFFER:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
 
-    def gather(batches):
-        """Tag 1: keys without a weight here, and the rows that have them; tag 2: what is known of the rows, as it goes to their own bucket."""
-        hot, base, beyond, known = shared.value
-        of, first, done = Lookup(word_hash), TaskContext.get().partitionId() << 33, 0
-        keys_held, rows_held, size = [], [], 0
+def rest_of(count: np.ndarray, total: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+    """Weights of failure arcs."""
+    return 1 - (total - DISCOUNT * arcs) / np.maximum(count, 1)
+
+
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; order: 2 or 3 words to an n-gram at most."""
+    spark = docs.sparkSession
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text())
+    hot = hot_contexts(rows)
+
+    def pairs_in(place: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pairs begin, the different pairs (context and next word in one number), and which each is."""
+        last = np.zeros(len(place), bool)
+        last[np.cumsum(lengths) - 1] = True
+        at = np.flatnonzero(~last)
+        return at, *np.unique(place[at] * words + place[at + 1], return_inverse=True)
+
+    def ask(batches):
+        of, part, chunk = Lookup(), TaskContext.get().partitionId() << 24, 0
+        ids: list[np.ndarray] = []
+        docs_: list = []
+        size = 0
 
         def out():
-            keys, rows = np.concatenate(keys_held), np.concatenate(rows_held)
-            return in_parts([(b, 1, np.array([first, len(at)], np.int64).tobytes() + keys[at].tobytes() + rows[at].astype(np.uint32).tobytes()) for b, at in split(keys, buckets)])
+            lengths = np.array([len(i) for i in ids])
+            words, place = np.unique(np.concatenate(ids), return_inverse=True)
+            held = np.array([is_held_out(d) for d in docs_])
+            train = np.repeat(~held, lengths)
+            at, pairs, pair = pairs_in(place, lengths, len(words))
+            ctx, last = np.divmod(pairs, len(words))
+            asked = Asked(words, np.bincount(place[train], minlength=len(words)), ctx, words[last], np.bincount(pair[train[at]], minlength=len(pairs)), hot)
+            here = part + chunk
+            home = packed(words, place, lengths, np.array([d or 0 for d in docs_], np.int64).view(np.uint64), np.array([d is not None for d in docs_]), held)
+            return in_parts([*asked.messages(here, shards), (here % shards, here, HOME, home)])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = []
-            for text in batch.column(1).to_pylist():
-                of.trim()
-                ids.append(np.array([*map(of.__getitem__, words_of(text)), END], np.int64))
-            doc = batch.column(0)
-            info = np.zeros(len(ids), DOC)
-            info["row"] = first + done + np.arange(len(ids))
-            info["doc"], info["has_id"] = doc.fill_null(0).to_numpy(), doc.is_valid().to_numpy(zero_copy_only=False)
-            info["held"] = [is_held_out(d) for d in doc.to_pylist()]
-            info["n"] = [len(i) for i in ids]
-            keys, rows = np.concatenate(ids), np.repeat(np.arange(len(ids)), info["n"])
-            for order in range(1, ORDER + 1):
-                if order > 1:
-                    i, j = pairs_of(keys, rows)
-                    keys, rows = join_key(keys[i], keys[j]), rows[i]
-                at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
-                hit = hot[at] == keys if len(hot) else np.zeros(len(keys), bool)
-                for name, w in (("base", base), ("beyond", beyond), ("known", known)):
-                    if len(hot):
-                        info[name] += np.bincount(rows[hit], w[at[hit]], len(ids)).astype(info[name].dtype)
-                keys_held.append(keys[~hit])
-                rows_held.append(rows[~hit] + done)
-                size += len(keys_held[-1])
-            info["base"] -= info["n"] * denominator
-            done += len(ids)
-            yield from in_parts([(b, 2, info[at].tobytes()) for b, at in split(info["row"].copy(), buckets)])
-            if size > 2 * BUFFER:
-                yield from out()
-                keys_held, rows_held, size = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(of.of(text))
+                docs_.append(doc)
+                size += len(ids[-1])
+                if size > BUFFER:
+                    yield from out()
+                    ids, docs_, size, chunk = [], [], 0, chunk + 1
         if size:
             yield from out()
 
-    def meet(batches):
-        for bucket, held in grouped(batches):
-            yield from in_parts([(bucket, 0, d) for d in held.get(2, ())])
-            if 0 not in held or 1 not in held:
+    met, n, v, sums = exchange(rows.mapInArrow(ask, MESSAGE), shards, hot)
+    release(spark)
+    denominator = n + v + 1.0
+
+    def result(doc, has_id, held, lengths, known, base, score):
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        cols = [pa.array(doc.view(np.int64), mask=~has_id), held, lengths.astype(np.int64), known.astype(np.int64), np.full(len(doc), n, np.int64), base, score]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    def walk(batches):
+        """Every text through the states of one word; what lies in longer ones is asked for and left to `finish`."""
+        for chunk, held in grouped(batches, 1):
+            words, place, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
+            place, lengths, doc = place.astype(np.int64), lengths.astype(np.int64), doc.astype(np.uint64)
+            at, pairs, pair = pairs_in(place, lengths, len(words))
+            ctx, last = np.divmod(pairs, len(words))
+            asked = Asked(words, place[:0], ctx, words[last], pairs[:0], hot)
+            count, total, arcs, seen = joined(held[ANSWER], asked.places(), len(pairs))
+            with_hot(total, arcs, asked.hot, sums)
+            p1 = (count + 1) / denominator
+            p2 = rest_of(count, total, arcs)[ctx] * p1[last] + np.where(seen > 0, (seen - DISCOUNT) / np.maximum(count[ctx], 1), 0)
+            starts = np.cumsum(lengths) - lengths
+            of_row = np.repeat(np.arange(len(lengths)), lengths)
+            base = np.add.reduceat(np.log10(p1)[place], starts)
+            known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
+            # The token at `at + 1` ends a pair. It ends a triple too where the pair before ends where this one begins.
+            third = np.r_[False, at[1:] == at[:-1] + 1][: len(at)]
+            deep = np.flatnonzero(third & np.r_[False, seen[pair[:-1]] > 0][: len(at)]) if order > 2 else at[:0]
+            plain = np.ones(len(at), bool)
+            plain[deep] = False
+            score = np.log10(p1)[place[starts]] + np.bincount(of_row[at[plain]], np.log10(p2)[pair[plain]], len(lengths))
+            if order < 3:
+                yield result(doc, has_id, away, lengths, known, base, score)
                 continue
-            some = np.frombuffer(b"".join(held[0]), PART)
-            names, where = np.unique(some["key"], return_inverse=True)
-            w = {c: np.bincount(where, some[c], len(names)) for c in ("base", "beyond", "known")}
-            found: list[tuple] = []
-            for data in held[1]:
-                first, m = np.frombuffer(data, np.int64, 2)
-                keys, rows = np.frombuffer(data, np.int64, m, 16), np.frombuffer(data, np.uint32, m, 16 + 8 * m)
-                at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-                hit = names[at] == keys
-                found.append((first + rows[hit].astype(np.int64), at[hit]))
-            rows, at = (np.concatenate(c) for c in zip(*found))
-            different, where = np.unique(rows, return_inverse=True)
-            out = np.zeros(len(different), ROW)
-            out["row"] = different
-            for c in w:
-                out[c] = np.bincount(where, w[c][at], len(different))
-            yield from in_parts([(b, 1, out[p].tobytes()) for b, p in split(different, buckets)])
+            before = pair[deep - 1]
+            used, state = np.unique(before, return_inverse=True)
+            names = mix(words[ctx[used]], words[last[used]])
+            by = np.argsort(names)
+            rank = np.empty_like(by)
+            rank[by] = np.arange(len(by))
+            triples, first, triple = np.unique(rank[state] * len(words) + place[at[deep] + 1], return_index=True, return_inverse=True)
+            state, then = np.divmod(triples, len(words))
+            train = np.bincount(triple[~away[of_row[at[deep]]]], minlength=len(triples))
+            maybe = np.flatnonzero(seen[pair[deep[first]]] > 0)
+            more = Asked(names[by], np.zeros(len(by), np.int64), state[maybe], words[then[maybe]], train[maybe], hot)
+            home = packed(doc, has_id, away, lengths, known.astype(np.uint64), base, score, seen[used][by], state, p2[pair[deep[first]]], triple, np.bincount(of_row[at[deep]], minlength=len(lengths)), np.diff(maybe[more.cold], prepend=0), maybe[more.spread], more.hot + 1)
+            yield from in_parts([*more.messages(chunk, shards), (chunk % shards, chunk, HOME, home)])
+
+    scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if order < 3:
+        return at_home(met, walk, scores)
+    more, _, _, more_sums = exchange(at_home(met, walk, MESSAGE), shards, hot)
+    del met
+    release(spark)
 
     def finish(batches):
-        for _, held in grouped(batches):
-            docs = np.sort(np.frombuffer(b"".join(held[0]), DOC), order="row")
-            more = np.frombuffer(b"".join(held.get(1, ())), ROW)
-            at = np.searchsorted(docs["row"], more["row"])
-            sums = {c: docs[c] + np.bincount(at, more[c], len(docs)) for c in ("base", "beyond", "known")}
-            ids = pa.array(docs["doc"], mask=~docs["has_id"])
-            cols = [ids, docs["held"], docs["n"], sums["known"].astype(np.int64), np.full(len(docs), n, np.int64), sums["base"], sums["base"] + sums["beyond"]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text()).mapInArrow(gather, PACKED)
-    all_parts = parts.select("key", "base", "beyond", "known").mapInArrow(pack_parts, PACKED)
-    met = dealt(each.union(all_parts), buckets).mapInArrow(meet, PACKED)
-    return dealt(met, buckets).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
-    vocab, model = fit(docs)
-    del vocab, model["arcs"]  # scoring needs their weights alone
-    release(docs.sparkSession)
-    return score(docs, None, model)
+        for _, held in grouped(batches, 1):
+            doc, has_id, away, lengths, known, base, score, count, state, lower, triple, of_row, cold, spread, numbers = unpacked(held[HOME][0][1])
+            doc = doc.astype(np.uint64)
+            if len(state):
+                state, count = state.astype(np.int64), count.astype(np.int64)
+                _, total, arcs, seen = joined(held[ANSWER], (np.cumsum(cold.astype(np.int64)), spread.astype(np.int64)), len(state))
+                with_hot(total, arcs, numbers.astype(np.int64) - 1, more_sums)
+                p3 = rest_of(count, total, arcs)[state] * lower + np.where(seen > 0, (seen - DISCOUNT) / count[state], 0)
+                score = score + np.bincount(np.repeat(np.arange(len(lengths)), of_row), np.log10(p3)[triple], len(lengths))
+            yield result(doc, has_id, away, lengths, known, base, score)
+
+    return at_home(more, finish, scores)
