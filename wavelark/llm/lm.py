@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable
 
 ORDER, DISCOUNT, LEAST = 3, 0.5, 2
-BUFFER, CACHE = 1_500_000, 300_000
+BUFFER, CACHE = 2_500_000, 300_000
 #: Contexts with such a share of a sample of SAMPLE rows are dealt by the next word too; at most 2 * HOT of them.
 HOT, SAMPLE = 1 << 10, 5000
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a new line
@@ -107,6 +107,26 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(c: np.ndarray, width: int = 4) -> np.ndarray:
+    """Whole numbers byte by byte: all lowest bytes first, so that the many zeros of the highest lie together."""
+    return np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
+
+
+def whole(b: np.ndarray, width: int = 4) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = b.reshape(width, -1).T
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
+
+def trimmed(x: np.ndarray) -> np.ndarray:
+    """Doubles without the last 16 of their bits (a relative error below 1e-11), as planes."""
+    return planes(x.astype("<f8").view("<u8") >> np.uint64(16), 6)
+
+
+def doubles(b: np.ndarray) -> np.ndarray:
+    return (whole(b, 6).astype(np.uint64) << np.uint64(16)).view(np.float64)
+
+
 def short(h: np.ndarray) -> np.ndarray:
     """The first 48 bits of hashes, as bytes: what tells the words after one context apart."""
     return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
@@ -252,8 +272,8 @@ def hot_contexts(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([h for h, n in by.items() if n >= tokens / HOT], np.int64).view(np.uint64))
 
 
-def exchange(messages: DataFrame, shards: int, hot: np.ndarray) -> tuple[DataFrame, int, int, dict]:
-    """The shards' answers and the chunks' own messages, durable; tokens, words, and the sums of hot contexts by number."""
+def exchange(messages: DataFrame, shards: int) -> tuple[DataFrame, int, int, dict]:
+    """The shards' answers, and the chunks' own messages if these come along, durable; tokens, words, and the sums of hot contexts by number."""
 
     def run(batches):
         for shard, held in grouped(batches, 0):
@@ -318,7 +338,10 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             ctx, last = np.divmod(pairs, len(words))
             asked = Asked(words, np.bincount(place[train], minlength=len(words)), ctx, words[last], np.bincount(pair[train[at]], minlength=len(pairs)), hot)
             here = part + chunk
-            home = packed(words, place, lengths, np.array([d or 0 for d in docs_], np.int64).view(np.uint64), np.array([d is not None for d in docs_]), held)
+            by = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # the commonest words first: small numbers
+            code = np.empty_like(by)
+            code[by] = np.arange(len(by))
+            home = packed(words[by], planes(code[place]), lengths, np.array([d or 0 for d in docs_], np.int64).view(np.uint64), np.array([d is not None for d in docs_]), held)
             return in_parts([*asked.messages(here, shards), (here % shards, here, HOME, home)])
 
         for batch in batches:
@@ -332,7 +355,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if size:
             yield from out()
 
-    met, n, v, sums = exchange(rows.mapInArrow(ask, MESSAGE), shards, hot)
+    met, n, v, sums = exchange(rows.mapInArrow(ask, MESSAGE), shards)
     release(spark)
     denominator = n + v + 1.0
 
@@ -344,8 +367,11 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def walk(batches):
         """Every text through the states of one word; what lies in longer ones is asked for and left to `finish`."""
         for chunk, held in grouped(batches, 1):
-            words, place, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
-            place, lengths, doc = place.astype(np.int64), lengths.astype(np.int64), doc.astype(np.uint64)
+            names, code, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
+            by = np.argsort(names)
+            words, rank = names[by].astype(np.uint64), np.empty_like(by)
+            rank[by] = np.arange(len(by))
+            place, lengths, doc = rank[whole(code)], lengths.astype(np.int64), doc.astype(np.uint64)
             at, pairs, pair = pairs_in(place, lengths, len(words))
             ctx, last = np.divmod(pairs, len(words))
             asked = Asked(words, place[:0], ctx, words[last], pairs[:0], hot)
@@ -377,26 +403,28 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             train = np.bincount(triple[~away[of_row[at[deep]]]], minlength=len(triples))
             maybe = np.flatnonzero(seen[pair[deep[first]]] > 0)
             more = Asked(names[by], np.zeros(len(by), np.int64), state[maybe], words[then[maybe]], train[maybe], hot)
-            home = packed(doc, has_id, away, lengths, known.astype(np.uint64), base, score, seen[used][by], state, p2[pair[deep[first]]], triple, np.bincount(of_row[at[deep]], minlength=len(lengths)), np.diff(maybe[more.cold], prepend=0), maybe[more.spread], more.hot + 1)
+            home = packed(doc, has_id, away, lengths, known.astype(np.uint64), base, score, seen[used][by], np.diff(state, prepend=0), trimmed(p2[pair[deep[first]]]), planes(triple), np.bincount(of_row[at[deep]], minlength=len(lengths)), np.diff(maybe[more.cold], prepend=0), maybe[more.spread], more.hot + 1)
             yield from in_parts([*more.messages(chunk, shards), (chunk % shards, chunk, HOME, home)])
 
     scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if order < 3:
         return at_home(met, walk, scores)
-    more, _, _, more_sums = exchange(at_home(met, walk, MESSAGE), shards, hot)
+    walked = durable(at_home(met, walk, MESSAGE))
     del met
     release(spark)
+    more, _, _, more_sums = exchange(walked.filter(F.col("tag") == ASK), shards)
+    release(spark)
 
     def finish(batches):
         for _, held in grouped(batches, 1):
             doc, has_id, away, lengths, known, base, score, count, state, lower, triple, of_row, cold, spread, numbers = unpacked(held[HOME][0][1])
             doc = doc.astype(np.uint64)
             if len(state):
-                state, count = state.astype(np.int64), count.astype(np.int64)
+                state, lower, triple, count = np.cumsum(state.astype(np.int64)), doubles(lower), whole(triple), count.astype(np.int64)
                 _, total, arcs, seen = joined(held[ANSWER], (np.cumsum(cold.astype(np.int64)), spread.astype(np.int64)), len(state))
                 with_hot(total, arcs, numbers.astype(np.int64) - 1, more_sums)
                 p3 = rest_of(count, total, arcs)[state] * lower + np.where(seen > 0, (seen - DISCOUNT) / count[state], 0)
                 score = score + np.bincount(np.repeat(np.arange(len(lengths)), of_row), np.log10(p3)[triple], len(lengths))
             yield result(doc, has_id, away, lengths, known, base, score)
 
-    return at_home(more, finish, scores)
+    return at_home(walked.filter(F.col("tag") == HOME).union(more), finish, scores)
