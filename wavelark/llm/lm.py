@@ -12,8 +12,8 @@ and all such n-grams are kept, at every size of corpus, in shards dealt by the s
 Counting and scoring are one traversal, in chunks of about BUFFER tokens: a chunk asks the shards
 about its different words and the words that follow them (their counts come with the question), gets
 the counts over the corpus back in its own order, and walks its texts from left to right. Where the
-walk is in a state of two words or more it asks once more, about n-grams whose parts were all kept,
-since no other can be seen LEAST times. So one exchange carries different n-grams of a chunk, no
+walk is in a state of two words it asks once more, about n-grams whose parts were all kept, since no
+other can be seen LEAST times; then it walks again, with all weights at hand. So one exchange carries different n-grams of a chunk, no
 occurrences, and one pass over the texts is enough.
 
 Skew: contexts that hold a share of 1/HOT of a sample of the tokens are dealt by the following word,
@@ -27,8 +27,6 @@ texts are read whole, and no list but one chunk's words is held.
 
 from __future__ import annotations
 
-import gc
-import math
 import zlib
 from collections import Counter
 
@@ -48,7 +46,7 @@ BUFFER, CACHE = 1_500_000, 300_000
 HOT, SAMPLE = 1 << 10, 5000
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a new line
 MESSAGE = "shard int, chunk long, tag int, data binary"
-ASK, ANSWER, SUMS, HOME = range(4)
+ASK, ANSWER, SUMS, HOME, MORE = range(5)
 
 
 def word_hash(w: bytes) -> int:
@@ -118,15 +116,6 @@ def whole(b: np.ndarray, width: int = 4) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.int64)
 
 
-def trimmed(x: np.ndarray) -> np.ndarray:
-    """Doubles without the last 16 of their bits (a relative error below 1e-11), as planes."""
-    return planes(x.astype("<f8").view("<u8") >> np.uint64(16), 6)
-
-
-def doubles(b: np.ndarray) -> np.ndarray:
-    return (whole(b, 6).astype(np.uint64) << np.uint64(16)).view(np.float64)
-
-
 def short(h: np.ndarray) -> np.ndarray:
     """The first 48 bits of hashes, as bytes: what tells the words after one context apart."""
     return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
@@ -244,12 +233,6 @@ def grouped(batches, by: int):
         yield now, held
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffled files and checkpoints that nothing refers to; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def hot_contexts(docs: DataFrame) -> np.ndarray:
     """Hashes of words and pairs with 1/HOT of a sample's tokens, sorted: how to deal them out, no more."""
     rows = docs.count()
@@ -356,7 +339,6 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             yield from out()
 
     met, n, v, sums = exchange(rows.mapInArrow(ask, MESSAGE), shards)
-    release(spark)
     denominator = n + v + 1.0
 
     def result(doc, has_id, held, lengths, known, base, score):
@@ -364,8 +346,8 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         cols = [pa.array(doc.view(np.int64), mask=~has_id), held, lengths.astype(np.int64), known.astype(np.int64), np.full(len(doc), n, np.int64), base, score]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    def walk(batches):
-        """Every text through the states of one word; what lies in longer ones is asked for and left to `finish`."""
+    def walk(batches, last_round: bool):
+        """Every text through the states of one word; then questions about longer ones, or their answers and the result."""
         for chunk, held in grouped(batches, 1):
             names, code, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
             by = np.argsort(names)
@@ -377,54 +359,42 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             asked = Asked(words, place[:0], ctx, words[last], pairs[:0], hot)
             count, total, arcs, seen = joined(held[ANSWER], asked.places(), len(pairs))
             with_hot(total, arcs, asked.hot, sums)
-            p1 = (count + 1) / denominator
-            p2 = rest_of(count, total, arcs)[ctx] * p1[last] + np.where(seen > 0, (seen - DISCOUNT) / np.maximum(count[ctx], 1), 0)
-            starts = np.cumsum(lengths) - lengths
-            of_row = np.repeat(np.arange(len(lengths)), lengths)
-            base = np.add.reduceat(np.log10(p1)[place], starts)
-            known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
             # The token at `at + 1` ends a pair. It ends a triple too where the pair before ends where this one begins.
             third = np.r_[False, at[1:] == at[:-1] + 1][: len(at)]
             deep = np.flatnonzero(third & np.r_[False, seen[pair[:-1]] > 0][: len(at)]) if order > 2 else at[:0]
-            plain = np.ones(len(at), bool)
-            plain[deep] = False
-            score = np.log10(p1)[place[starts]] + np.bincount(of_row[at[plain]], np.log10(p2)[pair[plain]], len(lengths))
-            if order < 3:
-                yield result(doc, has_id, away, lengths, known, base, score)
-                continue
-            before = pair[deep - 1]
-            used, state = np.unique(before, return_inverse=True)
-            names = mix(words[ctx[used]], words[last[used]])
-            by = np.argsort(names)
+            of_row = np.repeat(np.arange(len(lengths)), lengths)
+            used, state = np.unique(pair[deep - 1], return_inverse=True)
+            named = mix(words[ctx[used]], words[last[used]])
+            by = np.argsort(named)
             rank = np.empty_like(by)
             rank[by] = np.arange(len(by))
             triples, first, triple = np.unique(rank[state] * len(words) + place[at[deep] + 1], return_index=True, return_inverse=True)
             state, then = np.divmod(triples, len(words))
+            second = pair[deep[first]]
+            maybe = np.flatnonzero(seen[second] > 0)
             train = np.bincount(triple[~away[of_row[at[deep]]]], minlength=len(triples))
-            maybe = np.flatnonzero(seen[pair[deep[first]]] > 0)
-            more = Asked(names[by], np.zeros(len(by), np.int64), state[maybe], words[then[maybe]], train[maybe], hot)
-            home = packed(doc, has_id, away, lengths, known.astype(np.uint64), base, score, seen[used][by], np.diff(state, prepend=0), trimmed(p2[pair[deep[first]]]), planes(triple), np.bincount(of_row[at[deep]], minlength=len(lengths)), np.diff(maybe[more.cold], prepend=0), maybe[more.spread], more.hot + 1)
-            yield from in_parts([*more.messages(chunk, shards), (chunk % shards, chunk, HOME, home)])
+            more = Asked(named[by], np.zeros(len(by), np.int64), state[maybe], words[then[maybe]], train[maybe], hot)
+            if not last_round:
+                yield from in_parts(more.messages(chunk, shards))
+                continue
+            p1 = (count + 1) / denominator
+            p2 = rest_of(count, total, arcs)[ctx] * p1[last] + np.where(seen > 0, (seen - DISCOUNT) / np.maximum(count[ctx], 1), 0)
+            starts = np.cumsum(lengths) - lengths
+            base = np.add.reduceat(np.log10(p1)[place], starts)
+            known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
+            plain = np.ones(len(at), bool)
+            plain[deep] = False
+            score = np.log10(p1)[place[starts]] + np.bincount(of_row[at[plain]], np.log10(p2)[pair[plain]], len(lengths))
+            if len(deep):
+                _, total, arcs, n3 = joined(held[MORE], tuple(maybe[x] for x in more.places()), len(triples))
+                with_hot(total, arcs, more.hot, more_sums)
+                own = seen[used][by]
+                p3 = rest_of(own, total, arcs)[state] * p2[second] + np.where(n3 > 0, (n3 - DISCOUNT) / own[state], 0)
+                score += np.bincount(of_row[at[deep]], np.log10(p3)[triple], len(lengths))
+            yield result(doc, has_id, away, lengths, known, base, score)
 
     scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if order < 3:
-        return at_home(met, walk, scores)
-    walked = durable(at_home(met, walk, MESSAGE))
-    del met
-    release(spark)
-    more, _, _, more_sums = exchange(walked.filter(F.col("tag") == ASK), shards)
-    release(spark)
-
-    def finish(batches):
-        for _, held in grouped(batches, 1):
-            doc, has_id, away, lengths, known, base, score, count, state, lower, triple, of_row, cold, spread, numbers = unpacked(held[HOME][0][1])
-            doc = doc.astype(np.uint64)
-            if len(state):
-                state, lower, triple, count = np.cumsum(state.astype(np.int64)), doubles(lower), whole(triple), count.astype(np.int64)
-                _, total, arcs, seen = joined(held[ANSWER], (np.cumsum(cold.astype(np.int64)), spread.astype(np.int64)), len(state))
-                with_hot(total, arcs, numbers.astype(np.int64) - 1, more_sums)
-                p3 = rest_of(count, total, arcs)[state] * lower + np.where(seen > 0, (seen - DISCOUNT) / count[state], 0)
-                score = score + np.bincount(np.repeat(np.arange(len(lengths)), of_row), np.log10(p3)[triple], len(lengths))
-            yield result(doc, has_id, away, lengths, known, base, score)
-
-    return at_home(walked.filter(F.col("tag") == HOME).union(more), finish, scores)
+        return at_home(met, lambda batches: walk(batches, True), scores)
+    more, _, _, more_sums = exchange(at_home(met, lambda batches: walk(batches, False), MESSAGE), shards)
+    return at_home(met.union(more.withColumn("tag", F.lit(MORE))), lambda batches: walk(batches, True), scores)
