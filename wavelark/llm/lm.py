@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable
 
 ORDER, DISCOUNT, LEAST = 3, 0.5, 2
-BUFFER, CACHE = 1_500_000, 300_000
+BUFFER, CACHE = 800_000, 300_000
 #: Contexts with such a share of a sample of SAMPLE rows are dealt by the next word too; at most 2 * HOT of them.
 HOT, SAMPLE = 1 << 10, 5000
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a new line
@@ -295,7 +295,7 @@ def rest_of(count: np.ndarray, total: np.ndarray, arcs: np.ndarray) -> np.ndarra
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; order: 2 or 3 words to an n-gram at most."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text())
     hot = hot_contexts(rows)
 
