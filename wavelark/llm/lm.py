@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable
 
 ORDER, DISCOUNT, LEAST = 3, 0.5, 2
-BUFFER, CACHE = 800_000, 300_000
+BUFFER, CACHE = 1_200_000, 300_000
 #: Contexts with such a share of a sample of SAMPLE rows are dealt by the next word too; at most 2 * HOT of them.
 HOT, SAMPLE = 1 << 10, 5000
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a new line
@@ -93,7 +93,7 @@ def packed(*cols: np.ndarray) -> bytes:
             top = int(c.max()) if len(c) else 0
             c = c.astype(next(t for t, most in (("u1", 1 << 8), ("u2", 1 << 16), ("u4", 1 << 32), ("u8", 1 << 64)) if top < most))
         parts += [c.dtype.str[1:].encode(), len(c).to_bytes(8, "little"), c.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -116,6 +116,11 @@ def whole(b: np.ndarray, width: int = 4) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.int64)
 
 
+def steps(h: np.ndarray) -> np.ndarray:
+    """Sorted hashes by their differences, as planes."""
+    return planes(np.diff(h, prepend=np.zeros(1, np.uint64)), 8)
+
+
 def short(h: np.ndarray) -> np.ndarray:
     """The first 48 bits of hashes, as bytes: what tells the words after one context apart."""
     return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
@@ -156,7 +161,7 @@ class Asked:
         many, out = np.bincount(self.follow_ctx[self.cold], minlength=len(self.ctx)), []
         for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(s) > 0)).tolist():
             own, cold, spread = slice(a[k], a[k + 1]), self.cold[c[k] : c[k + 1]], self.spread[s[k] : s[k + 1]]
-            data = packed(self.ctx[own], self.count[own], many[own], short(self.follow[cold]), self.n[cold], self.hot[self.follow_ctx[spread]], short(self.follow[spread]), self.n[spread])
+            data = packed(steps(self.ctx[own]), self.count[own], many[own], short(self.follow[cold]), self.n[cold], self.hot[self.follow_ctx[spread]], short(self.follow[spread]), self.n[spread])
             out.append((k, chunk, ASK, data))
         return out
 
@@ -166,7 +171,7 @@ class Asked:
 
 def answers(held: dict[int, list[tuple[int, bytes]]], shard: int) -> tuple[list[tuple[int, int, int, bytes]], tuple]:
     """What a shard says to all questions, and its totals: tokens, words, and sums of hot contexts."""
-    asked = [(chunk, unpacked(data)) for chunk, data in held.get(ASK, ())]
+    asked = [(chunk, [np.cumsum(whole(x[0], 8).astype(np.uint64), dtype=np.uint64), *x[1:]]) for chunk, x in ((chunk, unpacked(data)) for chunk, data in held.get(ASK, ()))]
     if not asked:
         return [], (0, 0, *[np.zeros(0, np.int64)] * 3)
     col = lambda k: np.concatenate([x[k] for _, x in asked])
