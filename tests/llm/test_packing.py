@@ -1,9 +1,11 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
+
 DATA = "/root/testdata"
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,27 +48,65 @@ def best_fit_decreasing(lengths, capacity):
     return len(gaps)
 
 
-def test_sweep_is_best_fit_decreasing():
-    rng = random.Random(5)
-    for capacity in (1, 2, 7, 50, 100):
+def filled(plan, n_pieces, capacity):
+    """How many sequences a plan fills, each of them without gaps before its end."""
+    fill, placed = defaultdict(list), 0
+    for length, _, n, seq, each, offset in plan:
+        for i in range(n):
+            fill[seq + i // each].append((offset + i % each * length, length))
+        placed += n
+    assert placed == n_pieces
+    for parts in fill.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(fill)
+
+
+def in_memory(counts, capacity, ranges):
+    """`match` with lists for tables."""
+    runs, plan, opened = [(packing.PIECES_LEFT, length, 0, n, 0, 0, 0) for length, n in counts.items()], [], 0
+    for lo, hi in packing.classes(capacity):
+        while any(r[0] == packing.PIECES_LEFT and lo < r[1] <= hi for r in runs):
+            parts = [[r for r in runs if r[1] * ranges // (capacity + 1) == k] for k in range(ranges)]
+            got = packing.sweep([r for part in parts for r in packing.sweep(part, lo, hi)], lo, hi)
+            one = packing.sweep(runs, lo, hi)
+            assert sum(r[3] for r in got if r[0] == packing.PLACED) == sum(r[3] for r in one if r[0] == packing.PLACED)
+            if all(r[0] != packing.PLACED for r in got):
+                got = packing.open_sequences(got, lo, hi, opened, capacity)
+            new = [r[1:] for r in got if r[0] == packing.PLACED]
+            plan, runs = plan + new, [(packing.GAP, *r[1:]) if r[0] == packing.USED else r for r in got if r[0] != packing.PLACED]
+            opened = max([opened, *(seq + -(-n // each) for _, _, n, seq, each, _ in new)])
+    return plan
+
+
+def test_supersteps_fill_about_as_few_as_best_fit_decreasing():
+    rng, ours, best = random.Random(5), 0, 0
+    for capacity in (1, 2, 7, 50, 100, 2048):
+        assert sum(hi - lo for lo, hi in packing.classes(capacity)) == capacity
         for _ in range(40):
             lengths = [rng.choice([rng.randint(1, capacity), max(1, capacity // 3)]) for _ in range(rng.randint(0, 200))]
-            counts = defaultdict(int)
-            for n in lengths:
-                counts[n] += 1
-            fill, placed = defaultdict(list), 0
-            for length, _, n, seq, each, offset in packing.sweep(counts, capacity):
-                for i in range(n):
-                    fill[seq + i // each].append((offset + i % each * length, length))
-                placed += n
-            assert placed == len(lengths)
-            for parts in fill.values():
-                at = 0
-                for offset, length in sorted(parts):
-                    assert offset == at
-                    at += length
-                assert at <= capacity
-            assert len(fill) == best_fit_decreasing(lengths, capacity)
+            n, least = filled(in_memory(Counter(lengths), capacity, rng.randint(1, 9)), len(lengths), capacity), best_fit_decreasing(lengths, capacity)
+            assert n <= least * 1.05 + 1
+            ours, best = ours + n, best + least
+    assert ours <= best * 1.005
+
+
+@pytest.mark.parametrize("capacity,most", [(60, 60), (100, 20)])
+def test_supersteps_on_tables(spark, capacity, most):
+    rng = random.Random(capacity)
+    lengths = [rng.randint(1, most) for _ in range(3000)]
+    n = filled(packing.match(spark, dict(Counter(lengths)), capacity), len(lengths), capacity)
+    assert n == filled(in_memory(Counter(lengths), capacity, packing.RANGES), len(lengths), capacity) and n <= best_fit_decreasing(lengths, capacity) + 3
+
+
+def test_letters_merge_as_the_tokenizer_has_it():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["a" * k for k in range(1, 60)] + ["ab" * k for k in range(1, 30)]
+    got = encode.bpe([w.encode() for w in words])
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in TOK.encode_batch(words, add_special_tokens=False)]
 
 
 def check(docs, texts):

@@ -1,13 +1,13 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps.
+"""Best-fit packing of token sequences, in bulk-synchronous supersteps.
 
 Documents are tokenised, cut where longer than a sequence, and range-sorted by length, so every
-piece has a rank among the pieces of its length. Lengths are whole numbers of at most
-`capacity`, which lets both sorted sides, pieces and gaps, be kept as runs of equal size. Step by
-step from the longest length down, all pieces of that length look for their successor, the
-smallest gap that holds them; where they meet at the same gaps, rank decides which piece takes
-which; the gaps shrink, and pieces that fit nowhere open sequences. That is best-fit decreasing,
-whole classes at a time. The sweep's state is bounded by `capacity`, not by the number of
-documents; what grows with the corpus (tokens, sort, ranks, placement) stays distributed.
+piece has a rank among the pieces of its length. Lengths are whole numbers of at most `capacity`, so
+both sorted sides, pieces and gaps, are kept as tables of runs of equal size. In a superstep the
+runs are dealt by ranges of sizes; in each range a sweep matches pieces with their successors, the
+smallest gaps that hold them, and where pieces meet at the same gaps, rank decides; what a range
+has left is carried to one more sweep. Then the gaps are updated, and the superstep is repeated until
+no gap takes a piece; what is left of the class of lengths opens sequences, and the next class
+follows. That fills about as many sequences as best-fit decreasing, piece by piece, would.
 
 Defined cases: a null or empty text has the closing id alone. Repeated rows are packed as often as
 they occur. A piece as long as a sequence has one to itself. An empty table gives no rows. Extra
@@ -16,25 +16,94 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_text, durable, map_arrow
 
 CAPACITY, TOKENIZER = 2048, "word_bpe_49k.json"
-CACHE_WORDS, CACHE_CORES, CACHE_IDS, LONG, PORTION = 1_500_000, 900_000, 16_000_000, 64, 500_000
+CACHE_WORDS, CACHE_MARKS, CACHE_IDS, LONG, PORTION = 600_000, 20_000, 4_000_000, 64, 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Bpe:
+    """Byte-pair merges of many words at once, as the tokenizer's model has them: in each word the pair of least rank, the leftmost of equals, again and again."""
+
+    EMPTY, NONE = np.uint32(0xFFFFFFFF), np.int64(1 << 30)
+
+    def __init__(self, path: str):
+        model = json.load(open(path))["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        # Bytes stand for themselves where printable, the others for code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.inner, self.final = (np.array([vocab.get(char[b] + end, 0) for b in range(256)], np.uint32) for end in ("", suffix))
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        self.key, self.rank, self.new = np.full(1 << 18, self.EMPTY), np.full(1 << 18, self.NONE), np.zeros(1 << 18, np.uint32)
+        made = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # those that find their slot taken go to the next one
+            free = self.key[slot[left]] == self.EMPTY
+            won = left[free][np.unique(slot[left[free]], return_index=True)[1]]
+            self.key[slot[won]], self.rank[slot[won]], self.new[slot[won]] = keys[won], won, made[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + (self.key[slot[left]] != self.EMPTY)) & ((1 << 18) - 1)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1) >> np.uint32(14)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the pairs, each with its own key or an empty one."""
+        slot = self._slot(keys)
+        odd = np.flatnonzero((self.key[slot] != keys) & (self.key[slot] != self.EMPTY))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) & ((1 << 18) - 1)
+            odd = odd[(self.key[slot[odd]] != keys[odd]) & (self.key[slot[odd]] != self.EMPTY)]
+        return slot
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as bytes; no word is empty."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.inner[data]
+        ends = np.cumsum(size) - 1
+        symbols[ends] = self.final[data[ends]]
+        word, done = np.arange(len(words)), []
+        while len(word):
+            starts = np.cumsum(size) - size
+            slot = self._find(symbols[:-1] << np.uint32(16) | symbols[1:])
+            best = np.append(self.rank[slot], self.NONE)
+            best[starts[1:] - 1] = self.NONE
+            best = best << np.int64(32) | np.arange(len(best))
+            least = np.minimum.reduceat(best, starts)
+            at, go = least & 0xFFFFFFFF, least >> 32 < self.NONE
+            if not go.all():
+                stay = np.repeat(~go, size)
+                done.append((word[~go], size[~go], symbols[stay]))
+            at = at[go]
+            symbols[at] = self.new[slot[at]]
+            keep = np.repeat(go, size)
+            keep[at + 1] = False
+            symbols, size, word = symbols[keep], size[go] - 1, word[go]
+        out: list[bytes] = [b""] * len(words)
+        for w, n, s in done:
+            raw, end = s.tobytes(), (np.cumsum(n) * 4).tolist()
+            for i, a, b in zip(w.tolist(), [0, *end], end):
+                out[i] = raw[a:b]
+        return out
+
+
 class Encoder:
     """Token ids by the named public tokenizer, encoding each different word once.
 
@@ -43,7 +112,8 @@ class Encoder:
     tokenizer sees to the others. Words are found and hashed (64 bits: a polynomial of their bytes,
     or XXH64 where longer than LONG) for a portion of text at once; what each different word stands
     for lies in one array of ids. A word met first is encoded: a plain one as its lower-cased
-    letters and then the marks that end it, since the tokenizer lower-cases and parts these.
+    letters (by Bpe, if these aren't too long) and then the marks that end it, since the tokenizer
+    lower-cases and parts these; any other by the tokenizer itself.
     """
 
     PLAIN = re.compile("([^\\W\\d_]+)([.,;:!?%&#*$|\"()]*)")
@@ -54,12 +124,12 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.tokenizer, self.bpe = Tokenizer.from_file(public_tokenizers.path(name)), Bpe(public_tokenizers.path(name))
         self.is_space = np.zeros(256, bool)
         self.is_space[[32, 10, 9, 13]] = True
         self.of_byte = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
         self._powers(PORTION)
-        self.cores: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self._forget()
 
     def _powers(self, n: int) -> None:
@@ -80,16 +150,17 @@ class Encoder:
         return (m[1].lower(), m[2]) if m and max(word) < "\u0250" and "\u0130" not in word else (word, "")
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        cut, cores = [self._cut(w) for w in words], self.cores
-        if len(cores) + len(cut) > CACHE_CORES:
-            cores.clear()
-        cores[""] = b""
-        unknown = list({c for pair in cut for c in pair} - cores.keys())
-        cores.update(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))))
-        out = [cores[a] + cores[b] for a, b in cut]
-        for c in [c for c in unknown if len(c) > LONG]:
-            del cores[c]
-        return out
+        cut, marks = [self._cut(w) for w in words], self.marks
+        if len(marks) > CACHE_MARKS:
+            marks.clear()
+        marks[""] = b""
+        # A word that isn't plain comes whole, and is mostly not met again: it goes with the marks for this once.
+        plain = [i for i, (core, _) in enumerate(cut) if core.isalpha() and len(core) <= LONG and max(core) < "\u0250"]
+        letters = dict(zip(plain, self.bpe([cut[i][0].encode() for i in plain]) if plain else ()))
+        unknown = list({m for _, m in cut} | {c for i, (c, _) in enumerate(cut) if i not in letters} - marks.keys())
+        found = dict(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False))))
+        marks.update((m, found[m]) for _, m in cut if m in found and len(m) <= LONG)
+        return [(letters[i] if i in letters else found[c] if c in found else marks[c]) + (found[m] if m in found else marks[m]) for i, (c, m) in enumerate(cut)]
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Adds words by their sorted hashes."""
@@ -193,39 +264,124 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text()), make, PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+GAP, PIECES_LEFT, PLACED, USED = range(4)
+RUN = "kind int, size long, at long, n long, seq long, each long, offset long"
+#: Ranges of sizes that a superstep's sweeps are dealt over.
+RANGES = 8
+Run = tuple[int, int, int, int, int, int, int]
+
+
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """Bounds (above, up to) of the lengths that are matched together, the longest first: by how many fill a sequence, later by a factor."""
+    out, hi = [], capacity
+    while hi:
+        many = capacity // hi
+        lo = capacity // (many + 1) if many < 4 else hi * 5 // 8
+        out.append((min(lo, hi - 1), hi))
+        hi = out[-1][0]
+    return out
+
+
+def sweep(runs: list[Run], lo: int, hi: int) -> list[Run]:
+    """One sweep from the largest size down: each piece of the class meets its successor, the smallest gap that holds it and is not taken.
+
+    Where pieces meet at the same gaps, rank decides: longer ones come first, then lower ranks. A gap
+    takes as many pieces of one length as it holds. What it has left then comes back as USED, for the
+    next superstep; gaps and pieces that met nothing come back as they are. So sweeps over ranges of
+    sizes, and then one over what these have left, are one sweep over all.
+    """
+    out, stack = [], []
+    for kind, size, at, n, seq, each, offset in sorted(runs, key=lambda r: (-r[1], r[0] == PIECES_LEFT, r[2])):
+        if kind == GAP:
+            stack.append((size, seq, n, offset))
+        elif kind != PIECES_LEFT or not lo < size <= hi:
+            out.append((kind, size, at, n, seq, each, offset))
+        else:
+            while n and stack:
+                free, seq, m, offset = stack.pop()
+                each = min(free // size, n)
+                full = min(m, n // each)
+                out.append((PLACED, size, at, full * each, seq, each, offset))
+                if free > each * size:
+                    out.append((USED, free - each * size, 0, full, seq, 0, offset + each * size))
+                if m > full:
+                    stack.append((free, seq + full, m - full, offset))
+                at, n = at + full * each, n - full * each
+            if n:
+                out.append((PIECES_LEFT, size, at, n, 0, 0, 0))
+    return out + [(GAP, free, 0, n, seq, 0, offset) for free, seq, n, offset in stack]
+
+
+def open_sequences(runs: list[Run], lo: int, hi: int, first: int, capacity: int) -> list[Run]:
+    """The class's pieces in new sequences from number `first` on, one after another, the longest first; other runs as they are."""
+    out, free, seq = [r for r in runs if r[0] != PIECES_LEFT or not lo < r[1] <= hi], 0, first - 1
+    for _, size, at, n, *_ in sorted((r for r in runs if r[0] == PIECES_LEFT and lo < r[1] <= hi), key=lambda r: -r[1]):
+        while n:
+            if free < size:
+                if free:
+                    out.append((GAP, free, 0, 1, seq, 0, capacity - free))
+                per = capacity // size
+                if full := n // per:
+                    out.append((PLACED, size, at, full * per, seq + 1, per, 0))
+                    if capacity > per * size:
+                        out.append((GAP, capacity - per * size, 0, full, seq + 1, 0, per * size))
+                    at, n, seq, free = at + full * per, n - full * per, seq + full, 0
+                if n:
+                    seq, free = seq + 1, capacity
+                continue
+            some = min(free // size, n)
+            out.append((PLACED, size, at, some, seq, some, capacity - free))
+            at, n, free = at + some, n - some, free - some * size
+    return out + ([(GAP, free, 0, 1, seq, 0, capacity - free)] if free else [])
+
+
+def superstep(state: DataFrame, lo: int, hi: int, opened: int, capacity: int) -> DataFrame:
+    """Durable runs after one superstep over gaps and pieces: sweeps within ranges of sizes, then one over what they have left.
+
+    Where nothing met, the class's pieces open sequences from number `opened` on.
+    """
+
+    def rows(batches):
+        return [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    def batch(runs: list[Run]):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*runs))], names=[x.split()[0] for x in RUN.split(", ")])
+
+    def within(batches):
+        if got := rows(batches):
+            yield from batch(sweep(got, lo, hi))
+
+    def carry(batches):
+        got = sweep(rows(batches), lo, hi)
+        if all(r[0] != PLACED for r in got):
+            got = open_sequences(got, lo, hi, opened, capacity)
+        if got:
+            yield from batch([(GAP, *r[1:]) if r[0] == USED else r for r in got])
+
+    by_range = F.floor(F.col("size") * RANGES / (capacity + 1)).cast("int")
+    swept = state.repartitionById(RANGES, by_range).mapInArrow(within, RUN)
+    return durable(swept.repartitionById(1, F.lit(0)).mapInArrow(carry, RUN))
+
+
+def match(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Where the pieces of each length go: rows (length, first rank, pieces, first sequence, pieces of this run in each sequence, offset).
 
     The piece of rank `first rank + i` goes to sequence `first sequence + i // each`, at
-    `offset + (i % each) * length`. Gaps are runs (first sequence, sequences) by what is free.
+    `offset + (i % each) * length`. Class after class, supersteps repeat until no gap takes a piece;
+    what is left then opens sequences.
     """
-    plan, gaps, sizes, opened = [], {}, [], 0
-
-    def put(free: int, seq: int, n: int) -> None:
-        if free and n:
-            if free not in gaps:
-                insort(sizes, free)
-                gaps[free] = []
-            gaps[free].append((seq, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(sizes, length)  # the successor
-            if at < len(sizes):
-                free = sizes[at]
-                seq, n = gaps[free].pop()
-                if not gaps[free]:
-                    del gaps[free], sizes[at]
-            else:
-                free, seq, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            each = min(free // length, left)
-            full = min(n, left // each)
-            plan.append((length, rank, full * each, seq, each, capacity - free))
-            put(free - each * length, seq, full)
-            put(free, seq + full, n - full)  # untouched gaps of the run, for the next rank or length
-            left, rank = left - full * each, rank + full * each
+    plan, opened = [], 0
+    runs: list[Run] = [(PIECES_LEFT, length, 0, n, 0, 0, 0) for length, n in counts.items()]
+    state = spark.createDataFrame(runs, RUN)
+    left = set(counts)
+    for lo, hi in classes(capacity):
+        while any(lo < size <= hi for size in left):
+            after = superstep(state, lo, hi, opened, capacity)
+            placed = [tuple(r)[1:] for r in after.filter(F.col("kind") == PLACED).collect()]  # runs, a few for each length
+            plan += placed
+            opened = max([opened, *(seq + -(-n // each) for _, _, n, seq, each, _ in placed)])
+            state = after.filter(F.col("kind") != PLACED)
+            left = {r[0] for r in state.filter(F.col("kind") == PIECES_LEFT).select("size").collect()}
     return plan
 
 
@@ -242,7 +398,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for part, length, count in runs:
         first[part, length] = totals.get(length, 0)
         totals[length] = totals.get(length, 0) + count
-    plan = np.array(sorted(sweep(totals, capacity)), np.int64).reshape(-1, 6)
+    plan = np.array(sorted(match(spark, totals, capacity)), np.int64).reshape(-1, 6)
     shared = spark.sparkContext.broadcast((first, plan))
 
     def make():
