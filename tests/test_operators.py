@@ -84,24 +84,18 @@ def test_regions_by_gap_and_likeness(spark):
     assert [r.region_id for r in regions.regions(vectors(spark, [(0.0, [1.0, 0.0]), (2.5, [1.0, 0.0])])).collect()] == [0, 0]
 
 
-def reference_pick(starts, es, base, count, prior, shown):
-    """The choice by its definition, all pairs anew at each step."""
-    cos = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) if np.linalg.norm(a) * np.linalg.norm(b) else 0.0
-    out = []
+def by_definition(starts, es, base, count, prior, shown):
+    """The choice by its formula: over the windows that may still be picked, the greatest worth, the earliest of equals."""
+    unit = es / np.maximum(np.linalg.norm(es, axis=1, keepdims=True), 1e-300)
+    like, apart = unit @ unit.T, np.abs(np.subtract.outer(starts, starts))
+    known = np.max([unit @ (e / max(np.linalg.norm(e), 1e-300)) for e in prior], axis=0) if prior else np.full(len(starts), -np.inf)
+    worth = base - 0.2 * np.where(np.isinf(known), 0, known) - 0.5 * np.isin(np.arange(len(starts)), list(shown))
+    out: list[int] = []
     while len(out) < count:
-        best = None
-        for i in range(len(starts)):
-            if i in out or any(abs(starts[i] - starts[j]) < 8 or cos(es[i], es[j]) >= 0.97 for j in out):
-                continue
-            p = max((cos(es[i], e) for e in prior), default=None)
-            if p is not None and p >= 0.97:
-                continue
-            v = base[i] - 0.2 * max((cos(es[i], es[j]) for j in out), default=0.0) - 0.2 * (p or 0.0) - 0.5 * (i in shown)
-            if best is None or v > best[0]:
-                best = (v, i)
-        if best is None:
+        may = (known < 0.97) & (apart[:, out] >= 8).all(axis=1) & (like[:, out] < 0.97).all(axis=1) & ~np.isin(np.arange(len(starts)), out)
+        if not may.any():
             break
-        out.append(best[1])
+        out.append(int(np.where(may, worth - 0.2 * (like[:, out].max(axis=1) if out else 0), -np.inf).argmax()))
     return out
 
 
@@ -115,7 +109,7 @@ def test_greedy_choice_is_its_definition():
         rows = pd.DataFrame({"window_idx": range(n), "start_seconds": starts, "score": base, "embedding": list(es)})
         prior = rows.iloc[: k % 3][["window_idx", "embedding"]]
         if n:
-            assert selection.pick(rows, prior, 25, DEFAULT) == reference_pick(starts, es, base, 25, list(prior["embedding"]), set(prior["window_idx"]))
+            assert selection.pick(rows, prior, 25, DEFAULT) == by_definition(starts, es, base, 25, list(prior["embedding"]), set(prior["window_idx"]))
 
 
 def test_final_takes_the_earliest(spark):
@@ -261,13 +255,38 @@ def test_streams(spark, tmp_path):
 def test_plans_have_no_cross_joins(spark):
     from wavelark import catalog
 
-    for name in ("clip_bounds", "contrast", "gating_envelope", "clip_samples"):
-        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    for name, query in catalog.QUERIES.items():
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = catalog.QUERIES["region_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(event_id,250)" in plan
 
 
+def test_blocks_of_time_change_nothing(spark, monkeypatch):
+    """Regions, contrast and noise floors over many blocks and bars are those over one."""
+    from wavelark import catalog
+
+    d, names = "/root/testdata/sf0.001", ("sound_regions", "contrast", "noise_floor_activity")
+    want = [sorted(map(repr, catalog.QUERIES[n](spark, d).collect())) for n in names]
+    monkeypatch.setattr(regions, "BLOCK", 7.0)
+    monkeypatch.setattr(scoring, "BLOCK_MS", 9_000)
+    monkeypatch.setattr(framing, "STEPS", 1)
+    assert [sorted(map(repr, catalog.QUERIES[n](spark, d).collect())) for n in names] == want
+
+
+def test_percentile_with_ties(spark):
+    rows = spark.createDataFrame([(r, float(v)) for r, vs in (("a", [1] * 50 + [2, 3]), ("b", [5]), ("c", range(1, 12)), ("d", [1, 1000])) for v in vs], "recording_id string, x double")
+    got = {r.recording_id: r.q for r in framing.exact_percentile(rows, "x", 0.2, "q").collect()}
+    assert got == pytest.approx({"a": 1, "b": 5, "c": 3, "d": 200.8})
+
+
+def test_spacing_and_downmix(spark):
+    rows = spark.createDataFrame([("r", x) for x in (0.0, 0.5, 1.0, 1.2, 5.0)], "recording_id string, start_seconds double")
+    assert [r.start_seconds for r in framing.dedup_spacing(rows, 0.9).orderBy("start_seconds").collect()] == [0.0, 1.0, 5.0]
+    two = spark.createDataFrame([("r", c, i, float(c * 10 + i)) for c in (0, 1) for i in range(3)], "recording_id string, channel int, sample_idx long, value double")
+    assert [r.value for r in framing.downmix(two).orderBy("sample_idx").collect()] == [5.0, 6.0, 7.0]
+
+
 def test_queries_without_twins_take_all_rows(spark):
     from wavelark import catalog
 

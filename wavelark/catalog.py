@@ -52,17 +52,15 @@ def _segmented(spark: SparkSession, d: str, seed: int | None = None) -> DataFram
     return analysis.ranked(T.windows(spark, d), _features(spark, d), DIM, seed)
 
 
-JITTER = scoring.jittered_weights(1)[0]
-FACTORS = scoring.jitter_factors(1, 2000)
-PLAIN, JITTERED = O.scored([0.2] * 5), O.scored([JITTER[c] for c in scoring.COMPONENTS], FACTORS)
+PLAIN, JITTERED = O.scored([0.2] * 5), O.scored(*O.jitter(1, T.WINDOWS))
 
 
 # Signals
 
 
-@query(f"WITH {O.ENVELOPE} SELECT frame, {s6('rms')} FROM env")
+@query(f"WITH {O.ENVELOPE} SELECT rec AS recording_id, frame, {s6('rms')} FROM env")
 def energy_envelope(spark, d):
-    return framing.energy_envelope(T.signal(spark, d), FRAME).select("frame", *r6("rms"))
+    return framing.energy_envelope(T.signal(spark, d), FRAME).select("recording_id", "frame", *r6("rms"))
 
 
 @query("WITH s AS (SELECT user_id::VARCHAR AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v FROM events) SELECT recording_id, i // 5 AS frame, round(sqrt(avg(v * v) + 1e-12), 6) AS rms FROM s GROUP BY 1, 2 HAVING count(*) = 5 OR i // 5 = 0")
@@ -71,13 +69,13 @@ def energy_envelope_by_user(spark, d):
 
 
 def _grid_sql(window: int, hop: int) -> str:
-    return f"""WITH {O.SIGNAL}, n AS (SELECT CASE WHEN count(*) <= {window} THEN 1 ELSE ceil((count(*) - {window}) / {hop}.0)::BIGINT + 1 END AS n FROM sig), g AS (SELECT unnest(range(0, n)) AS window_idx FROM n)
-SELECT window_idx, window_idx * {hop} / 100.0::DOUBLE AS start_seconds, count(*) AS n_samples, round(sqrt(sum(v * v) / {window}), 6) AS rms FROM g JOIN sig ON i >= window_idx * {hop} AND i < window_idx * {hop} + {window} GROUP BY window_idx"""
+    return f"""WITH {O.SIGNAL}, n AS (SELECT rec, CASE WHEN count(*) <= {window} THEN 1 ELSE ceil((count(*) - {window}) / {hop}.0)::BIGINT + 1 END AS n FROM sig GROUP BY rec), g AS (SELECT rec, unnest(range(0, n)) AS window_idx FROM n)
+SELECT g.rec AS recording_id, window_idx, window_idx * {hop} / 100.0::DOUBLE AS start_seconds, count(*) AS n_samples, round(sqrt(sum(v * v) / {window}), 6) AS rms FROM g JOIN sig ON g.rec = sig.rec AND i >= window_idx * {hop} AND i < window_idx * {hop} + {window} GROUP BY ALL"""
 
 
 def _grid(spark, d, window: int, hop: int) -> DataFrame:
     rows = framing.sliding(T.signal(spark, d), window, hop, F.count(F.lit(1)).alias("n_samples"), F.sqrt(F.sum(F.col("value") * F.col("value")) / window).alias("rms"))
-    return rows.select("window_idx", (F.col("window_idx") * hop / float(RATE)).alias("start_seconds"), "n_samples", *r6("rms"))
+    return rows.select("recording_id", "window_idx", (F.col("window_idx") * hop / float(RATE)).alias("start_seconds"), "n_samples", *r6("rms"))
 
 
 @query(_grid_sql(400, 200))
@@ -100,9 +98,9 @@ def window_counts(spark, d):
     return framing.sliding(T.user_signals(spark, d), 40, 20).groupBy("recording_id").agg(F.count(F.lit(1)).alias("windows"))
 
 
-@query(f"WITH {O.ENVELOPE}, f AS (SELECT *, quantile_cont(rms, 0.2) OVER () AS floor FROM env) SELECT frame, {s6('rms', 'floor')}, rms > floor * 1.6::DOUBLE AS active FROM f")
+@query(f"WITH {O.ENVELOPE}, f AS (SELECT *, quantile_cont(rms, 0.2) OVER (PARTITION BY rec) AS floor FROM env) SELECT rec AS recording_id, frame, {s6('rms', 'floor')}, rms > floor * 1.6::DOUBLE AS active FROM f")
 def noise_floor_activity(spark, d):
-    return framing.noise_floor(framing.energy_envelope(T.signal(spark, d), FRAME), DEFAULT.active_ratio).select("frame", *r6("rms", "floor"), "active")
+    return framing.noise_floor(framing.energy_envelope(T.signal(spark, d), FRAME), DEFAULT.active_ratio).select("recording_id", "frame", *r6("rms", "floor"), "active")
 
 
 @query("""WITH s AS (SELECT user_id::VARCHAR AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v FROM events),
@@ -114,14 +112,14 @@ def usable_bounds(spark, d):
     return framing.usable_bounds(T.user_signals(spark, d), FRAME, RATE, DEFAULT.active_ratio).select("recording_id", *r6("onset", "trailing_silence", "duration"))
 
 
-@query("SELECT i // 4 AS sample_idx, round(avg(v), 6) AS value FROM (SELECT event_id AS i, value AS v FROM events) GROUP BY 1")
+@query(f"WITH {O.SIGNAL} SELECT rec AS recording_id, i // 4 AS sample_idx, round(avg(v), 6) AS value FROM sig GROUP BY ALL")
 def decimated_signal(spark, d):
-    return framing.decimate(T.signal(spark, d), 4).select("sample_idx", *r6("value"))
+    return framing.decimate(T.signal(spark, d), 4).select("recording_id", "sample_idx", *r6("value"))
 
 
 @query("SELECT event_id AS sample_idx, value FROM events WHERE event_id BETWEEN 250 AND 899")
 def region_scan(spark, d):
-    return T.signal(spark, d).filter("sample_idx between 250 and 899").select("sample_idx", "value")
+    return T.span(spark, d, 250, 899).select("sample_idx", "value")
 
 
 # Features
@@ -190,17 +188,17 @@ def sound_regions(spark, d):
     return _segmented(spark, d).select("window_idx", "region_id")
 
 
-@query(f"WITH {PLAIN}, {O.REGIONS} SELECT count(DISTINCT region_id) AS regions FROM reg")
+@query(f"WITH {PLAIN}, {O.REGIONS} SELECT rec AS recording_id, count(DISTINCT region_id) AS regions FROM reg GROUP BY rec")
 def region_count(spark, d):
-    return regions.count_regions(_segmented(spark, d)).select("regions")
+    return regions.count_regions(_segmented(spark, d)).select("recording_id", "regions")
 
 
-@query(f"WITH {PLAIN}, {O.REGIONS} SELECT region_id, window_idx, start_seconds, {s6('score')}, region_window_count FROM reps")
+@query(f"WITH {PLAIN}, {O.REGIONS} SELECT rec AS recording_id, region_id, window_idx, start_seconds, {s6('score')}, region_window_count FROM reps")
 def region_representatives(spark, d):
-    return regions.representatives(_segmented(spark, d)).select("region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
+    return regions.representatives(_segmented(spark, d)).select("recording_id", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
 
 
-SHORT_COLUMNS = "pick, region_id, window_idx, start_seconds, round(score, 6) AS score, region_window_count"
+SHORT_COLUMNS = "rec AS recording_id, pick, region_id, window_idx, start_seconds, round(score, 6) AS score, region_window_count"
 
 
 def _short(spark, d) -> DataFrame:
@@ -209,35 +207,42 @@ def _short(spark, d) -> DataFrame:
 
 @query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)} SELECT {SHORT_COLUMNS} FROM short")
 def shortlist_25(spark, d):
-    return _short(spark, d).select("pick", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
+    return _short(spark, d).select("recording_id", "pick", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
 
 
-@query(f"WITH RECURSIVE {JITTERED}, {O.REGIONS}, prior AS (SELECT window_idx, embedding FROM reps WHERE region_id % 9 = 0), {O.greedy(25, 'prior')} SELECT {SHORT_COLUMNS} FROM short")
+@query(f"WITH RECURSIVE {JITTERED}, {O.REGIONS}, prior AS (SELECT rec, window_idx, embedding FROM reps WHERE region_id % 9 = 0), {O.greedy(25, 'prior')} SELECT {SHORT_COLUMNS} FROM short")
 def shortlist_prior_history(spark, d):
     reps = regions.representatives(_segmented(spark, d, 1))
-    return selection.shortlist(reps, DEFAULT.shortlist, reps.filter("region_id % 9 = 0")).select("pick", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
+    return selection.shortlist(reps, DEFAULT.shortlist, reps.filter("region_id % 9 = 0")).select("recording_id", "pick", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
 
 
-@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, ok AS (SELECT *, row_number() OVER (ORDER BY start_seconds) AS n FROM short WHERE window_idx % 7 <> 3) SELECT n::INTEGER AS candidate_id, window_idx, start_seconds, {s6('score')} FROM ok WHERE n <= 10")
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, ok AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY start_seconds) AS n FROM short WHERE window_idx % 7 <> 3) SELECT rec AS recording_id, n::INTEGER AS candidate_id, window_idx, start_seconds, {s6('score')} FROM ok WHERE n <= 10")
 def final_10(spark, d):
     short = _short(spark, d)
     failed = T.windows(spark, d).filter("window_idx % 7 = 3")
-    return selection.final(short, failed).select("candidate_id", "window_idx", "start_seconds", *r6("score"))
+    return selection.final(short, failed).select("recording_id", "candidate_id", "window_idx", "start_seconds", *r6("score"))
 
 
-@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, ok AS (SELECT *, row_number() OVER (ORDER BY pick) AS n FROM short WHERE window_idx % 7 <> 3) SELECT row_number() OVER (ORDER BY start_seconds)::INTEGER AS candidate_id, window_idx, pick FROM ok WHERE n <= 10")
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, ok AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY pick) AS n FROM short WHERE window_idx % 7 <> 3) SELECT rec AS recording_id, row_number() OVER (PARTITION BY rec ORDER BY start_seconds)::INTEGER AS candidate_id, window_idx, pick FROM ok WHERE n <= 10")
 def final_10_best_first(spark, d):
-    return selection.final(_short(spark, d), T.windows(spark, d).filter("window_idx % 7 = 3"), order="score").select("candidate_id", "window_idx", "pick")
+    return selection.final(_short(spark, d), T.windows(spark, d).filter("window_idx % 7 = 3"), order="score").select("recording_id", "candidate_id", "window_idx", "pick")
 
 
-@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)} SELECT (SELECT count(*) FROM w) AS total_windows_analyzed, (SELECT count(*) FROM w WHERE has_speech) AS excluded_speech_windows, (SELECT count(*) FROM pool) AS pool_size, (SELECT count(DISTINCT region_id) FROM reg) AS region_count, (SELECT count(*) FROM short) AS shortlist_size, (SELECT least(10, count(*)) FROM short WHERE window_idx % 7 <> 3) AS final_count")
+@query(f"""WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)},
+a AS (SELECT rec, count(*) AS total_windows_analyzed, count(*) FILTER (has_speech) AS excluded_speech_windows FROM w GROUP BY rec),
+b AS (SELECT rec, count(*) AS pool_size, count(DISTINCT region_id) AS region_count FROM reg GROUP BY rec),
+t AS (SELECT *, window_idx % 7 = 3 AS bad, coalesce(sum(CASE WHEN window_idx % 7 <> 3 THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY start_seconds ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS passed FROM short),
+c AS (SELECT rec, count(*) AS shortlist_size, least(10, count(*) FILTER (NOT bad)) AS final_count, count(*) FILTER (bad AND passed < 10) AS excluded_speech_in_clip FROM t GROUP BY rec)
+SELECT rec AS recording_id, total_windows_analyzed, excluded_speech_windows, coalesce(pool_size, 0) AS pool_size, coalesce(region_count, 0) AS region_count, coalesce(shortlist_size, 0) AS shortlist_size, coalesce(final_count, 0) AS final_count, coalesce(excluded_speech_in_clip, 0) AS excluded_speech_in_clip FROM a LEFT JOIN b USING (rec) LEFT JOIN c USING (rec)""")
 def run_counters(spark, d):
-    short = _short(spark, d)
-    final = selection.final(short, T.windows(spark, d).filter("window_idx % 7 = 3"))
-    return analysis.counters(T.windows(spark, d), _segmented(spark, d), short, final).drop("recording_id")
+    """The ranked pool is made once; regions, shortlist and final candidates are read from it."""
+    windows, failed = T.windows(spark, d), T.windows(spark, d).filter("window_idx % 7 = 3")
+    pool = analysis.kept(_segmented(spark, d))
+    short = analysis.kept(selection.shortlist(regions.representatives(pool), DEFAULT.shortlist))
+    return analysis.counters(windows, pool, short, selection.final(short, failed), selection.excluded_in_clips(short, failed))
 
 
-@query(f"WITH {O.WINDOWS}, p AS (SELECT *, lag(embedding) OVER (ORDER BY window_idx) AS pe FROM w) SELECT window_idx, round({O.cos('pe', 'embedding')}, 6) AS similarity FROM p WHERE pe IS NOT NULL")
+@query(f"WITH {O.WINDOWS}, p AS (SELECT *, lag(embedding) OVER (PARTITION BY rec ORDER BY window_idx) AS pe FROM w) SELECT window_idx, round({O.cos('pe', 'embedding')}, 6) AS similarity FROM p WHERE pe IS NOT NULL")
 def adjacent_similarity(spark, d):
     rows = T.windows(spark, d).withColumn("p", F.lag("embedding").over(Window.partitionBy("recording_id").orderBy("window_idx")))
     return rows.filter("p is not null").select("window_idx", F.round(cosine(F.col("p"), F.col("embedding")), 6).alias("similarity"))
@@ -255,17 +260,17 @@ def _clips(spark, d) -> DataFrame:
     return clipping.clip_bounds(clipping.event_spans(_candidates(spark, d), T.signal(spark, d), RATE))
 
 
-@query(f"WITH {O.SPANS} SELECT window_idx, {s6('span_start', 'span_end')} FROM spans")
+@query(f"WITH {O.WINDOWS}, {O.SIGNAL}, {O.SPANS} SELECT window_idx, {s6('span_start', 'span_end')} FROM spans")
 def event_span(spark, d):
     return clipping.event_spans(_candidates(spark, d), T.signal(spark, d), RATE).select("window_idx", *r6("span_start", "span_end"))
 
 
-@query(f"WITH {O.BOUNDS} SELECT window_idx, {s6('clip_start', 'clip_end')} FROM clips")
+@query(f"WITH {O.WINDOWS}, {O.SIGNAL}, {O.BOUNDS} SELECT window_idx, {s6('clip_start', 'clip_end')} FROM clips")
 def clip_bounds(spark, d):
     return _clips(spark, d).select("window_idx", *r6("clip_start", "clip_end"))
 
 
-@query(f"WITH {O.BOUNDS} SELECT window_idx, count(*) AS n_samples, round(sum(v), 6) AS total FROM clips JOIN sig ON i >= round_even(clip_start * 100, 0) AND i < round_even(clip_end * 100, 0) GROUP BY window_idx")
+@query(f"WITH {O.WINDOWS}, {O.SIGNAL}, {O.BOUNDS} SELECT window_idx, count(*) AS n_samples, round(sum(v), 6) AS total FROM clips JOIN sig ON clips.rec = sig.rec AND i >= round_even(clip_start * 100, 0) AND i < round_even(clip_end * 100, 0) GROUP BY window_idx")
 def clip_samples(spark, d):
     return clipping.clip_samples(_clips(spark, d), T.signal(spark, d), RATE).groupBy("window_idx").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.sum("value"), 6).alias("total"))
 
@@ -281,25 +286,20 @@ def _sub_scores(spark, d):
     return score
 
 
-SUBS = f"""{O.BOUNDS}, cnt AS (SELECT *, CASE WHEN clip_end - clip_start <= 2 THEN 1 ELSE ceil(clip_end - clip_start - 2 - 1e-9)::BIGINT + 1 END AS n FROM clips),
-sub AS (SELECT window_idx, unnest(range(0, n)) AS k, clip_start, clip_end FROM cnt), sc AS (SELECT window_idx, k, avg(CASE WHEN v > 95 THEN 1.0 ELSE 0.0 END) AS s FROM sub JOIN sig ON i >= round_even((clip_start + k) * 100, 0) AND i < round_even(least(clip_end, clip_start + k + 2) * 100, 0) GROUP BY ALL)"""
-
-
-@query(f"WITH {SUBS} SELECT window_idx FROM sc GROUP BY window_idx HAVING max(s) >= 0.15")
+@query(f"WITH {O.WINDOWS}, {O.SIGNAL}, {O.BOUNDS}, {O.RECHECK} SELECT window_idx FROM refused")
 def clip_speech_recheck(spark, d):
     return clipping.clips_with_speech(_sub_scores(spark, d)(clipping.check_windows(_clips(spark, d)))).select("window_idx")
 
 
-@query(f"""WITH RECURSIVE {PLAIN.replace("w AS (", "w0 AS (", 1).replace("pool AS (", "w AS (SELECT * FROM w0 WHERE start_seconds + 4 <= (SELECT (max(event_id) + 1) / 100.0 FROM events)), pool AS (", 1).replace("el AS (SELECT * FROM w ", "el AS (SELECT * FROM w0 WHERE start_seconds + 4 <= (SELECT (max(event_id) + 1) / 100.0 FROM events) AND ", 1).replace("AND WHERE", "AND", 1)}, {O.REGIONS}, {O.greedy(25)},
-{SUBS.replace(O.WINDOWS + ", ", "", 1).replace("lev AS", "lev2 AS", 1).replace("FROM lev)", "FROM lev2)", 1)},
-ok AS (SELECT short.*, row_number() OVER (ORDER BY start_seconds) AS n FROM short WHERE window_idx NOT IN (SELECT window_idx FROM sc GROUP BY window_idx HAVING max(s) >= 0.15))
-SELECT n::INTEGER AS candidate_id, window_idx, start_seconds, {s6('clip_start', 'clip_end')} FROM ok JOIN clips USING (window_idx) WHERE n <= 10""")
+@query(f"""WITH RECURSIVE {O.scored([0.2] * 5, pool=f"{O.INSIDE}, {O.POOLED}")}, {O.REGIONS}, {O.greedy(25)}, {O.BOUNDS}, {O.RECHECK},
+ok AS (SELECT short.*, row_number() OVER (PARTITION BY rec ORDER BY start_seconds) AS n FROM short WHERE window_idx NOT IN (SELECT window_idx FROM refused))
+SELECT ok.rec AS recording_id, n::INTEGER AS candidate_id, window_idx, ok.start_seconds, {s6('clip_start', 'clip_end')} FROM ok JOIN clips USING (window_idx) WHERE n <= 10""")
 def verified_candidates(spark, d):
     length = clipping.durations(T.signal(spark, d), RATE)
     inside = T.windows(spark, d).join(length, "recording_id").filter(F.col("start_seconds") + 4 <= F.col("duration")).drop("duration")
-    short = analysis.shortlisted(inside, _features(spark, d), DIM)
+    short = analysis.kept(analysis.shortlisted(inside, _features(spark, d), DIM))
     out = analysis.verified(short, T.signal(spark, d), _sub_scores(spark, d), RATE)
-    return out.select("candidate_id", "window_idx", "start_seconds", *r6("clip_start", "clip_end"))
+    return out.select("recording_id", "candidate_id", "window_idx", "start_seconds", *r6("clip_start", "clip_end"))
 
 
 # Scalars
@@ -349,27 +349,32 @@ def composition_timeline(spark, d):
     return timeline.timeline(_items(spark, d)).select("run_id", "position", *r6("fade", "start"))
 
 
-@query("""WITH a AS (SELECT event_id AS i, value AS v FROM events WHERE event_id < 400), b AS (SELECT event_id - 400 AS i, value AS v FROM events WHERE event_id >= 400 AND event_id < 900),
-u AS (SELECT i, v * CASE WHEN i >= 360 THEN 1 - (i - 360) / 40.0 ELSE 1 END AS v FROM a UNION ALL SELECT i + 360, v * CASE WHEN i < 40 THEN i / 40.0 ELSE 1 END FROM b) SELECT i AS sample_idx, round(sum(v), 6) AS value FROM u GROUP BY i""")
+#: The whole signal in runs of 900 samples, the first 400 of each as one stream and the others as the next.
+HALVES = "a AS (SELECT event_id // 900 AS run, event_id % 900 AS i, value AS v FROM events WHERE event_id % 900 < 400), b AS (SELECT event_id // 900 AS run, event_id % 900 - 400 AS i, value AS v FROM events WHERE event_id % 900 >= 400)"
+
+
+def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = T.signal(spark, d, 900)
+    return s.filter("sample_idx < 400"), s.filter("sample_idx >= 400").withColumn("sample_idx", F.col("sample_idx") - 400)
+
+
+@query(f"""WITH {HALVES}, u AS (SELECT run, i, v * CASE WHEN i >= 360 THEN 1 - (i - 360) / 40.0 ELSE 1 END AS v FROM a UNION ALL SELECT run, i + 360, v * CASE WHEN i < 40 THEN i / 40.0 ELSE 1 END FROM b)
+SELECT 'rec' || run AS recording_id, i AS sample_idx, round(sum(v), 6) AS value FROM u GROUP BY ALL""")
 def crossfade_mix(spark, d):
-    s = T.signal(spark, d)
-    a, b = s.filter("sample_idx < 400"), s.filter("sample_idx >= 400 and sample_idx < 900").withColumn("sample_idx", F.col("sample_idx") - 400)
-    return timeline.crossfade(a, b, 400, 40).select("sample_idx", *r6("value"))
+    return timeline.crossfade(*_halves(spark, d), 400, 40).select("recording_id", "sample_idx", *r6("value"))
 
 
-@query("""WITH a AS (SELECT event_id AS i, value AS v FROM events WHERE event_id < 400), b AS (SELECT event_id - 400 AS i, value AS v FROM events WHERE event_id >= 400 AND event_id < 900)
-SELECT i AS sample_idx, round(v * CASE WHEN i >= 398 THEN 1 - (i - 398) / 2.0 ELSE 1 END, 6) AS value FROM a UNION ALL SELECT i + 400, round(v * CASE WHEN i < 2 THEN i / 2.0 ELSE 1 END, 6) FROM b""")
+@query(f"""WITH {HALVES} SELECT 'rec' || run AS recording_id, i AS sample_idx, round(v * CASE WHEN i >= 398 THEN 1 - (i - 398) / 2.0 ELSE 1 END, 6) AS value FROM a
+UNION ALL SELECT 'rec' || run, i + 400, round(v * CASE WHEN i < 2 THEN i / 2.0 ELSE 1 END, 6) FROM b""")
 def declick_concat(spark, d):
-    s = T.signal(spark, d)
-    a, b = s.filter("sample_idx < 400"), s.filter("sample_idx >= 400 and sample_idx < 900").withColumn("sample_idx", F.col("sample_idx") - 400)
-    return timeline.declick_concat(a, b, 400, 2).select("sample_idx", *r6("value"))
+    return timeline.declick_concat(*_halves(spark, d), 400, 2).select("recording_id", "sample_idx", *r6("value"))
 
 
 @query()
 def composition_render(spark, d):
     """The whole signal in runs of ten clips, each composed with boundary cuts: a fold over the running mix, which SQL can't say."""
     clip = F.floor(F.col("sample_idx") / 100)
-    clips = T.signal(spark, d).groupBy(F.concat(F.lit("run"), F.floor(clip / 10).cast("string")).alias("run_id"), (clip % 10).alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
+    clips = T.signal(spark, d, 1000).groupBy(F.col("recording_id").alias("run_id"), clip.alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
     items = clips.select("run_id", "position", "samples", (F.col("position") % 2 == 0).alias("crossfade_into_next"))
     return timeline.compose(items, RATE).select("run_id", F.round("duration", 6).alias("duration"), F.size("samples").alias("n_samples"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
@@ -380,18 +385,21 @@ def move_down(spark, d):
     return timeline.swap_neighbours(rows.withColumn("candidate_id", F.col("position")), 2, True).select("run_id", "position", "candidate_id")
 
 
-@query("""WITH g(lo, hi, fade, depth) AS (VALUES (100, 200, 20, 0.1), (150, 260, 30, 0.25)), f AS (SELECT event_id AS i, product(CASE WHEN event_id - lo < fade THEN 1 - (event_id - lo) * (1 - depth) / (fade - 1)
-WHEN event_id - lo >= hi - lo - fade THEN depth + (event_id - lo - (hi - lo - fade)) * (1 - depth) / (fade - 1) ELSE depth END) AS m FROM events JOIN g ON event_id >= lo AND event_id < hi GROUP BY event_id)
-SELECT event_id AS sample_idx, round(value * coalesce(m, 1), 6) AS value FROM events LEFT JOIN f ON i = event_id""")
+@query("""WITH g(lo, hi, fade, depth) AS (VALUES (100, 200, 20, 0.1), (150, 260, 30, 0.25)), s AS (SELECT event_id // 1000 AS rec, event_id % 1000 AS i, value AS v FROM events),
+f AS (SELECT i AS p, product(CASE WHEN i - lo < fade THEN 1 - (i - lo) * (1 - depth) / (fade - 1)
+WHEN i - lo >= hi - lo - fade THEN depth + (i - lo - (hi - lo - fade)) * (1 - depth) / (fade - 1) ELSE depth END) AS m FROM range(0, 1000) q(i) JOIN g ON i >= lo AND i < hi GROUP BY i)
+SELECT 'rec' || rec AS recording_id, i AS sample_idx, round(v * coalesce(m, 1), 6) AS value FROM s LEFT JOIN f ON i = p""")
 def gating_envelope(spark, d):
-    gates = spark.createDataFrame([(T.RECORDING, 100, 200, 20, 0.1), (T.RECORDING, 150, 260, 30, 0.25)], "recording_id string, lo long, hi long, fade long, depth double")
-    return effects.apply_gates(T.signal(spark, d), gates, 800).select("sample_idx", *r6("value"))
+    """The signal in recordings of 1,000 samples, each with the same two gates."""
+    s = T.signal(spark, d, 1000)
+    two = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("lo", "hi", "fade", "depth"), g))) for g in ((100, 200, 20, 0.1), (150, 260, 30, 0.25))))
+    gates = s.select("recording_id").distinct().select("recording_id", F.explode(two).alias("g")).select("recording_id", *(F.col(f"g.{n}").cast("long").alias(n) for n in ("lo", "hi", "fade")), "g.depth")
+    return effects.apply_gates(s, gates, 800).select("recording_id", "sample_idx", *r6("value"))
 
 
 def _requests(spark, d) -> DataFrame:
-    tones = spark.createDataFrame([(t,) for t in effects.TONES], "tone string")
     clips = T.read(spark, d, "part").select(F.concat(F.lit("clip_"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("basename"), (F.col("p_size") * 3200 + 96_000).cast("long").alias("n_samples"))
-    return clips.join(F.broadcast(tones)).withColumn("version", F.lit(1))
+    return clips.withColumn("tone", F.explode(F.array(*map(F.lit, effects.TONES)))).withColumn("version", F.lit(1))
 
 
 @query()

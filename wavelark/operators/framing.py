@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def energy_envelope(signal: DataFrame, frame: int) -> DataFrame:
@@ -55,9 +56,31 @@ def window_count(total: F.Column, window: int, hop: int) -> F.Column:
     return F.when(total <= window, F.lit(1).cast("long")).otherwise(F.ceil((total - window) / hop) + 1)
 
 
+#: Steps of the logarithm of a level that a histogram has to a unit.
+STEPS = 512
+
+
+def exact_percentile(rows: DataFrame, column: str, share: float, name: str) -> DataFrame:
+    """recording_id and the column's exact percentile, straight between neighbours; the column is positive.
+
+    A histogram over the logarithm finds the one or two bars that hold the ranks looked for; only
+    these bars' values are then sorted, so that no task needs all values of a recording.
+    """
+    bar = F.floor(F.log(F.col(column)) * STEPS)
+    upto = Window.partitionBy("recording_id").orderBy("_bar")
+    bars = rows.groupBy("recording_id", bar.alias("_bar")).agg(F.count(F.lit(1)).alias("_n"))
+    bars = bars.withColumn("_before", F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_at", (F.sum("_n").over(Window.partitionBy("recording_id")) - 1) * F.lit(share))
+    bars = bars.filter((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_n") > F.floor("_at"))).drop("_n")
+    held = rows.withColumn("_bar", bar).join(bars, ["recording_id", "_bar"]).groupBy("recording_id", "_bar", "_before", "_at", F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    held = held.withColumn("_last", F.col("_before") + F.sum("_n").over(Window.partitionBy("recording_id", "_bar").orderBy("_v")) - 1)
+    at = lambda rank: F.min(F.when(F.col("_last") >= rank, F.col("_v")))
+    found = held.groupBy("recording_id").agg(at(F.floor("_at")).alias("_lo"), at(F.ceil("_at")).alias("_hi"), F.first("_at").alias("_at"))
+    return found.select("recording_id", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))).alias(name))
+
+
 def noise_floor(envelope: DataFrame, ratio: float) -> DataFrame:
     """recording_id, frame, rms, floor (exact 20th percentile by recording), active (above ratio times the floor)."""
-    floor = envelope.groupBy("recording_id").agg(F.percentile("rms", 0.2).alias("floor"))
+    floor = exact_percentile(envelope, "rms", 0.2, "floor")
     return envelope.join(floor, "recording_id").withColumn("active", F.col("rms") > F.col("floor") * ratio)
 
 

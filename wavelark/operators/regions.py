@@ -10,14 +10,26 @@ from ..config import DEFAULT, Config
 from ..functions.vectors import cosine
 
 
+#: Seconds of the blocks that time is cut into.
+BLOCK = 300.0
+
+
 def regions(pool: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """`pool` plus region_id, from 0 in each recording: a new one after a gap, or where neighbours are unlike."""
-    w = Window.partitionBy("recording_id").orderBy("start_seconds")
-    last = F.lag("start_seconds").over(w)
-    rows = pool.withColumn("_gap", F.col("start_seconds") - last).withColumn("_prev", F.lag("embedding").over(w))
-    new = F.when(F.col("_gap").isNull(), 0).when((F.col("_gap") > cfg.region_gap_seconds) | (cosine(F.col("_prev"), F.col("embedding")) < cfg.region_similarity), 1).otherwise(0)
-    rows = rows.withColumn("_new", new)
-    return rows.withColumn("region_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_gap", "_prev", "_new")
+    """`pool` plus region_id, from 0 in each recording: a new one after a gap, or where neighbours are unlike.
+
+    A window looks no further back than the longest gap, so time is cut into blocks with as much of
+    the block before; regions are counted within blocks, and blocks' totals added up.
+    """
+    s = F.col("start_seconds")
+    own, key = F.floor(s / BLOCK), ["recording_id", "_block"]
+    rows = pool.withColumn("_block", F.explode(F.sequence(own, F.floor((s + cfg.region_gap_seconds) / BLOCK))))
+    w = Window.partitionBy(*key).orderBy("start_seconds")
+    same = (s - F.lag("start_seconds").over(w) <= cfg.region_gap_seconds) & (cosine(F.lag("embedding").over(w), F.col("embedding")) >= cfg.region_similarity)
+    rows = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).filter(F.col("_block") == own)
+    rows = rows.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy("recording_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*key).agg(F.sum("_new").alias("_total")).select(*key, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    return rows.join(blocks, key).withColumn("region_id", F.col("_before") + F.col("_in") - 1).select(*pool.columns, "region_id")
 
 
 def representatives(scored: DataFrame) -> DataFrame:

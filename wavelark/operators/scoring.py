@@ -37,16 +37,23 @@ def novelty(windows: DataFrame, dim: int) -> DataFrame:
     return windows.join(mean, "recording_id").withColumn("novelty_raw", 1.0 - cosine(e, F.col("_mean"))).drop("_mean")
 
 
+#: Milliseconds of the blocks that time is cut into where windows look at their surroundings.
+BLOCK_MS = 300_000
+
+
 def contrast(windows: DataFrame, dim: int, cfg: Config = DEFAULT) -> DataFrame:
     """`windows` plus contrast_raw: one less the cosine with the mean of the neighbours within contrast_seconds, itself left out; no neighbour: 0.
 
-    Cosine doesn't see the mean's divisor, so the frame's sums less the row itself will do.
+    Cosine doesn't see the mean's divisor, so the frame's sums less the row itself will do. Time is cut
+    into blocks, each with what lies within reach of it, so that a long recording spreads over tasks.
     """
     e = F.col("embedding")
     reach = round(cfg.contrast_seconds * 1000)  # frames take whole bounds, so times are in milliseconds
-    near = Window.partitionBy("recording_id").orderBy(F.bround(F.col("start_seconds") * 1000).cast("long")).rangeBetween(-reach, reach)
-    rows = windows.select("*", F.count(F.lit(1)).over(near).alias("_n"), *[(F.sum(e[i]).over(near) - e[i]).alias(f"_s{i}") for i in range(dim)])
-    rows = rows.withColumn("_sum", F.array(*[f"_s{i}" for i in range(dim)]))
+    block = lambda shift: F.floor((F.col("_ms") + shift) / BLOCK_MS)
+    rows = windows.withColumn("_ms", F.bround(F.col("start_seconds") * 1000).cast("long")).withColumn("_block", F.explode(F.sequence(block(-reach), block(reach))))
+    near = Window.partitionBy("recording_id", "_block").orderBy("_ms").rangeBetween(-reach, reach)
+    rows = rows.select("*", F.count(F.lit(1)).over(near).alias("_n"), *[(F.sum(e[i]).over(near) - e[i]).alias(f"_s{i}") for i in range(dim)])
+    rows = rows.filter(F.col("_block") == block(0)).withColumn("_sum", F.array(*[f"_s{i}" for i in range(dim)]))
     return rows.withColumn("contrast_raw", F.when(F.col("_n") == 1, 0.0).otherwise(1.0 - cosine(e, F.col("_sum")))).select(*windows.columns, "contrast_raw")
 
 

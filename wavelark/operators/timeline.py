@@ -24,19 +24,19 @@ def timeline(items: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def crossfade(a: DataFrame, b: DataFrame, n_a: int, fade: int) -> DataFrame:
-    """(sample_idx, value) of two streams overlapped by `fade` samples under straight ramps: one sum by output position."""
+    """(recording_id, sample_idx, value) of two streams to a recording, overlapped by `fade` samples under straight ramps: one sum by output position."""
     ramp = F.when(F.col("sample_idx") >= n_a - fade, 1.0 - (F.col("sample_idx") - (n_a - fade)) / F.lit(float(fade))).otherwise(1.0)
-    left = a.select("sample_idx", (F.col("value") * ramp).alias("value"))
+    left = a.select("recording_id", "sample_idx", (F.col("value") * ramp).alias("value"))
     rise = F.when(F.col("sample_idx") < fade, F.col("sample_idx") / F.lit(float(fade))).otherwise(1.0)
-    right = b.select((F.col("sample_idx") + (n_a - fade)).alias("sample_idx"), (F.col("value") * rise).alias("value"))
-    return left.unionAll(right).groupBy("sample_idx").agg(F.sum("value").alias("value"))
+    right = b.select("recording_id", (F.col("sample_idx") + (n_a - fade)).alias("sample_idx"), (F.col("value") * rise).alias("value"))
+    return left.unionAll(right).groupBy("recording_id", "sample_idx").agg(F.sum("value").alias("value"))
 
 
 def declick_concat(a: DataFrame, b: DataFrame, n_a: int, ramp: int) -> DataFrame:
-    """(sample_idx, value) of one stream after the other, each faded over `ramp` samples at the join."""
+    """(recording_id, sample_idx, value) of one stream after the other, each faded over `ramp` samples at the join."""
     down = F.when(F.col("sample_idx") >= n_a - ramp, 1.0 - (F.col("sample_idx") - (n_a - ramp)) / F.lit(float(max(ramp, 1)))).otherwise(1.0) if ramp else F.lit(1.0)
     up = F.when(F.col("sample_idx") < ramp, F.col("sample_idx") / F.lit(float(max(ramp, 1)))).otherwise(1.0) if ramp else F.lit(1.0)
-    return a.select("sample_idx", (F.col("value") * down).alias("value")).unionAll(b.select((F.col("sample_idx") + n_a).alias("sample_idx"), (F.col("value") * up).alias("value")))
+    return a.select("recording_id", "sample_idx", (F.col("value") * down).alias("value")).unionAll(b.select("recording_id", (F.col("sample_idx") + n_a).alias("sample_idx"), (F.col("value") * up).alias("value")))
 
 
 def _bounds(x: np.ndarray, rate: int, cfg: Config) -> tuple[float, float]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -46,11 +47,27 @@ def shown(history: DataFrame | None, final: DataFrame, windows: DataFrame) -> Da
     return new if history is None else history.unionByName(new).dropDuplicates(["recording_id", "window_idx"])
 
 
-def counters(windows: DataFrame, segmented: DataFrame, short: DataFrame, final: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """`df` made once, in the checkpoint folder that executors share, for plans that read it several times.
+
+    The folder is the session's `spark.checkpoint.dir`; a local session without one gets a folder of its own.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wavelark-"))
+    return df.checkpoint(eager=True)
+
+
+def counters(windows: DataFrame, segmented: DataFrame, short: DataFrame, final: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """A run's counters by recording, as its log has them."""
     a = windows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("total_windows_analyzed"), F.count_if("has_speech").alias("excluded_speech_windows"))
     b = segmented.groupBy("recording_id").agg(F.count(F.lit(1)).alias("pool_size"), F.countDistinct("region_id").alias("region_count"))
     c = short.groupBy("recording_id").agg(F.count(F.lit(1)).alias("shortlist_size"))
     d = final.groupBy("recording_id").agg(F.count(F.lit(1)).alias("final_count"))
     out = a.join(b, "recording_id", "left").join(c, "recording_id", "left").join(d, "recording_id", "left")
+    if excluded is not None:
+        out = out.join(excluded, "recording_id", "left")
     return out.na.fill(0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-WINDOWS = """w AS (SELECT e.vec_id AS window_idx, 2.0::DOUBLE * e.vec_id AS start_seconds, e.label = 0 AS has_speech,
+import random
+
+WINDOWS = """w AS (SELECT e.vec_id AS window_idx, 'rec' || (e.vec_id // 128) AS rec, 2.0::DOUBLE * (e.vec_id % 128) AS start_seconds, e.label = 0 AS has_speech,
   list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE + e.embedding[i]::DOUBLE * 0.2::DOUBLE) AS embedding
   FROM embeddings e JOIN embeddings a ON a.vec_id = e.vec_id - e.vec_id % 16)"""
 SPECTRUM = """smp AS (SELECT vec_id, i - 1 AS n, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)),
@@ -16,8 +18,8 @@ band AS (SELECT vec_id, b, sqrt(avg(m * m)) AS e FROM dft JOIN bands ON k * 0.25
 share AS (SELECT vec_id, e / nullif(sum(e) OVER (PARTITION BY vec_id), 0) AS p, sum(e) OVER (PARTITION BY vec_id) AS t FROM band),
 lay AS (SELECT vec_id, CASE WHEN any_value(t) <= 1e-9 THEN 0 ELSE -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(6) END AS layering FROM share GROUP BY vec_id),
 cre AS (SELECT vec_id, max(m) / (avg(m) + 1e-9) AS crest FROM dft GROUP BY vec_id),
-lev AS (SELECT vec_id, n // 8 AS f, sqrt(avg(x * x) + 1e-12) AS r FROM smp GROUP BY vec_id, f),
-flu AS (SELECT vec_id, avg(abs(d)) AS flux FROM (SELECT vec_id, r - lag(r) OVER (PARTITION BY vec_id ORDER BY f) AS d FROM lev) GROUP BY vec_id),
+flev AS (SELECT vec_id, n // 8 AS f, sqrt(avg(x * x) + 1e-12) AS r FROM smp GROUP BY vec_id, f),
+flu AS (SELECT vec_id, avg(abs(d)) AS flux FROM (SELECT vec_id, r - lag(r) OVER (PARTITION BY vec_id ORDER BY f) AS d FROM flev) GROUP BY vec_id),
 feats AS (SELECT vec_id AS window_idx, layering, crest, flux FROM lay JOIN cre USING (vec_id) JOIN flu USING (vec_id))"""
 )
 
@@ -28,67 +30,82 @@ def cos(a: str, b: str) -> str:
 
 
 EMBEDDED = f"""el AS (SELECT * FROM w WHERE NOT has_speech),
-gm AS (SELECT list(v ORDER BY i) AS mean FROM (SELECT i, avg(embedding[i]) AS v FROM el, range(1, 65) r(i) GROUP BY i)),
-nov AS (SELECT window_idx, 1 - {cos("embedding", "mean")} AS novelty FROM el, gm),
-nb AS (SELECT a.window_idx, i, sum(b.embedding[i]) AS s FROM el a JOIN el b ON abs(a.start_seconds - b.start_seconds) <= 30 AND a.window_idx <> b.window_idx, range(1, 65) r(i) GROUP BY a.window_idx, i),
+gm AS (SELECT rec, list(v ORDER BY i) AS mean FROM (SELECT rec, i, avg(embedding[i]) AS v FROM el, range(1, 65) r(i) GROUP BY rec, i) GROUP BY rec),
+nov AS (SELECT window_idx, 1 - {cos("embedding", "mean")} AS novelty FROM el JOIN gm USING (rec)),
+nb AS (SELECT a.window_idx, i, sum(b.embedding[i]) AS s FROM el a JOIN el b ON a.rec = b.rec AND abs(a.start_seconds - b.start_seconds) <= 30 AND a.window_idx <> b.window_idx, range(1, 65) r(i) GROUP BY a.window_idx, i),
 nbm AS (SELECT window_idx, list(s ORDER BY i) AS local FROM nb GROUP BY window_idx),
 con AS (SELECT el.window_idx, CASE WHEN local IS NULL THEN 0 ELSE 1 - {cos("embedding", "local")} END AS contrast FROM el LEFT JOIN nbm USING (window_idx))"""
 
 
 def _unit(c: str) -> str:
-    return f"CASE WHEN max({c}) OVER () - min({c}) OVER () < 1e-9 THEN 0.5 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END"
+    lo, hi = f"min({c}) OVER (PARTITION BY rec)", f"max({c}) OVER (PARTITION BY rec)"
+    return f"CASE WHEN {hi} - {lo} < 1e-9 THEN 0.5 ELSE ({c} - {lo}) / ({hi} - {lo}) END"
 
 
-POOL = f"""{WINDOWS}, {FEATURES}, {EMBEDDED},
-pool AS (SELECT window_idx, start_seconds, embedding, {_unit("novelty")} AS novelty, {_unit("contrast")} AS contrast, {_unit("layering")} AS layering, {_unit("crest")} AS distinctiveness, {_unit("flux")} AS temporal_interest
+POOLED = f"""{FEATURES}, {EMBEDDED},
+pool AS (SELECT window_idx, rec, start_seconds, embedding, {_unit("novelty")} AS novelty, {_unit("contrast")} AS contrast, {_unit("layering")} AS layering, {_unit("crest")} AS distinctiveness, {_unit("flux")} AS temporal_interest
   FROM el JOIN nov USING (window_idx) JOIN con USING (window_idx) JOIN feats USING (window_idx))"""
-EQUAL = ", ".join(["0.2"] * 5)
+POOL = f"{WINDOWS}, {POOLED}"
+
+
+def jitter(seed: int, places: int) -> tuple[list[float], list[float]]:
+    """The five weights that a seed makes of equal ones, and the factors of a recording's first places."""
+    draw = random.Random(seed).uniform
+    raw = [0.2 * (1 + draw(-0.4, 0.4)) for _ in range(5)]
+    return [x / sum(raw) for x in raw], [1 + draw(-0.15, 0.15) for _ in range(places)]
 
 
-def scored(weights: list[float], factors: list[float] | None = None) -> str:
+def scored(weights: list[float], factors: list[float] | None = None, pool: str = POOL) -> str:
     names = ("novelty", "contrast", "layering", "distinctiveness", "temporal_interest")
     total = " + ".join(f"{w!r}::DOUBLE * {c}" for w, c in zip(weights, names))
-    place = f"* ([{', '.join(map(repr, factors))}]::DOUBLE[])[row_number() OVER (ORDER BY start_seconds)]" if factors else ""
-    return f"""{POOL},
+    place = f"* ([{', '.join(map(repr, factors))}]::DOUBLE[])[row_number() OVER (PARTITION BY rec ORDER BY start_seconds)]" if factors else ""
+    return f"""{pool},
 scored AS (SELECT *, ({total}) {place} AS score FROM pool)"""
 
 
-REGIONS = f"""lagged AS (SELECT *, lag(start_seconds) OVER (ORDER BY start_seconds) AS ps, lag(embedding) OVER (ORDER BY start_seconds) AS pe FROM scored),
+REGIONS = f"""lagged AS (SELECT *, lag(start_seconds) OVER (PARTITION BY rec ORDER BY start_seconds) AS ps, lag(embedding) OVER (PARTITION BY rec ORDER BY start_seconds) AS pe FROM scored),
 fresh AS (SELECT *, CASE WHEN ps IS NULL THEN 0 WHEN start_seconds - ps > 2.5 OR {cos("pe", "embedding")} < 0.92 THEN 1 ELSE 0 END AS new FROM lagged),
-reg AS (SELECT *, sum(new) OVER (ORDER BY start_seconds ROWS UNBOUNDED PRECEDING)::BIGINT AS region_id FROM fresh),
-reps AS (SELECT *, count(*) OVER (PARTITION BY region_id) AS region_window_count FROM reg QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY score DESC, start_seconds) = 1)"""
+reg AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY start_seconds ROWS UNBOUNDED PRECEDING)::BIGINT AS region_id FROM fresh),
+reps AS (SELECT *, count(*) OVER (PARTITION BY rec, region_id) AS region_window_count FROM reg QUALIFY row_number() OVER (PARTITION BY rec, region_id ORDER BY score DESC, start_seconds) = 1)"""
 
 
 def greedy(count: int, prior: str | None = None) -> str:
-    """Recursive choice among reps; `prior` names a table (window_idx, embedding) shown before."""
-    before = f"pri AS (SELECT r.region_id, max({cos('r.embedding', 'p.embedding')}) AS like_, coalesce(bool_or(r.window_idx = p.window_idx), false) AS again FROM reps r, {prior} p GROUP BY r.region_id)," if prior else ""
+    """Recursive choice among each recording's reps; `prior` names a table (rec, window_idx, embedding) shown before."""
+    before = f"pri AS (SELECT r.rec, r.region_id, max({cos('r.embedding', 'p.embedding')}) AS like_, coalesce(bool_or(r.window_idx = p.window_idx), false) AS again FROM reps r JOIN {prior} p ON p.rec = r.rec GROUP BY r.rec, r.region_id)," if prior else ""
     base = "r.score - 0.2::DOUBLE * like_ - CASE WHEN again THEN 0.5::DOUBLE ELSE 0 END" if prior else "r.score"
-    source = "reps r JOIN pri USING (region_id) WHERE like_ < 0.97" if prior else "reps r"
+    source = "reps r JOIN pri USING (rec, region_id) WHERE like_ < 0.97" if prior else "reps r"
     return f"""{before}
-open AS MATERIALIZED (SELECT r.region_id AS id, r.start_seconds AS s, r.embedding AS e, {base} AS base FROM {source}),
-sim AS MATERIALIZED (SELECT a.id AS i, b.id AS j, {cos("a.e", "b.e")} AS c, abs(a.s - b.s) AS dt FROM open a, open b),
-g(step, sel) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT step + 1, list_append(sel, pick) FROM (
-  SELECT step, sel, arg_max(id, row(value, -id)) AS pick FROM (
-    SELECT g.step, g.sel, r.id, r.base - 0.2::DOUBLE * coalesce(max(s.c), 0) AS value, min(s.dt) AS near, max(s.c) AS like_
-    FROM g CROSS JOIN open r LEFT JOIN sim s ON s.i = r.id AND list_contains(g.sel, s.j) WHERE g.step < {count} AND NOT list_contains(g.sel, r.id) GROUP BY g.step, g.sel, r.id, r.base)
-  WHERE coalesce(near >= 8, true) AND coalesce(like_ < 0.97, true) GROUP BY step, sel) WHERE pick IS NOT NULL),
-best AS (SELECT sel FROM g ORDER BY step DESC LIMIT 1),
-short AS (SELECT k AS pick, r.* FROM best, range(1, len(sel) + 1) q(k) JOIN reps r ON r.region_id = sel[k])"""
-
-
-SIGNAL = "sig AS (SELECT event_id AS i, value AS v FROM events), len AS (SELECT (max(i) + 1) / 100.0::DOUBLE AS duration FROM sig)"
-ENVELOPE = SIGNAL + ", env AS (SELECT i // 5 AS frame, sqrt(avg(v * v) + 1e-12) AS rms FROM sig GROUP BY frame HAVING count(*) = 5 OR frame = 0)"
-SPANS = f"""{WINDOWS}, {SIGNAL},
-cand AS (SELECT window_idx, start_seconds, duration, greatest(0, start_seconds - 2.5::DOUBLE) AS ss, least(duration, start_seconds + 6.5::DOUBLE) AS se FROM w, len WHERE NOT has_speech AND start_seconds < duration),
+open AS MATERIALIZED (SELECT rec, r.region_id AS id, r.start_seconds AS s, r.embedding AS e, {base} AS base FROM {source}),
+sim AS MATERIALIZED (SELECT a.rec, a.id AS i, b.id AS j, {cos("a.e", "b.e")} AS c, abs(a.s - b.s) AS dt FROM open a JOIN open b ON a.rec = b.rec),
+g(rec, step, sel) AS (SELECT DISTINCT rec, 0, []::BIGINT[] FROM open UNION ALL SELECT rec, step + 1, list_append(sel, pick) FROM (
+  SELECT rec, step, sel, arg_max(id, row(value, -id)) AS pick FROM (
+    SELECT g.rec, g.step, g.sel, r.id, r.base - 0.2::DOUBLE * coalesce(max(s.c), 0) AS value, min(s.dt) AS near, max(s.c) AS like_
+    FROM g JOIN open r ON r.rec = g.rec LEFT JOIN sim s ON s.rec = r.rec AND s.i = r.id AND list_contains(g.sel, s.j) WHERE g.step < {count} AND NOT list_contains(g.sel, r.id) GROUP BY g.rec, g.step, g.sel, r.id, r.base)
+  WHERE coalesce(near >= 8, true) AND coalesce(like_ < 0.97, true) GROUP BY rec, step, sel) WHERE pick IS NOT NULL),
+best AS (SELECT rec, arg_max(sel, step) AS sel FROM g GROUP BY rec),
+picks AS (SELECT rec, unnest(range(1, len(sel) + 1)) AS pick, unnest(sel) AS region_id FROM best),
+short AS (SELECT pick, r.* FROM picks JOIN reps r USING (rec, region_id))"""
+
+
+SIGNAL = "sig AS (SELECT 'rec' || (event_id // 25600) AS rec, event_id % 25600 AS i, value AS v FROM events), len AS (SELECT rec, (max(i) + 1) / 100.0::DOUBLE AS duration FROM sig GROUP BY rec)"
+ENVELOPE = SIGNAL + ", env AS (SELECT rec, i // 5 AS frame, sqrt(avg(v * v) + 1e-12) AS rms FROM sig GROUP BY rec, frame HAVING count(*) = 5 OR frame = 0)"
+#: Windows of which the signal holds all.
+INSIDE = f"{WINDOWS.replace('w AS', 'whole AS', 1)}, {SIGNAL}, w AS (SELECT whole.* FROM whole JOIN len USING (rec) WHERE start_seconds + 4 <= duration)"
+SPANS = """cand AS (SELECT window_idx, rec, start_seconds, duration, greatest(0, start_seconds - 2.5::DOUBLE) AS ss, least(duration, start_seconds + 6.5::DOUBLE) AS se FROM w JOIN len USING (rec) WHERE NOT has_speech AND start_seconds < duration),
 lim AS (SELECT *, round_even(ss * 100, 0)::BIGINT AS lo, round_even(se * 100, 0)::BIGINT AS hi FROM cand),
-lev AS (SELECT window_idx, start_seconds, ss, (i - lo) // 5 AS frame, sqrt(avg(v * v) + 1e-12) AS rms, count(*) AS n FROM lim JOIN sig ON i >= lo AND i < hi WHERE se - ss >= 0.5 GROUP BY window_idx, start_seconds, ss, (i - lo) // 5 HAVING count(*) = 5 OR (i - lo) // 5 = 0),
+lev AS (SELECT window_idx, start_seconds, ss, (i - lo) // 5 AS frame, sqrt(avg(v * v) + 1e-12) AS rms, count(*) AS n FROM lim JOIN sig ON lim.rec = sig.rec AND i >= lo AND i < hi WHERE se - ss >= 0.5 GROUP BY window_idx, start_seconds, ss, (i - lo) // 5 HAVING count(*) = 5 OR (i - lo) // 5 = 0),
 act AS (SELECT *, rms > quantile_cont(rms, 0.2) OVER (PARTITION BY window_idx) * 1.6::DOUBLE AS active FROM lev),
 isl AS (SELECT *, sum(CASE WHEN active THEN 0 ELSE 1 END) OVER (PARTITION BY window_idx ORDER BY frame) AS island FROM act),
 hit AS (SELECT window_idx, ss, island, min(frame) AS a, max(frame) AS b, bool_or(frame >= greatest(0, trunc((start_seconds - ss) / 0.05::DOUBLE)) AND frame <= trunc((start_seconds + 4 - ss) / 0.05::DOUBLE)) AS seed FROM isl WHERE active GROUP BY ALL),
 span AS (SELECT window_idx, any_value(ss) + min(a) * 0.05::DOUBLE AS span_start, any_value(ss) + (max(b) + 1) * 0.05::DOUBLE AS span_end FROM hit WHERE seed GROUP BY window_idx),
-spans AS (SELECT c.window_idx, start_seconds, duration, span_start, span_end FROM cand c LEFT JOIN span USING (window_idx))"""
+spans AS (SELECT c.window_idx, c.rec, start_seconds, duration, span_start, span_end FROM cand c LEFT JOIN span USING (window_idx))"""
 BOUNDS = f"""{SPANS},
 pad AS (SELECT *, greatest(0, span_start - 0.15::DOUBLE) AS lo2, least(duration, span_end + 0.15::DOUBLE) AS hi2 FROM spans),
 mid AS (SELECT *, CASE WHEN span_start IS NULL THEN start_seconds + 2 WHEN hi2 - lo2 <= 5 THEN (lo2 + hi2) / 2 END AS c FROM pad),
-clips AS (SELECT window_idx, CASE WHEN c IS NULL THEN lo2 ELSE greatest(0, least(duration, greatest(0, c - 2.5) + 5) - 5) END AS clip_start,
+clips AS (SELECT window_idx, rec, CASE WHEN c IS NULL THEN lo2 ELSE greatest(0, least(duration, greatest(0, c - 2.5) + 5) - 5) END AS clip_start,
   CASE WHEN c IS NOT NULL THEN least(duration, greatest(0, c - 2.5) + 5) WHEN hi2 - lo2 > 6.5 THEN lo2 + 6.5 ELSE hi2 END AS clip_end FROM mid)"""
+#: Clips that the second gate refuses: two-second sub-windows, one second apart, of which a share of 0.15 lies above 95.
+RECHECK = """cnt AS (SELECT *, CASE WHEN clip_end - clip_start <= 2 THEN 1 ELSE ceil(clip_end - clip_start - 2 - 1e-9)::BIGINT + 1 END AS n FROM clips),
+sub AS (SELECT window_idx, rec, unnest(range(0, n)) AS k, clip_start, clip_end FROM cnt),
+sc AS (SELECT window_idx, k, avg(CASE WHEN v > 95 THEN 1.0 ELSE 0.0 END) AS s FROM sub JOIN sig ON sub.rec = sig.rec AND i >= round_even((clip_start + k) * 100, 0) AND i < round_even(least(clip_end, clip_start + k + 2) * 100, 0) GROUP BY ALL),
+refused AS (SELECT window_idx FROM sc GROUP BY window_idx HAVING max(s) >= 0.15)"""

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ANCHOR = 16
-RECORDING = "rec0"
+#: Windows of a recording (two seconds apart), and its samples at 100 Hz.
+WINDOWS, SAMPLES = 128, 25_600
+
+
+def recording(number: F.Column, of: int) -> F.Column:
+    return F.concat(F.lit("rec"), F.floor(number / of).cast("string"))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recording_id, window_idx, start_seconds, has_speech, embedding.
+    """recording_id, window_idx, start_seconds, has_speech, embedding: WINDOWS vectors make a recording.
 
     Embeddings are anchored: each is the first of its block of 16 plus a fifth of its own, so that
     neighbours are alike as they are in a recording.
@@ -24,19 +29,24 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = e.filter(F.col("vec_id") % ANCHOR == 0).select(F.col("vec_id").alias("anchor"), F.col("e").alias("a"))
     joined = e.join(first, (e.vec_id - e.vec_id % ANCHOR) == first.anchor)
     return joined.select(
-        F.lit(RECORDING).alias("recording_id"), F.col("vec_id").alias("window_idx"), (F.col("vec_id") * 2.0).alias("start_seconds"), (F.col("label") == 0).alias("has_speech"),
+        recording(F.col("vec_id"), WINDOWS).alias("recording_id"), F.col("vec_id").alias("window_idx"), (F.col("vec_id") % WINDOWS * 2.0).alias("start_seconds"), (F.col("label") == 0).alias("has_speech"),
         F.zip_with("a", "e", lambda a, x: a + x * 0.20).alias("embedding"),
     )
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recording_id, window_idx, samples: each raw vector as one window of 64 samples at 16 Hz."""
-    return read(spark, sf_dir, "embeddings").select(F.lit(RECORDING).alias("recording_id"), F.col("vec_id").alias("window_idx"), F.col("embedding").cast("array<double>").alias("samples"))
+    return read(spark, sf_dir, "embeddings").select(recording(F.col("vec_id"), WINDOWS).alias("recording_id"), F.col("vec_id").alias("window_idx"), F.col("embedding").cast("array<double>").alias("samples"))
+
+
+def signal(spark: SparkSession, sf_dir: str, samples: int = SAMPLES) -> DataFrame:
+    """recording_id, sample_idx, value: event values in order, at 100 Hz, `samples` to a recording."""
+    return read(spark, sf_dir, "events").select(recording(F.col("event_id"), samples).alias("recording_id"), (F.col("event_id") % samples).alias("sample_idx"), "value")
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recording_id, sample_idx, value: event values in order, at 100 Hz."""
-    return read(spark, sf_dir, "events").select(F.lit(RECORDING).alias("recording_id"), F.col("event_id").alias("sample_idx"), "value")
+def span(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
+    """As `signal`, the samples of events `first` to `last` alone: the bounds reach the scan."""
+    return read(spark, sf_dir, "events").filter(F.col("event_id").between(first, last)).select(recording(F.col("event_id"), SAMPLES).alias("recording_id"), (F.col("event_id") % SAMPLES).alias("sample_idx"), "value")
 
 
 def user_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
