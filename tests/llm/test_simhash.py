@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 DATA = "/root/testdata"
 
-from wavelark.llm import simhash
+from wavelark.llm import common, simhash
 
 from llmfixtures import ODD
 
@@ -103,9 +103,29 @@ def test_ties_repeats_and_missing_ids(make_docs):
     got = simhash.near_duplicates(make_docs([(7, text), (7, text), (None, text), (3, text + "."), (9, None), (None, "alone in here")])).collect()
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.component_id is None, r.component_id or 0) for r in got)) == sorted([(False, 7, False, 7), (False, 7, False, 7), (True, 0, False, 7), (False, 3, False, 3), (False, 9, False, 9), (True, 0, True, 0)])
     kept = simhash.keep_one(make_docs([(7, text), (7, text), (8, text), (None, text), (9, None)]))
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 7, 9]
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [7, 9]
     assert kept.columns == make_docs(["x"]).columns
 
 
 def test_empty_table(make_docs):
     assert simhash.near_duplicates(make_docs(["x"]).limit(0)).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_stay(make_docs):
+    rows = [(5, "one text with words of its own"), (5, "quite another text that has nothing of it"), (None, "a third one without any id at all"), (None, "a third one without any id at all"), (6, None), (6, "")]
+    kept = simhash.keep_one(make_docs(rows)).collect()
+    assert sorted(r.text or "" for r in kept) == sorted(["", rows[0][1], rows[1][1], rows[2][1]])
+
+
+def test_hot_keys_are_looked_up_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(100)] + [(None, 1), (99, 2)], "k int, x int")
+    table = spark.createDataFrame([(k, -k) for k in range(7)], "k int, y int")
+    assert sorted(map(tuple, common.look_up(rows, "k", table).select("k", "x", "y").collect())) == sorted((r.k, r.x, -r.k) for r in rows.collect() if r.k is not None and r.k < 7)
+
+
+def test_dropped_rows_beyond_a_broadcast(make_docs, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW", 1)
+    docs = make_docs(["the same words here"] * 9 + ["other words, they are", None])
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 9, 10]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -34,18 +33,48 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the checkpoint folder that all executors share, so it outlives any of them.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session's `spark.checkpoint.dir` names it.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in tests, a
-    folder of the local machine is used.
+    Where that is unset a local session gets a folder of its own, as in tests; a cluster is refused.
     """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="wavelark-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the checkpoint folder that all executors share, so it outlives any of them."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "wavelark-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+#: Keys with such a share of the rows, and at least so many of them, are looked up apart: no more than HOT keys have it.
+HOT, HOT_ROWS = 1024, 64
+
+
+def look_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """`rows` joined by `key` with `table`, which has each key once; both durable. Rows without a match go.
+
+    An ordinary join puts all rows of a key into one task. Here the keys that hold a share of 1/HOT
+    of the rows take their match from a broadcast of at most HOT rows; the others are joined as usual.
+    """
+    least = max(HOT_ROWS, rows.count() / HOT)
+    hot = [r[0] for r in rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") >= least).select(key).collect()]
+    if not hot:
+        return rows.join(table, key)
+    keys = F.broadcast(rows.sparkSession.createDataFrame([(h,) for h in hot], f"{key} {dict(rows.dtypes)[key]}"))
+    apart = rows.join(F.broadcast(table.join(keys, key, "left_semi")), key)
+    return rows.join(keys, key, "left_anti").join(table, key).unionByName(apart)
+
+
 def doc_text() -> "F.Column":
     """The whole text; null counts as empty."""
     return F.coalesce(F.col("text"), F.lit("")).alias("text")

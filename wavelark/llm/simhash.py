@@ -14,7 +14,9 @@ found by hooking and pointer jumping over durable tables.
 Defined cases: null or empty text, and text of white space alone, has fingerprint zero and links
 like any other. Fewer words than a shingle make one shingle. Repeated rows share a component. A
 null doc_id gets its component's id but never names one (null if no member has an id). Long texts
-are hashed in blocks. An empty table gives no rows; extra columns are ignored.
+are hashed in blocks. An empty table gives no rows; extra columns are ignored. Where one row of each
+component is kept, it is that of the least doc_id (those without one last), the first of equals; rows
+are told apart by their place in the table, so rows of one doc_id with different texts are different.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, durable, map_arrow
+from .common import doc_text, durable, look_up, map_arrow
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 BLOCK = 1 << 15
@@ -51,17 +53,17 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and further long columns."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
         return run
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text()), make, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text(), *more), make, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def keys(fps: DataFrame) -> DataFrame:
@@ -189,41 +191,52 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of the edges (a, b): label is the component's least node.
 
     Each round hooks a node to the least label next to it, then follows labels once; the number of
-    rounds grows with the logarithm of the longest path. Every round ends in a durable table.
+    rounds grows with the logarithm of the longest path. Every round ends in a durable table. Nodes
+    with many edges and labels of many nodes are looked up apart, so that none fills a task.
     """
     both = durable(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")))
     labels = durable(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"))
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
+        near = look_up(both, "v", labels.withColumnRenamed("node", "v")).groupBy("u").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.node == near.u).select("node", F.least("label", "near").alias("label"))
         # A label's own label: what its node has hooked to. Roots hook as well, through `pulled`.
         pulled = hooked.select("node", "label").join(labels.select(F.col("node").alias("n"), F.col("label").alias("old")), F.col("node") == F.col("n")).groupBy("old").agg(F.min("label").alias("least"))
         hooked = durable(hooked.join(pulled, hooked.node == pulled.old, "left").select("node", F.least("label", F.coalesce("least", "label")).alias("label")))
-        up = hooked.select(F.col("node").alias("n"), F.col("label").alias("next"))
-        jumped = hooked.join(up, hooked.label == up.n).select("node", F.least("label", "next").alias("label"))
-        new = durable(jumped)
+        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = durable(look_up(hooked, "label", up).select("node", F.least("label", "next").alias("label")))
         if new.join(labels.select(F.col("node").alias("n"), F.col("label").alias("old")), F.col("node") == F.col("n")).filter("label <> old").isEmpty():
             return new
         labels = new
 
 
+def classes(each: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows with fp: durable (fp, rep, n) with the least doc_id and the number of rows, and (fp, label) with the component's least fingerprint."""
+    found = durable(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    labels = components(links(found.select("fp"), largest))
+    return found, durable(found.join(labels, found.fp == labels.node, "left").select("fp", F.coalesce("label", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and component_size (rows) of each row of `docs`."""
     each = durable(fingerprints(docs))
-    classes = durable(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    labels = components(links(classes.select("fp"), largest))
-    named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", "n", F.coalesce("label", "fp").alias("label"))
-    groups = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("n").alias("component_size"))
-    by_fp = durable(named.join(groups, "label").select("fp", "component_id", "component_size"))
-    return each.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one row left of each component: that of its least doc_id (rows without an id stay)."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    ids = durable(found.filter("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
+    found, labels = classes(each, largest)
+    named = durable(found.join(labels, "fp"))
+    groups = durable(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("n").alias("component_size")))
+    by_fp = durable(look_up(named, "label", groups).select("fp", "component_id", "component_size"))
+    return look_up(each, "fp", by_fp).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+#: Rows to drop that are broadcast (8 bytes each); beyond these, the table is joined with them.
+FEW = 2_000_000
+
+
+def keep_one(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """`docs` with one row left of each component. `docs` must give its rows in the same order each time, as files do."""
     # The columns travel as one, so none of theirs can clash with those made here.
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row"))
-    kept = rows.filter("key is not null").join(ids, "key", "left_semi")
-    once = kept.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))).filter("n = 1")
-    return once.select("row.*").unionByName(docs.filter(docs["doc_id"].isNull()))
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.struct("*").alias("row"))
+    each = durable(fingerprints(rows.select("row.doc_id", "row.text", "place"), "place"))
+    named = durable(look_up(each, "fp", classes(each, largest)[1]).select("doc_id", "place", "label"))
+    first = durable(named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"].alias("kept")))
+    drop = durable(look_up(named, "label", first).filter("place <> kept").select("place"))
+    few = F.broadcast(drop) if drop.count() <= FEW else drop
+    return rows.join(few, "place", "left_anti").select("row.*")
