@@ -1,5 +1,7 @@
 import zlib
+from collections import Counter
 
+import numpy as np
 from llmfixtures import ODD
 
 from wavelark.llm import langid, quality
@@ -36,7 +38,34 @@ def test_subwords_of_a_long_text_are_those_of_its_blocks(monkeypatch):
     text = "Ein Satz, der öfter kommt. " * 50
     whole = langid.subwords(text)
     monkeypatch.setattr(langid, "BLOCK", 97)
-    assert abs(langid.subwords(text) - whole).sum() < 0.1 * whole.sum()
+    assert (langid.subwords(text) == whole).all()
+    plain = Counter()
+    padded = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    for n in langid.ORDERS:
+        for k in range(len(padded) - n + 1):
+            gram = padded[k : k + n]
+            if gram[n > 1] != " ":
+                plain["".join(gram)] += 1
+    assert whole.sum() == sum(plain.values())
+
+
+def test_languages_without_ids_with_repeats_and_ties(spark, make_docs):
+    rows = [(None, t) for t in ["the cat sat on the mat and then it went away", "le chat est sur la table et puis il part"] * 30] + [(k, "zz") for k in (1, 1, 3)]
+    docs = make_docs(rows)
+    docs = docs.withColumn("lang", langid.F.when(docs.text.startswith("le"), "fr").when(docs.text == "zz", None).otherwise("en"))
+    got = langid.identify(docs).collect()
+    assert len(got) == len(rows) and Counter(r.lang_pred for r in got if r.doc_id is None) == {"en": 30, "fr": 30}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id is not None}) == 1
+    assert len(langid.sample(docs)) == 60
+    same = langid.fit([("a", np.array([1]), np.array([1])), ("b", np.array([1]), np.array([1]))] * 40)
+    assert same["langs"] == ["a", "b"]
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    docs = spark.createDataFrame([(k, f"word{chr(97 + k % 20)} and more", f"l{k % 20}") for k in range(2000)], "doc_id long, text string, lang string")
+    langs = Counter(r[0] for r in langid.sample(docs))
+    assert len(langs) > 10 and sum(langs.values()) <= 100
 
 
 def test_quality_of_held_back_labels(spark):
@@ -63,3 +92,23 @@ def test_quality_of_odd_tables(spark, make_docs):
     assert quality.score(docs.limit(0), model).count() == 0
     many = spark.createDataFrame([(i % len(ODD), i % 2, i % 3 == 0 and 1 or 0, "x") for i in range(60)], "doc_id long, quality int, toxic int, text string")
     assert quality.score(docs, quality.fit(docs, many)).count() == docs.count()
+
+
+def test_insults_and_repeats(spark, make_docs):
+    """Planted words make documents toxic, planted repeats make them bad; rows of one id are read once, and repeated rows score alike."""
+    texts = [f"plain words number {i} in a row of them {'you idiot' if i % 5 == 0 else 'you there'} {'again ' * (40 if i % 7 == 0 else 1)}" for i in range(400)]
+    docs = make_docs([*enumerate(texts), *((3, t) for t in texts[:50])])
+    labels = spark.createDataFrame([(i, int(i % 7 != 0), int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.score(docs, model).collect() if r.doc_id != 3}
+    wrong = [i for i in range(1, 400, 2) if i != 3 and got[i].keep != (i % 5 != 0 and i % 7 != 0)]
+    assert len(wrong) <= 4
+    f = quality.Scorer(model)
+    assert f(texts[5], None, None) == f(texts[5], None, None)
+
+
+def test_words_that_tell():
+    y = np.array([1.0] * 20 + [0.0] * 80)
+    sets = [np.array([1, 2] if i < 20 else [2, 3]) for i in range(100)]
+    row = np.repeat(np.arange(100), 2)
+    assert quality.telling(np.concatenate(sets), row, y).tolist() == [1, 3]

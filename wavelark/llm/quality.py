@@ -1,14 +1,16 @@
 """Quality classifier by co-training of two views.
 
-The text view sees which words a document has (and the marks stuck to them); the metadata view sees
-its source, language, length and layout, never a word. Both are logistic models. Starting from
+The text view sees which words a document has, the marks stuck to them, how much of it is marks and
+how often words repeat; the metadata view sees its source, language, length and the layout of its
+characters and lines, never a word or a mark. Both are logistic models; the text view of a head has the
+words that labelled rows with and without the fault hold unlike often, whatever their number. Starting from
 labelled rows, in each round either view names the pool's documents that it is surest of, and the
 other view learns from those. Then each view is calibrated on labelled rows that neither learned
 from, and a last logistic model over both calibrated views scores all documents. The same is done
 twice: for low quality and for toxic text. `keep` is false where either is the likelier.
 
-The fit reads at most LABELLED labelled and POOL unlabelled documents, chosen by a hash of doc_id;
-scores cover every row. Defined cases: null text counts as empty, null metadata as a value of its
+The fit reads at most LABELLED labelled and POOL unlabelled documents, chosen by a hash of doc_id (of
+rows that share one, the one whose text has the least hash); scores cover every row. Defined cases: null text counts as empty, null metadata as a value of its
 own. Labels with nulls are left out; several labels of a document count as their greatest. Without
 labels of both values a head can't be fitted: quality is then 1 and toxicity 0. Repeated rows give
 repeated scores; an empty table gives none; long texts are read whole. Extra columns don't matter.
@@ -28,10 +30,13 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 LABELLED, POOL = 4000, 4000
-WORDS, LEAST_DOCS, CACHE = 6000, 8, 200_000
+#: Words of a head: those that labelled rows of both kinds hold unlike often, by so many standard errors.
+WORDS, LEAST_DOCS, UNLIKE, CACHE = 3000, 3, 4.0, 200_000
 ROUNDS, SURE, SHARE = 4, 0.95, 0.05
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
-META = 14 + 64
+META = 10 + 64
+#: Levels that the shares of marks, bars, repeated words and doubled words are told apart by in the text view.
+LEVELS = 80
 #: A document goes where either fault is at least so likely: clean ones in doubt stay.
 REJECT = 0.6
 _KIND = np.zeros(256, np.int64)  # 0 other letters, then upper, digit, white space, mark, new line, not ASCII
@@ -47,22 +52,30 @@ def marks_of(word: bytes) -> tuple[int, ...]:
     return (*out, zlib.crc32(b"\x00" + tail[:8])) if tail else out
 
 
+def levels(raw: bytes, words: list[bytes]) -> list[int]:
+    """Hashes of how much of a text is marks, and how much its words repeat: one for each level that is reached."""
+    n, many = max(len(raw), 1), len(words) or 1
+    marks = len(raw) - len(raw.translate(None, MARKS))
+    shares = (marks / n * 4, raw.count(b"|") / n * 10, 1 - len(set(words)) / many, sum(map(eq, words, words[1:])) / many * 2)
+    return [zlib.crc32(b"\x01%d:%d" % (k, level)) for k, x in enumerate(shares) for level in range(1, min(int(x * LEVELS), LEVELS) + 1)]
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
-    return np.unique(np.fromiter((h for w in set(raw.lower().split()) for h in marks_of(w)), np.int64))
+    words = raw.lower().split()
+    return np.unique(np.fromiter((h for w in set(words) for h in marks_of(w)), np.int64).tolist() + levels(raw, words)).astype(np.int64)
 
 
-def layout(raw: bytes, words: list[bytes], lang: str | None, source: str | None) -> np.ndarray:
-    """The metadata view of a document: of its words it sees only how often they repeat."""
+def layout(raw: bytes, lang: str | None, source: str | None) -> np.ndarray:
+    """The metadata view of a document."""
     n = len(raw)
     byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if n else np.zeros(256, np.int64)
     kinds = np.bincount(_KIND, weights=byte, minlength=7)
     share = kinds / max(n, 1)
     gaps, lines = kinds[3] + kinds[5], kinds[5] + 1
     x = np.zeros(META, np.float32)
-    many = len(words) or 1
-    x[:14] = (1, math.log1p(n) / 10, share[1] * 4, share[2] * 10, share[3] * 4, share[4] * 10, share[6] * 4, math.log1p(n / lines) / 6, math.log1p(n / (gaps + 1)) / 2, math.log1p(lines) / 5, byte[124] / max(n, 1) * 10, float(n == 0), 1 - len(set(words)) / many, sum(map(eq, words, words[1:])) / many * 2)
-    x[14 + zlib.crc32(("l" + (lang or "\x00")).encode()) % 32] = 0.3
-    x[46 + zlib.crc32(("s" + (source or "\x00")).encode()) % 32] = 0.3
+    x[:10] = (1, math.log1p(n) / 10, share[1] * 4, share[2] * 10, share[3] * 4, share[6] * 4, math.log1p(n / lines) / 6, math.log1p(n / (gaps + 1)) / 2, math.log1p(lines) / 5, float(n == 0))
+    x[10 + zlib.crc32(("l" + (lang or "\x00")).encode()) % 32] = 0.3
+    x[42 + zlib.crc32(("s" + (source or "\x00")).encode()) % 32] = 0.3
     return x
 
 
@@ -101,12 +114,24 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
+def telling(words: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of the words that tell rows with y from those without, the most telling first. words, row: each row's different words."""
+    hashes, where = np.unique(words, return_inverse=True)
+    ones, both = np.bincount(where, y[row], len(hashes)), np.bincount(where, minlength=len(hashes))
+    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+    p = both / (n1 + n0)
+    z = np.abs(ones / n1 - (both - ones) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    z[both < LEAST_DOCS] = 0
+    best = np.lexsort((hashes, -z))
+    return hashes[best[z[best] >= UNLIKE][:WORDS]]
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_pool: np.ndarray, meta_pool: np.ndarray) -> dict | None:
     """Both views' weights, their calibrations and the combination; y: the labels of the first rows."""
     held = np.arange(len(y)) % 4 == 3
     if min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
         return None
-    views = [(text, text_pool, (6, 0.15, 1e-4)), (meta, meta_pool, (12, 0.2, 1e-4))]
+    views = [(text, text_pool, (12, 0.15, 1e-4)), (meta, meta_pool, (12, 0.2, 1e-4))]
     taught: list[dict[int, float]] = [{}, {}]
     models: list[np.ndarray] = []
     for turn in range(ROUNDS):
@@ -135,7 +160,7 @@ def views_of(docs: DataFrame) -> DataFrame:
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            meta = [layout(r, r.lower().split(), a, b) for r, a, b in zip(raws, batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            meta = [layout(r, a, b) for r, a, b in zip(raws, batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_hashes(r) for r in raws], pa.list_(pa.int64())), pa.array(meta, pa.list_(pa.float32()))], names=["doc_id", "words", "meta"])
 
         return run
@@ -152,34 +177,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     ids = known.collect(), rest.collect()  # at most LABELLED and POOL rows
     answers = {r.doc_id: (r.quality, r.toxic) for r in ids[0]}
     wanted = docs.sparkSession.createDataFrame([(r.doc_id,) for r in (*ids[0], *ids[1])], "doc_id long")
-    rows = views_of(docs.join(F.broadcast(wanted), "doc_id", "left_semi")).toArrow()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).alias("row")).join(F.broadcast(wanted), "doc_id", "left_semi")
+    once = chosen.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("doc_id", "row.*")  # a row each, of at most LABELLED + POOL
+    rows = views_of(once).toArrow()
     seen = {}
     for i, doc in enumerate(rows["doc_id"].to_pylist()):
         seen.setdefault(doc, i)
     words, meta = rows["words"].combine_chunks(), rows["meta"].combine_chunks()
     order_of = [[seen[d] for d in sorted(seen) if (d in answers) == lab] for lab in (True, False)]
     ends, values = words.offsets.to_numpy(), words.values.to_numpy()
-    hashes, counts = np.unique(values, return_counts=True)
-    vocab = hashes[np.lexsort((hashes, -counts))][: min(WORDS, int((counts >= LEAST_DOCS).sum()))]
-    index = np.argsort(vocab)
+    labelled = [d for d in sorted(seen) if d in answers]
+    y = np.array([answers[d] for d in labelled], np.float32).reshape(-1, 2)
+    learn = np.flatnonzero(np.arange(len(y)) % 4 != 3)
+    sets = [values[ends[i] : ends[i + 1]] for i in np.array(order_of[0], np.int64)[learn]]
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    targets = {"bad": 1 - np.minimum(y[:, 0], 1), "toxic": np.minimum(y[:, 1], 1)}
+    known = {name: telling(np.concatenate([*sets, np.zeros(0, np.int64)]), row, t[learn]) for name, t in targets.items()}
+    vocab = np.unique(np.concatenate(list(known.values())))
 
     def text_of(at: list[int]) -> np.ndarray:
         x = np.zeros((len(at), len(vocab) + 1), np.int8)
         x[:, -1] = 1
         for row, i in enumerate(at):
             v = values[ends[i] : ends[i + 1]]
-            k = np.searchsorted(vocab, v, sorter=index) if len(vocab) else v[:0]
-            k = index[np.minimum(k, len(vocab) - 1)] if len(vocab) else k
-            x[row, k[vocab[k] == v[: len(k)]]] = 1
+            k = np.searchsorted(vocab, v)
+            k = k[vocab[np.minimum(k, len(vocab) - 1)] == v] if len(vocab) else v[:0]
+            x[row, k] = 1
         return x
 
     m = np.array(meta.values, np.float32).reshape(-1, META) if len(meta) else np.zeros((0, META), np.float32)
     text, pool = text_of(order_of[0]), text_of(order_of[1])
-    labelled = [d for d in sorted(seen) if d in answers]
-    y = np.array([answers[d] for d in labelled], np.float32).reshape(-1, 2)
     heads = {}
-    for name, target in (("bad", 1 - np.minimum(y[:, 0], 1)), ("toxic", np.minimum(y[:, 1], 1))):
-        heads[name] = co_train(text, m[order_of[0]], target, pool, m[order_of[1]])
+    for name, target in targets.items():
+        own = np.append(np.isin(vocab, known[name]), True)
+        if head := co_train(text[:, own], m[order_of[0]], target, pool[:, own], m[order_of[1]]):
+            wide = np.zeros(len(own), np.float32)
+            wide[own] = head["text"]
+            head["text"] = wide
+        heads[name] = head
     return {"vocab": vocab, "heads": heads}
 
 
@@ -204,7 +239,8 @@ class Scorer:
                 if len(w) < 64:
                     self.words[w] = k
             ids.update(k)
-        at, meta = np.fromiter(sorted(ids), np.int64, len(ids)), layout(raw, words, lang, source)
+        ids.update(self.at[h] for h in levels(raw, words) if h in self.at)
+        at, meta = np.fromiter(sorted(ids), np.int64, len(ids)), layout(raw, lang, source)
         for name in ("bad", "toxic"):
             h = self.heads[name]
             if h is None:
