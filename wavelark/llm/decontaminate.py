@@ -7,18 +7,25 @@ hash-joined with the benchmark's. A document holds an item if its windows cover
 the item's different windows, and if the slots agree: an item's value must meet one value in the
 document (its own, or another's in a re-parameterised copy), so that pairs of values number no more
 than 1 / CONSISTENT of the values. They may agree over the whole document or over one occurrence
-that covers as much: the windows that lie in one row as far apart as in the item, exactly or but for
-some words (within half an item). So other copies beside one don't matter. Items shorter than a window are one window as long as they are.
-Windows of placeholders alone count for nothing, but where an item has no others, they are hashed with
-their values, so that verbatim copies are found.
-
-Index of the benchmark: if its different hashes number at most FILTER_MOST, they are broadcast as a
-sorted array that drops other windows before the join (8 bytes each); beyond that all windows are
-joined. Defined cases: null or empty texts hold nothing; an item without a window is never found;
-rows of the same doc_id count as one document, and a null doc_id as one more, but an occurrence lies
-in one row; repeated items are
-found each under its own id; an empty table gives no rows; long texts are read whole, in one pass.
-Extra columns don't matter.
+that covers as much: the windows that lie as far apart as in the item, exactly or but for some words
+(within half an item). So other copies beside one don't matter. Windows of placeholders alone count
+for nothing, but where an item has no others, they are hashed with their values, so that verbatim
+copies are found.
+
+Items shorter than a window are held to more: they are hashed whole, with their values, and must begin
+a sentence in the document; those of less than SHORT tokens must be lines of their own, as an answer
+"Paris" is in no text that merely names the town.
+
+Common windows: an item can't be covered without one of its rarest windows (as many as it may miss,
+and one more), so only these look for candidates; an item's other windows, however common, are
+compared for its candidates alone. Index of the benchmark: if its different hashes number at most
+FILTER_MOST, they are broadcast as a sorted array that drops other windows before the join (8 bytes
+each); beyond that all windows are joined.
+
+Defined cases: null or empty texts hold nothing; an item without a token is never found; each row is
+judged on its own, whatever its doc_id, and of rows that share one the best match is told; repeated
+items are found each under its own id, items without one never; an empty table gives no rows; long
+texts are read whole, in one pass. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,12 +37,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, durable, map_arrow
 
-WINDOW, COVER, CONSISTENT = 5, 0.5, 0.5
+WINDOW, SHORT, COVER, CONSISTENT = 5, 3, 0.5, 0.5
 #: Tokens of a window that aren't placeholders, at least.
 LITERALS = 1
 FILTER_MOST = 4_000_000
@@ -71,20 +78,25 @@ class Canon:
             self.words[w] = out
         return out
 
-    def __call__(self, text: str) -> tuple[np.ndarray, list[tuple[int, str]]]:
-        """Token hashes, with kinds in the low two bits, and the slots as (token, value)."""
+    def __call__(self, text: str) -> tuple[np.ndarray, list[tuple[int, str]], np.ndarray, np.ndarray]:
+        """Token hashes, with kinds in the low two bits, the slots as (token, value), and the tokens that sentences, and that lines begin with (there the end, too)."""
         if len(self.words) > CACHE:
             self.words.clear()
         tokens: list[int] = []
         slots: list[tuple[int, str]] = []
+        lines: list[int] = []
+        sentences: list[int] = []
         get, make, start, last = self.words.get, self.word, True, 0
         for line in text.split("\n"):
             start, last = True, 0
+            lines.append(len(tokens))
             for w in line.split():
                 core, kind, h, cased, ends = get(w) or make(w)
                 if not core:
                     start = start or ends
                     continue
+                if start:
+                    sentences.append(len(tokens))
                 if kind:
                     kind = NUM
                 elif last == NUM and core.lower() in UNITS:
@@ -99,7 +111,7 @@ class Canon:
                 else:
                     tokens.append(h)
                 start, last = ends, 0 if ends and kind == NAME else kind
-        return np.array(tokens, np.uint64), slots
+        return np.array(tokens, np.uint64), slots, np.array(sentences, np.int64), np.array([*lines, len(tokens)])
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +144,26 @@ def windows(rows: DataFrame, sizes: tuple[int, ...], known: np.ndarray | None, w
     """Windows of (id, text) as SCHEMA: `row` numbers the rows, `vals` are its slot values in order, `keys` the slot kinds.
 
     `sizes`: lengths of windows. `known`: sorted hashes to keep, or all. `whole`: texts shorter than
-    the first size are one window of their length instead. Windows of placeholders alone have their
-    values hashed too; with `whole` only where a text has no others, else they are left out.
+    WINDOW are one window of their length instead. Windows of placeholders alone have their values
+    hashed too; with `whole` only where a text has no others, else they are left out. Windows shorter
+    than WINDOW have their values hashed, and begin sentences or are whole lines.
     """
     shared = rows.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def found(canon: Canon, text: str) -> Iterator[tuple]:
-        tokens, slots = canon(text)
+        tokens, slots, sentences, lines = canon(text)
         where = [s[0] for s in slots]
-        for size in sizes if not (whole and 0 < len(tokens) < sizes[0]) else (len(tokens),):
-            h, ok = window_hashes(tokens, size)
-            if not ok.all() and not (whole and ok.any()):
-                h = np.where(ok, h, window_hashes(with_values(tokens, slots), size)[0])
-                ok[:] = True
+        for size in sizes if not (whole and 0 < len(tokens) < WINDOW) else (len(tokens),):
+            if size < WINDOW:
+                h = window_hashes(with_values(tokens, slots), size)[0]
+                ok = np.zeros(len(h), bool)
+                first = sentences if size >= SHORT else np.intersect1d(lines, lines - size)  # where a line begins, and one `size` tokens later
+                ok[first[first < len(h)]] = True
+            else:
+                h, ok = window_hashes(tokens, size)
+                if not ok.all() and not (whole and ok.any()):
+                    h = np.where(ok, h, window_hashes(with_values(tokens, slots), size)[0])
+                    ok[:] = True
             at = np.flatnonzero(ok)
             if shared is not None and len(at):
                 keep = np.searchsorted(shared.value, h[at])
@@ -187,32 +206,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if hashes.count() <= FILTER_MOST:
         known = np.sort(hashes.toPandas()["hash"].to_numpy(np.int64))
     found = durable(windows(docs.select(F.col("doc_id").cast("long").alias("id"), doc_text()), sizes or (WINDOW,), known))
-    size_of = index.groupBy("id").agg(F.countDistinct("hash").alias("of"))
-    hits = found.select(F.col("id").alias("doc_id"), "hash").distinct().join(index.select(F.col("id").alias("item_id"), "hash").distinct(), "hash")
-    cover = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits")).join(size_of, F.col("item_id") == size_of.id)
-    cover = durable(cover.filter(F.col("hits") >= COVER * F.col("of")).select("doc_id", "item_id", "of", (F.col("hits") / F.col("of")).alias("coverage")))
-    met = found.select("id", "row", F.col("at").alias("doc_at"), "hash", F.col("vals").alias("doc_vals")).join(index.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "hash", F.col("vals").alias("item_vals")), "hash")
-    met = met.join(cover, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("item") == F.col("item_id")))
-    # Occurrences: all of the document, a row's windows of one shift, and those of shifts close together, in two grids.
+    there = found.select("row", "hash").distinct()
+    parts = durable(index.select(F.col("id").alias("item_id"), "hash").distinct())
+    ranked = parts.join(parts.groupBy("hash").agg(F.count(F.lit(1)).alias("items")), "hash")
+    own = Window.partitionBy("item_id")
+    ranked = ranked.select("item_id", "hash", F.row_number().over(own.orderBy("items", "hash")).alias("k"), F.count(F.lit(1)).over(own).alias("of"))
+    rare = durable(ranked.filter(F.col("k") <= F.col("of") - F.ceil(F.lit(COVER) * F.col("of")) + 1).select("item_id", "hash", "of"))
+    small = lambda df: F.broadcast(df) if known is not None and df.count() <= FILTER_MOST else df
+    pairs = durable(there.join(small(rare), "hash").select("row", "item_id", "of").distinct())
+    hits = pairs.join(small(parts), "item_id").join(there, ["row", "hash"])
+    cover = hits.groupBy("row", "item_id", "of").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= COVER * F.col("of"))
+    cover = durable(cover.select("row", "item_id", "of", (F.col("hits") / F.col("of")).alias("coverage")))
+    met = cover.join(index.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("vals").alias("item_vals")), "item_id")
+    met = met.join(found.select("row", F.col("at").alias("doc_at"), "hash", F.col("vals").alias("doc_vals")), ["row", "hash"])
+    # Occurrences: all of the row, windows of one shift, and those of shifts close together, in two grids.
     shift, wide = F.col("doc_at") - F.col("item_at"), F.greatest(F.col("of") / 2, F.lit(2.0))
-    of_row = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col("row").alias("row"), c.cast("long").alias("shift"))
-    groups = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("shift")), of_row(1, shift), of_row(2, F.floor(shift / wide)), of_row(3, F.floor(shift / wide + 0.5)))
-    met = durable(met.select("doc_id", "item_id", "of", "hash", "item_vals", "doc_vals", F.explode(groups).alias("where")))
-    by = ["doc_id", "item_id", "where"]
+    group = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("long").alias("shift"))
+    groups = F.array(group(0, F.lit(0)), group(1, shift), group(2, F.floor(shift / wide)), group(3, F.floor(shift / wide + 0.5)))
+    met = durable(met.select("row", "item_id", "of", "hash", "item_vals", "doc_vals", F.explode(groups).alias("where")))
+    by = ["row", "item_id", "where"]
     whole = met.groupBy(*by, "of").agg(F.countDistinct("hash").alias("hits")).filter(F.col("hits") >= COVER * F.col("of"))
     slots = met.select(*by, F.explode(F.arrays_zip("item_vals", "doc_vals")).alias("s")).select(*by, F.col("s.item_vals").alias("i"), F.col("s.doc_vals").alias("d")).distinct()
     slots = slots.groupBy(*by).agg((F.countDistinct("i") / F.count(F.lit(1))).alias("consistency"), (F.count_if(F.col("i") == F.col("d")) >= F.countDistinct("i")).alias("literal"))
-    both = whole.alias("w").join(slots.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.item_id") == F.col("s.item_id")) & (F.col("w.where") == F.col("s.where")), "left")
-    both = both.select("w.doc_id", "w.item_id", "w.where", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("literal", F.lit(True)).alias("literal"))
-    held = both.filter((F.col("consistency") >= CONSISTENT) | F.col("literal") & (F.col("where.kind") > 0)).groupBy("doc_id", "item_id").agg(F.max("consistency").alias("consistency"), F.max("literal").alias("literal"))
-    out = cover.alias("c").join(held.alias("h"), F.col("c.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("c.item_id") == F.col("h.item_id")))
-    return out.select("c.doc_id", "c.item_id", "coverage", "consistency", "literal")
+    both = whole.join(slots, by, "left").select(*by, F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("literal", F.lit(True)).alias("literal"))
+    held = both.filter((F.col("consistency") >= CONSISTENT) | F.col("literal") & (F.col("where.kind") > 0)).groupBy("row", "item_id").agg(F.max("consistency").alias("consistency"), F.max("literal").alias("literal"))
+    of_row = found.select("row", F.col("id").alias("doc_id")).distinct()
+    out = cover.join(held, ["row", "item_id"]).join(of_row, "row")
+    return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("coverage", "consistency", "literal")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without those that hold an item of the benchmark."""
-    bad = durable(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct())
-    small = F.broadcast(bad) if bad.count() <= FEW_IDS else bad
+    """`docs` without the rows that hold an item of the benchmark. `docs` must give its rows in the same order each time, as files do."""
     # The columns travel as one, so none of theirs can clash with those made here.
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct("*").alias("row"))
-    return rows.join(small, F.col("key").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.struct("*").alias("row"))
+    bad = durable(contaminated(rows.select(F.col("place").alias("doc_id"), "row.text"), benchmark).select(F.col("doc_id").alias("place")).distinct())
+    few = F.broadcast(bad) if bad.count() <= FEW_IDS else bad
+    return rows.join(few, "place", "left_anti").select("row.*")
