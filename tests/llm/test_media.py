@@ -37,3 +37,29 @@ def test_blocks_of_frames_change_nothing(monkeypatch):
     whole = media.fingerprints(payload)
     monkeypatch.setattr(media, "FRAMES_AT_ONCE", 7)
     assert all((a == b).all() for a, b in zip(whole, media.fingerprints(payload)))
+
+
+def test_fingerprints_by_their_definition():
+    """Every frame's transform by a plain sum, every bin and pair looked at in turn."""
+    rng = np.random.default_rng(4)
+    n, hop = media.BLOCK, media.HOP
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n), np.arange(n // 2 + 1)) / n)
+    for text in ("some words that are spoken again and again, " * 60, "".join(chr(97 + k) for k in rng.integers(0, 26, 3000)), "ab" * 700, "x" * 600):
+        x = np.frombuffer(media.payload_of(text)[1], np.uint8)
+        found = []
+        for t in range((len(x) - n) // hop + 1):
+            mag = np.abs(((x[t * hop : t * hop + n].astype(float) - 128) * np.hanning(n)) @ turn)
+            mag[:4] = 0
+            tops = [k for k in range(1, len(mag) - 1) if mag[k] > mag[k - 1] and mag[k] >= mag[k + 1] and mag[k] > 2 * mag.mean() and mag[k] > 1]
+            found += sorted((t, k) for k in sorted(tops, key=lambda k: -mag[k])[: media.PEAKS])
+        pairs = []
+        for i, (t, f) in enumerate(found):
+            after = [p for p in found if p[0] > t][: media.FAN_OUT]
+            pairs += [(t, f << 15 | g << 6 | u - t) for u, g in after if u - t <= media.SPAN]
+        times, hashes = media.fingerprints(x.tobytes())
+        assert list(zip(times.tolist(), hashes.tolist())) == sorted(pairs)
+
+
+def test_missing_ids_and_clashing_columns(make_docs):
+    got = media.media_columns(make_docs([(None, "a"), (None, "a"), (3, None)]).withColumnRenamed("n", "feature")).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in got) == [(0, 1), (0, 1), (3, 0)] and len({r.payload_sha256 for r in got}) == 2

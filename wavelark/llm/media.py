@@ -2,11 +2,12 @@
 
 Each text becomes a payload of 8-bit samples in a mono WAV file made by the `wave` module. The
 stored bytes are read back; a short-time Fourier transform over the samples gives each frame's
-strongest peaks; each peak is paired with a few that follow, and a pair (lower bin, upper bin,
-distance in frames) is kept with the frame it starts at: `fp_time[i]` and `fp_hash[i]`.
+strongest peaks; each peak is paired with a few that follow, and a pair (earlier peak's bin, later
+peak's bin, distance in frames) is kept with the frame it starts at: `fp_time[i]` and `fp_hash[i]`.
 
 Defined cases: a null or empty text gives one block of padding, a constant signal without peaks,
-hence empty arrays. Repeated rows give repeated results. A long text is transformed in blocks of
+hence empty arrays. Ties: of peaks of one frame that are equally strong the lower bins count, and on a
+level stretch its first bin is the peak; a null doc_id stays null. Repeated rows give repeated results. A long text is transformed in blocks of
 frames, so memory follows the payload alone, never its spectrogram. Extra columns are ignored.
 """
 

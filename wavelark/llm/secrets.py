@@ -9,7 +9,9 @@ Runs that an allow-list knows to be harmless are suppressed, and spans inside a
 nothing. Positions are code points, ends exclusive.
 
 Defined cases: a null or empty text has no spans (and `redact` leaves null null). Equal texts give
-equal spans. Everything is local to a row: no shuffle, no Python, no collected group. Positions
+equal spans. Each row has a result of its own, whatever its doc_id: repeated ids and null ids give as
+many rows as there are, in SQL too. Ties: spans that start together are told in the order of kinds.
+Everything is local to a row: no shuffle, no Python, no collected group. Positions
 come from prefix sums over the split text, in chunks, so many matches in a long text stay cheap.
 """
 
@@ -162,36 +164,36 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
 
 def _matches_sql(name: str, pattern: str, keep: str) -> str:
-    """Table `name` (doc_id, s, m): where matches start, and what they are."""
+    """Table `name` (rid, s, m): where matches start, and what they are."""
     q = pattern.replace("'", "''")
-    return f"""{name}_l AS (SELECT doc_id, string_split_regex(x, '{q}') AS ps, regexp_extract_all(x, '{q}') AS ms FROM t),
-{name}_i AS (SELECT doc_id, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM {name}_l),
-{name} AS (SELECT doc_id, (coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0))::BIGINT AS s, ms[i] AS m FROM {name}_i WHERE {keep})"""
+    return f"""{name}_l AS (SELECT rid, string_split_regex(x, '{q}') AS ps, regexp_extract_all(x, '{q}') AS ms FROM t),
+{name}_i AS (SELECT rid, ps, ms, unnest(range(1, len(ms) + 1)) AS i FROM {name}_l),
+{name} AS (SELECT rid, (coalesce(list_sum(list_transform(ps[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0))::BIGINT AS s, ms[i] AS m FROM {name}_i WHERE {keep})"""
 
 
 def _entropy_sql(name: str, rank: int, run: str, letters: str, must: list[str], bits: float) -> str:
-    """Table `name` (doc_id, s, r, e) of entropy spans: every window counted afresh."""
+    """Table `name` (rid, s, r, e) of entropy spans: every window counted afresh."""
     has = " AND ".join(f"regexp_matches(m, '{x}')" for x in must)
     allowed = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|0123456789|(?i:abcdefghij|example|placeholder|changeme|your[_-]|xxxx|dummy|redacted)"
     return f"""{_matches_sql(name + "_a", run, "true")},
-{name}_c AS (SELECT doc_id, s, m, coalesce(lag(s + length(m)) OVER (PARTITION BY doc_id ORDER BY s), 0) AS p FROM {name}_a WHERE regexp_full_match(m, '{letters}')),
-{name}_w AS (SELECT doc_id, s, list_filter(range(1, length(m) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy') >= {bits}) AS hot FROM {name}_c JOIN t USING (doc_id)
+{name}_c AS (SELECT rid, s, m, coalesce(lag(s + length(m)) OVER (PARTITION BY rid ORDER BY s), 0) AS p FROM {name}_a WHERE regexp_full_match(m, '{letters}')),
+{name}_w AS (SELECT rid, s, list_filter(range(1, length(m) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy') >= {bits}) AS hot FROM {name}_c JOIN t USING (rid)
   WHERE {has} AND NOT regexp_matches(m, '{allowed}') AND NOT regexp_matches(right(substr(x, p + 1, s - p), 200), '{ALLOWED_BEFORE}')
   AND len(list_filter(range(1, length(m) - 6), lambda i: substr(m, i, 8) = repeat(substr(m, i, 1), 8))) = 0),
-{name} AS (SELECT doc_id, s + hot[1] - 1 AS s, {rank} AS r, s + hot[len(hot)] - 1 + {WINDOW} AS e FROM {name}_w WHERE len(hot) > 0)"""
+{name} AS (SELECT rid, s + hot[1] - 1 AS s, {rank} AS r, s + hot[len(hot)] - 1 + {WINDOW} AS e FROM {name}_w WHERE len(hot) > 0)"""
 
 
 _FULL = ASSIGN.replace("'", "''")
-ORACLE_SQL = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+ORACLE_SQL = f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
 {_matches_sql("a", ASSIGN, f"length(regexp_extract(ms[i], '{_FULL}', 2)) >= {ASSIGN_LEAST}")},
 {_matches_sql("k", ACCESS, "true")},
 {_matches_sql("h", HEX, "true")},
 {_entropy_sql("eh", 3, "[A-Za-z0-9]{24,}", "[0-9A-Fa-f]+", ["[0-9]", "[A-Fa-f]"], CLASSES["entropy_hex"][3])},
 {_entropy_sql("em", 4, "[A-Za-z0-9+/_-]{24,}", ".*", ["[0-9]", "[A-Z]", "[a-z]"], CLASSES["entropy_mixed"][3])},
-base AS (SELECT doc_id, s, 0 AS r, s + length(m) AS e FROM a UNION ALL SELECT doc_id, s, 1, s + length(m) FROM k UNION ALL SELECT doc_id, s, 2, s + length(m) FROM h),
-new AS (SELECT * FROM (SELECT * FROM eh UNION ALL SELECT * FROM em) n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = n.doc_id AND b.s <= n.s AND n.e <= b.e)),
-said AS (SELECT doc_id, s, r, e, false AS new, (['assign', 'access', 'hex', 'entropy_hex', 'entropy_mixed'])[r + 1] || ':' || s || ':' || e AS y FROM base
-  UNION ALL SELECT doc_id, s, r, e, true, (['assign', 'access', 'hex', 'entropy_hex', 'entropy_mixed'])[r + 1] || ':' || s || ':' || e FROM new)
+base AS (SELECT rid, s, 0 AS r, s + length(m) AS e FROM a UNION ALL SELECT rid, s, 1, s + length(m) FROM k UNION ALL SELECT rid, s, 2, s + length(m) FROM h),
+new AS (SELECT * FROM (SELECT * FROM eh UNION ALL SELECT * FROM em) n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = n.rid AND b.s <= n.s AND n.e <= b.e)),
+said AS (SELECT rid, s, r, e, false AS new, (['assign', 'access', 'hex', 'entropy_hex', 'entropy_mixed'])[r + 1] || ':' || s || ':' || e AS y FROM base
+  UNION ALL SELECT rid, s, r, e, true, (['assign', 'access', 'hex', 'entropy_hex', 'entropy_mixed'])[r + 1] || ':' || s || ':' || e FROM new)
 SELECT t.doc_id, count(y) FILTER (r = 0) AS n_assign, count(y) FILTER (r = 1) AS n_access, count(y) FILTER (r = 2) AS n_hex,
   sha256(coalesce(string_agg(y, ',' ORDER BY s, r) FILTER (NOT new), '')) AS base_sha256, coalesce(string_agg(y, ',' ORDER BY s, r), '') AS spans, count(y) FILTER (new) AS n_entropy
-FROM t LEFT JOIN said USING (doc_id) GROUP BY t.doc_id"""
+FROM t LEFT JOIN said USING (rid) GROUP BY t.rid, t.doc_id"""
