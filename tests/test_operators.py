@@ -295,3 +295,59 @@ def test_queries_without_twins_take_all_rows(spark):
     assert run["tone_params"](spark, d).select("basename").distinct().count() == run["effect_plan"](spark, d).select("basename").distinct().count() == parts > 50
     runs, events = run["composition_render"](spark, d).collect(), spark.read.parquet(f"{d}/events.parquet")
     assert len(runs) == len({r.run_id for r in runs}) == events.selectExpr("floor(event_id / 1000) as k").distinct().count()
+
+
+def test_pitch_is_made_up_for_by_tempo():
+    plan = effects.stages([("pitch_semitones", [12.0]), ("tempo", [1.0]), ("volume_db", [0.0])], 32_000)
+    assert plan == ["aformat=channel_layouts=stereo", "asetrate=64000", "aresample=32000", "atempo=0.5000", "alimiter=limit=0.97"]
+    assert effects.stages([("tempo", [1.0]), ("volume_db", [0.0])]) == [plan[0], plan[-1]]
+
+
+def test_an_empty_composition_is_an_error(spark):
+    with pytest.raises(ValueError):
+        timeline.render([], [], 100)
+    items = spark.createDataFrame([("a", 0, [0.5] * 300, False)], "run_id string, position long, samples array<double>, crossfade_into_next boolean")
+    runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    assert [r.run_id for r in timeline.compose(items, 100, runs=runs.filter("run_id = 'a'")).collect()] == ["a"]
+    with pytest.raises(Exception, match="at least one clip"):
+        timeline.compose(items, 100, runs=runs).collect()
+
+
+def test_clips_are_written_as_wav(spark):
+    x = np.sin(np.arange(1000) / 5) / 2
+    rows = spark.createDataFrame([("c.wav", x.tolist())], "name string, samples array<double>")
+    r = wav.encoded(rows, 8000).first()
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(r.content)) as w:
+        assert (w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()) == (8000, 1, 2, 1000)
+        assert np.abs(wav.to_float(w.readframes(1000), 2) - x).max() < 1e-4
+
+
+def test_late_rows_sessions_logs_and_progress(spark, tmp_path):
+    """Micro-batch by micro-batch: a row behind the watermark is dropped, sessions close after their gap, decisions land in the log once."""
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "user_id long, ts timestamp, value double"
+    batches = [[(1, at(0), 1.0), (1, at(1), 1.0)], [(1, at(100), 3.0)], [(1, at(1), 9.0), (1, at(300), 5.0)], [(1, at(900), 7.0)]]
+    seen = live.Progress()
+    spark.streams.addListener(seen)
+    queries = {"levels": lambda s: live.windowed_levels(s), "sessions": lambda s: live.sessions(s, "30 seconds", "10 seconds")}
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name, f in queries.items():
+            stream = f(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp_{name}").queryName(f"{name}{k}").trigger(availableNow=True).start(f"{tmp_path}/{name}").awaitTermination(60)
+    levels = {(r.start - at(0)).total_seconds(): r.n for r in spark.read.parquet(f"{tmp_path}/levels").collect()}
+    assert levels[0.0] == 2 and levels[98.0] == levels[100.0] == 1  # the late row at second 1 isn't in its window
+    got = sorted((r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/sessions").collect())
+    assert (2, 2.0) in got and (1, 3.0) in got and (1, 9.0) not in got
+    decisions = spark.createDataFrame([("r", i, "kept", float(i), i) for i in range(6)], "run_id string, candidate_id int, decision string, decided_at double, sequence int")
+    decisions.write.parquet(f"{tmp_path}/dec")
+    for _ in range(2):
+        live.append_log(spark.readStream.schema(decisions.schema).parquet(f"{tmp_path}/dec"), f"{tmp_path}/log", "decisions", f"{tmp_path}/cp_log").awaitTermination(60)
+    assert logs.read(spark, f"{tmp_path}/log", "decisions").count() == 6
+    spark.streams.removeListener(seen)
+    assert any(name and name.startswith("levels") and rows for name, _, rows in seen.seen)

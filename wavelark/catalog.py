@@ -13,6 +13,7 @@ from .operators import clipping, effects, framing, logs, regions, scoring, selec
 from .plans import analysis
 from .plans import oracle as O
 from .sources import tables as T
+from .streaming import live
 
 DIM, WAVE_RATE, RATE = 64, 16, 100
 FRAME = 5
@@ -248,6 +249,75 @@ def adjacent_similarity(spark, d):
     return rows.filter("p is not null").select("window_idx", F.round(cosine(F.col("p"), F.col("embedding")), 6).alias("similarity"))
 
 
+FINAL = "SELECT rec, n AS candidate_id, window_idx, start_seconds, score, embedding FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY start_seconds) AS n FROM short{0} WHERE window_idx % 7 <> 3) WHERE n <= 10"
+
+
+@query(f"""WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, final AS ({FINAL.format("")}),
+{O.score(*O.jitter(1, T.WINDOWS), "2")}, {O.regions("2")}, {O.greedy(25, "final", "2")}, final2 AS ({FINAL.format("2")})
+SELECT rec AS recording_id, candidate_id::INTEGER AS candidate_id, window_idx, {s6('score')}, (SELECT count(*) FROM (SELECT rec, window_idx FROM final UNION SELECT rec, window_idx FROM final2) u WHERE u.rec = final2.rec) AS shown FROM final2""")
+def rerank_with_history(spark, d):
+    """Two analyses of the same windows: the second, with a seed, knows what the first has shown."""
+    windows, features = analysis.kept(T.windows(spark, d)), analysis.kept(_features(spark, d))
+    failed = windows.filter("window_idx % 7 = 3")
+    first, history = analysis.rerank(windows, features, DIM, failed)
+    second, history = analysis.rerank(windows, features, DIM, failed, analysis.kept(history), 1)
+    n = history.groupBy("recording_id").agg(F.count(F.lit(1)).alias("shown"))
+    return second.join(n, "recording_id").select("recording_id", "candidate_id", "window_idx", *r6("score"), "shown")
+
+
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, final AS ({FINAL.format('')}), n AS (SELECT r.rec, count(f.rec) AS n FROM (SELECT DISTINCT rec FROM w) r LEFT JOIN final f ON f.rec = r.rec GROUP BY r.rec) SELECT rec AS recording_id, n, CASE WHEN n = 0 THEN 'none' WHEN n < 10 THEN 'fewer' ELSE 'all' END AS status FROM n")
+def result_status(spark, d):
+    windows = T.windows(spark, d)
+    final = selection.final(_short(spark, d), windows.filter("window_idx % 7 = 3")).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = windows.select("recording_id").distinct().join(final, "recording_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return rows.select("recording_id", "n", scalars.result_status(F.col("n"), DEFAULT.max_candidates).alias("status"))
+
+
+@query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, final AS ({FINAL.format('')}), kept AS (SELECT DISTINCT 'rec' || (user_id % 8) AS rec, 1 + event_id % 10 AS candidate_id FROM events WHERE event_type = 'signup' AND user_id % 3 = 0 AND event_id % 7 = 0) SELECT rec AS run_id, candidate_id::INTEGER AS candidate_id, start_seconds, {s6('score')} FROM final ANTI JOIN kept USING (rec, candidate_id)")
+def surfaced_undecided(spark, d):
+    """What the log of analyses has surfaced and no decision kept: candidates are numbered by their place in the logged list."""
+    windows = T.windows(spark, d)
+    failed, pool = windows.filter("window_idx % 7 = 3"), analysis.kept(_segmented(spark, d))
+    short = analysis.kept(selection.shortlist(regions.representatives(pool), DEFAULT.shortlist))
+    final = selection.final(short, failed)
+    counted = analysis.counters(windows, pool, short, final)
+    entries = logs.analysis_entries(counted, selection.excluded_in_clips(short, failed), final, pool, F.col("recording_id"), 1, None, 0.0, "Table")
+    folder = f"{analysis.log_folder(spark)}/analyses"
+    logs.append(entries, folder, "analysis")
+    kept = T.read(spark, d, "events").filter("event_type = 'signup' and user_id % 3 = 0 and event_id % 7 = 0").select(F.concat(F.lit("rec"), (F.col("user_id") % 8).cast("string")).alias("run_id"), (1 + F.col("event_id") % 10).cast("int").alias("candidate_id"))
+    return logs.surfaced(logs.read(spark, folder, "analysis")).join(kept, ["run_id", "candidate_id"], "left_anti").select("run_id", "candidate_id", "start_seconds", *r6("score"))
+
+
+WAVES = """grid AS (SELECT rec, CASE WHEN count(*) <= 400 THEN 1 ELSE ceil((count(*) - 400) / 200.0)::BIGINT + 1 END AS n FROM sig GROUP BY rec), each AS (SELECT rec, unnest(range(0, n)) AS window_idx FROM grid),
+place AS (SELECT rec, window_idx, unnest(range(0, 400)) AS n FROM each),
+smp AS (SELECT place.rec || ':' || window_idx AS vec_id, n, coalesce(v, 0) AS x FROM place LEFT JOIN sig ON sig.rec = place.rec AND sig.i = window_idx * 200 + n)"""
+
+
+@query(f"""WITH {O.SIGNAL}, {O.features(400, 100, WAVES)}, sp AS (SELECT vec_id, max(x) FILTER (n IN (0, 5)) >= 95 AS has_speech FROM smp GROUP BY vec_id)
+SELECT split_part(window_idx, ':', 1) AS recording_id, split_part(window_idx, ':', 2)::BIGINT AS window_idx, 2.0::DOUBLE * split_part(window_idx, ':', 2)::BIGINT AS start_seconds, has_speech, {s6('layering', 'crest', 'flux')} FROM feats JOIN sp ON sp.vec_id = feats.window_idx""")
+def analysis_windows(spark, d):
+    """From samples to rows of windows; the model's stand-in scores two samples."""
+
+    def model(windows: DataFrame) -> DataFrame:
+        return windows.select("recording_id", "window_idx", F.array(F.get("samples", F.lit(0)) * 0.15 / 95, F.get("samples", F.lit(5)) * 0.15 / 95).alias("scores"), F.slice("samples", 1, 8).alias("embedding"))
+
+    rows = analysis.analyse(T.signal(spark, d), model, [0, 1], RATE)
+    return rows.select("recording_id", "window_idx", "start_seconds", "has_speech", F.round("layering_raw", 6).alias("layering"), F.round("distinctiveness_raw", 6).alias("crest"), F.round("temporal_interest_raw", 6).alias("flux"))
+
+
+@query("SELECT 'rec' || (vec_id // 128) AS recording_id, 2.0::DOUBLE * (vec_id % 128) AS start_seconds FROM embeddings WHERE vec_id % 2 = 0")
+def spaced_starts(spark, d):
+    """Starts more than three seconds after the last one kept."""
+    return framing.dedup_spacing(T.windows(spark, d).select("recording_id", "start_seconds"), 3.0)
+
+
+@query("SELECT 'rec' || (event_id // 25600) AS recording_id, event_id % 25600 // 2 AS sample_idx, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+def downmixed_signal(spark, d):
+    """Two channels, one sample each in turn."""
+    two = T.signal(spark, d).select("recording_id", (F.col("sample_idx") % 2).alias("channel"), F.floor(F.col("sample_idx") / 2).alias("sample_idx"), "value")
+    return framing.downmix(two).select("recording_id", "sample_idx", *r6("value"))
+
+
 # Clips
 
 
@@ -397,6 +467,25 @@ def gating_envelope(spark, d):
     return effects.apply_gates(s, gates, 800).select("recording_id", "sample_idx", *r6("value"))
 
 
+@query("""WITH l AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, count(*) OVER (PARTITION BY l_orderkey) AS of, l_quantity / 10 AS d, l_discount * 10 AS a, l_discount * 10 + l_tax AS b, l_returnflag = 'R' AS gone, l_linestatus = 'O' AS x FROM lineitem),
+m AS (SELECT *, CASE WHEN n = 1 AND of > 1 THEN 2 WHEN n = 2 THEN 1 ELSE n END AS place FROM l)
+SELECT run::VARCHAR AS run_id, CASE WHEN gone THEN 'removed' ELSE 'kept' END AS status, (row_number() OVER (PARTITION BY run, gone ORDER BY CASE WHEN gone THEN n ELSE place END) - 1)::INTEGER AS position, n::INTEGER AS candidate_id, round(a, 6) AS trim_start,
+  round(CASE WHEN b - a < 0.2 THEN least(d, a + 0.2) ELSE b END, 6) AS trim_end, x AND NOT gone AS crossfade_into_next FROM m""")
+def edit_replay(spark, d):
+    """Each order's lines as an edit: all are added and trimmed, the first is moved down, returned ones are removed, open ones fade into the next."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = T.read(spark, d, "lineitem").withColumn("n", F.row_number().over(w))
+    run, zero = F.col("l_orderkey").cast("string").alias("run_id"), F.lit(0.0)
+    start = F.col("l_discount") * 10
+
+    def step(k: int, command: str, which: F.Column, a: F.Column = zero, b: F.Column = zero) -> DataFrame:
+        return rows.filter(which).select(run, (F.lit(100 * k) + F.col("n")).cast("int").alias("sequence"), F.lit(command).alias("command"), F.col("n").cast("int").alias("candidate_id"), a.alias("a"), b.alias("b"), (F.col("l_quantity") / 10).alias("duration"))
+
+    every = F.lit(True)
+    edits = step(0, "add", every).unionByName(step(1, "trim", every, start, start + F.col("l_tax"))).unionByName(step(2, "down", F.col("n") == 1)).unionByName(step(3, "remove", F.col("l_returnflag") == "R")).unionByName(step(4, "crossfade", F.col("l_linestatus") == "O", F.lit(1.0)))
+    return timeline.replay(edits).select("run_id", "status", "position", "candidate_id", *r6("trim_start", "trim_end"), "crossfade_into_next")
+
+
 def _requests(spark, d) -> DataFrame:
     clips = T.read(spark, d, "part").select(F.concat(F.lit("clip_"), F.col("p_partkey").cast("string"), F.lit(".wav")).alias("basename"), (F.col("p_size") * 3200 + 96_000).cast("long").alias("n_samples"))
     return clips.withColumn("tone", F.explode(F.array(*map(F.lit, effects.TONES)))).withColumn("version", F.lit(1))
@@ -446,6 +535,27 @@ def surfaced_minus_kept(spark, d):
     return out.subtract(kept.select("run_id", "analysis_number", "candidate_id"))
 
 
+@query(f"WITH {DECS}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_id) - 1 AS k FROM decs) SELECT run_id::VARCHAR AS run_id, candidate_id::INTEGER AS candidate_id, arg_max(decision, k) AS decision, count(*) AS n_decisions FROM n GROUP BY run_id, candidate_id")
+def decision_log_readback(spark, d):
+    """Decisions appended to the log as JSON lines and read back by its schema: the last of each candidate."""
+    rows = T.decisions(spark, d).withColumn("sequence", F.row_number().over(Window.partitionBy("run_id").orderBy("event_id")) - 1)
+    folder = f"{analysis.log_folder(spark)}/decisions"
+    logs.append(rows.withColumn("decided_at", F.unix_micros(F.col("decided_at").cast("timestamp")) / 1e6), folder, "decisions")
+    return logs.latest_decisions(logs.read(spark, folder, "decisions"), ["run_id", "candidate_id"], "sequence")
+
+
+@query("SELECT md5(l_orderkey || '|' || l_linenumber)[1:8] AS clip_id, l_orderkey, l_linenumber FROM lineitem")
+def clip_ids(spark, d):
+    return T.read(spark, d, "lineitem").select(scalars.short_id(F.col("l_orderkey"), F.col("l_linenumber")).alias("clip_id"), "l_orderkey", "l_linenumber")
+
+
+@query("""WITH e AS (SELECT epoch_us(ts) AS u, value FROM events), w AS (SELECT (u // 2000000 - k) * 2 AS s, value FROM e, range(0, 2) q(k))
+SELECT s::BIGINT AS start_epoch, count(*) AS n, round(sqrt(avg(value * value) + 1e-12), 6) AS rms FROM w GROUP BY s""")
+def sliding_levels(spark, d):
+    """The streaming form's windows, of a table."""
+    return live.windowed_levels(T.read(spark, d, "events")).select(F.col("start").cast("long").alias("start_epoch"), "n", *r6("rms"))
+
+
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, '{\"event_id\":' || event_id || ',\"k\":' || json_extract(props, '$.k')::BIGINT || '}' AS line FROM events")
 def log_json_roundtrip(spark, d):
     rows = T.read(spark, d, "events").select("event_id", F.from_json("props", "k long").getField("k").alias("k"))

@@ -53,3 +53,13 @@ def declick_seconds(a: Column, b: Column, cfg: Config = DEFAULT) -> Column:
 
 def order_label(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.concat(F.lit("[Sound "), i.cast("string"), F.lit("]"))), " → ")
+
+
+def short_id(*parts: Column) -> Column:
+    """Eight hex digits that the parts determine, where an id must not change when a task is run again."""
+    return F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8)
+
+
+def result_status(n: Column, wanted: int) -> Column:
+    """What a run has found: none, fewer than wanted, or all."""
+    return F.when(n == 0, "none").when(n < wanted, "fewer").otherwise("all")

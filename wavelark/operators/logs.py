@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,15 +19,15 @@ COMPOSITION = (
 SCHEMAS = {"analysis": ANALYSIS, "decisions": DECISION, "composition": COMPOSITION}
 
 
-def append(rows: DataFrame, path: str, kind: str) -> None:
+def append(rows: DataFrame, path: str, kind: str, mode: str = "append") -> None:
     """Appends rows to the log, checked against its schema; columns that are missing are null (as analysis_number in old decisions)."""
     spark = rows.sparkSession
     want = spark.createDataFrame([], SCHEMAS[kind]).schema
-    rows.select([F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want]).write.mode("append").json(path)
+    rows.select([F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in want]).write.mode(mode).json(path)
 
 
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[kind]).json(path)
+    return spark.read.schema(SCHEMAS[kind]).option("recursiveFileLookup", "true").json(path)
 
 
 def as_of(events: DataFrame, states: DataFrame, keys: list[str], event_time: str, state_time: str, values: list[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def funnel(decided: DataFrame) -> DataFrame:
     return decided.groupBy("run_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("decision") == "kept").alias("kept"), F.count_if(F.col("decision") == "discarded").alias("discarded"))
 
 
-def analysis_entries(counted: DataFrame, excluded: DataFrame, final: DataFrame, pool: DataFrame, run_id: str, number: int, seed: int | None, at: float, classifier: str) -> DataFrame:
+def analysis_entries(counted: DataFrame, excluded: DataFrame, final: DataFrame, pool: DataFrame, run_id: str | Column, number: int, seed: int | None, at: float, classifier: str) -> DataFrame:
     """One ANALYSIS row a recording: its counters and its final candidates (ten at most) with their component scores."""
     scores = pool.select("recording_id", "window_idx", F.struct("novelty", "contrast", "layering", "distinctiveness", "temporal_interest").alias("component_scores"))
     each = final.select("recording_id", "window_idx", "start_seconds", "region_window_count", "score").join(scores, ["recording_id", "window_idx"])

@@ -57,6 +57,8 @@ def render(parts: list[np.ndarray], fades: list[bool], rate: int, cfg: Config =
 
     Trailing silence is judged on the whole running mix, so its noise floor knows everything before.
     """
+    if not parts:
+        raise ValueError("a composition needs at least one clip")
     mix, length = parts[0], len(parts[0]) / rate
     for part, cross in zip(parts[1:], fades):
         trailing = _bounds(mix, rate, cfg)[1]
@@ -85,10 +87,10 @@ def render(parts: list[np.ndarray], fades: list[bool], rate: int, cfg: Config =
     return mix, length
 
 
-def compose(items: DataFrame, rate: int, cfg: Config = DEFAULT) -> DataFrame:
+def compose(items: DataFrame, rate: int, cfg: Config = DEFAULT, runs: DataFrame | None = None) -> DataFrame:
     """run_id, duration, samples of items (run_id, position, samples of the trimmed clip, crossfade_into_next).
 
-    A fold that carries the rendered mix, so one grouped task a composition (ten clips at most).
+    With `runs` (run_id), a run without items is an error. A fold that carries the rendered mix, so one grouped task a composition (ten clips at most).
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -96,6 +98,9 @@ def compose(items: DataFrame, rate: int, cfg: Config = DEFAULT) -> DataFrame:
         mix, length = render([np.asarray(x, np.float64) for x in pdf["samples"]], list(pdf["crossfade_into_next"][:-1]), rate, cfg)
         return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "duration": [length], "samples": [mix]})
 
+    if runs is not None:
+        runs = runs.select(F.col("run_id").cast("string").alias("run_id")).distinct()
+        items = runs.join(items, "run_id", "left").withColumn("samples", F.coalesce("samples", F.raise_error(F.lit("a composition needs at least one clip")).cast("array<double>")))
     return items.groupBy("run_id").applyInPandas(fold, "run_id string, duration double, samples array<double>")
 
 

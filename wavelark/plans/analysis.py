@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -47,17 +48,36 @@ def shown(history: DataFrame | None, final: DataFrame, windows: DataFrame) -> Da
     return new if history is None else history.unionByName(new).dropDuplicates(["recording_id", "window_idx"])
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` made once, in the checkpoint folder that executors share, for plans that read it several times.
+def rerank(windows: DataFrame, features: DataFrame, dim: int, failed: DataFrame, history: DataFrame | None = None, seed: int | None = None, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """One more analysis of the same windows: the final candidates, and the history with what is shown now.
 
-    The folder is the session's `spark.checkpoint.dir`; a local session without one gets a folder of its own.
+    `failed` (recording_id, window_idx): what the second gate refuses. `history` (recording_id,
+    window_idx, embedding) is what earlier analyses have shown.
     """
-    sc = df.sparkSession.sparkContext
+    short = kept(shortlisted(windows, features, dim, seed, history, cfg))
+    out = selection.final(short, failed, cfg)
+    return out, shown(history, out, windows)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`, which executors share; a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
+        if not folder and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wavelark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def log_folder(spark: SparkSession) -> str:
+    """A new folder for logs, beside the checkpoints."""
+    return f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` made once, in the folder that executors share, for plans that read it several times."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

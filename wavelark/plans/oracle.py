@@ -7,21 +7,32 @@ import random
 WINDOWS = """w AS (SELECT e.vec_id AS window_idx, 'rec' || (e.vec_id // 128) AS rec, 2.0::DOUBLE * (e.vec_id % 128) AS start_seconds, e.label = 0 AS has_speech,
   list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE + e.embedding[i]::DOUBLE * 0.2::DOUBLE) AS embedding
   FROM embeddings e JOIN embeddings a ON a.vec_id = e.vec_id - e.vec_id % 16)"""
-SPECTRUM = """smp AS (SELECT vec_id, i - 1 AS n, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)),
-hann AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * n / 63)) AS xh FROM smp),
-dft AS (SELECT vec_id, k, sqrt(pow(sum(xh * cos(2 * pi() * k * n / 64)), 2) + pow(sum(xh * sin(2 * pi() * k * n / 64)), 2)) AS m FROM hann, range(0, 33) q(k) GROUP BY vec_id, k)"""
-FEATURES = (
-    SPECTRUM
-    + """,
-bands(b, lo, hi) AS (VALUES (0, 0.01, 0.075), (1, 0.075, 0.2), (2, 0.2, 0.5), (3, 0.5, 1.25), (4, 1.25, 3.0), (5, 3.0, 8.0)),
-band AS (SELECT vec_id, b, sqrt(avg(m * m)) AS e FROM dft JOIN bands ON k * 0.25 >= lo AND k * 0.25 < hi GROUP BY vec_id, b),
+RAW = "smp AS (SELECT vec_id, i - 1 AS n, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i))"
+
+
+def spectrum(n: int, samples: str = RAW) -> str:
+    """Magnitudes of windows of n samples; `samples` names smp (vec_id, n, x)."""
+    return f"""{samples},
+hann AS (SELECT *, x * (0.5 - 0.5 * cos(2 * pi() * n / {n - 1})) AS xh FROM smp),
+dft AS (SELECT vec_id, k, sqrt(pow(sum(xh * cos(2 * pi() * k * n / {n})), 2) + pow(sum(xh * sin(2 * pi() * k * n / {n})), 2)) AS m FROM hann, range(0, {n // 2 + 1}) q(k) GROUP BY vec_id, k)"""
+
+
+def features(n: int, rate: int, samples: str = RAW) -> str:
+    """Layering, crest and flux of windows of n samples at a rate."""
+    edges = [x * rate / 32000 for x in (20, 150, 400, 1000, 2500, 6000, 16000)]
+    bands = ", ".join(f"({b}, {lo!r}::DOUBLE, {hi!r}::DOUBLE)" for b, (lo, hi) in enumerate(zip(edges, edges[1:])))
+    return f"""{spectrum(n, samples)},
+bands(b, lo, hi) AS (VALUES {bands}),
+band AS (SELECT vec_id, b, sqrt(avg(m * m)) AS e FROM dft JOIN bands ON k * {rate / n!r}::DOUBLE >= lo AND k * {rate / n!r}::DOUBLE < hi GROUP BY vec_id, b),
 share AS (SELECT vec_id, e / nullif(sum(e) OVER (PARTITION BY vec_id), 0) AS p, sum(e) OVER (PARTITION BY vec_id) AS t FROM band),
 lay AS (SELECT vec_id, CASE WHEN any_value(t) <= 1e-9 THEN 0 ELSE -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln(6) END AS layering FROM share GROUP BY vec_id),
 cre AS (SELECT vec_id, max(m) / (avg(m) + 1e-9) AS crest FROM dft GROUP BY vec_id),
-flev AS (SELECT vec_id, n // 8 AS f, sqrt(avg(x * x) + 1e-12) AS r FROM smp GROUP BY vec_id, f),
+flev AS (SELECT vec_id, n // {rate // 2} AS f, sqrt(avg(x * x) + 1e-12) AS r FROM smp GROUP BY vec_id, f),
 flu AS (SELECT vec_id, avg(abs(d)) AS flux FROM (SELECT vec_id, r - lag(r) OVER (PARTITION BY vec_id ORDER BY f) AS d FROM flev) GROUP BY vec_id),
 feats AS (SELECT vec_id AS window_idx, layering, crest, flux FROM lay JOIN cre USING (vec_id) JOIN flu USING (vec_id))"""
-)
+
+
+SPECTRUM, FEATURES = spectrum(64), features(64, 16)
 
 
 def cos(a: str, b: str) -> str:
@@ -55,36 +66,45 @@ def jitter(seed: int, places: int) -> tuple[list[float], list[float]]:
     return [x / sum(raw) for x in raw], [1 + draw(-0.15, 0.15) for _ in range(places)]
 
 
-def scored(weights: list[float], factors: list[float] | None = None, pool: str = POOL) -> str:
+def score(weights: list[float], factors: list[float] | None = None, tag: str = "") -> str:
+    """Table scored of pool; `tag` ends its name."""
     names = ("novelty", "contrast", "layering", "distinctiveness", "temporal_interest")
     total = " + ".join(f"{w!r}::DOUBLE * {c}" for w, c in zip(weights, names))
     place = f"* ([{', '.join(map(repr, factors))}]::DOUBLE[])[row_number() OVER (PARTITION BY rec ORDER BY start_seconds)]" if factors else ""
-    return f"""{pool},
-scored AS (SELECT *, ({total}) {place} AS score FROM pool)"""
+    return f"scored{tag} AS (SELECT *, ({total}) {place} AS score FROM pool)"
+
+
+def scored(weights: list[float], factors: list[float] | None = None, pool: str = POOL) -> str:
+    return f"{pool},\n{score(weights, factors)}"
+
+
+def regions(tag: str = "") -> str:
+    """Regions and their representatives of scored; `tag` ends all these names."""
+    return f"""lagged{tag} AS (SELECT *, lag(start_seconds) OVER (PARTITION BY rec ORDER BY start_seconds) AS ps, lag(embedding) OVER (PARTITION BY rec ORDER BY start_seconds) AS pe FROM scored{tag}),
+fresh{tag} AS (SELECT *, CASE WHEN ps IS NULL THEN 0 WHEN start_seconds - ps > 2.5 OR {cos("pe", "embedding")} < 0.92 THEN 1 ELSE 0 END AS new FROM lagged{tag}),
+reg{tag} AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY start_seconds ROWS UNBOUNDED PRECEDING)::BIGINT AS region_id FROM fresh{tag}),
+reps{tag} AS (SELECT *, count(*) OVER (PARTITION BY rec, region_id) AS region_window_count FROM reg{tag} QUALIFY row_number() OVER (PARTITION BY rec, region_id ORDER BY score DESC, start_seconds) = 1)"""
 
 
-REGIONS = f"""lagged AS (SELECT *, lag(start_seconds) OVER (PARTITION BY rec ORDER BY start_seconds) AS ps, lag(embedding) OVER (PARTITION BY rec ORDER BY start_seconds) AS pe FROM scored),
-fresh AS (SELECT *, CASE WHEN ps IS NULL THEN 0 WHEN start_seconds - ps > 2.5 OR {cos("pe", "embedding")} < 0.92 THEN 1 ELSE 0 END AS new FROM lagged),
-reg AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY start_seconds ROWS UNBOUNDED PRECEDING)::BIGINT AS region_id FROM fresh),
-reps AS (SELECT *, count(*) OVER (PARTITION BY rec, region_id) AS region_window_count FROM reg QUALIFY row_number() OVER (PARTITION BY rec, region_id ORDER BY score DESC, start_seconds) = 1)"""
+REGIONS = regions()
 
 
-def greedy(count: int, prior: str | None = None) -> str:
-    """Recursive choice among each recording's reps; `prior` names a table (rec, window_idx, embedding) shown before."""
-    before = f"pri AS (SELECT r.rec, r.region_id, max({cos('r.embedding', 'p.embedding')}) AS like_, coalesce(bool_or(r.window_idx = p.window_idx), false) AS again FROM reps r JOIN {prior} p ON p.rec = r.rec GROUP BY r.rec, r.region_id)," if prior else ""
+def greedy(count: int, prior: str | None = None, tag: str = "") -> str:
+    """Recursive choice among each recording's reps, as short; `prior` names a table (rec, window_idx, embedding) shown before, `tag` ends the names made and read here."""
+    before = f"pri{tag} AS (SELECT r.rec, r.region_id, max(CASE WHEN p.window_idx IS NULL THEN 0 ELSE {cos('r.embedding', 'p.embedding')} END) AS like_, coalesce(bool_or(r.window_idx = p.window_idx), false) AS again FROM reps{tag} r LEFT JOIN {prior} p ON p.rec = r.rec GROUP BY r.rec, r.region_id)," if prior else ""
     base = "r.score - 0.2::DOUBLE * like_ - CASE WHEN again THEN 0.5::DOUBLE ELSE 0 END" if prior else "r.score"
-    source = "reps r JOIN pri USING (rec, region_id) WHERE like_ < 0.97" if prior else "reps r"
+    source = f"reps{tag} r JOIN pri{tag} USING (rec, region_id) WHERE like_ < 0.97" if prior else f"reps{tag} r"
     return f"""{before}
-open AS MATERIALIZED (SELECT rec, r.region_id AS id, r.start_seconds AS s, r.embedding AS e, {base} AS base FROM {source}),
-sim AS MATERIALIZED (SELECT a.rec, a.id AS i, b.id AS j, {cos("a.e", "b.e")} AS c, abs(a.s - b.s) AS dt FROM open a JOIN open b ON a.rec = b.rec),
-g(rec, step, sel) AS (SELECT DISTINCT rec, 0, []::BIGINT[] FROM open UNION ALL SELECT rec, step + 1, list_append(sel, pick) FROM (
+open{tag} AS MATERIALIZED (SELECT rec, r.region_id AS id, r.start_seconds AS s, r.embedding AS e, {base} AS base FROM {source}),
+sim{tag} AS MATERIALIZED (SELECT a.rec, a.id AS i, b.id AS j, {cos("a.e", "b.e")} AS c, abs(a.s - b.s) AS dt FROM open{tag} a JOIN open{tag} b ON a.rec = b.rec),
+g{tag}(rec, step, sel) AS (SELECT DISTINCT rec, 0, []::BIGINT[] FROM open{tag} UNION ALL SELECT rec, step + 1, list_append(sel, pick) FROM (
   SELECT rec, step, sel, arg_max(id, row(value, -id)) AS pick FROM (
     SELECT g.rec, g.step, g.sel, r.id, r.base - 0.2::DOUBLE * coalesce(max(s.c), 0) AS value, min(s.dt) AS near, max(s.c) AS like_
-    FROM g JOIN open r ON r.rec = g.rec LEFT JOIN sim s ON s.rec = r.rec AND s.i = r.id AND list_contains(g.sel, s.j) WHERE g.step < {count} AND NOT list_contains(g.sel, r.id) GROUP BY g.rec, g.step, g.sel, r.id, r.base)
+    FROM g{tag} g JOIN open{tag} r ON r.rec = g.rec LEFT JOIN sim{tag} s ON s.rec = r.rec AND s.i = r.id AND list_contains(g.sel, s.j) WHERE g.step < {count} AND NOT list_contains(g.sel, r.id) GROUP BY g.rec, g.step, g.sel, r.id, r.base)
   WHERE coalesce(near >= 8, true) AND coalesce(like_ < 0.97, true) GROUP BY rec, step, sel) WHERE pick IS NOT NULL),
-best AS (SELECT rec, arg_max(sel, step) AS sel FROM g GROUP BY rec),
-picks AS (SELECT rec, unnest(range(1, len(sel) + 1)) AS pick, unnest(sel) AS region_id FROM best),
-short AS (SELECT pick, r.* FROM picks JOIN reps r USING (rec, region_id))"""
+best{tag} AS (SELECT rec, arg_max(sel, step) AS sel FROM g{tag} GROUP BY rec),
+picks{tag} AS (SELECT rec, unnest(range(1, len(sel) + 1)) AS pick, unnest(sel) AS region_id FROM best{tag}),
+short{tag} AS (SELECT pick, r.* FROM picks{tag} JOIN reps{tag} r USING (rec, region_id))"""
 
 
 SIGNAL = "sig AS (SELECT 'rec' || (event_id // 25600) AS rec, event_id % 25600 AS i, value AS v FROM events), len AS (SELECT rec, (max(i) + 1) / 100.0::DOUBLE AS duration FROM sig GROUP BY rec)"

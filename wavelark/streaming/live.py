@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, Config
+from ..operators import logs
 
 
 def windowed_levels(events: DataFrame, length: str = "4 seconds", slide: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
@@ -27,6 +29,31 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")
 
 
+def append_log(rows: DataFrame, path: str, kind: str, checkpoint: str, **trigger):
+    """A running query that appends each micro-batch to a log; a batch that is run again after a failure replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        logs.append(batch, f"{path}/batch={number}", kind, mode="overwrite")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+class Progress(StreamingQueryListener):
+    """Keeps (query name, batch, rows) of each micro-batch."""
+
+    def __init__(self):
+        self.seen: list[tuple[str | None, int, int]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.seen.append((event.progress.name, event.progress.batchId, event.progress.numInputRows))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 REGION = "recording_id string, first_start double, last_start double, best_start double, best_score double, n long"
 _STATE = "first double, last double, best double, score double, n long, embedding array<double>"
 
