@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,44 +108,65 @@ def compose(items: DataFrame, rate: int, cfg: Config = DEFAULT, runs: DataFrame
 EDIT_STATE = "run_id string, status string, position int, candidate_id int, trim_start double, trim_end double, crossfade_into_next boolean"
 
 
+class Edit:
+    """The clips of one edit in their order, and those removed."""
+
+    def __init__(self, cfg: Config):
+        self.live: list[dict] = []
+        self.gone: list[dict] = []
+        self.least = cfg.min_trim_seconds
+
+    def apply(self, command: str, candidate: int, a: float, b: float, duration: float) -> None:
+        place = next((k for k, x in enumerate(self.live) if x["candidate_id"] == candidate), None)
+        if command == "add" and place is None:
+            self.live.append({"candidate_id": candidate, "trim_start": 0.0, "trim_end": duration, "crossfade_into_next": False})
+        elif command == "restore":
+            if back := next((x for x in self.gone if x["candidate_id"] == candidate), None):
+                self.gone.remove(back)
+                self.live.append(back)
+        elif place is None:
+            return
+        elif command == "trim":
+            self.live[place] |= {"trim_start": a, "trim_end": b if b - a >= self.least else min(duration, a + self.least)}
+        elif command in ("up", "down"):
+            to = place + (1 if command == "down" else -1)
+            if 0 <= to < len(self.live):
+                self.live[place], self.live[to] = self.live[to], self.live[place]
+        elif command == "remove":
+            self.gone.append(self.live.pop(place))
+        elif command == "crossfade":
+            self.live[place]["crossfade_into_next"] = bool(a)
+
+    def rows(self, run: str) -> list[dict]:
+        return [x | {"run_id": run, "status": s, "position": k} for s, xs in (("kept", self.live), ("removed", self.gone)) for k, x in enumerate(xs)]
+
+
 def replay(edits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """EDIT_STATE after all edits (run_id, sequence, command, candidate_id, a, b, duration) in order.
 
     Commands: add, trim (a, b), up, down, remove, restore (at the end), crossfade (a: 0 or 1). Unknown
-    ids and moves past an end change nothing.
+    ids and moves past an end change nothing. Edits are sorted by run in each task and read in one
+    pass; what a task holds is one run's state.
     """
-    names = [x.split()[0] for x in EDIT_STATE.split(", ")]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: list[dict] = []
-        gone: list[dict] = []
-        for e in pdf.sort_values("sequence").itertuples():
-            at = next((k for k, x in enumerate(live) if x["candidate_id"] == e.candidate_id), None)
-            if e.command == "add" and at is None:
-                live.append({"candidate_id": e.candidate_id, "trim_start": 0.0, "trim_end": e.duration, "crossfade_into_next": False})
-            elif e.command == "restore":
-                back = next((x for x in gone if x["candidate_id"] == e.candidate_id), None)
-                if back:
-                    gone.remove(back)
-                    live.append(back)
-            elif at is None:
-                continue
-            elif e.command == "trim":
-                live[at]["trim_start"] = e.a
-                live[at]["trim_end"] = e.b if e.b - e.a >= cfg.min_trim_seconds else min(e.duration, e.a + cfg.min_trim_seconds)
-            elif e.command in ("up", "down"):
-                to = at + (1 if e.command == "down" else -1)
-                if 0 <= to < len(live):
-                    live[at], live[to] = live[to], live[at]
-            elif e.command == "remove":
-                gone.append(live.pop(at))
-            elif e.command == "crossfade":
-                live[at]["crossfade_into_next"] = bool(e.a)
-        run = pdf["run_id"].iloc[0]
-        rows = [x | {"run_id": run, "status": s, "position": k} for s, xs in (("kept", live), ("removed", gone)) for k, x in enumerate(xs)]
-        return pd.DataFrame(rows, columns=names)
-
-    return edits.groupBy("run_id").applyInPandas(fold, EDIT_STATE)
+    names, kinds = zip(*(x.split() for x in EDIT_STATE.split(", ")))
+    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[k]) for n, k in zip(names, kinds)])
+
+    def run(batches):
+        now, edit, out = None, Edit(cfg), []
+        for batch in batches:
+            for of, *step in zip(*(c.to_pylist() for c in batch.columns)):
+                if of != now:
+                    out += edit.rows(now)
+                    now, edit = of, Edit(cfg)
+                edit.apply(*step)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if out := out + edit.rows(now):
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    ordered = edits.repartition("run_id").sortWithinPartitions("run_id", "sequence")
+    return ordered.select("run_id", "command", "candidate_id", "a", "b", "duration").mapInArrow(run, EDIT_STATE)
 
 
 def swap_neighbours(items: DataFrame, candidate_id: int, down: bool) -> DataFrame:
