@@ -86,13 +86,14 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def packed(*cols: np.ndarray) -> bytes:
-    """Arrays in as few bytes as their greatest values allow."""
+    """Arrays in as few bytes as their greatest values allow; whole numbers byte by byte, all lowest bytes first, so that the many zeros of the highest lie together."""
     parts = []
     for c in cols:
         if c.dtype.kind in "iu":
             top = int(c.max()) if len(c) else 0
-            c = c.astype(next(t for t, most in (("u1", 1 << 8), ("u2", 1 << 16), ("u4", 1 << 32), ("u8", 1 << 64)) if top < most))
-        parts += [c.dtype.str[1:].encode(), len(c).to_bytes(8, "little"), c.tobytes()]
+            c = c.astype(next(t for t, most in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if top < most))
+        raw = np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T) if c.dtype.kind == "u" and c.itemsize > 1 else c
+        parts += [c.dtype.str[1:].encode(), len(c).to_bytes(8, "little"), raw.tobytes()]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
@@ -100,25 +101,22 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     while at < len(raw):
         kind, n = np.dtype(raw[at : at + 2].decode()), int.from_bytes(raw[at + 2 : at + 10], "little")
-        out.append(np.frombuffer(raw, kind, n, at + 10))
-        at += 10 + n * kind.itemsize
+        at += 10
+        if kind.kind == "u" and kind.itemsize > 1:
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).reshape(-1).view(kind))
+        else:
+            out.append(np.frombuffer(raw, kind, n, at))
+        at += n * kind.itemsize
     return out
 
 
-def planes(c: np.ndarray, width: int = 4) -> np.ndarray:
-    """Whole numbers byte by byte: all lowest bytes first, so that the many zeros of the highest lie together."""
-    return np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
-
-
-def whole(b: np.ndarray, width: int = 4) -> np.ndarray:
-    out = np.zeros((len(b) // width, 8), np.uint8)
-    out[:, :width] = b.reshape(width, -1).T
-    return out.reshape(-1).view("<u8").astype(np.int64)
+def steps(h: np.ndarray) -> np.ndarray:
+    """Sorted hashes by their differences."""
+    return np.diff(h, prepend=np.zeros(1, np.uint64))
 
 
-def steps(h: np.ndarray) -> np.ndarray:
-    """Sorted hashes by their differences, as planes."""
-    return planes(np.diff(h, prepend=np.zeros(1, np.uint64)), 8)
+def hashes(d: np.ndarray) -> np.ndarray:
+    return np.cumsum(d.astype(np.uint64), dtype=np.uint64)
 
 
 def short(h: np.ndarray) -> np.ndarray:
@@ -171,7 +169,7 @@ class Asked:
 
 def answers(held: dict[int, list[tuple[int, bytes]]], shard: int) -> tuple[list[tuple[int, int, int, bytes]], tuple]:
     """What a shard says to all questions, and its totals: tokens, words, and sums of hot contexts."""
-    asked = [(chunk, [np.cumsum(whole(x[0], 8).astype(np.uint64), dtype=np.uint64), *x[1:]]) for chunk, x in ((chunk, unpacked(data)) for chunk, data in held.get(ASK, ()))]
+    asked = [(chunk, [hashes(x[0]), *x[1:]]) for chunk, x in ((chunk, unpacked(data)) for chunk, data in held.get(ASK, ()))]
     if not asked:
         return [], (0, 0, *[np.zeros(0, np.int64)] * 3)
     col = lambda k: np.concatenate([x[k] for _, x in asked])
@@ -326,10 +324,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             ctx, last = np.divmod(pairs, len(words))
             asked = Asked(words, np.bincount(place[train], minlength=len(words)), ctx, words[last], np.bincount(pair[train[at]], minlength=len(pairs)), hot)
             here = part + chunk
-            by = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # the commonest words first: small numbers
+            often = np.bincount(place, minlength=len(words))
+            by = np.argsort(-often, kind="stable")  # the commonest words first: small numbers; those that occur once come last, by hash
+            more = int((often > 1).sum())
             code = np.empty_like(by)
             code[by] = np.arange(len(by))
-            home = packed(words[by], planes(code[place]), lengths, np.array([d or 0 for d in docs_], np.int64).view(np.uint64), np.array([d is not None for d in docs_]), held)
+            home = packed(words[by[:more]], steps(words[by[more:]]), code[place], lengths, np.array([d or 0 for d in docs_], np.int64).view(np.uint64), np.array([d is not None for d in docs_]), held)
             return in_parts([*asked.messages(here, shards), (here % shards, here, HOME, home)])
 
         for batch in batches:
@@ -354,11 +354,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def walk(batches, last_round: bool):
         """Every text through the states of one word; then questions about longer ones, or their answers and the result."""
         for chunk, held in grouped(batches, 1):
-            names, code, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
+            often, once, code, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
+            names = np.concatenate([often.astype(np.uint64), hashes(once)])
             by = np.argsort(names)
             words, rank = names[by].astype(np.uint64), np.empty_like(by)
             rank[by] = np.arange(len(by))
-            place, lengths, doc = rank[whole(code)], lengths.astype(np.int64), doc.astype(np.uint64)
+            place, lengths, doc = rank[code], lengths.astype(np.int64), doc.astype(np.uint64)
             at, pairs, pair = pairs_in(place, lengths, len(words))
             ctx, last = np.divmod(pairs, len(words))
             asked = Asked(words, place[:0], ctx, words[last], pairs[:0], hot)
