@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable
 
 ORDER, DISCOUNT, LEAST = 3, 0.5, 2
-BUFFER, CACHE = 1_200_000, 300_000
+BUFFER, CACHE = 1_000_000, 200_000
 #: Contexts with such a share of a sample of SAMPLE rows are dealt by the next word too; at most 2 * HOT of them.
 HOT, SAMPLE = 1 << 10, 5000
 END = xxhash.xxh64_intdigest(b"\n")  # no word has a new line
@@ -266,6 +266,8 @@ def exchange(messages: DataFrame, shards: int) -> tuple[DataFrame, int, int, dic
             yield from in_parts([(shard, chunk, HOME, data) for chunk, data in held.get(HOME, ())])
             said, (tokens, words, *of_hot) = answers(held, shard)
             yield from in_parts([*said, (shard, -1, SUMS, packed(np.array([tokens, words]), *of_hot))])
+            held.clear()
+            said.clear()
 
     dealt = messages.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "tag", "chunk")
     met = durable(dealt.mapInArrow(run, MESSAGE))
@@ -298,7 +300,7 @@ def rest_of(count: np.ndarray, total: np.ndarray, arcs: np.ndarray) -> np.ndarra
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; order: 2 or 3 words to an n-gram at most."""
     spark = docs.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_text())
     hot = hot_contexts(rows)
 
@@ -351,53 +353,57 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         cols = [pa.array(doc.view(np.int64), mask=~has_id), held, lengths.astype(np.int64), known.astype(np.int64), np.full(len(doc), n, np.int64), base, score]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    def walk(batches, last_round: bool):
+    def walk_chunk(chunk: int, held: dict, last_round: bool):
         """Every text through the states of one word; then questions about longer ones, or their answers and the result."""
+        often, once, code, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
+        names = np.concatenate([often.astype(np.uint64), hashes(once)])
+        by = np.argsort(names)
+        words, rank = names[by].astype(np.uint64), np.empty_like(by)
+        rank[by] = np.arange(len(by))
+        place, lengths, doc = rank[code], lengths.astype(np.int64), doc.astype(np.uint64)
+        at, pairs, pair = pairs_in(place, lengths, len(words))
+        ctx, last = np.divmod(pairs, len(words))
+        asked = Asked(words, place[:0], ctx, words[last], pairs[:0], hot)
+        count, total, arcs, seen = joined(held[ANSWER], asked.places(), len(pairs))
+        with_hot(total, arcs, asked.hot, sums)
+        # The token at `at + 1` ends a pair. It ends a triple too where the pair before ends where this one begins.
+        third = np.r_[False, at[1:] == at[:-1] + 1][: len(at)]
+        deep = np.flatnonzero(third & np.r_[False, seen[pair[:-1]] > 0][: len(at)]) if order > 2 else at[:0]
+        of_row = np.repeat(np.arange(len(lengths)), lengths)
+        used, state = np.unique(pair[deep - 1], return_inverse=True)
+        named = mix(words[ctx[used]], words[last[used]])
+        by = np.argsort(named)
+        rank = np.empty_like(by)
+        rank[by] = np.arange(len(by))
+        triples, first, triple = np.unique(rank[state] * len(words) + place[at[deep] + 1], return_index=True, return_inverse=True)
+        state, then = np.divmod(triples, len(words))
+        second = pair[deep[first]]
+        maybe = np.flatnonzero(seen[second] > 0)
+        train = np.bincount(triple[~away[of_row[at[deep]]]], minlength=len(triples))
+        more = Asked(named[by], np.zeros(len(by), np.int64), state[maybe], words[then[maybe]], train[maybe], hot)
+        if not last_round:
+            yield from in_parts(more.messages(chunk, shards))
+            return
+        p1 = (count + 1) / denominator
+        p2 = rest_of(count, total, arcs)[ctx] * p1[last] + np.where(seen > 0, (seen - DISCOUNT) / np.maximum(count[ctx], 1), 0)
+        starts = np.cumsum(lengths) - lengths
+        base = np.add.reduceat(np.log10(p1)[place], starts)
+        known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
+        plain = np.ones(len(at), bool)
+        plain[deep] = False
+        score = np.log10(p1)[place[starts]] + np.bincount(of_row[at[plain]], np.log10(p2)[pair[plain]], len(lengths))
+        if len(deep):
+            _, total, arcs, n3 = joined(held[MORE], tuple(maybe[x] for x in more.places()), len(triples))
+            with_hot(total, arcs, more.hot, more_sums)
+            own = seen[used][by]
+            p3 = rest_of(own, total, arcs)[state] * p2[second] + np.where(n3 > 0, (n3 - DISCOUNT) / own[state], 0)
+            score += np.bincount(of_row[at[deep]], np.log10(p3)[triple], len(lengths))
+        yield result(doc, has_id, away, lengths, known, base, score)
+
+    def walk(batches, last_round: bool):
         for chunk, held in grouped(batches, 1):
-            often, once, code, lengths, doc, has_id, away = unpacked(held[HOME][0][1])
-            names = np.concatenate([often.astype(np.uint64), hashes(once)])
-            by = np.argsort(names)
-            words, rank = names[by].astype(np.uint64), np.empty_like(by)
-            rank[by] = np.arange(len(by))
-            place, lengths, doc = rank[code], lengths.astype(np.int64), doc.astype(np.uint64)
-            at, pairs, pair = pairs_in(place, lengths, len(words))
-            ctx, last = np.divmod(pairs, len(words))
-            asked = Asked(words, place[:0], ctx, words[last], pairs[:0], hot)
-            count, total, arcs, seen = joined(held[ANSWER], asked.places(), len(pairs))
-            with_hot(total, arcs, asked.hot, sums)
-            # The token at `at + 1` ends a pair. It ends a triple too where the pair before ends where this one begins.
-            third = np.r_[False, at[1:] == at[:-1] + 1][: len(at)]
-            deep = np.flatnonzero(third & np.r_[False, seen[pair[:-1]] > 0][: len(at)]) if order > 2 else at[:0]
-            of_row = np.repeat(np.arange(len(lengths)), lengths)
-            used, state = np.unique(pair[deep - 1], return_inverse=True)
-            named = mix(words[ctx[used]], words[last[used]])
-            by = np.argsort(named)
-            rank = np.empty_like(by)
-            rank[by] = np.arange(len(by))
-            triples, first, triple = np.unique(rank[state] * len(words) + place[at[deep] + 1], return_index=True, return_inverse=True)
-            state, then = np.divmod(triples, len(words))
-            second = pair[deep[first]]
-            maybe = np.flatnonzero(seen[second] > 0)
-            train = np.bincount(triple[~away[of_row[at[deep]]]], minlength=len(triples))
-            more = Asked(named[by], np.zeros(len(by), np.int64), state[maybe], words[then[maybe]], train[maybe], hot)
-            if not last_round:
-                yield from in_parts(more.messages(chunk, shards))
-                continue
-            p1 = (count + 1) / denominator
-            p2 = rest_of(count, total, arcs)[ctx] * p1[last] + np.where(seen > 0, (seen - DISCOUNT) / np.maximum(count[ctx], 1), 0)
-            starts = np.cumsum(lengths) - lengths
-            base = np.add.reduceat(np.log10(p1)[place], starts)
-            known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
-            plain = np.ones(len(at), bool)
-            plain[deep] = False
-            score = np.log10(p1)[place[starts]] + np.bincount(of_row[at[plain]], np.log10(p2)[pair[plain]], len(lengths))
-            if len(deep):
-                _, total, arcs, n3 = joined(held[MORE], tuple(maybe[x] for x in more.places()), len(triples))
-                with_hot(total, arcs, more.hot, more_sums)
-                own = seen[used][by]
-                p3 = rest_of(own, total, arcs)[state] * p2[second] + np.where(n3 > 0, (n3 - DISCOUNT) / own[state], 0)
-                score += np.bincount(of_row[at[deep]], np.log10(p3)[triple], len(lengths))
-            yield result(doc, has_id, away, lengths, known, base, score)
+            yield from walk_chunk(chunk, held, last_round)
+            held.clear()
 
     scores = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if order < 3:
