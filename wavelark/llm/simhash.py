@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near
 from .common import doc_text, durable, look_up, map_arrow
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -209,10 +210,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def classes(each: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows with fp: durable (fp, rep, n) with the least doc_id and the number of rows, and (fp, label) with the component's least fingerprint."""
+def classes(each: DataFrame, largest: int, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of rows with fp: durable (fp, rep, n) with the least doc_id and the number of rows, and (fp, label) with the component's least fingerprint. `more`: further links (a, b)."""
     found = durable(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    labels = components(links(found.select("fp"), largest))
+    edges = links(found.select("fp"), largest)
+    labels = components(durable(edges.union(more).distinct()) if more is not None else edges)
     return found, durable(found.join(labels, found.fp == labels.node, "left").select("fp", F.coalesce("label", "fp").alias("label")))
 
 
@@ -231,11 +233,18 @@ FEW = 2_000_000
 
 
 def keep_one(docs: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """`docs` with one row left of each component. `docs` must give its rows in the same order each time, as files do."""
+    """`docs` with one row left of each component. `docs` must give its rows in the same order each time, as files do.
+
+    Components are of fingerprints within DISTANCE bits and of texts whose five-word shingles have a
+    similarity of 0.8 or more (see `near`): fingerprints alone leave most near copies.
+    """
     # The columns travel as one, so none of theirs can clash with those made here.
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.struct("*").alias("row"))
     each = durable(fingerprints(rows.select("row.doc_id", "row.text", "place"), "place"))
-    named = durable(look_up(each, "fp", classes(each, largest)[1]).select("doc_id", "place", "label"))
+    pairs = near.links(rows.select("row.text", "place"))
+    by_place = lambda c: each.select(F.col("place").alias(c), F.col("fp").alias(f"f{c}"))
+    more = pairs.join(by_place("a"), "a").join(by_place("b"), "b").filter("fa <> fb").select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"))
+    named = durable(look_up(each, "fp", classes(each, largest, more)[1]).select("doc_id", "place", "label"))
     first = durable(named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place"))["place"].alias("kept")))
     drop = durable(look_up(named, "label", first).filter("place <> kept").select("place"))
     few = F.broadcast(drop) if drop.count() <= FEW else drop
