@@ -9,7 +9,9 @@ spanning forest, likely links first; its edges are then verified on the whole se
 
 Groups over `largest` members are dealt by salt, a leader for each cluster of a part goes on, and
 parts that don't shrink so (many texts with a passage in common) are dealt anew by their other bands.
-So no task holds more than twice `largest` sketches, and edges are fewer than members.
+So a task holds about `largest` sketches at once, and a group's edges are fewer than its members. What this
+can lose: a chosen edge that fails where another between the same parts would have held, and links
+between members of different parts of a large group whose leaders aren't linked.
 
 Defined cases: texts of fewer than five words are one shingle, those without words have none and no
 link. Copies (equal words, A-Z in lower case) are one text. An empty table gives no links.
