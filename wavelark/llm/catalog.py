@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, lm, media, packing, pii, quality, secrets, simhash, wrappers
+from . import audit, decontaminate, langid, lm, media, packing, phrases, pii, quality, secrets, simhash, topk, wrappers
 from .common import table
 
 
@@ -49,7 +49,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), topk.every_nth())
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_surrogates, op2_decontamination, op3_secrets, op4_media, op5_extraction, op6_packing, op7_lm_scores, op8_language, op9_simhash, op10_quality)
+    f.__name__: f
+    for f in (op1_surrogates, op2_decontamination, op3_secrets, op4_media, op5_extraction, op6_packing, op7_lm_scores, op8_language, op9_simhash, op10_quality, op11_topk, op12_audit, op13_phrases)
 }
-ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.ORACLE_SQL, "op11_topk": topk.ORACLE_SQL, "op12_audit": audit.ORACLE_SQL, "op13_phrases": phrases.ORACLE_SQL}
