@@ -9,7 +9,7 @@ first. Cuts of a phrase and the shorter phrases inside it are found by following
 of a phrase x = (p, q), p is what stands before its last word and q what stands after its first, and
 exactly p and q are the phrases of one word less that lie inside it.
 
-How it runs: texts are cut into chunks of some 24 MB, and a chunk keeps, for each language, its
+How it runs: texts are cut into chunks of some 12 MB, and a chunk keeps, for each language, its
 different words and its text as places in that list, in a Parquet table in the shared folder. Each
 level then exchanges a chunk's different words (or pairs) with their counts, not their occurrences:
 they are summed up by key, the frequent ones are named in a durable table, and the chunks get the names
@@ -41,7 +41,7 @@ from .common import durable, shared_folder
 
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
 #: Bytes of text in a chunk; a longer text is a chunk alone.
-CHUNK = 24 << 20
+CHUNK = 12 << 20
 
 _FROM = bytes(range(65, 91)) + b"\t" + b".,;:!?\n\v\f\r"
 _TO = bytes(range(97, 123)) + b" " + b"\n" * 10
@@ -136,8 +136,11 @@ def pairs(places: np.ndarray) -> np.ndarray:
 
 def different_pairs(names: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The names of the different pairs, and how often each is there."""
-    at = pairs(places)
-    codes, counts = np.unique(at[at >= 0], return_counts=True)
+    there = (places[:-1] >= 0) & (places[1:] >= 0)
+    codes = places[:-1][there].astype(np.int64)
+    codes <<= 32
+    codes |= places[1:][there]
+    codes, counts = np.unique(codes, return_counts=True)
     return names[codes >> 32], names[codes & 0xFFFFFFFF], counts
 
 
