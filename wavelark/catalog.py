@@ -9,10 +9,11 @@ from pyspark.sql.window import Window
 from .config import DEFAULT
 from .functions import scalars
 from .functions.vectors import cosine
-from .operators import clipping, effects, framing, logs, regions, scoring, selection, spectral, timeline
+from .operators import clipping, composing, effects, framing, logs, regions, resampling, scoring, selection, spacing, spectral, timeline
 from .plans import analysis
 from .plans import oracle as O
 from .sources import tables as T
+from .sources import wav
 from .streaming import live
 
 DIM, WAVE_RATE, RATE = 64, 16, 100
@@ -308,7 +309,16 @@ def analysis_windows(spark, d):
 @query("SELECT 'rec' || (vec_id // 128) AS recording_id, 2.0::DOUBLE * (vec_id % 128) AS start_seconds FROM embeddings WHERE vec_id % 2 = 0")
 def spaced_starts(spark, d):
     """Starts more than three seconds after the last one kept."""
-    return framing.dedup_spacing(T.windows(spark, d).select("recording_id", "start_seconds"), 3.0)
+    return spacing.spaced(T.windows(spark, d).select("recording_id", "start_seconds"), 3.0)
+
+
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT 'rec' || (event_id // 25600) AS rec, event_id % 25600 / 100.0::DOUBLE + value / 1000 AS t FROM events), f AS (SELECT rec, min(t) AS t FROM s GROUP BY rec),
+n AS (SELECT a.rec, a.t, b.t AS next FROM s a ASOF JOIN s b ON a.rec = b.rec AND a.t + 0.37::DOUBLE < b.t), k AS (SELECT rec, t FROM f UNION ALL SELECT k.rec, n.next FROM k JOIN n ON n.rec = k.rec AND n.t = k.t)
+SELECT rec AS recording_id, round(t, 6) AS start_seconds FROM k""")
+def spaced_events(spark, d):
+    """Events at irregular times: those at more than 0.37 seconds after the last one kept."""
+    rows = T.signal(spark, d).select("recording_id", (F.col("sample_idx") / 100 + F.col("value") / 1000).alias("start_seconds"))
+    return spacing.spaced(rows, 0.37).select("recording_id", *r6("start_seconds"))
 
 
 @query("SELECT 'rec' || (event_id // 25600) AS recording_id, event_id % 25600 // 2 AS sample_idx, round(avg(value), 6) AS value FROM events GROUP BY ALL")
@@ -371,6 +381,71 @@ def verified_candidates(spark, d):
     out = analysis.verified(short, T.signal(spark, d), _sub_scores(spark, d), RATE)
     return out.select("recording_id", "candidate_id", "window_idx", "start_seconds", *r6("clip_start", "clip_end"))
 
+# WAV files
+
+
+def _as_wav(spark, d) -> str:
+    """The signal as WAV files in the shared folder, one a recording, written in blocks of 4,096 samples. Values are scaled by 1/1024."""
+    folder, at = f"{analysis.log_folder(spark)}/wav", F.floor(F.col("sample_idx") / 4096)
+    blocks = T.signal(spark, d).groupBy(F.col("recording_id").alias("name"), (at * 4096).alias("first_sample")).agg(F.array_sort(F.collect_list(F.struct("sample_idx", F.col("value") / 1024))).alias("s"))
+    wav.write(blocks.select("name", "first_sample", F.transform("s", lambda x: x["col2"]).alias("samples")), folder, RATE)
+    return folder
+
+
+def _read_once(df: DataFrame, folder: str) -> DataFrame:
+    """`df`, which reads files under `folder`, made at once; the files go."""
+    out = analysis.kept(df)
+    analysis.remove(df.sparkSession, folder)
+    return out
+
+
+PCM = "round_even(least(greatest(value / 1024, -1), 1 - pow(2, -15)) * 32768, 0) / 32768"
+
+
+@query(f"SELECT 'rec' || (event_id // 25600) AS recording_id, event_id % 25600 AS sample_idx, round({PCM}, 6) AS value FROM events")
+def wav_samples(spark, d):
+    """Written as WAV files by the sink and read back by the source, in ranges of 16 KB."""
+    folder = _as_wav(spark, d)
+    return _read_once(wav.signal(spark, folder, id="stem", splitBytes=1 << 14).select("recording_id", "sample_idx", *r6("value")), folder)
+
+
+@query(f"SELECT 'rec' || (event_id // 25600) AS recording_id, event_id % 25600 AS sample_idx, round({PCM}, 6) AS value FROM events WHERE event_id % 25600 BETWEEN 250 AND 899")
+def wav_region_scan(spark, d):
+    """A stretch of every recording; the bounds reach the files."""
+    folder = _as_wav(spark, d)
+    return _read_once(wav.signal(spark, folder, id="stem").filter(F.col("sample_idx").between(250, 899)).select("recording_id", "sample_idx", *r6("value")), folder)
+
+
+@query("SELECT 'rec' || (event_id // 25600) AS recording_id, 100::INTEGER AS rate, 1::INTEGER AS channels, count(*) AS n_frames, count(*) / 100.0::DOUBLE AS duration_seconds FROM events GROUP BY event_id // 25600")
+def wav_recordings(spark, d):
+    """What the headers say."""
+    folder = _as_wav(spark, d)
+    return _read_once(wav.recordings(spark, folder, id="stem").select("recording_id", "rate", "channels", "n_frames", "duration_seconds"), folder)
+
+
+@query(f"""WITH {O.WINDOWS}, {O.SIGNAL}, {O.BOUNDS}, c AS (SELECT window_idx, {PCM.replace('value', 'v')} AS v FROM clips JOIN sig ON clips.rec = sig.rec AND i >= round_even(clip_start * 100, 0) AND i < round_even(clip_end * 100, 0))
+SELECT window_idx, count(*) AS n_frames, round(sum(v), 6) AS total FROM c GROUP BY window_idx""")
+def wav_clips(spark, d):
+    """Each candidate's clip as a WAV file of its own, read back."""
+    folder = f"{analysis.log_folder(spark)}/clips"
+    rows = clipping.clip_samples(_clips(spark, d), T.signal(spark, d), RATE).groupBy("window_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", F.col("value") / 1024))).alias("s"))
+    wav.write(rows.select(F.format_string("clip_%d.wav", "window_idx").alias("name"), F.transform("s", lambda x: x["col2"]).alias("samples")), folder, RATE)
+    back = wav.signal(spark, folder, id="stem").groupBy(F.regexp_extract("recording_id", r"\d+", 0).cast("long").alias("window_idx"))
+    return _read_once(back.agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.sum("value"), 6).alias("total")), folder)
+
+
+# 100 Hz to 80 Hz: four outputs to five inputs, each the weighted sum of the inputs less than 20 away.
+RESAMPLED = """n AS (SELECT rec, max(i) + 1 AS n FROM sig GROUP BY rec), o AS (SELECT rec, unnest(range(0, ceil(n * 4 / 5.0)::BIGINT)) AS o FROM n),
+taps AS (SELECT p, k, 0.8 * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * 0.8 * t) / (pi() * 0.8 * t) END * CASE WHEN abs(0.8 * t) < 16 THEN 0.5 + 0.5 * cos(pi() * 0.8 * t / 16) ELSE 0 END AS h
+  FROM (SELECT p, k, k - p / 4.0::DOUBLE AS t FROM range(0, 4) a(p), range(-19, 21) b(k))),
+unit AS (SELECT p, k, h / sum(h) OVER (PARTITION BY p) AS h FROM taps),
+need AS MATERIALIZED (SELECT rec, o, o * 5 // 4 + k AS i, h FROM o JOIN unit ON p = o * 5 % 4)"""
+
+
+@query(f"WITH {O.SIGNAL}, {RESAMPLED} SELECT rec AS recording_id, o AS sample_idx, round(sum(h * v), 6) AS value FROM need JOIN sig USING (rec, i) GROUP BY ALL")
+def resampled_signal(spark, d):
+    return resampling.resample(T.signal(spark, d), 4, 5, block=4096).select("recording_id", "sample_idx", *r6("value"))
+
 
 # Scalars
 
@@ -440,13 +515,43 @@ def declick_concat(spark, d):
     return timeline.declick_concat(*_halves(spark, d), 400, 2).select("recording_id", "sample_idx", *r6("value"))
 
 
-@query()
+# The mix as a list that grows clip by clip; its levels are taken anew each time.
+def _levels(x: str) -> str:
+    return f"list_transform(range(0, len({x}) // 5), lambda f: sqrt(list_avg(list_transform({x}[f * 5 + 1:f * 5 + 5], lambda y: y * y)) + 1e-12))"
+
+
+def _active(x: str) -> str:
+    return f"list_filter(range(1, len({x}) + 1), lambda f: {x}[f] > list_aggregate({x}, 'quantile_cont', 0.2) * 1.6::DOUBLE)"
+
+
+COMPOSED = f"""s AS (SELECT event_id // 1000 AS run, event_id % 1000 // 100 AS p, event_id % 100 AS i, value AS x FROM events),
+c AS (SELECT run, p, list(CASE WHEN p % 3 = 1 AND i >= 35 OR p % 4 = 2 AND i < 65 THEN 0.001 ELSE x END ORDER BY i) AS xs FROM s GROUP BY run, p),
+o AS (SELECT *, {_levels('xs')} AS lv FROM c), n AS (SELECT run, p, xs, coalesce((list_min({_active('lv')}) - 1) * 0.05::DOUBLE, 0) AS onset FROM o),
+m AS (SELECT run, p, xs, onset FROM n WHERE p = 0),
+r AS (SELECT run, 0::BIGINT AS p, xs AS mix, len(xs) / 100.0::DOUBLE AS length FROM m
+  UNION ALL SELECT run, p, CASE WHEN f > 0.05 THEN list_concat(list_concat(mix[1:len(mix) - k], list_transform(range(1, k + 1), lambda i: mix[len(mix) - k + i] * (1 - (i - 1) / k::DOUBLE) + xs[i] * ((i - 1) / k::DOUBLE))), xs[k + 1:])
+      ELSE list_concat(list_concat(mix[1:len(mix) - k], list_transform(range(1, k + 1), lambda i: mix[len(mix) - k + i] * (1 - (i - 1) / k::DOUBLE))), list_concat(list_transform(range(1, k + 1), lambda i: xs[i] * ((i - 1) / k::DOUBLE)), xs[k + 1:])) END, length + own - CASE WHEN f > 0.05 THEN f ELSE 0 END
+  FROM (SELECT *, least(CASE WHEN f > 0.05 THEN round_even(f * 100, 0) WHEN least(0.01, length * 0.2, own * 0.2) > 0.002 THEN round_even(least(0.01, length * 0.2, own * 0.2) * 100, 0) ELSE 0 END, len(mix), len(xs))::BIGINT AS k
+    FROM (SELECT run, p, mix, length, xs, own, CASE WHEN p % 2 = 1 THEN least(0.4, length * 0.9, own * 0.9) ELSE 0 END AS f
+      FROM (SELECT run, p, CASE WHEN quiet > 0.5 THEN mix[1:round_even(greatest(0.05, length - quiet + 0.15) * 100, 0)::BIGINT] ELSE mix END AS mix, CASE WHEN quiet > 0.5 THEN greatest(0.05, length - quiet + 0.15) ELSE length END AS length,
+          CASE WHEN onset > 0.5 THEN xs[round_even((onset - 0.15) * 100, 0)::BIGINT + 1:] ELSE xs END AS xs, len(xs) / 100.0::DOUBLE - CASE WHEN onset > 0.5 THEN onset - 0.15 ELSE 0 END AS own
+        FROM (SELECT *, coalesce(greatest(0, len(mix) / 100.0::DOUBLE - list_max({_active('lv')}) * 0.05::DOUBLE), 0) AS quiet
+          FROM (SELECT r.run, n.p, r.mix, r.length, n.xs, n.onset, {_levels('r.mix')} AS lv FROM r JOIN n ON n.run = r.run AND n.p = r.p + 1)))))),
+z AS (SELECT run, mix, length FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY p DESC) = 1)"""
+
+
+@query(f"WITH RECURSIVE {COMPOSED} SELECT 'rec' || run AS run_id, round(length, 6) AS duration, len(mix)::BIGINT AS n_samples, round(list_sum(mix), 4) AS total, round(list_sum(list_transform(range(1, len(mix) + 1), lambda i: mix[i] * i)) / len(mix), 4) AS centre FROM z")
 def composition_render(spark, d):
-    """The whole signal in runs of ten clips, each composed with boundary cuts: a fold over the running mix, which SQL can't say."""
-    clip = F.floor(F.col("sample_idx") / 100)
-    clips = T.signal(spark, d, 1000).groupBy(F.col("recording_id").alias("run_id"), clip.alias("position")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
-    items = clips.select("run_id", "position", "samples", (F.col("position") % 2 == 0).alias("crossfade_into_next"))
-    return timeline.compose(items, RATE).select("run_id", F.round("duration", 6).alias("duration"), F.size("samples").alias("n_samples"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    """The whole signal in runs of ten clips; some end in silence and some begin with it, so that joins cut."""
+    i = F.col("sample_idx") % 100
+    s = T.signal(spark, d, 1000).select(F.col("recording_id").alias("run_id"), F.floor(F.col("sample_idx") / 100).alias("position"), i.alias("sample_idx"), "value")
+    still = ((F.col("position") % 3 == 1) & (F.col("sample_idx") >= 35)) | ((F.col("position") % 4 == 2) & (F.col("sample_idx") < 65))
+    s = s.withColumn("value", F.when(still, 0.001).otherwise(F.col("value")))
+    items = s.select("run_id", "position").distinct().withColumn("crossfade_into_next", F.col("position") % 2 == 0)
+    joins = composing.plan(items, s, RATE)
+    totals = composing.render(joins, s).groupBy("run_id").agg(F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("sample_idx") + 1)).alias("moment"))
+    out = composing.lengths(joins).join(totals, "run_id")
+    return out.select("run_id", F.round("duration", 6).alias("duration"), "n_samples", F.round("total", 4).alias("total"), F.round(F.col("moment") / F.col("n_samples"), 4).alias("centre"))
 
 
 @query("WITH i AS (SELECT l_orderkey AS run_id, l_linenumber AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS c FROM lineitem) SELECT run_id, CASE WHEN c = 2 AND max(c) OVER (PARTITION BY run_id) > 2 THEN 3 WHEN c = 3 THEN 2 ELSE c END AS position, c AS candidate_id FROM i")

@@ -95,23 +95,6 @@ def usable_bounds(signal: DataFrame, frame: int, rate: int, ratio: float) -> Dat
     )
 
 
-def dedup_spacing(starts: DataFrame, spacing: float) -> DataFrame:
-    """Rows of (recording_id, start_seconds) at more than `spacing` after the last row kept, in order.
-
-    A fold, since what is kept decides what follows; with the default grid it drops nothing.
-    """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values("start_seconds", kind="stable"), float("-inf"), []
-        for s in pdf["start_seconds"]:
-            keep.append(s > last + spacing)
-            last = s if keep[-1] else last
-        return pdf[keep]
-
-    return starts.groupBy("recording_id").applyInPandas(fold, starts.schema)
-
-
 def downmix(channels: DataFrame) -> DataFrame:
     """Mean over channels of (recording_id, channel, sample_idx, value)."""
     return channels.groupBy("recording_id", "sample_idx").agg(F.avg("value").alias("value"))

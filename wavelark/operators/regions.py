@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Config
 from ..functions.vectors import cosine
+from ..storage import kept
 
 
 #: Seconds of the blocks that time is cut into.
@@ -26,7 +27,8 @@ def regions(pool: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("start_seconds")
     same = (s - F.lag("start_seconds").over(w) <= cfg.region_gap_seconds) & (cosine(F.lag("embedding").over(w), F.col("embedding")) >= cfg.region_similarity)
     rows = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).filter(F.col("_block") == own)
-    rows = rows.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # read twice below, for its rows and for blocks' totals: made once, pool and all
+    rows = kept(rows.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     before = Window.partitionBy("recording_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*key).agg(F.sum("_new").alias("_total")).select(*key, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
     return rows.join(blocks, key).withColumn("region_id", F.col("_before") + F.col("_in") - 1).select(*pool.columns, "region_id")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +9,8 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Config
 from ..functions.scalars import declick_seconds, fade_seconds
+from ..storage import kept
+from . import composing
 
 
 def timeline(items: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -40,69 +40,19 @@ def declick_concat(a: DataFrame, b: DataFrame, n_a: int, ramp: int) -> DataFrame
     return a.select("recording_id", "sample_idx", (F.col("value") * down).alias("value")).unionAll(b.select("recording_id", (F.col("sample_idx") + n_a).alias("sample_idx"), (F.col("value") * up).alias("value")))
 
 
-def _bounds(x: np.ndarray, rate: int, cfg: Config) -> tuple[float, float]:
-    """Onset and trailing silence in seconds."""
-    frame = max(1, int(cfg.frame_seconds * rate))
-    n = len(x) // frame
-    if not n:
-        return 0.0, 0.0
-    level = np.sqrt((x[: n * frame].reshape(n, frame) ** 2).mean(axis=1) + 1e-12)
-    on = np.flatnonzero(level > np.percentile(level, 20) * cfg.active_ratio)
-    if not len(on):
-        return 0.0, 0.0
-    return on[0] * cfg.frame_seconds, max(0.0, len(x) / rate - (on[-1] + 1) * cfg.frame_seconds)
-
-
-def render(parts: list[np.ndarray], fades: list[bool], rate: int, cfg: Config = DEFAULT) -> tuple[np.ndarray, float]:
-    """The composition's samples and its length on the timeline.
-
-    Trailing silence is judged on the whole running mix, so its noise floor knows everything before.
-    """
-    if not parts:
-        raise ValueError("a composition needs at least one clip")
-    mix, length = parts[0], len(parts[0]) / rate
-    for part, cross in zip(parts[1:], fades):
-        trailing = _bounds(mix, rate, cfg)[1]
-        if trailing > cfg.boundary_silence_seconds:
-            length = max(0.05, length - trailing + cfg.boundary_pad_seconds)
-            mix = mix[: round(length * rate)]
-        onset, new = _bounds(part, rate, cfg)[0], len(part) / rate
-        if onset > cfg.boundary_silence_seconds:
-            skip = onset - cfg.boundary_pad_seconds
-            part, new = part[round(skip * rate) :], new - skip
-        fade = min(cfg.crossfade_seconds, length * 0.9, new * 0.9) if cross else 0.0
-        if fade > 0.05:
-            n = min(round(fade * rate), len(mix), len(part))
-            ramp = np.arange(n) / n
-            mix = np.concatenate([mix[: len(mix) - n], mix[len(mix) - n :] * (1 - ramp) + part[:n] * ramp, part[n:]])
-            length += new - fade
-        else:
-            d = min(cfg.declick_seconds, length * 0.2, new * 0.2)
-            n = min(round(d * rate), len(mix), len(part)) if d > 0.002 else 0
-            mix, part = mix.copy(), part.copy()
-            if n:
-                mix[len(mix) - n :] *= 1 - np.arange(n) / n
-                part[:n] *= np.arange(n) / n
-            mix = np.concatenate([mix, part])
-            length += new
-    return mix, length
-
-
 def compose(items: DataFrame, rate: int, cfg: Config = DEFAULT, runs: DataFrame | None = None) -> DataFrame:
     """run_id, duration, samples of items (run_id, position, samples of the trimmed clip, crossfade_into_next).
 
-    With `runs` (run_id), a run without items is an error. A fold that carries the rendered mix, so one grouped task a composition (ten clips at most).
+    For compositions that fit into a row; `composing` has the same in long form. With `runs` (run_id), a run without items is an error.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        mix, length = render([np.asarray(x, np.float64) for x in pdf["samples"]], list(pdf["crossfade_into_next"][:-1]), rate, cfg)
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "duration": [length], "samples": [mix]})
-
     if runs is not None:
         runs = runs.select(F.col("run_id").cast("string").alias("run_id")).distinct()
         items = runs.join(items, "run_id", "left").withColumn("samples", F.coalesce("samples", F.raise_error(F.lit("a composition needs at least one clip")).cast("array<double>")))
-    return items.groupBy("run_id").applyInPandas(fold, "run_id string, duration double, samples array<double>")
+    items = kept(items)
+    samples = items.select("run_id", "position", F.posexplode("samples").alias("i", "value")).select("run_id", "position", F.col("i").cast("long").alias("sample_idx"), "value")
+    joins = composing.plan(items, samples, rate, cfg)
+    mix = composing.render(joins, samples).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda x: x["value"]).alias("samples"))
+    return composing.lengths(joins).join(mix, "run_id", "left").select("run_id", "duration", F.coalesce("samples", F.array().cast("array<double>")).alias("samples"))
 
 
 EDIT_STATE = "run_id string, status string, position int, candidate_id int, trim_start double, trim_end double, crossfade_into_next boolean"

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..operators import clipping, framing, regions, scoring, selection, spectral
+from ..storage import kept, log_folder, remove, shared_folder
+
+__all__ = ["analyse", "counters", "kept", "log_folder", "ranked", "remove", "rerank", "shared_folder", "shortlisted", "shown", "verified"]
 
 #: A model takes windows (recording_id, window_idx, samples) and gives (recording_id, window_idx, scores, embedding).
 Model = Callable[[DataFrame], DataFrame]
@@ -59,28 +60,6 @@ def rerank(windows: DataFrame, features: DataFrame, dim: int, failed: DataFrame,
     return out, shown(history, out, windows)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's `spark.checkpoint.dir`, which executors share; a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wavelark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def log_folder(spark: SparkSession) -> str:
-    """A new folder for logs, beside the checkpoints."""
-    return f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """`df` made once, in the folder that executors share, for plans that read it several times."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def counters(windows: DataFrame, segmented: DataFrame, short: DataFrame, final: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """A run's counters by recording, as its log has them."""
     a = windows.groupBy("recording_id").agg(F.count(F.lit(1)).alias("total_windows_analyzed"), F.count_if("has_speech").alias("excluded_speech_windows"))

@@ -1,69 +1,56 @@
-"""PCM WAV files: metadata, whole and partial decoding, and writing, with the standard library."""
+"""PCM WAV files as DataFrames: metadata, whole and partial decoding, and writing, over the data source of `wavsource`."""
 
 from __future__ import annotations
 
 import io
-import os
 import wave
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-EXTENSIONS = "*.{wav,WAV}"
-BLOCK = 65_536
+from .wavsource import register, to_float, to_pcm
 
+__all__ = ["blocks", "channels", "encode", "encoded", "recordings", "signal", "to_float", "write"]
 
-def recordings(spark: SparkSession, path: str) -> DataFrame:
-    """recording_id, filename, path, duration_seconds, rate, channels, n_frames of the files under `path`, from their headers."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for p, data in zip(pdf["path"], pdf["content"]):
-                with wave.open(io.BytesIO(data)) as w:
-                    rows.append((p, os.path.basename(p), p, w.getnframes() / w.getframerate(), w.getframerate(), w.getnchannels(), w.getnframes()))
-            yield type(pdf)(rows, columns=["recording_id", "filename", "path", "duration_seconds", "rate", "channels", "n_frames"])
+def _load(spark: SparkSession, path: str, table: str, options: dict) -> DataFrame:
+    register(spark)
+    return spark.read.format("wav").options(table=table, **{k: v for k, v in options.items() if v is not None}).load(path)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", EXTENSIONS).load(path)
-    return files.select("path", F.col("content")).mapInPandas(run, "recording_id string, filename string, path string, duration_seconds double, rate int, channels int, n_frames long")
 
+def recordings(spark: SparkSession, path: str, **options) -> DataFrame:
+    """recording_id, filename, path, duration_seconds, rate, channels, n_frames, width of the files under `path`, from their headers alone."""
+    return _load(spark, path, "recordings", options)
 
-def to_float(data: bytes, width: int) -> np.ndarray:
-    if width == 1:
-        return (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    if width == 3:
-        raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        return ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) / 2**31).astype(np.float32)
-    return (np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]) / 2.0 ** (8 * width - 1)).astype(np.float32)
 
+def blocks(spark: SparkSession, path: str, start: float = 0.0, seconds: float | None = None, **options) -> DataFrame:
+    """recording_id, first_sample, samples (mono, [-1, 1)): mean of channels, in blocks, from `start` for `seconds`."""
+    return _load(spark, path, "blocks", options | {"start": start, "seconds": seconds})
 
-def blocks(spark: SparkSession, path: str, start: float = 0.0, seconds: float | None = None) -> DataFrame:
-    """recording_id, block_idx, first_sample, samples (mono, [-1, 1)): mean of channels, in blocks, from `start` for `seconds`."""
 
-    def run(batches):
-        for batch in batches:
-            for p, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with wave.open(io.BytesIO(data.as_py())) as w:
-                    at = min(max(0, round(start * w.getframerate())), w.getnframes())
-                    left = w.getnframes() - at if seconds is None else min(round(seconds * w.getframerate()), w.getnframes() - at)
-                    w.setpos(at)
-                    k = 0
-                    while left > 0:
-                        n = min(BLOCK, left)
-                        x = to_float(w.readframes(n), w.getsampwidth()).reshape(n, w.getnchannels()).mean(axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([k], pa.int64()), pa.array([at], pa.int64()), pa.array([x], pa.list_(pa.float32()))], names=["recording_id", "block_idx", "first_sample", "samples"])
-                        at, left, k = at + n, left - n, k + 1
+def signal(spark: SparkSession, path: str, start: float = 0.0, seconds: float | None = None, **options) -> DataFrame:
+    """recording_id, sample_idx, value; a filter on sample_idx or recording_id reaches the files."""
+    return _load(spark, path, "samples", options | {"start": start, "seconds": seconds})
+
+
+def channels(spark: SparkSession, path: str, **options) -> DataFrame:
+    """recording_id, sample_idx, value, channel: as `signal`, channels apart."""
+    return _load(spark, path, "samples", options | {"channels": "each"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", EXTENSIONS).load(path)
-    return files.select("path", "content").mapInArrow(run, "recording_id string, block_idx long, first_sample long, samples array<float>")
 
+def write(clips: DataFrame, path: str, rate: int, mode: str = "append", width: int = 2) -> None:
+    """Writes mono PCM files, one for each name: rows (name, samples), or (name, first_sample, samples) for files in blocks.
 
-def signal(spark: SparkSession, path: str, **k) -> DataFrame:
-    """Long form of `blocks`: recording_id, sample_idx, value."""
-    rows = blocks(spark, path, **k).select("recording_id", "first_sample", F.posexplode("samples").alias("i", "value"))
-    return rows.select("recording_id", (F.col("first_sample") + F.col("i")).alias("sample_idx"), F.col("value").cast("double").alias("value"))
+    A file's blocks meet in one task in order, since a file is written from its beginning to its end;
+    gaps between them are silence. A name that isn't one block long must have `first_sample`. All files appear, or none.
+    """
+    register(clips.sparkSession)
+    first = F.col("first_sample").cast("long") if "first_sample" in clips.columns else F.lit(0).cast("long")
+    rows = clips.select("name", first.alias("first_sample"), F.col("samples").cast("array<double>").alias("samples"))
+    rows = rows.withColumn("n_frames", F.max(F.col("first_sample") + F.coalesce(F.size("samples"), F.lit(0))).over(Window.partitionBy("name")))
+    rows.sortWithinPartitions("name", "first_sample").write.format("wav").options(rate=rate, width=width).mode(mode).save(path)
 
 
 def encode(samples: np.ndarray, rate: int) -> bytes:
@@ -73,7 +60,7 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes((np.clip(np.asarray(samples, np.float64), -1, 1 - 2**-15) * 2**15).round().astype("<i2").tobytes())
+        w.writeframes(to_pcm(samples, 2))
     return out.getvalue()
 
 
