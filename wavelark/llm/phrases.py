@@ -9,7 +9,7 @@ first. Cuts of a phrase and the shorter phrases inside it are found by following
 of a phrase x = (p, q), p is what stands before its last word and q what stands after its first, and
 exactly p and q are the phrases of one word less that lie inside it.
 
-How it runs: texts are cut into chunks of some 12 MB, and a chunk keeps, for each language, its
+How it runs: texts are cut into chunks of some 4 MB, and a chunk keeps, for each language, its
 different words and its text as places in that list, in a Parquet table in the shared folder. Each
 level then exchanges a chunk's different words (or pairs) with their counts, not their occurrences:
 they are summed up by key, the frequent ones are named in a durable table, and the chunks get the names
@@ -41,7 +41,7 @@ from .common import durable, shared_folder
 
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
 #: Bytes of text in a chunk; a longer text is a chunk alone.
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 
 _FROM = bytes(range(65, 91)) + b"\t" + b".,;:!?\n\v\f\r"
 _TO = bytes(range(97, 123)) + b" " + b"\n" * 10
@@ -180,7 +180,7 @@ def levels(docs: DataFrame, least: int, folder: Folder) -> tuple[DataFrame, Data
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     chunks = folder.put(texts.mapInArrow(_encode, CHUNKS), "words")
     of = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("chunk", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("n"))
-    totals = durable(chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")))
+    totals = durable(of.groupBy("lang").agg(F.sum("n").alias("n")))
     words = named(of.select("lang", "word", "n"), ["lang", "word"], least)
     back = of.select("chunk", "lang", "word", "place").join(words.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "lang", "place", "id")
     rows = folder.get("words").select("chunk", "lang", F.size("words").alias("n"), "places")
@@ -188,7 +188,8 @@ def levels(docs: DataFrame, least: int, folder: Folder) -> tuple[DataFrame, Data
     folder.drop("words")
     for k in range(2, LONGEST + 1):
         counted = table.mapInArrow(_count_pairs, COUNTED)
-        out.append(named(counted.select("l", "r", "n"), ["l", "r"], least))
+        # a chunk has a pair once: there is next to nothing to combine before the shuffle, and trying to would fill memory
+        out.append(named(counted.select("l", "r", "n").repartition("l", "r"), ["l", "r"], least))
         if k < LONGEST:
             back = counted.select("l", "r", "chunk", "lang").join(out[-1].select("l", "r", "id"), ["l", "r"]).select("chunk", "lang", "l", "r", "id")
             rows = folder.get(f"names{k - 1}")
