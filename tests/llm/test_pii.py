@@ -122,3 +122,73 @@ def test_names_by_context_and_bare_mentions(make_docs):
     she, he = got[3].text.split()[2], got[3].text.split()[6]
     assert she.endswith(("ова", "ева", "ина")) and he.endswith(("ов", "ев", "ин"))
     assert got[4].text == texts[4]
+
+
+def swapped(text):
+    return pii.replace(text, b"k", {}, {})[0]
+
+
+def test_ordinary_text_stays():
+    for text in (
+        "The Court said no. The man left. The end of The story, The Court.",
+        "White House said, New York said, they met Monday Morning. Prime Minister said so, Apple Inc said, Los Angeles works, United Nations asked, Supreme Court asked; Apple pie, Los Lobos and The Prime of life.",
+        "Dear Customer Service, Dear Sir, met привет мир, met Central Park",
+        "The Big Apple said no, a big one. In Baden Hessen told nobody; Baden Hessen said so.",
+        "at 10:11:12, std::vector a::b, 1:2:3",
+    ):
+        assert swapped(text) == text
+
+
+def test_a_part_has_one_surrogate_in_a_document():
+    got = re.findall(r"\w+", swapped("Mr Kim Novak met them. Kim Novak said no. Then Kim left."))
+    assert got[1:3] == got[5:7] and got[1] == got[10] and "Kim" not in got and "Novak" not in got
+    a, b = (re.findall(r"\w+", swapped(t)) for t in ("Mr Kim met us", "Mrs Kim Weber met us"))
+    assert a[1][:6] == b[1][:6]  # drawn by the part, ended by its type
+
+
+def test_mentions_in_other_forms():
+    got = swapped("Mrs Anna Weber. Weber's car, WEBER and Webers Haus. Anna Müller's and a later MÜLLER. Weber’s")
+    m = re.fullmatch(r"Mrs (\w+) (\w+)\. (\w+)'s car, ([A-Z]+) and (\w+)s Haus\. (\w+) (\w+)'s and a later ([A-Z]+)\. (\w+)’s", got)
+    assert m and m[2] == m[3] == m[5] == m[9] and m[4] == m[2].upper() and m[6] == m[1] and m[8] == m[7].upper() and "Weber" not in got
+    words = re.findall(r"\w+", swapped("Госпожа Анна Петрова; с Петровой, Петровым, к Петрову. Ирина"))
+    base = words[2].removesuffix("а")
+    assert [w.removeprefix(base) for w in (words[2], words[4], words[5], words[7])] == ["а", "ой", "ым", "у"] and base.endswith(("ов", "ев", "ин"))
+    got = swapped("Baden Hessen said no. In Hessen all is well, Hessen said.")
+    assert "In Hessen" in got and not got.startswith("Baden Hessen") and not got.endswith("Hessen said.")
+    assert swapped("President Obama flew home. O'Neil, Mr O'Neil said; O'Neil's").count("O'Neil") == 0
+
+
+def test_countries_and_addresses_of_128_bits():
+    for number, code in (("+353 1 555 1234", "+353 "), ("+358 40 555 1234", "+358 "), ("+44 20 7946 0958", "+44 "), ("+1 (509) 555-6973", "+1 ("), ("+7 495 123-45-67", "+7 ")):
+        new = swapped(f"call {number} now")
+        assert new.startswith(f"call {code}") and number not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {number} now")
+    kinds = ["2001:db8::1", "fe80::a1b2:3c4d", "fc00::1:2", "2a00:1450:4001:81b:0:0:0:200e", "2A00:1450:4001:081B:0000:0000:0000:200E"]
+    new = [swapped(f"at {a}, then").removeprefix("at ").removesuffix(", then") for a in kinds]
+    assert [pii.ip6_kind(pii.ip6(a)) for a in kinds] == [pii.ip6_kind(pii.ip6(a)) for a in new] and len(set(map(pii.ip6, new))) == 4 and pii.ip6(new[3]) == pii.ip6(new[4]) and new[4] == new[4].upper() and len(new[4]) == 39
+    many = [pii.surrogate(b"k", "ip6", f"{(0x20010DB8 << 96) + k:032x}", 0) for k in range(300)]
+    assert len(set(many)) == 300 and all(x.startswith("20010db8") for x in many)
+
+
+def test_against_a_plain_version(make_docs):
+    """Whole tables: what isn't in a span stays, spans' values and surrogates are one to one by kind, and no surrogate of a name or mail is an entity."""
+    texts = [TEXT, "Mr Bo Li, Ms Bo Ek, Dr Ek-Li said hello to bo@li.example", "Wei Zhang said it. Zhang too", "nothing at all", None, ""] + [f"Ms {a} {b} wrote to {a.lower()}{k}@mail{k % 3}.example.org from 10.{k}.2.3" for k, (a, b) in enumerate([("Ada", "Byron"), ("Bea", "Byron"), ("Ada", "Clark")] * 9)]
+    got, forth, back = rows(make_docs(texts)), {}, {}
+    for i, t in enumerate(texts):
+        spans = [(int(a), int(b), k) for k, a, b in (e.split(":") for e in got[i].entities.split(",") if e)]
+        assert got[i].n_entities == len(spans) and spans == sorted(spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        outside = [x for x in re.split("|".join(re.escape((t or "")[a:b]) for a, b, _ in spans) or "$^", t or "")]
+        at, pieces = 0, []
+        for a, b, _ in spans:
+            pieces.append((t or "")[at:a])
+            at = b
+        pieces.append((t or "")[at:])
+        new = re.fullmatch("(.+?)".join(map(re.escape, pieces)), got[i].text or "", re.S)
+        assert new and len(outside) >= 1
+        for (a, b, k), y in zip(spans, new.groups()):
+            x = t[a:b]
+            n = pii.norm(k, x)
+            kind = "name" if k.startswith("given") or k == "family" else k
+            y = pii.norm(k, y)
+            assert x != y and forth.setdefault((k, n), y) == y and back.setdefault((kind, y), (k, n)) == (k, n)
+    reals = {("name" if k.startswith("given") or k == "family" else k, n) for k, n in forth}
+    assert not reals & {b for b in back if b[0] in ("name", "email")} and len(forth) > 60

@@ -1,13 +1,19 @@
 """Surrogate generation for personal data.
 
 Detected entities (e-mail addresses, phone numbers, IP addresses, card-like numbers, IBANs, social
-security numbers, and names) are replaced by surrogates of the same type and format (lengths,
+security numbers, and names; IP addresses of both kinds) are replaced by surrogates of the same type and format (lengths,
 separators, case, script, country, private or public range, whether a check digit holds).
 
-Names are found after a form of address, by a common given name, or by words around them ("name is",
-"Dear", "met", "said" and so on); a name that follows such a one by "and" or a comma is found too.
-Then every later or earlier bare mention of a name's parts in the same document is found, so that a
-plain "Weber" beside "Mrs Anna Weber" doesn't stay in clear. Names without any of these stay.
+Names are found after a form of address, by a common given name, or by words around them. "My name is",
+"Dear", "signed by" and the like are strong cues; "met", "said" and the like are weak ones, and a name
+that follows a found one by "and" or a comma is as certain as a weak one. Two capitalised words are no
+name if one of them is a determiner, a weekday, a word of places or institutions and so on (NO_NAME), and by
+a weak cue they are none either if the document has one of them in lower case, or has both after "the" or "in".
+Then bare mentions of a name's parts in the same document are found, so that a plain "Weber" beside "Mrs
+Anna Weber" doesn't stay in clear: in capitals, with a possessive ('s) or genitive s, and in the cases
+of Slavic family names too. What a weak cue alone has found spreads less: its last part, where that
+stands by itself and after no article or preposition. A part has one type in a document, the most certain one that a
+mention gives it, so a person stays one person. Names without any of these stay.
 
 Numbers: within each format (the valid card numbers of sixteen digits that begin with a 4, the
 addresses of 192.168, and so on) a keyed permutation, a Feistel network with cycle walking, gives
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 
@@ -50,12 +57,13 @@ SSN = r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
 CARD = r"(?P<card>(?<!\d)(?<!\d[.,])(?:\d{4}(?P<sep>[\x20-]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}\x20\d{6}\x20\d{5}|\d{13,19})(?![\d]))"
 PHONE = r"(?P<phone>(?<![\w+])(?<!\d\.)(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{1,4}(?:[\x20.-]?\d{2,4}){1,4}|\(\d{3}\)\x20?\d{3}[-.\x20]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d))"
 IP = r"(?P<ip>(?<![\dvV])(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d))"
-CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)")
+CAP = r"(?:[OD]['’])?[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+)?"
 #: Forms of address that tell a gender, or none, and common given names by script and gender.
 ADDRESS = {
     "m": "Mr Mister Herr Herrn Monsieur Señor Signor Sir Господин Κύριος".split(),
     "f": "Mrs Ms Miss Frau Madame Mademoiselle Señora Señorita Signora Lady Госпожа Κυρία".split(),
-    "u": "Dr Prof Professor Doctor".split(),
+    "u": "Dr Prof Professor Doctor President Chancellor Senator Governor".split(),
 }
 GIVEN = {
     "latin": {
@@ -73,19 +81,43 @@ ENDINGS = {"latin": {"m": "n rt k s".split(), "f": "a na ra ia".split(), "s": "m
 ALPHABETS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αειουωη", "βγδζθκλμνξπρστφχψ", "0123456789"]
 RANGES = ((0x5D0, 0x5EA), (0x561, 0x586), (0x628, 0x63A), (0x641, 0x64A), (0x915, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 ALPHABET = {c: a for a in ALPHABETS for c in a}
-#: Words before and after a name.
-BEFORE = "name\x20is|Name:|Dear|Sincerely,|Regards,|[Ss]igned\x20by|met|told|asked|emailed|named"
-AFTER = "said|says|met|told|asked|wrote|lives|works"
+#: Words before and after a name, those that tell more first.
+BEFORE = "name\x20is|Name:|Dear|Sincerely,|Regards,|[Ss]igned\x20by|named"
+WEAK, AFTER = "met|told|asked|emailed", "said|says|met|told|asked|wrote|lives|works"
+#: Fixed values, in lower case: capitalised words that are no part of a person's name: function words, days and months, words of places, institutions and offices.
+NO_NAME = frozenset(
+    """a all an and any as at both but by each every for from he her here his i if in it its many most my no none of on or our she so some that the their then there these they this those to we what when where which who why with yes you your
+    monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december today tomorrow yesterday morning evening night spring summer autumn winter
+    der die das ein eine und le la les un une des et el los las una y il lo gli
+    new old north south east west northern southern eastern western central upper lower san santa saint st fort port mount lake united great grand white black red green blue royal national international federal american british french german european english
+    city county state states street road avenue square park river island bay hill house home court union nations kingdom republic parliament congress senate government ministry minister prime supreme high department office agency council committee commission board party
+    university college school institute academy museum library hospital church bank company corporation corp inc ltd llc gmbh ag co group holdings industries airlines times post news press journal team club association society foundation center centre police army navy force
+    customer service support sales sir madam friends colleagues everyone president chancellor senator governor chairman director manager editor""".split()
+)
 FEMALE, MALE = re.compile("(?:[оеё]ва|ина|[сц]кая)$"), re.compile("(?:[оеё]в|ин|[сц]кий)$")
+#: Country codes of one and two digits; all others have three.
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|\d{1,2}$)|")
+#: How family names in -ов, -ев, -ин are declined.
+DECLINED = re.compile("(.+(?:[оеё]в|[иы]н))(а|у|ым|е|ой|ою|ы|ых|ым|ыми)?")
 _titles = "|".join(t + r"\.?" for ts in ADDRESS.values() for t in ts)
 NUMBERS = re.compile("|".join((IBAN, SSN, CARD, PHONE, IP)))
-NAME = re.compile(rf"(?P<title>(?<!\w)(?:{_titles})\x20)(?P<named>{CAP}(?:\x20{CAP}){{0,2}})|(?<!\w)(?P<full>(?:{'|'.join(GENDER)})\x20{CAP})(?!\w)|(?<!\w)(?:{BEFORE})[\x20\n](?!(?:{_titles})\x20)(?P<cued>{CAP}\x20{CAP})(?!\w)|(?<!\w)(?!(?:{_titles})\x20)(?P<said>{CAP}\x20{CAP})(?=\x20(?:{AFTER})\b)")
+NAME = re.compile(
+    rf"(?P<title>(?<!\w)(?:{_titles})\x20)(?P<named>{CAP}(?:\x20{CAP}){{0,2}})|(?<!\w)(?P<full>(?:{'|'.join(GENDER)})\x20{CAP})(?!\w)"
+    rf"|(?<!\w)(?:{BEFORE})[\x20\n](?!(?:{_titles})\x20)(?P<cued>{CAP}\x20{CAP})(?!\w)|(?<!\w)(?:{WEAK})\x20(?!(?:{_titles})\x20)(?P<hinted>{CAP}\x20{CAP})(?!\w)|(?<!\w)(?!(?:{_titles})\x20)(?P<said>{CAP}\x20{CAP})(?=\x20(?:{AFTER})\b)"
+)
 NEXT = re.compile(rf"(?:,|,?\x20and)\x20(?!(?:{_titles})\x20)(?P<next>{CAP}\x20{CAP})(?!\w)")
 #: A text has a number only where DIGITS is, and a name only with one of these words.
 DIGITS = re.compile(r"\d[\d .()-]{5}|[A-Z]{2}\d\d")
 WORD = re.compile(r"\w+")
 KNOWN = frozenset(w for ts in ADDRESS.values() for w in ts) | GENDER.keys() | frozenset("name Name Dear Sincerely Regards signed Signed met told asked emailed named said says wrote lives works".split())
-ORDER = ("email", "iban", "ssn", "card", "phone", "ip")
+ORDER = ("email", "iban", "ssn", "card", "phone", "ip", "ip6")
+#: How certain a name is by what found it.
+CERTAIN = {"named": 3, "full": 3, "cued": 2, "hinted": 1, "said": 1, "next": 1}
+TOKEN = re.compile(r"(?:[ODod]['’])?[^\W\d_]+(?:[-][^\W\d_]+)?")
+LOWER = re.compile(r"(?<!\w)[a-zß-öø-ÿа-яёα-ω][^\W\d_]*")
+
+#: What stands before places and things, not before persons' names alone.
+PLACED = frozenset("the a an in at near of der die das im le la les el los".split())
 
 Entity = tuple[int, int, str, str]
 
@@ -111,34 +143,78 @@ def mails(text: str) -> list[Entity]:
     return out
 
 
+def capital(word: str) -> bool:
+    """Whether a word begins like a name: with a capital, or with a letter of a script that has none."""
+    return word[0].isupper() or word[0].lower() == word[0].upper()
+
+
+def base_of(word: str) -> str:
+    """A word in the form that all its mentions share: lower case, and family names in -ов, -ев, -ин undeclined."""
+    word = unicodedata.normalize("NFC", word).casefold()
+    return m[1] if (m := DECLINED.fullmatch(word)) else word
+
+
 def names(text: str) -> list[list[Entity]]:
     """Names as rows of parts, typed given_m, given_f, given_u or family; bare mentions of their parts are rows of one."""
-    out: list[list[Entity]] = []
+    rows: list[tuple[int, list[Entity]]] = []
+    lower: list[frozenset[str]] = []
 
-    def add(whole: str, at: int, title: str) -> int:
+    def add(kind: str, whole: str, at: int, title: str) -> int:
+        """Where the name ends; 0 if it is none."""
         parts, row = whole.split(" "), []
+        if kind == "named":  # what follows a form of address is a name as far as it can be
+            n = next((i for i, p in enumerate(parts) if p.casefold() in NO_NAME), len(parts))
+            parts = parts[:n]
+        if not parts or any(p.casefold() in NO_NAME for p in parts) or not all(map(capital, parts)):
+            return 0
+        if CERTAIN[kind] == 1:
+            lower[:] = lower or [frozenset(LOWER.findall(text))]
+            if any(p.casefold() in lower[0] for p in parts) or re.search(rf"(?i:\b(?:the|in|at|near)) {re.escape(whole)}(?!\w)", text):
+                return 0
         known = GENDER.get(parts[0])
         gender = known[1] if known else next((g for g, ts in ADDRESS.items() if title in ts), "u")
         for i, part in enumerate(parts):
             given = i < len(parts) - 1 if len(parts) > 1 else bool(known)
             row.append((at, at + len(part), "given_" + gender if given else "family", part))
             at += len(part) + 1
-        out.append(row)
+        rows.append((CERTAIN[kind], row))
         return row[-1][1]
 
     at = 0
     while m := NAME.search(text, at):
         kind = m.lastgroup
-        at = add(m[kind], m.start(kind), (m["title"] or "").rstrip(". "))
-        while m := NEXT.match(text, at):
-            at = add(m["next"], m.start("next"), "")
-    kinds: dict[str, str] = {}
-    for row in out:
+        end = add(kind, m[kind], m.start(kind), (m["title"] or "").rstrip(". "))
+        at = end or m.start(kind) + len(m[kind].split(" ")[0])
+        while end and (m := NEXT.match(text, at)):
+            at = end = add("next", m["next"], m.start("next"), "") or at
+            if at != m.end("next"):
+                break
+    # a part's type is the most certain one, a known gender before an unknown one, the first of equals
+    kinds: dict[str, tuple[int, bool, int, str]] = {}
+    for n, (sure, row) in enumerate(rows):
         for _, _, kind, part in row:
-            kinds.setdefault(part, kind)
-    if kinds:
-        taken = {e[0] for row in out for e in row}
-        out += [[(m.start(), m.end(), kinds[m[0]], m[0])] for m in re.finditer(r"[^\W\d_]+(?:[-'’][^\W\d_]+)?", text) if m[0] in kinds and m.start() not in taken]
+            mine = (-sure, kind == "given_u", n, kind)
+            kinds[base_of(part)] = min(kinds.get(base_of(part), mine), mine)
+    out = [[(a, b, kinds[base_of(part)][-1], part) for a, b, _, part in row] for _, row in rows]
+    if not kinds:
+        return out
+    last = {base_of(row[-1][3]) for sure, row in rows if sure == 1}
+    taken = {e[0] for row in out for e in row}
+    for m in TOKEN.finditer(text):
+        word = m[0]
+        if m.start() in taken or not capital(word):
+            continue
+        base = base_of(word)
+        if base not in kinds and word.endswith(("s", "S")) and base_of(word[:-1]) in kinds:
+            word, base = word[:-1], base_of(word[:-1])
+        if base not in kinds:
+            continue
+        if kinds[base][0] == -1:
+            before, after = text[max(0, m.start() - 24) : m.start()], text[m.end() : m.end() + 2]
+            prior = re.search(r"(\w+)\W*$", before)
+            if base not in last or after[:1] == " " and after[1:].isupper() or prior and (prior[1].casefold() in PLACED or before.endswith(" ") and prior[0].endswith(prior[1] + " ") and prior[1][0].isupper() and prior[1].casefold() not in NO_NAME):
+                continue
+        out.append([(m.start(), m.start() + len(word), kinds[base][-1], word)])
     return out
 
 
@@ -152,6 +228,11 @@ def find(text: str | None) -> list[Entity]:
             kind = next(k for k in ORDER[1:] if m[k])
             if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 7:
                 rows.append([(m.start(kind), m.end(kind), kind, m[kind])])
+    if "::" in text or text.count(":") > 6:
+        for m in IP6.finditer(text):
+            x = ip6(m[0])
+            if x is not None and x > 0xFFFF and sum(c.isdigit() for c in m[0]):
+                rows.append([(m.start(), m.end(), "ip6", m[0])])
     if not KNOWN.isdisjoint(WORD.findall(text)):
         rows += names(text)
     out: list[Entity] = []
@@ -167,7 +248,9 @@ def norm(kind: str, value: str) -> str:
         return re.sub(r"[^0-9A-Za-z+]", "", value).upper()
     if kind == "ip":
         return ".".join(str(int(x)) for x in value.split("."))
-    return unicodedata.normalize("NFC", value).lower() if kind == "email" else unicodedata.normalize("NFC", value)
+    if kind == "ip6":
+        return f"{ip6(value):032x}"
+    return unicodedata.normalize("NFC", value).lower() if kind == "email" else base_of(value)
 
 
 class Draw:
@@ -252,6 +335,22 @@ def ip_range(x: int) -> str:
 SMALL_RANGES = {"10": (10 << 24, 1 << 24), "127": (127 << 24, 1 << 24), "172": (172 << 24 | 16 << 16, 1 << 20), "192": (192 << 24 | 168 << 16, 1 << 16)}
 
 
+def ip6(value: str) -> int | None:
+    """The number of an address of 128 bits, or None."""
+    try:
+        return int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+
+
+#: Prefixes (bits, value) of the kinds of addresses that stay among themselves: unique local, link local, multicast, documentation; others are alike.
+KINDS6 = ((7, 0xFC >> 1), (10, 0xFE80 >> 6), (8, 0xFF), (32, 0x20010DB8), (3, 1))
+
+
+def ip6_kind(x: int) -> int:
+    return next((i for i, (bits, v) in enumerate(KINDS6) if x >> 128 - bits == v), len(KINDS6))
+
+
 def iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
@@ -273,6 +372,12 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         lo, n = SMALL_RANGES.get(ip_range(x), (0, 1 << 32))
         y = lo + permuted(key, f"ip:{lo}", x - lo, n, lambda y: ip_range(y + lo) == ip_range(x))
         return ".".join(map(str, y.to_bytes(4, "big")))
+    if kind == "ip6":
+        x = int(value, 16)
+        bits, prefix = KINDS6[ip6_kind(x)] if ip6_kind(x) < len(KINDS6) else (0, 0)
+        rest = 128 - bits
+        y = prefix << rest | permuted(key, f"ip6:{bits}:{prefix}", x & (1 << rest) - 1, 1 << rest, lambda y: ip6_kind(prefix << rest | y) == ip6_kind(x))
+        return f"{y:032x}"
     if kind == "card":
         last = next(d for d in "0123456789" if luhn(value[:-1] + d) == 0)
         off = (int(value[-1]) - int(last)) % 10  # 0 where the check digit holds
@@ -285,7 +390,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         new = like(key, f"iban:{country}:{off}", body.lower()).upper()
         return f"{country}{(int(iban_check(country, new)) + off) % 100:02d}{new}"
     if kind == "phone":
-        keep = re.match(r"\+1|\+\d{1,2}|", value)[0]
+        keep = COUNTRY.match(value)[0]
         rest = value[len(keep) :]
         return keep + (digits(key, f"phone:{keep}", rest, lambda y: (y[0] == "0") == (rest[0] == "0")) if rest else "")
     if kind == "ssn":
@@ -294,7 +399,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     script = script_of(value)
     if script == "other":
         return like(key, f"name:{kind}", value) + like(key, f"more:{kind}:{attempt}", (value * (attempt + 1))[:attempt])
-    draw = Draw(key, kind, value, str(attempt))
+    draw = Draw(key, "name", value, str(attempt))  # of the part alone: its type has a say in the ending only
     gender = "s" if kind == "family" else kind[-1]
     if gender == "u":
         gender = "mf"[draw.below(2)]
@@ -311,6 +416,11 @@ def fit_format(kind: str, value: str, new: str) -> str:
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(new)
         return "".join(next(chars, "") if c.isalnum() or c == "+" else c for c in value)
+    if kind == "ip6":
+        groups = str(ipaddress.IPv6Address(int(new, 16))) if "::" in value else ":".join(f"{int(new[i : i + 4], 16):x}" if len(value) < 39 else new[i : i + 4] for i in range(0, 32, 4))
+        return groups.upper() if any(c.isupper() for c in value) else groups
+    if kind != "email" and (m := DECLINED.fullmatch(unicodedata.normalize("NFC", value).casefold())):
+        new += (m[2] or "") if (d := DECLINED.fullmatch(new.casefold())) and not d[2] else ""
     if value.isupper() and len(value) > 1:
         return new.upper()
     if kind == "email":
