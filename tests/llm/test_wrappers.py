@@ -70,9 +70,42 @@ def test_whole_table_has_the_articles_lines(spark):
         assert got[r.page_id] == "\n".join(filter(None, blocks))
 
 
-def test_invariants_go_from_the_article_too(spark):
+def test_what_recurs_within_the_article_stays(spark):
     rows = [(i, "http://n.example/", f"<body><article><div class=intro>Read this in one minute</div><p>Text {i} of its own</p></article></body>") for i in range(5)]
-    assert texts(spark, rows) == {i: f"Text {i} of its own" for i in range(5)}
+    assert texts(spark, rows) == {i: f"Read this in one minute\nText {i} of its own" for i in range(5)}
+    body = "<article><h1>T{0}</h1><p>One {0} two.</p><h2>Method</h2><p>Three {0} four.</p></article><footer>All rights</footer>"
+    rows = [(i, "http://m.example/", PAGE.format(body=body.format(i))) for i in range(6)]
+    assert texts(spark, rows) == {i: f"T{i}\nOne {i} two.\nMethod\nThree {i} four." for i in range(6)}
+
+
+def test_the_same_article_beside_something_that_differs(spark):
+    rows = [(i, "http://s.example/", f"<body><article><h1>Same</h1><p>{'the same words ' * 20}</p></article><div>Buy number {i} today</div></body>") for i in range(6)]
+    assert set(texts(spark, rows).values()) == {"Same\n" + " ".join(["the same words"] * 20)}
+
+
+def test_many_items_of_a_level(spark):
+    items = "".join(f"<h2>Shared {k}</h2><p>Own {k} {{0}}</p><ul><li>{k}</ul>" if k % 3 else f"<h3>Shared {k}</h3><pre>Own {k} {{0}}</pre>" for k in range(100))
+    rows = [(i, "http://l.example/", f"<body><div>Menu</div><div>{items.format(i)}</div></body>") for i in range(4)]
+    for i, t in texts(spark, rows).items():
+        assert t == "\n".join(f"Shared {k}\nOwn {k} {i}" + (f"\n{k}" if k % 3 else "") for k in range(100))
+
+
+def blinded(page):
+    """The page with names taken away: no class, id or role, and nothing but div for what tells its use."""
+    import re
+
+    page = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page or "")
+    return re.sub(r"<(/?)(article|main|nav|header|footer|aside)\b", r"<\1div", page)
+
+
+def test_pages_without_names_give_the_same_text(spark):
+    """The wrapper finds the main block: pages of hosts with at least three, whole table, with and without names."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()]
+    a, b = texts(spark, rows), texts(spark, [(i, u, blinded(h)) for i, u, h in rows])
+    assert sum(a[i] == b[i] for i in a) >= 0.95 * len(a)
+    body = "<div><h2>More</h2><div><a href=x>one {0}</a><a href=y>two</a></div></div><div><h1>Title {0}</h1><p>{1}</p><p>More of {0}</p></div><div>Buy {0} at once</div><div>Page {0} of many</div>"
+    plain = [(i, "http://d.example/", f"<body>{body.format(i, 'some words ' * (3 + 5 * i))}</body>") for i in range(6)]
+    assert texts(spark, plain) == {i: f"Title {i}\n{' '.join(['some words'] * (3 + 5 * i))}\nMore of {i}" for i in range(6)}
 
 
 def test_names_only_choose_among_slots(spark):
