@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavelark.config import DEFAULT
-from wavelark.operators import composing, spacing, timeline
+from wavelark.operators import composing, logs, spacing, timeline
 
 
 def fold(starts, least):
@@ -95,7 +96,19 @@ def test_rounds_render_only_what_changes(spark):
     samples = spark.createDataFrame([("a", p, i, 1.0 + i % 2) for p in (0, 1) for i in range(200)], "run_id string, position long, sample_idx long, value double")
     joins = composing.plan(items, samples, 100)
     assert [(j.n, j.skip, j.cut, j.ramp, j.start, j.stop, round(j.length, 6)) for j in joins.orderBy("n").collect()] == [(1, 0, 0, 0, 0, 200, 2.0), (2, 0, 200, 40, 160, 360, 3.6)]
-    from pyspark.sql import functions as F
-
     late = composing.render(joins, samples, F.lit(350)).orderBy("sample_idx").collect()
     assert [r.sample_idx for r in late] == list(range(350, 360))
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 16])
+def test_as_of_in_ranges_is_as_of(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    events = spark.createDataFrame([(k, float(t), i) for i, (k, t) in enumerate([("hot", t) for t in rng.integers(0, 300, 400)] + [(k, t) for k in ("b", None, "none") for t in rng.integers(0, 300, 20)])], "run string, t double, id int").repartition(3)
+    states = spark.createDataFrame([(k, float(t), int(v)) for k, n in (("hot", 25), ("b", 4), (None, 3), ("idle", 5)) for t, v in zip(rng.choice(300, n, replace=False), range(n))], "run string, at double, v int").repartition(2)
+    plain, spread = ({r.id: (r.run, r.t, r.v) for r in f(events, states, ["run"], "t", "at", ["v"]).collect()} for f in (logs.as_of, lambda *a: logs.as_of_long_runs(*a, blocks=blocks)))
+    assert plain == spread and len(plain) == 460 and sum(v is None for *_, v in plain.values()) > 0
+    assert logs.as_of_long_runs(events.limit(0), states, ["run"], "t", "at", ["v"]).count() == 0
+    if blocks == 16:  # the one key that holds most rows is in many ranges
+        hot = spark.createDataFrame([("hot", float(t), t) for t in range(2000)], "run string, t double, id int")
+        ranges = hot.repartitionByRange(16, "run", "t").groupBy(F.spark_partition_id()).count().collect()
+        assert len(ranges) > 8 and max(r[1] for r in ranges) < 400

@@ -349,3 +349,18 @@ def test_late_rows_sessions_logs_and_progress(spark, tmp_path):
     assert logs.read(spark, f"{tmp_path}/log", "decisions").count() == 6
     spark.streams.removeListener(seen)
     assert any(name and name.startswith("levels") and rows for name, _, rows in seen.seen)
+
+
+def test_tones_as_a_table_function(spark):
+    from wavelark.operators import recipes
+
+    recipes.register(spark)
+    spark.createDataFrame([(1, "a.wav", "calm", 1), (2, "a.wav", "mysterious", 1), (3, None, "calm", 1), (4, "a.wav", "calm", 2)], "id int, basename string, tone string, version int").createOrReplaceTempView("asked")
+    got = spark.sql("SELECT * FROM tone_params(TABLE(asked) PARTITION BY basename) ORDER BY id, draw").collect()
+    assert [(r.name, r["values"]) for r in got if r.id == 1] == effects.draw("calm", 1, "a.wav")[0] and {r.id for r in got} == {1, 2, 4}
+    assert [r["values"] for r in spark.sql("SELECT * FROM tone_params(TABLE(asked) PARTITION BY id, only => 'eq') ORDER BY draw").collect()] == [v for n, v in effects.draw("mysterious", 1, "a.wav")[0] if n == "eq"]
+    for sql, why in (("tone_params(1)", "takes a table"), ("tone_params(TABLE(SELECT 1 AS tone))", "needs the columns"), ("tone_params(TABLE(SELECT *, 1 AS draw FROM asked))", "there already"), ("tone_params(TABLE(asked), only => 'loudness')", "no tone has")):
+        with pytest.raises(Exception, match=why):
+            spark.sql(f"SELECT * FROM {sql}").collect()
+    with pytest.raises(Exception, match="is no tone"):
+        spark.sql("SELECT * FROM tone_params(TABLE(SELECT 'a' AS basename, 'odd' AS tone, 1 AS version))").collect()

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .config import DEFAULT
 from .functions import scalars
 from .functions.vectors import cosine
-from .operators import clipping, composing, effects, framing, logs, regions, resampling, scoring, selection, spacing, spectral, timeline
+from .operators import clipping, composing, effects, framing, logs, recipes, regions, resampling, scoring, selection, spacing, spectral, timeline
 from .plans import analysis
 from .plans import oracle as O
 from .sources import tables as T
@@ -313,7 +313,7 @@ def spaced_starts(spark, d):
 
 
 @query("""WITH RECURSIVE s AS (SELECT DISTINCT 'rec' || (event_id // 25600) AS rec, event_id % 25600 / 100.0::DOUBLE + value / 1000 AS t FROM events), f AS (SELECT rec, min(t) AS t FROM s GROUP BY rec),
-n AS (SELECT a.rec, a.t, b.t AS next FROM s a ASOF JOIN s b ON a.rec = b.rec AND a.t + 0.37::DOUBLE < b.t), k AS (SELECT rec, t FROM f UNION ALL SELECT k.rec, n.next FROM k JOIN n ON n.rec = k.rec AND n.t = k.t)
+n AS MATERIALIZED (SELECT a.rec, a.t, b.t AS next FROM s a ASOF JOIN s b ON a.rec = b.rec AND a.t + 0.37::DOUBLE < b.t), k AS (SELECT rec, t FROM f UNION ALL SELECT k.rec, n.next FROM k JOIN n ON n.rec = k.rec AND n.t = k.t)
 SELECT rec AS recording_id, round(t, 6) AS start_seconds FROM k""")
 def spaced_events(spark, d):
     """Events at irregular times: those at more than 0.37 seconds after the last one kept."""
@@ -602,6 +602,20 @@ def tone_params(spark, d):
     return rows.select("basename", "tone", "draw", "p.name", F.transform("p.values", lambda x: F.round(x, 6)).alias("values"))
 
 
+BRANDS = [f"clip_Brand#{n}.wav" for n in range(1, 26)]
+
+
+@query(f"""WITH {O.tone_draws(BRANDS)}, r AS (SELECT p_partkey, 'clip_' || p_brand || '.wav' AS basename, ({list(effects.TONES)!r})[p_partkey % {len(effects.TONES)} + 1] AS tone FROM part)
+SELECT p_partkey, tone, k AS draw, name, j AS place, round(CASE kind WHEN 's' THEN value * (1 + (-spread + 2 * spread * us[d])) WHEN 'm' THEN value + (-spread + 2 * spread * us[d]) ELSE value END, 6) AS value FROM r JOIN spec USING (tone) JOIN draws USING (basename, tone)""")
+def tone_params_by_brand(spark, d):
+    """Each part as a clip of its brand in one tone, through the table function. The twin has the random numbers as values, and draws from them on its own."""
+    recipes.register(spark)
+    tones = F.array(*map(F.lit, effects.TONES))
+    T.read(spark, d, "part").select("p_partkey", F.concat(F.lit("clip_"), "p_brand", F.lit(".wav")).alias("basename"), F.element_at(tones, (F.col("p_partkey") % len(effects.TONES) + 1).cast("int")).alias("tone"), F.lit(1).alias("version")).createOrReplaceTempView("tone_requests")
+    rows = spark.sql("SELECT p_partkey, tone, draw, name, posexplode(values) AS (place, value) FROM tone_params(TABLE(tone_requests) PARTITION BY (basename, tone))")
+    return rows.select("p_partkey", "tone", "draw", "name", "place", *r6("value"))
+
+
 @query()
 def effect_plan(spark, d):
     return effects.effect_plans(_requests(spark, d)).select("basename", "tone", "version", "graph", F.size("gates").alias("n_gates"))
@@ -628,6 +642,15 @@ def latest_decision(spark, d):
     return logs.latest_decisions(_asof(spark, d), ["run_id", "analysis_number", "candidate_id"], "event_id")
 
 
+@query(f"WITH {DECS}, v AS (SELECT ts AS at_, user_id FROM events WHERE event_type = 'view' AND user_id % 2 = 0), u AS (SELECT at_, max(user_id) AS user_id, count(*) AS n FROM v GROUP BY at_) SELECT d.event_id, d.run_id, u.n AS starts, u.user_id AS started_by FROM decs d ASOF LEFT JOIN u ON d.decided_at >= u.at_")
+def decision_asof_all(spark, d):
+    """All decisions as one run: each with the last analysis that any user of an even number has started."""
+    views = T.read(spark, d, "events").filter("event_type = 'view' AND user_id % 2 = 0").groupBy(F.col("ts").alias("at")).agg(F.max("user_id").alias("started_by"), F.count(F.lit(1)).alias("starts"))
+    one = lambda df: df.withColumn("everyone", F.lit("all"))
+    rows = logs.as_of_long_runs(one(T.decisions(spark, d)), one(views), ["everyone"], "decided_at", "at", ["started_by", "starts"])
+    return rows.select("event_id", "run_id", "starts", "started_by")
+
+
 @query(f"WITH {ASOF}, l AS (SELECT run_id, analysis_number, candidate_id, arg_max(decision, event_id) AS decision FROM dec GROUP BY ALL) SELECT run_id, count(*) AS candidates, count(*) FILTER (decision = 'kept') AS kept, count(*) FILTER (decision = 'discarded') AS discarded FROM l GROUP BY run_id")
 def decision_funnel(spark, d):
     return logs.funnel(logs.latest_decisions(_asof(spark, d), ["run_id", "analysis_number", "candidate_id"], "event_id"))

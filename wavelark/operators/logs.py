@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import kept
+
 COMPONENT_SCORES = "struct<novelty:double,contrast:double,layering:double,distinctiveness:double,temporal_interest:double>"
 ANALYSIS = (
     "run_id string, analysis_number int, jitter_seed long, at double, classifier string, total_windows_analyzed int, excluded_speech_windows int, pool_size int, region_count int, shortlist_size int, "
@@ -45,6 +47,30 @@ def as_of(events: DataFrame, states: DataFrame, keys: list[str], event_time: str
     return rows.select("_event.*", *[F.col("_state")[v].alias(v) for v in values])
 
 
+def as_of_long_runs(events: DataFrame, states: DataFrame, keys: list[str], event_time: str, state_time: str, values: list[str], blocks: int | None = None) -> DataFrame:
+    """As `as_of`, for keys that may hold most of the rows: no task gets more than a block of a key's rows.
+
+    Both sides are cut into ranges of (keys, time), each sorted and carried forward alone. A range's
+    last states, a row a key in it, are carried from range to range; a row that has met no state
+    in its own range takes what came in. The ranges are durable, since where they are cut is sampled.
+    """
+    state, none = F.struct(*[F.col(v) for v in values]), F.lit(None)
+    key = F.struct(*[F.col(k) for k in keys])
+    a = states.select(key.alias("_key"), F.col(state_time).alias("_t"), F.lit(0).alias("_side"), state.alias("_state"), none.cast(events.select(F.struct("*")).schema[0].dataType).alias("_event"))
+    b = events.select(key.alias("_key"), F.col(event_time).alias("_t"), F.lit(1).alias("_side"), none.cast(states.select(state).schema[0].dataType).alias("_state"), F.struct("*").alias("_event"))
+    n = blocks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(a.unionByName(b).repartitionByRange(n, "_key", "_t", "_side").withColumn("_block", F.spark_partition_id()))
+    within = Window.partitionBy("_block", "_key").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("_key", "_block").agg(F.max_by("_state", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_key", "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried")).filter("_carried IS NOT NULL")
+    # a null key is a key like others here, as it is in `as_of`
+    left = rows.withColumn("_own", F.last("_state", ignorenulls=True).over(within)).filter("_side = 1").alias("l")
+    out = left.join(carried.alias("r"), (F.col("l._block") == F.col("r._block")) & F.col("l._key").eqNullSafe(F.col("r._key")), "left")
+    found = F.coalesce("_own", "_carried")
+    return out.select("_event.*", *[found[v].alias(v) for v in values])
+
+
 def latest_decisions(decisions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last decision by keys: last write wins."""
     return decisions.groupBy(*keys).agg(F.max_by("decision", order).alias("decision"), F.count(F.lit(1)).alias("n_decisions"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from ..operators.effects import TONES
+
 WINDOWS = """w AS (SELECT e.vec_id AS window_idx, 'rec' || (e.vec_id // 128) AS rec, 2.0::DOUBLE * (e.vec_id % 128) AS start_seconds, e.label = 0 AS has_speech,
   list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE + e.embedding[i]::DOUBLE * 0.2::DOUBLE) AS embedding
   FROM embeddings e JOIN embeddings a ON a.vec_id = e.vec_id - e.vec_id % 16)"""
@@ -129,3 +131,19 @@ RECHECK = """cnt AS (SELECT *, CASE WHEN clip_end - clip_start <= 2 THEN 1 ELSE
 sub AS (SELECT window_idx, rec, unnest(range(0, n)) AS k, clip_start, clip_end FROM cnt),
 sc AS (SELECT window_idx, k, avg(CASE WHEN v > 95 THEN 1.0 ELSE 0.0 END) AS s FROM sub JOIN sig ON sub.rec = sig.rec AND i >= round_even((clip_start + k) * 100, 0) AND i < round_even(least(clip_end, clip_start + k + 2) * 100, 0) GROUP BY ALL),
 refused AS (SELECT window_idx FROM sc GROUP BY window_idx HAVING max(s) >= 0.15)"""
+
+
+def tone_draws(basenames: list[str], version: int = 1) -> str:
+    """Tables spec (tone, k, name, j, kind, value, spread, d) of what tones draw, and draws (basename, tone, us), the random numbers as they come for each clip."""
+    spec, draws = [], []
+    for tone, params in TONES.items():
+        d = 0
+        for k, (name, values) in enumerate(params):
+            for j, v in enumerate(values):
+                kind = {"Scaled": "s", "Moved": "m"}.get(type(v).__name__, "c")
+                spec.append(f"('{tone}', {k}, '{name}', {j}, '{kind}', {v[0] if kind != 'c' else v!r}::DOUBLE, {v[1] if kind != 'c' else 0.0!r}::DOUBLE, {d + 1 if kind != 'c' else 0})")
+                d += kind != "c"
+        for b in basenames:
+            rng = random.Random(f"{tone}:{version}:{b}")
+            draws.append(f"('{b}', '{tone}', [{', '.join(repr(rng.random()) for _ in range(d))}]::DOUBLE[])")
+    return f"spec(tone, k, name, j, kind, value, spread, d) AS (VALUES {', '.join(spec)}),\ndraws(basename, tone, us) AS (VALUES {', '.join(draws)})"
