@@ -107,8 +107,45 @@ def test_insults_and_repeats(spark, make_docs):
     assert f(texts[5], None, None) == f(texts[5], None, None)
 
 
-def test_words_that_tell():
-    y = np.array([1.0] * 20 + [0.0] * 80)
-    sets = [np.array([1, 2] if i < 20 else [2, 3]) for i in range(100)]
-    row = np.repeat(np.arange(100), 2)
-    assert quality.telling(np.concatenate(sets), row, y).tolist() == [1, 3]
+def test_words_that_tell(spark):
+    y = [1] * 20 + [0] * 80
+    words = spark.createDataFrame([(1, 20, 20), (2, 100, 20), (3, 80, 0), (4, 2, 2), (5, 10, 2)], "hash long, n long, bad long")
+    assert quality.telling(words, "bad", len(y), sum(y)) == [1, 3]
+    # by hand: the difference of shares over its standard error
+    z = abs(20 / 20 - 0 / 80) / np.sqrt(0.2 * 0.8 * (1 / 20 + 1 / 80))
+    assert z > quality.UNLIKE > abs(2 / 20 - 8 / 80) / np.sqrt(0.1 * 0.9 * (1 / 20 + 1 / 80))
+
+
+def test_the_surest_of_all_tasks_against_a_plain_sort(spark, monkeypatch):
+    """What views teach each other comes from all rows of the pool, copies once, ties by key."""
+    monkeypatch.setattr(quality, "TEACH", 7)
+    rng = np.random.default_rng(5)
+    text, meta = rng.integers(0, 2, (80, 6)).astype(np.int8), rng.normal(size=(80, quality.META)).astype(np.float32)
+    text[:, -1], meta[:, 0] = 1, 1
+    y = (text[:, 0] | (meta[:, 1] > 1)).astype(np.float32)
+    head = quality.Head(text, meta, y, np.array([True] * 6))
+    head.train()
+    rows = [(int(k), np.flatnonzero(rng.integers(0, 2, 5)).tolist(), [1.0, *map(float, rng.normal(size=quality.META - 1).astype(np.float32))]) for k in rng.permutation(300)]
+    pool = spark.createDataFrame(rows + rows[:100], "key long, ids array<int>, meta array<float>").repartition(5)
+    got = {}
+    for r in quality.surest(pool, {"bad": head}, 5):
+        got.setdefault((r["view"], r["label"]), []).append((-r["p"], r["key"]))
+    cals, want = head.sure(), {}
+    for key, ids, m in rows:
+        z = head.models[0][ids].sum() + head.models[0][-1], float(np.array(m, np.float32) @ head.models[1])
+        for v in (0, 1):
+            p = float(quality.sigmoid(z[v] * cals[v][0] + cals[v][1]))
+            for label, close in ((1.0, p), (0.0, 1 - p)):
+                if close >= quality.SURE:
+                    want.setdefault((v, label), []).append((-close, key))
+    assert got.keys() == want.keys() and len(got) >= 2
+    for k, v in want.items():
+        assert [x for _, x in sorted(got[k])] == [x for _, x in sorted((round(a, 5), b) for a, b in v)[:7]] or sorted(round(a, 4) for a, _ in got[k]) == sorted(round(a, 4) for a, _ in sorted(v)[:7])
+
+
+def test_quality_of_very_long_texts(make_docs):
+    texts = [("plain words " + "long and longer " * 60_000 if i % 2 else "again " * 200_000) for i in range(16)]
+    labels = make_docs([""]).sparkSession.createDataFrame([(i, i % 2, 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    docs = make_docs(texts)
+    got = quality.score(docs, quality.fit(docs, labels)).collect()
+    assert len(got) == 16 and all(0 <= r.quality_score <= 1 for r in got)

@@ -4,35 +4,44 @@ The text view sees which words a document has, the marks stuck to them, how much
 how often words repeat; the metadata view sees its source, language, length and the layout of its
 characters and lines, never a word or a mark. Both are logistic models; the text view of a head has the
 words that labelled rows with and without the fault hold unlike often, whatever their number. Starting from
-labelled rows, in each round either view names the pool's documents that it is surest of, and the
+labelled rows, in each round either view looks at all documents without a label and names those that it is surest of, and the
 other view learns from those. Then each view is calibrated on labelled rows that neither learned
 from, and a last logistic model over both calibrated views scores all documents. The same is done
 twice: for low quality and for toxic text. `keep` is false where either is the likelier.
 
-The fit reads at most LABELLED labelled and POOL unlabelled documents, chosen by a hash of doc_id (of
-rows that share one, the one whose text has the least hash); scores cover every row. Defined cases: null text counts as empty, null metadata as a value of its
+How it runs: at most LABELLED labelled documents, chosen by a hash of doc_id (of rows that share one, the one
+whose text has the least hash), are what the first models learn from. Their words are counted on the
+executors, and only those that tell come to the driver, at most WORDS for a head, which is the size of the model. What
+the two views see of every document is written once, some hundred bytes a row; each round
+reads that table, not the texts. A task keeps the TEACH surest rows for each head, view and label, and the
+surest of all tasks come to the driver: different ones, so copies teach once.
+
+Defined cases: null text counts as empty, null metadata as a value of its
 own. Labels with nulls are left out; several labels of a document count as their greatest. Without
-labels of both values a head can't be fitted: quality is then 1 and toxicity 0. Repeated rows give
+labels of both values a head can't be fitted: quality is then 1 and toxicity 0. Of equally sure documents those of the least
+hash teach. Repeated rows give
 repeated scores; an empty table gives none; long texts are read whole. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import durable, map_arrow
 
-LABELLED, POOL = 4000, 4000
+LABELLED = 4000
 #: Words of a head: those that labelled rows of both kinds hold unlike often, by so many standard errors.
 WORDS, LEAST_DOCS, UNLIKE, CACHE = 3000, 3, 4.0, 200_000
-ROUNDS, SURE, SHARE = 4, 0.95, 0.05
+#: Rounds; how sure a view must be; documents that it names at most in a round, for each label.
+ROUNDS, SURE, TEACH = 4, 0.95, 200
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 META = 10 + 64
 #: Levels that the shares of marks, bars, repeated words and doubled words are told apart by in the text view.
@@ -114,120 +123,176 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
-def telling(words: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hashes of the words that tell rows with y from those without, the most telling first. words, row: each row's different words."""
-    hashes, where = np.unique(words, return_inverse=True)
-    ones, both = np.bincount(where, y[row], len(hashes)), np.bincount(where, minlength=len(hashes))
-    n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    p = both / (n1 + n0)
-    z = np.abs(ones / n1 - (both - ones) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    z[both < LEAST_DOCS] = 0
-    best = np.lexsort((hashes, -z))
-    return hashes[best[z[best] >= UNLIKE][:WORDS]]
-
-
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_pool: np.ndarray, meta_pool: np.ndarray) -> dict | None:
-    """Both views' weights, their calibrations and the combination; y: the labels of the first rows."""
-    held = np.arange(len(y)) % 4 == 3
-    if min(y[held].sum(), (1 - y[held]).sum(), y[~held].sum(), (1 - y[~held]).sum()) < 1:
-        return None
-    views = [(text, text_pool, (12, 0.15, 1e-4)), (meta, meta_pool, (12, 0.2, 1e-4))]
-    taught: list[dict[int, float]] = [{}, {}]
-    models: list[np.ndarray] = []
-    for turn in range(ROUNDS):
-        models = []
-        for (x, pool, how), extra in zip(views, taught):
-            at = sorted(extra)
-            models.append(logistic(np.concatenate([x[~held], pool[at]]), np.concatenate([y[~held], [extra[i] for i in at]]).astype(np.float32), *how))
-        if turn == ROUNDS - 1 or not len(text_pool):
-            break
-        for v, (x, pool, _) in enumerate(views):
-            cal = platt((x[~held].astype(np.float32) @ models[v])[:, None], y[~held])
-            p = sigmoid(pool.astype(np.float32) @ models[v] * cal[0] + cal[1])
-            most = max(1, int(SHARE * len(p)))
-            for label, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                sure = [int(i) for i in order[:most] if abs(p[i] - (1 - label)) >= SURE]
-                taught[1 - v].update((i, label) for i in sure)
-    z = np.column_stack([x[held].astype(np.float32) @ w for (x, _, _), w in zip(views, models)])
-    cals = [platt(z[:, [v]], y[held]) for v in (0, 1)]
-    both = np.column_stack([z[:, v] * c[0] + c[1] for v, c in enumerate(cals)])
-    return {"text": models[0], "meta": models[1], "cals": cals, "both": platt(both, y[held])}
-
-
-def views_of(docs: DataFrame) -> DataFrame:
-    """doc_id, word hashes and layout, made on the executors."""
+def telling(words: DataFrame, target: str, rows: int, ones: int) -> list[int]:
+    """Hashes of the words that tell rows with the target from those without, the most telling first; words: (hash, n, and for the target in how many of its rows)."""
+    n1, n0 = max(ones, 1), max(rows - ones, 1)
+    p = F.col("n") / (n1 + n0)
+    z = F.abs(F.col(target) / n1 - (F.col("n") - F.col(target)) / n0) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    best = words.filter(F.col("n") >= LEAST_DOCS).withColumn("z", z).filter(F.col("z") >= UNLIKE).orderBy(F.desc("z"), "hash").limit(WORDS)
+    return [r.hash for r in best.select("hash").collect()]
+
+
+class Head:
+    """One fault's two views: their labelled rows, what they have been taught, and their models."""
+
+    HOW = ((12, 0.15, 1e-4), (12, 0.2, 1e-4))
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, own: np.ndarray):
+        self.held = np.arange(len(y)) % 4 == 3
+        self.rows, self.y, self.own = (text[:, own], meta), y, own
+        self.taught: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]
+        self.fits = min(y[self.held].sum(), (1 - y[self.held]).sum(), y[~self.held].sum(), (1 - y[~self.held]).sum()) >= 1
+
+    def train(self) -> None:
+        self.models = []
+        for x, extra, how in zip(self.rows, self.taught, self.HOW):
+            more = [extra[k] for k in sorted(extra)]
+            x = np.concatenate([x[~self.held], *[v[None] for v, _ in more]])
+            self.models.append(logistic(x, np.concatenate([self.y[~self.held], [label for _, label in more]]).astype(np.float32), *how))
+
+    def wide(self) -> np.ndarray:
+        """The text view's weights over the words of both heads."""
+        out = np.zeros(len(self.own), np.float32)
+        out[self.own] = self.models[0]
+        return out
+
+    def sure(self) -> list[np.ndarray]:
+        """Slope and offset of each view, on the rows that it learned from."""
+        return [platt((x[~self.held].astype(np.float32) @ w)[:, None], self.y[~self.held]) for x, w in zip(self.rows, self.models)]
+
+    def result(self) -> dict:
+        z = np.column_stack([x[self.held].astype(np.float32) @ w for x, w in zip(self.rows, self.models)])
+        cals = [platt(z[:, [v]], self.y[self.held]) for v in (0, 1)]
+        both = np.column_stack([z[:, v] * c[0] + c[1] for v, c in enumerate(cals)])
+        return {"text": self.wide(), "meta": self.models[1], "cals": cals, "both": platt(both, self.y[self.held])}
+
+
+def dense(ids: list[np.ndarray], size: int) -> np.ndarray:
+    """Rows of ones at the ids, and in a last column."""
+    x = np.zeros((len(ids), size + 1), np.int8)
+    x[:, -1] = 1
+    for row, at in enumerate(ids):
+        x[row, at] = 1
+    return x
+
+
+NAMED = "head string, view int, label double, p double, key long, ids array<int>, meta array<float>"
+
+
+def surest(pool: DataFrame, heads: dict[str, Head], size: int) -> list:
+    """For each head, view and label the TEACH documents of the pool (key, ids, meta) that the view is surest of, as rows of NAMED."""
+    models = {name: (h.wide(), h.models[1], h.sure()) for name, h in heads.items()}
+    names = [x.split()[0] for x in NAMED.split(", ")]
+
+    def run(batches):
+        held: dict[tuple, dict[int, tuple]] = {}
+        for batch in batches:
+            keys, meta = batch["key"].to_numpy(), np.array(batch["meta"].values.to_numpy(), np.float32).reshape(-1, META)
+            ids, ends = batch["ids"].values.to_numpy(), batch["ids"].offsets.to_numpy()
+            row = np.repeat(np.arange(len(keys)), np.diff(ends))
+            ids = ids[ends[0] : ends[-1]]
+            for name, (text, other, cals) in models.items():
+                for v, z in enumerate((np.bincount(row, text[ids], len(keys)) + text[-1], meta @ other)):
+                    p = sigmoid(z * cals[v][0] + cals[v][1])
+                    for label in (1.0, 0.0):
+                        close = p if label else 1 - p
+                        best = held.setdefault((name, v, label), {})
+                        at = np.flatnonzero(close >= SURE)
+                        for i in at[np.lexsort((keys[at], -close[at]))][:TEACH]:
+                            best.setdefault(int(keys[i]), (float(close[i]), batch["ids"][i].as_py(), batch["meta"][i].as_py()))
+                        if len(best) > TEACH:
+                            held[name, v, label] = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:TEACH])
+        out = [(*group, p, key, ids, meta) for group, best in held.items() for key, (p, ids, meta) in best.items()]
+        if out:
+            kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    group = ("head", "view", "label")
+    named = pool.mapInArrow(run, NAMED).dropDuplicates([*group, "key"])
+    order = Window.partitionBy(*group).orderBy(F.desc("p"), "key")
+    return named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TEACH).drop("n").collect()
+
+
+def seen_by_views(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
+    """doc_id, key (a hash of what follows), ids (places in vocab of the words that a document has) and meta, of every document."""
+    at = {int(h): i for i, h in enumerate(vocab)}
+    shared = docs.sparkSession.sparkContext.broadcast(at)  # at most 2 * WORDS
 
     def make():
+        look = Lookup(shared.value)
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             raws = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             meta = [layout(r, a, b) for r, a, b in zip(raws, batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_hashes(r) for r in raws], pa.list_(pa.int64())), pa.array(meta, pa.list_(pa.float32()))], names=["doc_id", "words", "meta"])
+            ids = [look(r).astype(np.int32) for r in raws]
+            keys = [int.from_bytes(hashlib.blake2b(a.tobytes() + b.tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(ids, meta)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(meta, pa.list_(pa.float32()))], names=["doc_id", "key", "ids", "meta"])
+
+        return run
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string")), make, "doc_id long, key long, ids array<int>, meta array<float>")
+
+
+def word_table(docs: DataFrame) -> DataFrame:
+    """doc_id and the hashes of its different words, made on the executors."""
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = [word_hashes((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "words"])
 
         return run
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string")), make, "doc_id long, words array<long>, meta array<float>")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, words array<long>")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Heads `bad` (low quality) and `toxic`, either None, and the words that the text view knows."""
+    spark = docs.sparkSession
     order = F.xxhash64("doc_id", F.lit("quality"))
     truth = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    known = truth.orderBy(order, "doc_id").limit(LABELLED)
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").join(truth.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(POOL)
-    ids = known.collect(), rest.collect()  # at most LABELLED and POOL rows
-    answers = {r.doc_id: (r.quality, r.toxic) for r in ids[0]}
-    wanted = docs.sparkSession.createDataFrame([(r.doc_id,) for r in (*ids[0], *ids[1])], "doc_id long")
+    answers = {r.doc_id: (r.quality, r.toxic) for r in truth.orderBy(order, "doc_id").limit(LABELLED).collect()}
+    wanted = spark.createDataFrame([(d,) for d in answers], "doc_id long")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")).alias("row")).join(F.broadcast(wanted), "doc_id", "left_semi")
-    once = chosen.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("doc_id", "row.*")  # a row each, of at most LABELLED + POOL
-    rows = views_of(once).toArrow()
-    seen = {}
-    for i, doc in enumerate(rows["doc_id"].to_pylist()):
-        seen.setdefault(doc, i)
-    words, meta = rows["words"].combine_chunks(), rows["meta"].combine_chunks()
-    order_of = [[seen[d] for d in sorted(seen) if (d in answers) == lab] for lab in (True, False)]
-    ends, values = words.offsets.to_numpy(), words.values.to_numpy()
-    labelled = [d for d in sorted(seen) if d in answers]
+    once = durable(chosen.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("doc_id", "row.*"))  # a row each, of at most LABELLED
+    labelled = sorted(r.doc_id for r in once.select("doc_id").collect())
     y = np.array([answers[d] for d in labelled], np.float32).reshape(-1, 2)
-    learn = np.flatnonzero(np.arange(len(y)) % 4 != 3)
-    sets = [values[ends[i] : ends[i + 1]] for i in np.array(order_of[0], np.int64)[learn]]
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     targets = {"bad": 1 - np.minimum(y[:, 0], 1), "toxic": np.minimum(y[:, 1], 1)}
-    known = {name: telling(np.concatenate([*sets, np.zeros(0, np.int64)]), row, t[learn]) for name, t in targets.items()}
+    learn = [i for i in range(len(labelled)) if i % 4 != 3]
+    said = spark.createDataFrame([(labelled[i], *(int(t[i]) for t in targets.values())) for i in learn], "doc_id long, bad int, toxic int")
+    each = word_table(once).join(F.broadcast(said), "doc_id").select(F.explode("words").alias("hash"), "bad", "toxic")
+    words = durable(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic")))
+    known = {name: np.array(telling(words, name, len(learn), int(t[learn].sum())), np.int64) for name, t in targets.items()}
     vocab = np.unique(np.concatenate(list(known.values())))
 
-    def text_of(at: list[int]) -> np.ndarray:
-        x = np.zeros((len(at), len(vocab) + 1), np.int8)
-        x[:, -1] = 1
-        for row, i in enumerate(at):
-            v = values[ends[i] : ends[i + 1]]
-            k = np.searchsorted(vocab, v)
-            k = k[vocab[np.minimum(k, len(vocab) - 1)] == v] if len(vocab) else v[:0]
-            x[row, k] = 1
-        return x
-
-    m = np.array(meta.values, np.float32).reshape(-1, META) if len(meta) else np.zeros((0, META), np.float32)
-    text, pool = text_of(order_of[0]), text_of(order_of[1])
-    heads = {}
-    for name, target in targets.items():
-        own = np.append(np.isin(vocab, known[name]), True)
-        if head := co_train(text[:, own], m[order_of[0]], target, pool[:, own], m[order_of[1]]):
-            wide = np.zeros(len(own), np.float32)
-            wide[own] = head["text"]
-            head["text"] = wide
-        heads[name] = head
-    return {"vocab": vocab, "heads": heads}
-
-
-class Scorer:
-    """Scores of one document after another; what a word means for the heads is looked up once."""
-
-    def __init__(self, model: dict):
-        self.at = {int(h): i for i, h in enumerate(model["vocab"])}
-        self.heads, self.words = model["heads"], {}
-
-    def __call__(self, text: str | None, lang: str | None, source: str | None) -> tuple[float, ...]:
-        """P(low quality), P(toxic), and both views of either."""
-        raw, out = (text or "").encode("utf-8", "surrogatepass"), []
+    mine = {r.doc_id: (np.array(r.ids, np.int64), np.array(r.meta, np.float32)) for r in seen_by_views(once, vocab).select("doc_id", "ids", "meta").collect()}
+    text = dense([mine[d][0] for d in labelled], len(vocab))
+    meta = np.stack([mine[d][1] for d in labelled]) if labelled else np.zeros((0, META), np.float32)
+    heads = {name: Head(text, meta, t, np.append(np.isin(vocab, known[name]), True)) for name, t in targets.items()}
+    some = {name: h for name, h in heads.items() if h.fits}
+    if some:
+        every = seen_by_views(docs, vocab)
+        # documents with labels don't teach; a row without an id has none
+        pool = durable(every.filter("doc_id is not null").join(truth.select("doc_id"), "doc_id", "left_anti").unionByName(every.filter("doc_id is null")).select("key", "ids", "meta"))
+        for turn in range(ROUNDS):
+            for h in some.values():
+                h.train()
+            if turn == ROUNDS - 1:
+                break
+            for r in surest(pool, some, len(vocab)):
+                h = some[r["head"]]
+                row = dense([np.array(r.ids, np.int64)], len(vocab))[0][h.own] if r["view"] == 1 else np.array(r.meta, np.float32)
+                h.taught[1 - r["view"]].setdefault(r.key, (row, r.label))
+    return {"vocab": vocab, "heads": {name: h.result() if h.fits else None for name, h in heads.items()}}
+
+
+class Lookup:
+    """Places of a text's words in a vocabulary; what a word means is looked up once."""
+
+    def __init__(self, at: dict[int, int]):
+        self.at, self.words = at, {}
+
+    def __call__(self, raw: bytes) -> np.ndarray:
         if len(self.words) > CACHE:
             self.words.clear()
         ids = set()
@@ -240,7 +305,19 @@ class Scorer:
                     self.words[w] = k
             ids.update(k)
         ids.update(self.at[h] for h in levels(raw, words) if h in self.at)
-        at, meta = np.fromiter(sorted(ids), np.int64, len(ids)), layout(raw, lang, source)
+        return np.fromiter(sorted(ids), np.int64, len(ids))
+
+
+class Scorer:
+    """Scores of one document after another."""
+
+    def __init__(self, model: dict):
+        self.heads, self.look = model["heads"], Lookup({int(h): i for i, h in enumerate(model["vocab"])})
+
+    def __call__(self, text: str | None, lang: str | None, source: str | None) -> tuple[float, ...]:
+        """P(low quality), P(toxic), and both views of either."""
+        raw, out = (text or "").encode("utf-8", "surrogatepass"), []
+        at, meta = self.look(raw), layout(raw, lang, source)
         for name in ("bad", "toxic"):
             h = self.heads[name]
             if h is None:
