@@ -38,6 +38,7 @@ import hashlib
 import html as entities
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,7 +77,7 @@ MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|entry|main|post|sto
 LAYOUT_NAMES = re.compile(r"(?<![\w-])(?:with|without|has|no)[-_][\w-]+", re.I)
 HEADING_NAMES = re.compile(r"(?<![\w-])(?:\w+[-_]+)*header(?![\w-])", re.I)
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-SPACE = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
 
 
 class Node:
@@ -109,15 +110,27 @@ def _role(tag: str, attrs: dict[str, str], within: str) -> str:
     return "+" if names.strip() and MAIN_NAMES.search(names) else within
 
 
+@lru_cache(maxsize=50_000)
+def called(tag: str, attributes: str, within: str) -> tuple[str, str, str]:
+    """A block's label and role, and what its role would be in an article."""
+    attrs = {a.group(1).lower(): a.group(2) or a.group(3) or a.group(4) or "" for a in ATTR.finditer(attributes)} if attributes else {}
+    names = DIGITS.sub("#", " ".join(sorted(attrs.get("class", "").lower().split()))[:40])
+    role = _role(tag, attrs, within)
+    return tag + ("." + names if names else ""), role, _role(tag, attrs, "+") if role == "-" else role
+
+
 def parse(page: str | None) -> Node:
     """The tree of blocks. Texts are kids too, as strings, with white space made single and trimmed; a link's text is marked by a leading \\x00."""
     root = Node("", "", "", "", "")
     stack, text, links = [root], [], [0, 0]
 
     def flush() -> None:
+        if not text:
+            links[1] = 0
+            return
         joined = "".join(text)
         text.clear()
-        clean = SPACE.sub(" ", entities.unescape(joined)).strip()
+        clean = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
         if clean:
             stack[-1].kids.append(("\x00" if links[1] * 2 > len(joined.strip()) else "") + clean)
         links[1] = 0
@@ -173,10 +186,8 @@ def parse(page: str | None) -> Node:
         if tag in ("body", "main", "article", "nav", "footer") and len(stack) > 1 and stack[-1].tag in ("head", "title"):
             while len(stack) > 1 and stack[-1].tag in ("head", "title"):
                 stack.pop()
-        attrs = {a.group(1).lower(): a.group(2) or a.group(3) or a.group(4) or "" for a in ATTR.finditer(m.group(5) or "")}
-        names = re.sub(r"\d+", "#", " ".join(sorted(attrs.get("class", "").lower().split()))[:40])
-        role = _role(tag, attrs, stack[-1].inner)
-        node = Node(tag, tag + ("." + names if names else ""), role, _role(tag, attrs, "+") if role == "-" else role, stack[-1].inner if role == "-" else role)
+        label, role, inside = called(tag, m.group(5), stack[-1].inner)
+        node = Node(tag, label, role, inside, stack[-1].inner if role == "-" else role)
         stack[-1].kids.append(node)
         if len(stack) < 400:
             stack.append(node)
@@ -210,7 +221,10 @@ def items_of(node: Node, page: str, depth: int = 0) -> list[list]:
         else:
             item = [kid.label, kid.role, False, False, None, items_of(kid, page, depth + 1) if depth < DEPTH else [], 0]
         if out and alike(out[-1], item):
-            out[-1] = merge(out[-1], item)
+            if item[0] == "#" and out[-1][4] is None:
+                out[-1][6] += item[6]
+            else:
+                out[-1] = merge(out[-1], item)
             out[-1][3] = True
         elif len(out) < WIDTH:
             out.append(item)
@@ -226,6 +240,8 @@ def items_of(node: Node, page: str, depth: int = 0) -> list[list]:
 def fold(items: list[list]) -> tuple[list[list], list[tuple[int, int]]]:
     """Tandem repeats of two or three items (dt dd dt dd) become one repeated group, label '*'; and where each item has gone."""
     where, at = [(i, 0) for i in range(len(items))], list(range(len(items)))
+    if len(items) < 4:
+        return items, where
     for period in (2, 3):
         k = 0
         while k + 2 * period <= len(items):
@@ -246,11 +262,16 @@ def fold(items: list[list]) -> tuple[list[list], list[tuple[int, int]]]:
     return items, where
 
 
+@lru_cache(maxsize=50_000)
+def container(label: str) -> bool:
+    return label.split(".", 1)[0] in CONTAINERS
+
+
 def alike(a: list, b: list) -> float:
     """How well two items match: 0 not at all, 1 the same label and contents of the same labels."""
     if a[0] != b[0]:
         return 0.0
-    if a[0].split(".", 1)[0] not in CONTAINERS:
+    if not container(a[0]):
         return 1.0
     x, y = {k[0] for k in a[5]}, {k[0] for k in b[5]}
     share = len(x & y) / len(x | y) if x or y else 1.0
@@ -260,7 +281,7 @@ def alike(a: list, b: list) -> float:
 def merge(a: list, b: list) -> list:
     """The least general item for two of one label."""
     text = [a[4][0], sorted({*a[4][1], *b[4][1]})[:INVARIANT_PAGES]] if a[4] and b[4] and a[4][0] == b[4][0] else None
-    return [a[0], a[1] if a[1] == b[1] else min(a[1], b[1]), a[2] or b[2], a[3] or b[3], text, align(a[5], b[5]), a[6] + b[6]]
+    return [a[0], a[1] if a[1] == b[1] else min(a[1], b[1]), a[2] or b[2], a[3] or b[3], text, align(a[5], b[5]) if a[5] or b[5] else [], a[6] + b[6]]
 
 
 def pairing(a: list[list], b: list[list]) -> list[tuple[int, int]]:
@@ -287,6 +308,8 @@ def pairing(a: list[list], b: list[list]) -> list[tuple[int, int]]:
 
 def align(a: list[list], b: list[list]) -> list[list]:
     """Both streams in one: matched items merged, the others optional."""
+    if len(a) == len(b) == 1 and alike(a[0], b[0]):
+        return [merge(a[0], b[0])]
     out, i, j = [], 0, 0
     for x, y in [*pairing(a, b), (len(a), len(b))]:
         out += [[k[0], k[1], True, *k[3:]] for k in (*a[i:x], *b[j:y])]
