@@ -185,23 +185,25 @@ def surest(pool: DataFrame, heads: dict[str, Head], size: int) -> list:
     names = [x.split()[0] for x in NAMED.split(", ")]
 
     def run(batches):
-        held: dict[tuple, dict[int, tuple]] = {}
+        held: dict[tuple, dict[int, tuple]] = {}  # by key: how sure, ids, meta
+        least: dict[tuple, float] = {}  # how sure one must be to get in
         for batch in batches:
-            keys, meta = batch["key"].to_numpy(), np.array(batch["meta"].values.to_numpy(), np.float32).reshape(-1, META)
-            ids, ends = batch["ids"].values.to_numpy(), batch["ids"].offsets.to_numpy()
-            row = np.repeat(np.arange(len(keys)), np.diff(ends))
-            ids = ids[ends[0] : ends[-1]]
+            keys, meta = batch["key"].to_numpy(), batch["meta"].values.to_numpy()[batch["meta"].offset * META :].reshape(-1, META)
+            ends = batch["ids"].offsets.to_numpy()
+            ids, row = batch["ids"].values.to_numpy()[ends[0] : ends[-1]], np.repeat(np.arange(len(keys)), np.diff(ends))
+            ends = ends - ends[0]
             for name, (text, other, cals) in models.items():
                 for v, z in enumerate((np.bincount(row, text[ids], len(keys)) + text[-1], meta @ other)):
                     p = sigmoid(z * cals[v][0] + cals[v][1])
-                    for label in (1.0, 0.0):
-                        close = p if label else 1 - p
-                        best = held.setdefault((name, v, label), {})
-                        at = np.flatnonzero(close >= SURE)
-                        for i in at[np.lexsort((keys[at], -close[at]))][:TEACH]:
-                            best.setdefault(int(keys[i]), (float(close[i]), batch["ids"][i].as_py(), batch["meta"][i].as_py()))
+                    for label, close in ((1.0, p), (0.0, 1 - p)):
+                        group = (name, v, label)
+                        best, at = held.setdefault(group, {}), np.flatnonzero(close >= least.get(group, SURE))
+                        for i in at[np.lexsort((keys[at], -close[at]))][:TEACH].tolist():
+                            if int(keys[i]) not in best:
+                                best[int(keys[i])] = (float(close[i]), ids[ends[i] : ends[i + 1]].copy(), meta[i].copy())
                         if len(best) > TEACH:
-                            held[name, v, label] = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:TEACH])
+                            held[group] = best = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:TEACH])
+                            least[group] = min(x[0] for x in best.values())
         out = [(*group, p, key, ids, meta) for group, best in held.items() for key, (p, ids, meta) in best.items()]
         if out:
             kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32())]
@@ -303,7 +305,8 @@ class Lookup:
                 k = tuple(self.at[h] for h in marks_of(w) if h in self.at)
                 if len(w) < 64:
                     self.words[w] = k
-            ids.update(k)
+            if k:
+                ids.update(k)
         ids.update(self.at[h] for h in levels(raw, words) if h in self.at)
         return np.fromiter(sorted(ids), np.int64, len(ids))
 
