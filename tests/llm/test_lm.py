@@ -83,8 +83,9 @@ def test_whole_table(spark, monkeypatch, hot, buffer):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_odd_rows(make_docs, monkeypatch, order):
+@pytest.mark.parametrize("order,lane", [(2, 512), (3, 512), (2, 1), (3, 7)])
+def test_odd_rows(make_docs, monkeypatch, order, lane):
+    monkeypatch.setattr(lm, "LANE", lane)
     monkeypatch.setattr(lm, "HOT", 20)
     monkeypatch.setattr(lm, "BUFFER", 100)
     texts = [*ODD, *(f"the word{i} of the {'x' * (i % 7)} Word{i // 2}" for i in range(60))]
@@ -93,6 +94,19 @@ def test_odd_rows(make_docs, monkeypatch, order):
     assert lm.score_documents(make_docs(rows).limit(0)).count() == 0
 
 
+def test_a_walk_follows_arcs_and_failure_arcs(monkeypatch):
+    """Three words; states of one word, and the pair (0, 1). By hand."""
+    m = lm.Automaton(3, np.array([-1.0, -2.0, -3.0]))
+    m.add(1, np.array([0 * 3 + 1, 1 * 3 + 2]), np.array([-0.5, -0.25]), np.array([3, 2]), np.array([-0.1, -0.2, 0.0]), np.array([-1, -1, -1]))
+    m.add(2, np.array([0 * 3 + 0]), np.array([-0.01]), np.array([0]), np.array([-0.03]), np.array([1]))
+    texts = [[0], [0, 1, 0], [0, 1, 2], [0, 1, 1], [2, 2, 0, 1, 2, 1]]
+    want = [-1.0, -1.0 - 0.5 - 0.01, -1.0 - 0.5 + (-0.03 - 0.25), -1.0 - 0.5 + (-0.03 - 0.2 - 2.0), -3.0 - 3.0 - 1.0 - 0.5 - 0.28 - 2.0]
+    place, lengths = np.concatenate([np.array(t) for t in texts]), np.array([len(t) for t in texts])
+    for lane in (512, 1, 2, 3):
+        monkeypatch.setattr(lm, "LANE", lane)
+        assert m.walk(place, lengths) == pytest.approx(want)
+
+
 def test_nothing_to_learn_from(make_docs):
     rows = [(d, "a b") for d in range(200) if lm.is_held_out(d)]
     assert all((r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0, 0) for r in lm.score_documents(make_docs(rows)).collect())

@@ -9,12 +9,17 @@ failure arc, to the state of the longest proper suffix, and lower what that stat
 Each state sums to one over words, and an arc needs nothing from other states but `lower`. All words
 and all such n-grams are kept, at every size of corpus, in shards dealt by the state's hash.
 
-Counting and scoring are one traversal, in chunks of about BUFFER tokens: a chunk asks the shards
+Counting goes with scoring, in chunks of about BUFFER tokens: a chunk asks the shards
 about its different words and the words that follow them (their counts come with the question), gets
-the counts over the corpus back in its own order, and walks its texts from left to right. Where the
-walk is in a state of two words it asks once more, about n-grams whose parts were all kept, since no
-other can be seen LEAST times; then it walks again, with all weights at hand. So one exchange carries different n-grams of a chunk, no
-occurrences, and one pass over the texts is enough.
+the counts over the corpus back in its own order, and asks once more, about n-grams whose parts were all kept, since no
+other can be seen LEAST times. From the answers it builds the part of the automaton that its texts can
+reach, states, arcs and failure arcs, and walks them through it once from left to right: a token is the
+arc that leaves the state it is in, or the failure arc's weight and then that of a shorter state; what
+the walk carries along is the state. Many stretches of text are walked side by side, each of at most
+LANE tokens; one that begins within a text first reads the two words before it, which is all that a state knows.
+So one exchange carries different n-grams of a chunk, no
+occurrences, and one pass over the texts is enough. The first 48 bits of its hash tell a word from the others that follow
+one context; two of 10 million such words would be taken for one with a probability of a fifth.
 
 Skew: contexts that hold a share of 1/HOT of a sample of the tokens are dealt by the following word,
 and their sums put together from the shards; that changes where things are counted, nothing else.
@@ -41,6 +46,8 @@ from pyspark.sql import functions as F
 from .common import doc_text, durable
 
 ORDER, DISCOUNT, LEAST = 3, 0.5, 2
+#: Tokens of a stretch that is walked in one go.
+LANE = 512
 BUFFER, CACHE = 1_000_000, 200_000
 #: Contexts with such a share of a sample of SAMPLE rows are dealt by the next word too; at most 2 * HOT of them.
 HOT, SAMPLE = 1 << 10, 5000
@@ -135,6 +142,67 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+class Automaton:
+    """The part of the automaton that a chunk's texts reach. Words are 0 to words - 1; states: -1 the root, a word's own number, and words + i for the i-th pair."""
+
+    def __init__(self, words: int, root: np.ndarray):
+        """root: log10 weight of each word's arc from the root, which leads to its own state."""
+        self.words, self.root = words, root
+        none = np.zeros(0, np.int64)
+        self.arcs = [(none, np.zeros(0), none), (none, np.zeros(0), none)]  # of states of one word and of two: key, log10 weight, target
+        self.fails = [(np.zeros(words), np.full(words, -1)), (np.zeros(0), none)]  # log10 weight, target
+
+    def add(self, order: int, keys: np.ndarray, weights: np.ndarray, targets: np.ndarray, fail: np.ndarray, to: np.ndarray) -> None:
+        """Arcs of the states of `order` words; key: the state's number of its order * words + the word, sorted."""
+        self.arcs[order - 1], self.fails[order - 1] = (keys, weights, targets), (fail, to)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state of each walk, and what its token weighs."""
+        weight, new, left = np.zeros(len(state)), np.full(len(state), -2), state.copy()
+        for order in (2, 1):
+            keys, weights, targets = self.arcs[order - 1]
+            fail, to = self.fails[order - 1]
+            here = np.flatnonzero((new == -2) & (left >= (self.words if order == 2 else 0)))
+            if not len(here):
+                continue
+            own = left[here] - (self.words if order == 2 else 0)
+            if len(keys):
+                key = own * self.words + word[here]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                weight[here[hit]] += weights[at[hit]]
+                new[here[hit]] = targets[at[hit]]
+                here, own = here[~hit], own[~hit]
+            weight[here] += fail[own]
+            left[here] = to[own]
+        end = np.flatnonzero(new == -2)
+        weight[end] += self.root[word[end]]
+        new[end] = word[end]
+        return new, weight
+
+    def walk(self, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each text; place: the texts' words, one text after another."""
+        starts = np.cumsum(lengths) - lengths
+        many = -(-lengths // LANE)
+        text = np.repeat(np.arange(len(lengths)), many)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * LANE  # of a lane in its text
+        begin = starts[text] + first
+        size = np.minimum(lengths[text] - first, LANE)
+        by = np.argsort(-size, kind="stable")
+        text, begin, size, before = text[by], begin[by], size[by], np.minimum(first, ORDER - 1)[by]
+        state, total = np.full(len(text), -1), np.zeros(len(text))
+        for k in range(ORDER - 1, 0, -1):  # the words before a lane, for the state alone
+            on = np.flatnonzero(before >= k)
+            state[on] = self.step(state[on], place[begin[on] - k])[0]
+        going = len(text)
+        for k in range(int(size.max(initial=0))):
+            while size[going - 1] <= k:
+                going -= 1
+            state[:going], weight = self.step(state[:going], place[begin[:going] + k])
+            total[:going] += weight
+        return np.bincount(text, total, len(lengths))
+
+
 class Asked:
     """Questions about contexts and what follows them, and the order in which answers come back.
 
@@ -389,15 +457,19 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         starts = np.cumsum(lengths) - lengths
         base = np.add.reduceat(np.log10(p1)[place], starts)
         known = np.add.reduceat((count > 0)[place].astype(np.int64), starts)
-        plain = np.ones(len(at), bool)
-        plain[deep] = False
-        score = np.log10(p1)[place[starts]] + np.bincount(of_row[at[plain]], np.log10(p2)[pair[plain]], len(lengths))
+        machine, number = Automaton(len(words), np.log10(p1)), np.full(len(pairs), -1)
+        number[used[by]] = np.arange(len(used))  # of pairs that are states
+        kept = np.flatnonzero(seen > 0)
+        after = lambda p: np.where(number[p] >= 0, len(words) + number[p], last[p])
+        machine.add(1, pairs[kept], np.log10(p2[kept]), after(kept), np.log10(rest_of(count, total, arcs)), np.full(len(words), -1))
         if len(deep):
             _, total, arcs, n3 = joined(held[MORE], tuple(maybe[x] for x in more.places()), len(triples))
             with_hot(total, arcs, more.hot, more_sums)
             own = seen[used][by]
             p3 = rest_of(own, total, arcs)[state] * p2[second] + np.where(n3 > 0, (n3 - DISCOUNT) / own[state], 0)
-            score += np.bincount(of_row[at[deep]], np.log10(p3)[triple], len(lengths))
+            kept = np.flatnonzero(n3 > 0)
+            machine.add(2, triples[kept], np.log10(p3[kept]), after(second[kept]), np.log10(rest_of(own, total, arcs)), last[used[by]])
+        score = machine.walk(place, lengths)
         yield result(doc, has_id, away, lengths, known, base, score)
 
     def walk(batches, last_round: bool):
