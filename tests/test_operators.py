@@ -364,3 +364,19 @@ def test_tones_as_a_table_function(spark):
             spark.sql(f"SELECT * FROM {sql}").collect()
     with pytest.raises(Exception, match="is no tone"):
         spark.sql("SELECT * FROM tone_params(TABLE(SELECT 'a' AS basename, 'odd' AS tone, 1 AS version))").collect()
+
+
+def test_a_model_is_loaded_once_a_worker(spark):
+    from wavelark.plans import model
+
+    m = model.WindowModel(model.spectral_model, model.SPECTRAL_LABELS)
+    rows = spark.createDataFrame([("r", i, [float(j % (i + 2)) for j in range(64)]) for i in range(100)] + [("r", 100, [0.0] * 64)], "recording_id string, window_idx long, samples array<double>").coalesce(1)
+    got = {r.window_idx: r for r in m(rows).collect()}
+    assert len(got) == 101 and sum(got[3].scores) == pytest.approx(1) and got[100].scores == [0, 0, 0] and len(got[5].embedding) == model.SPECTRAL_DIM
+    x = np.array([[float(j % 5) for j in range(64)]])
+    assert got[3].embedding == pytest.approx(model.spectral_model()(x)[1][0].tolist())
+    model._LOADED.clear(), model.LOADS.clear()
+    assert model.loaded(model.spectral_model) is model.loaded(model.spectral_model) and len(model.LOADS) == 1
+    assert [r.label_idx for r in m.indexes(spark.createDataFrame([("high",), ("odd",)], "label string")).collect()] == [2]
+    with pytest.raises(Exception, match="3 labels|4 labels|the model gave"):
+        model.WindowModel(model.spectral_model, ("a", "b")).__call__(rows).collect()

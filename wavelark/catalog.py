@@ -10,7 +10,7 @@ from .config import DEFAULT
 from .functions import scalars
 from .functions.vectors import cosine
 from .operators import clipping, composing, effects, framing, logs, recipes, regions, resampling, scoring, selection, spacing, spectral, timeline
-from .plans import analysis
+from .plans import analysis, model
 from .plans import oracle as O
 from .sources import tables as T
 from .sources import wav
@@ -157,6 +157,17 @@ def speech_by_class_scores(spark, d):
     return T.read(spark, d, "embeddings").select(F.col("vec_id").alias("window_idx"), scoring.has_speech(F.col("embedding").cast("array<double>"), [2, 7, 40]).alias("has_speech"))
 
 
+@query(f"""WITH {O.SPECTRUM}, b AS (SELECT vec_id, sum(m) AS t, sum(m) FILTER (k < 4) AS low, sum(m) FILTER (k >= 16) AS high, list(m ORDER BY k)[1:8] AS e FROM dft GROUP BY vec_id)
+SELECT vec_id AS window_idx, round(low / t, 6) AS low, round(high / t, 6) AS high, round(list_sum(e), 6) AS embedded, round(e[3], 6) AS third FROM b""")
+def model_scores(spark, d):
+    """A model behind its interface, loaded once a worker: the labels that are wanted are looked up as a table."""
+    m = model.WindowModel(model.spectral_model, model.SPECTRAL_LABELS)
+    rows = m(T.waves(spark, d)).select("window_idx", F.posexplode("scores").alias("label_idx", "score"), "embedding")
+    wanted = m.indexes(spark.createDataFrame([("low",), ("high",), ("none",)], "label string"))
+    out = rows.join(F.broadcast(wanted), "label_idx", "left_semi").groupBy("window_idx").agg(F.max(F.when(F.col("label_idx") == 0, F.col("score"))).alias("low"), F.max(F.when(F.col("label_idx") == 2, F.col("score"))).alias("high"), F.any_value("embedding").alias("e"))
+    return out.select("window_idx", *r6("low", "high"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("embedded"), F.round(F.col("e")[2], 6).alias("third"))
+
+
 # Pool and selection
 
 
