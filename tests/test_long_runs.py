@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelark.config import DEFAULT
-from wavelark.operators import composing, logs, spacing, timeline
+from wavelark.operators import composing, logs, selection, spacing, timeline
 
 
 def fold(starts, least):
@@ -112,3 +112,15 @@ def test_as_of_in_ranges_is_as_of(spark, blocks):
         hot = spark.createDataFrame([("hot", float(t), t) for t in range(2000)], "run string, t double, id int")
         ranges = hot.repartitionByRange(16, "run", "t").groupBy(F.spark_partition_id()).count().collect()
         assert len(ranges) > 8 and max(r[1] for r in ranges) < 400
+
+
+@pytest.mark.parametrize("first", [2, 8, 256])
+def test_shortlists_of_many_are_the_greedy_ones(spark, first):
+    rng = np.random.default_rng(first)
+    rows = [(r, i, i, 2.0 * i, float(rng.choice([0.2, 0.5, rng.random()])), [float(x) for x in rng.normal(size=4)], 1) for r, n in (("a", 120), ("b", 30), ("c", 1), ("d", 60)) for i in range(n)]
+    reps = spark.createDataFrame(rows, "recording_id string, region_id long, window_idx long, start_seconds double, score double, embedding array<double>, region_window_count long").repartition(3)
+    prior = reps.filter("window_idx % 11 = 3 AND recording_id <> 'b'")
+    for before in (None, prior):
+        a, b = (sorted(map(tuple, f(reps, 25, before).collect())) for f in (selection.shortlist, lambda *x: selection.shortlist_of_many(*x, first=first)))
+        assert a == b and len(a) > 25
+    assert selection.shortlist_of_many(reps.limit(0), 25).count() == 0

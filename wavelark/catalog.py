@@ -229,6 +229,15 @@ def shortlist_prior_history(spark, d):
     return selection.shortlist(reps, DEFAULT.shortlist, reps.filter("region_id % 9 = 0")).select("recording_id", "pick", "region_id", "window_idx", "start_seconds", *r6("score"), "region_window_count")
 
 
+@query(f"""WITH RECURSIVE {PLAIN}, {O.REGIONS}, reps2 AS (SELECT 'all' AS rec, window_idx AS region_id, window_idx, start_seconds + 256.0::DOUBLE * (window_idx // 128) AS start_seconds, embedding, score, region_window_count FROM reps),
+{O.greedy(25, None, "2")} SELECT pick, window_idx, start_seconds, round(score, 6) AS score, region_window_count FROM short2""")
+def shortlist_as_one_recording(spark, d):
+    """The representatives of all recordings as one long recording's, picked in rounds from those of the highest score."""
+    reps = regions.representatives(_segmented(spark, d))
+    one = reps.select(F.lit("all").alias("recording_id"), F.col("window_idx").alias("region_id"), "window_idx", (F.col("start_seconds") + 256.0 * F.floor(F.col("window_idx") / 128)).alias("start_seconds"), "score", "embedding", "region_window_count")
+    return selection.shortlist_of_many(one, DEFAULT.shortlist, first=64).select("pick", "window_idx", "start_seconds", *r6("score"), "region_window_count")
+
+
 @query(f"WITH RECURSIVE {PLAIN}, {O.REGIONS}, {O.greedy(25)}, ok AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY start_seconds) AS n FROM short WHERE window_idx % 7 <> 3) SELECT rec AS recording_id, n::INTEGER AS candidate_id, window_idx, start_seconds, {s6('score')} FROM ok WHERE n <= 10")
 def final_10(spark, d):
     short = _short(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Config
+from ..functions.vectors import cosine
+from ..storage import kept
 
 SHORTLIST = "recording_id string, pick long, region_id long, window_idx long, start_seconds double, score double, region_window_count long"
 
@@ -31,15 +35,28 @@ def pick(reps: pd.DataFrame, prior: pd.DataFrame, count: int, cfg: Config) -> li
         open_ &= like < cfg.duplicate_similarity
         base -= cfg.prior_weight * like
         base -= cfg.prior_penalty * reps["window_idx"].isin(prior["window_idx"]).to_numpy()
-    closest, picked = np.full(len(reps), -np.inf), []
-    while len(picked) < count and open_.any():
+    return greedy(unit, start, base, open_, count, cfg)[0]
+
+
+def greedy(unit: np.ndarray, start: np.ndarray, base: np.ndarray, open_: np.ndarray, count: int, cfg: Config, rest: float = -np.inf) -> tuple[list[int], bool]:
+    """Places in the order they are picked, and whether all picks there can be are among them.
+
+    rest: the highest base that any row besides these has. What such a row is worth is at most `rest` for the first pick, and
+    for others that plus the diversity weight, since likeness is at least -1; a pick that isn't worth more ends the list.
+    """
+    closest, picked, open_ = np.full(len(unit), -np.inf), [], open_.copy()
+    while len(picked) < count:
+        if not open_.any():
+            return picked, rest == -np.inf
         value = np.where(open_, base - (cfg.diversity_weight * closest if picked else 0.0), -np.inf)
         i = int(value.argmax())
+        if value[i] <= rest + (cfg.diversity_weight if picked else 0.0):
+            return picked, False
         picked.append(i)
         closest = np.maximum(closest, unit @ unit[i])
         open_ &= (np.abs(start - start[i]) >= cfg.min_separation_seconds) & (closest < cfg.duplicate_similarity)
         open_[i] = False
-    return picked
+    return picked, True
 
 
 def shortlist(reps: DataFrame, count: int, prior: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
@@ -62,6 +79,45 @@ def shortlist(reps: DataFrame, count: int, prior: DataFrame | None = None, cfg:
     return reps.groupBy("recording_id").cogroup(prior.select("recording_id", "window_idx", "embedding").toDF("recording_id", "window_idx", "embedding").groupBy("recording_id")).applyInPandas(choose, SHORTLIST)
 
 
+def shortlist_of_many(reps: DataFrame, count: int, prior: DataFrame | None = None, cfg: Config = DEFAULT, first: int = 256) -> DataFrame:
+    """As `shortlist`, for recordings with any number of representatives: the same picks, and no task holds them all.
+
+    A round takes the representatives of the highest base value of each recording, `first` of them, and picks
+    as long as none of the others can be worth more. Recordings whose list isn't complete then go on with four times as many.
+    What has been shown before (as many rows as there were picks) is an array beside each representative.
+    """
+    names = [x.split()[0] for x in SHORTLIST.split(", ")]
+    rows = reps.withColumn("_base", F.col("score").cast("double"))
+    if prior is not None:
+        shown = prior.groupBy("recording_id").agg(F.collect_list("embedding").alias("_shown"), F.collect_set("window_idx").alias("_again"))
+        like = F.array_max(F.transform("_shown", lambda p: cosine(p, F.col("embedding"))))
+        rows = rows.join(shown, "recording_id", "left").withColumn("_like", like).filter(F.col("_like").isNull() | (F.col("_like") < cfg.duplicate_similarity))
+        again = F.when(F.array_contains("_again", F.col("window_idx")), cfg.prior_penalty).otherwise(0.0)
+        rows = rows.withColumn("_base", F.when(F.col("_like").isNull(), F.col("_base")).otherwise(F.col("_base") - cfg.prior_weight * F.col("_like") - again)).drop("_shown", "_again", "_like")
+    rows, out, most = kept(rows), [], first
+    best = Window.partitionBy("recording_id").orderBy(F.desc("_base"), "start_seconds")
+
+    def choose(most: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            ranked = pdf.sort_values(["_base", "start_seconds"], ascending=[False, True], kind="stable")
+            rest = float(ranked["_base"].iloc[most]) if len(ranked) > most else -np.inf
+            seen = ranked.iloc[:most].sort_values("start_seconds", kind="stable").reset_index(drop=True)
+            order, whole = greedy(_unit(seen["embedding"]), seen["start_seconds"].to_numpy(), seen["_base"].to_numpy(np.float64), np.ones(len(seen), bool), count, cfg, rest)
+            if not whole:
+                return pd.DataFrame([{"recording_id": pdf["recording_id"].iloc[0]}], columns=names)  # without a pick: not yet
+            return seen.iloc[order].assign(pick=range(1, len(order) + 1))[names]
+
+        return run
+
+    while True:
+        found = kept(rows.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= most + 1).groupBy("recording_id").applyInPandas(choose(most), SHORTLIST))
+        out.append(found.filter("pick IS NOT NULL"))
+        open_ = found.filter("pick IS NULL").select("recording_id")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        rows, most = rows.join(open_, "recording_id", "left_semi"), 4 * most
+
+
 def final(short: DataFrame, failed: DataFrame, cfg: Config = DEFAULT, order: str = "chronological") -> DataFrame:
     """The first max_candidates of the shortlist without those that `failed` (recording_id, window_idx).
 
