@@ -173,13 +173,13 @@ def test_scalars(spark):
     assert one(scalars.trim_floor(F.lit(1.0), F.lit(1.05), F.lit(5.0))) == 1.2 and one(scalars.trim_floor(F.lit(4.95), F.lit(5.0), F.lit(5.0))) == 5.0
 
 
-def test_render_cuts_silence_at_joins():
+def test_render_cuts_silence_at_joins(spark):
     rate, tone = 1000, lambda s: np.sin(np.arange(int(s * 1000)))
     quiet = lambda s: np.full(int(s * 1000), 1e-4)
-    mix, length = timeline.render([np.concatenate([tone(2), quiet(1)]), np.concatenate([quiet(1), tone(2)])], [False], rate)
-    assert length == pytest.approx(2.15 + 2.15) and len(mix) == 4300
-    mix, length = timeline.render([tone(2), tone(3)], [True], rate)
-    assert length == pytest.approx(4.6) and len(mix) == 4600
+    clips = [("cut", [np.concatenate([tone(2), quiet(1)]), np.concatenate([quiet(1), tone(2)])], False), ("fade", [tone(2), tone(3)], True)]
+    items = spark.createDataFrame([(run, k, x.tolist(), cross) for run, xs, cross in clips for k, x in enumerate(xs)], "run_id string, position long, samples array<double>, crossfade_into_next boolean")
+    got = {r.run_id: (r.duration, len(r.samples)) for r in timeline.compose(items, rate).collect()}
+    assert got["cut"] == (pytest.approx(2.15 + 2.15), 4300) and got["fade"] == (pytest.approx(4.6), 4600)
 
 
 def test_edit_replay(spark):
