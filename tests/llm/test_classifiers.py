@@ -101,6 +101,8 @@ def test_insults_and_repeats(spark, make_docs):
     labels = spark.createDataFrame([(i, int(i % 7 != 0), int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
     got = {r.doc_id: r for r in quality.score(docs, model).collect() if r.doc_id != 3}
+    again = {r.doc_id: r for r in quality.judge(docs, labels).collect() if r.doc_id != 3}
+    assert all(again[i].keep == got[i].keep and abs(again[i].quality_score - got[i].quality_score) + abs(again[i].toxic_score - got[i].toxic_score) + abs(again[i].text_view - got[i].text_view) < 1e-4 for i in got) and again.keys() == got.keys()
     wrong = [i for i in range(1, 400, 2) if i != 3 and got[i].keep != (i % 5 != 0 and i % 7 != 0)]
     assert len(wrong) <= 4
     f = quality.Scorer(model)
