@@ -1,8 +1,10 @@
+import glob
 import random
 import re
 from collections import Counter
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from llmfixtures import ODD
 
@@ -77,6 +79,16 @@ def test_pieces_and_overlaps(spark):
     assert set(de) == {"x y z"} and de["x y z"][3:6] == (48, 68, 48)  # both cuts score alike or the second less: x y | z
 
 
+def test_row_groups_have_a_few_chunks(spark):
+    folder = phrases.Folder(spark)
+    chunks = spark.range(0, 100, 1, 2).selectExpr("id AS chunk", "'en' AS lang", "array(id) AS names", "cast(repeat('x', 1000) AS binary) AS places")
+    assert folder.put(chunks, "names1").count() == 100
+    files = glob.glob(f"{folder.path.removeprefix('file:')}/names1/*.parquet")
+    sizes = [meta.row_group(i).num_rows for meta in map(pq.read_metadata, files) for i in range(meta.num_row_groups)]
+    folder.drop()
+    assert sum(sizes) == 100 and max(sizes) <= phrases.ROWS
+
+
 def test_counts_beyond_64_bits(spark):
     f = 4_000_000_000_000
     row = spark.range(1).selectExpr(f"{f}L AS f", f"array({f + 1}L, {2 * f}L, {f}L) AS heads", f"array({3 * f}L, {f + 5}L, {f}L) AS tails").selectExpr(f"{phrases.LOWEST_CUT} AS c").first().c

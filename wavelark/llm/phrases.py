@@ -10,8 +10,8 @@ of a phrase x = (p, q), p is what stands before its last word and q what stands
 exactly p and q are the phrases of one word less that lie inside it.
 
 How it runs: texts are cut into chunks of some 4 MB, and a chunk keeps, for each language, its
-different words and its text as places in that list, in a Parquet table in the shared folder. Each
-level then exchanges a chunk's different words (or pairs) with their counts, not their occurrences:
+different words and its text as places in that list, in a Parquet table in the shared folder, of row
+groups of a few chunks, so that a task holds these and not its whole file. Each level then exchanges a chunk's different words (or pairs) with their counts, not their occurrences:
 they are summed up by key, the frequent ones are named in a durable table, and the chunks get the names
 of theirs back by a join on the key. Both are plain shuffles, so a word that every chunk has is no
 more than a row a chunk, and is split where it is hot. The last level needs no names and is counted alone.
@@ -42,6 +42,10 @@ from .common import durable, shared_folder
 LEAST, LONGEST, COVERED, TOP = 10, 3, 50, 2000
 #: Bytes of text in a chunk; a longer text is a chunk alone.
 CHUNK = 4 << 20
+#: Chunks in a row group of a table: readers and writers hold a row group at once, with each of a file's columns.
+#: Words and names differ from one to the next, so dictionaries would only be tried and given up.
+ROWS = 4
+STORED = {"compression": "zstd", "parquet.block.row.count.limit": str(ROWS), "parquet.page.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 _FROM = bytes(range(65, 91)) + b"\t" + b".,;:!?\n\v\f\r"
 _TO = bytes(range(97, 123)) + b" " + b"\n" * 10
@@ -94,7 +98,7 @@ class Folder:
         self.spark, self.path = spark, f"{shared_folder(spark)}/phrases-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        df.write.options(**STORED).parquet(f"{self.path}/{name}")
         return self.get(name)
 
     def get(self, name: str) -> DataFrame:
