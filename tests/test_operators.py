@@ -297,6 +297,23 @@ def test_queries_without_twins_take_all_rows(spark):
     assert len(runs) == len({r.run_id for r in runs}) == events.selectExpr("floor(event_id / 1000) as k").distinct().count()
 
 
+def test_parameters_are_drawn_without_plans(spark):
+    rows = [(f"{k} é.wav", tone, k) for k in range(3) for tone in effects.TONES]
+    requests = spark.createDataFrame(rows, "basename string, tone string, version int")  # no n_samples: no plan can be made
+    got = sorted((r.basename, r.tone, r.version, r.draw, r.name, r["values"]) for r in effects.parameters(requests).collect())
+    assert got == sorted((b, t, v, k, name, values) for b, t, v in rows for k, (name, values) in enumerate(effects.draw(t, v, b)[0]))
+
+
+def test_plans_have_the_parameters_and_gates_of_their_draws(spark):
+    requests = spark.createDataFrame([("a.wav", tone, 2, n) for tone in effects.TONES for n in (1000, 200_000)], "basename string, tone string, version int, n_samples long")
+    got = {(r.tone, len(r.gates) > 0): r for r in effects.effect_plans(requests).collect()}
+    for tone in effects.TONES:
+        params, rng = effects.draw(tone, 2, "a.wav")
+        gates = effects.gate_plan(params, rng, 200_000, 32_000)
+        r = got[(tone, bool(gates))]
+        assert [(p.name, p["values"]) for p in r.params] == params and r.graph == effects.graph(effects.stages(params)) and [tuple(g) for g in r.gates] == gates
+
+
 def test_pitch_is_made_up_for_by_tempo():
     plan = effects.stages([("pitch_semitones", [12.0]), ("tempo", [1.0]), ("volume_db", [0.0])], 32_000)
     assert plan == ["aformat=channel_layouts=stereo", "asetrate=64000", "aresample=32000", "atempo=0.5000", "alimiter=limit=0.97"]

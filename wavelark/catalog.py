@@ -639,8 +639,8 @@ def _requests(spark, d) -> DataFrame:
 
 @query()
 def tone_params(spark, d):
-    rows = effects.effect_plans(_requests(spark, d)).select("basename", "tone", F.posexplode("params").alias("draw", "p"))
-    return rows.select("basename", "tone", "draw", "p.name", F.transform("p.values", lambda x: F.round(x, 6)).alias("values"))
+    rows = effects.parameters(_requests(spark, d))
+    return rows.select("basename", "tone", "draw", "name", F.transform("values", lambda x: F.round(x, 6)).alias("values"))
 
 
 BRANDS = [f"clip_Brand#{n}.wav" for n in range(1, 26)]
