@@ -314,6 +314,13 @@ def test_plans_have_the_parameters_and_gates_of_their_draws(spark):
         assert [(p.name, p["values"]) for p in r.params] == params and r.graph == effects.graph(effects.stages(params)) and [tuple(g) for g in r.gates] == gates
 
 
+def test_edits_number_their_lines_once(spark):
+    from wavelark import catalog
+
+    plan = catalog._edits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
+
+
 def test_pitch_is_made_up_for_by_tempo():
     plan = effects.stages([("pitch_semitones", [12.0]), ("tempo", [1.0]), ("volume_db", [0.0])], 32_000)
     assert plan == ["aformat=channel_layouts=stereo", "asetrate=64000", "aresample=32000", "atempo=0.5000", "alimiter=limit=0.97"]

@@ -601,16 +601,20 @@ def _lines(spark, d) -> DataFrame:
     return T.read(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
 
 
-def _replayed(spark, d) -> DataFrame:
-    rows, run, zero = _lines(spark, d), F.col("l_orderkey").cast("string").alias("run_id"), F.lit(0.0)
-    start = F.col("l_discount") * 10
+def _edits(spark, d) -> DataFrame:
+    """The commands of each line, from one numbering of the lines."""
+    zero, start = F.lit(0.0), F.col("l_discount") * 10
+
+    def step(k: int, command: str, which: F.Column, a: F.Column = zero, b: F.Column = zero) -> F.Column:
+        columns = (F.lit(100 * k) + F.col("n")).cast("int").alias("sequence"), F.lit(command).alias("command"), F.col("n").cast("int").alias("candidate_id"), a.cast("double").alias("a"), b.cast("double").alias("b"), (F.col("l_quantity") / 10).cast("double").alias("duration")
+        return F.when(which, F.struct(*columns))
 
-    def step(k: int, command: str, which: F.Column, a: F.Column = zero, b: F.Column = zero) -> DataFrame:
-        return rows.filter(which).select(run, (F.lit(100 * k) + F.col("n")).cast("int").alias("sequence"), F.lit(command).alias("command"), F.col("n").cast("int").alias("candidate_id"), a.alias("a"), b.alias("b"), (F.col("l_quantity") / 10).alias("duration"))
+    steps = F.array(step(0, "add", F.lit(True)), step(1, "trim", F.lit(True), start, start + F.col("l_tax")), step(2, "down", F.col("n") == 1), step(3, "remove", F.col("l_returnflag") == "R"), step(4, "crossfade", F.col("l_linestatus") == "O", F.lit(1.0)))
+    return _lines(spark, d).select(F.col("l_orderkey").cast("string").alias("run_id"), F.explode(steps).alias("e")).filter("e IS NOT NULL").select("run_id", "e.*")
 
-    every = F.lit(True)
-    edits = step(0, "add", every).unionByName(step(1, "trim", every, start, start + F.col("l_tax"))).unionByName(step(2, "down", F.col("n") == 1)).unionByName(step(3, "remove", F.col("l_returnflag") == "R")).unionByName(step(4, "crossfade", F.col("l_linestatus") == "O", F.lit(1.0)))
-    return timeline.replay(edits)
+
+def _replayed(spark, d) -> DataFrame:
+    return timeline.replay(_edits(spark, d))
 
 
 @query(f"""WITH {REPLAYED} SELECT run::VARCHAR AS run_id, CASE WHEN gone THEN 'removed' ELSE 'kept' END AS status, (row_number() OVER (PARTITION BY run, gone ORDER BY CASE WHEN gone THEN n ELSE place END) - 1)::INTEGER AS position, n::INTEGER AS candidate_id, round(a, 6) AS trim_start,

@@ -87,8 +87,9 @@ class Edit:
         elif command == "crossfade":
             self.live[place]["crossfade_into_next"] = bool(a)
 
-    def rows(self, run: str) -> list[dict]:
-        return [x | {"run_id": run, "status": s, "position": k} for s, xs in (("kept", self.live), ("removed", self.gone)) for k, x in enumerate(xs)]
+    def rows(self, run: str) -> list[tuple]:
+        """As EDIT_STATE has them."""
+        return [(run, s, k, x["candidate_id"], x["trim_start"], x["trim_end"], x["crossfade_into_next"]) for s, xs in (("kept", self.live), ("removed", self.gone)) for k, x in enumerate(xs)]
 
 
 def replay(edits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -101,19 +102,25 @@ def replay(edits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     names, kinds = zip(*(x.split() for x in EDIT_STATE.split(", ")))
     schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[k]) for n, k in zip(names, kinds)])
 
+    def values(column):  # by way of numpy where nothing is null, which is many times faster
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches):
         now, edit, out = None, Edit(cfg), []
         for batch in batches:
-            for of, *step in zip(*(c.to_pylist() for c in batch.columns)):
+            for of, *step in zip(*map(values, batch.columns)):
                 if of != now:
                     out += edit.rows(now)
                     now, edit = of, Edit(cfg)
                 edit.apply(*step)
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield batch_of(out)
                 out = []
         if out := out + edit.rows(now):
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield batch_of(out)
 
     ordered = edits.repartition("run_id").sortWithinPartitions("run_id", "sequence")
     return ordered.select("run_id", "command", "candidate_id", "a", "b", "duration").mapInArrow(run, EDIT_STATE)
