@@ -1,5 +1,6 @@
 """Micro fixtures with results worked out by hand, and properties."""
 
+import gzip
 import math
 import random
 
@@ -188,6 +189,40 @@ def test_edit_replay(spark):
     assert sorted((r.status, r.position, r.candidate_id, r.trim_start, r.trim_end, r.crossfade_into_next) for r in got) == [("kept", 0, 1, 0, 5, True), ("kept", 1, 2, 0, 5, False), ("removed", 0, 3, 1, 1.2, False)]
 
 
+def test_compositions_from_one_shuffle(spark, tmp_path, monkeypatch):
+    """Lines are dealt out once for edits and compositions alike; the log is compressed, in files that several tasks can read."""
+    from wavelark import catalog
+
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert shuffles(catalog.QUERIES["edit_replay"](spark, "/root/testdata/sf0.001")) == 1
+    edits = catalog._edits(spark, "/root/testdata/sf0.001")
+    entries = logs.composition_entries(edits, 0.0, together=True)
+    assert shuffles(entries) == 1
+    monkeypatch.setattr(logs, "LINES", 200)
+    logs.append(entries, f"{tmp_path}/c", "composition")
+    files, lines = list((tmp_path / "c").glob("part-*")), entries.count()
+    text = sum(len(gzip.decompress(f.read_bytes())) for f in files)
+    assert len(files) >= lines / 200 > 4 and sum(f.stat().st_size for f in files) < text / 4
+    back = logs.read(spark, f"{tmp_path}/c", "composition")
+    assert back.count() == lines and not back.exceptAll(entries.select(back.columns)).count()
+    want = timeline.replay(edits).filter("status = 'kept'").select("run_id", "position", "candidate_id", "trim_start", "trim_end", "crossfade_into_next")
+    got = back.select("run_id", F.posexplode("items").alias("position", "i")).select("run_id", "position", "i.candidate_id", "i.trim_start", "i.trim_end", "i.crossfade_into_next")
+    assert want.count() == got.count() and not want.exceptAll(got).count()
+
+
+def test_composition_entries(spark):
+    """Runs without a clip in the end, with removed ones alone, restored ones and a null name."""
+    steps = {"all gone": [("add", 1, 2.0, 7.0), ("remove", 1, 0.0, 0.0)], "none": [("trim", 1, 0.0, 1.0)], None: [("add", 5, 1.0, 6.0), ("crossfade", 5, 1.0, 0.0)]}
+    steps["back"] = [("add", 1, 10.0, 15.0), ("add", 2, 20.0, 25.0), ("add", 1, 99.0, 99.0), ("trim", 1, 1.0, 1.05), ("remove", 1, 0.0, 0.0), ("restore", 1, 0.0, 0.0), ("up", 1, 0.0, 0.0), ("remove", 2, 0.0, 0.0), ("add", 3, None, None)]
+    rows = [(run, k, command, c, a, b, 5.0) for run, xs in steps.items() for k, (command, c, a, b) in enumerate(xs)]
+    edits = spark.createDataFrame(rows, "run_id string, sequence int, command string, candidate_id int, a double, b double, duration double")
+    got = {r.run_id: (r.final_order, r.removed, [tuple(x) for x in r["items"]]) for r in logs.composition_entries(edits, 0.0).collect()}
+    assert got == {
+        "all gone": ([], [1], []), None: ([5], [], [(5, 1.0, 6.0, 0.0, 5.0, 5.0, True)]),
+        "back": ([1, 3], [2], [(1, 10.0, 15.0, 1.0, 1.2, pytest.approx(0.2), False), (3, None, None, 0.0, 5.0, 5.0, False)]),
+    }
+
+
 def test_tones_and_gates():
     assert len(effects.TONES) == 12
     a, b = effects.draw("dreamy", 1, "a.wav"), effects.draw("dreamy", 1, "a.wav")

@@ -596,44 +596,37 @@ REPLAYED = """l AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_
 m AS (SELECT *, CASE WHEN n = 1 AND of > 1 THEN 2 WHEN n = 2 THEN 1 ELSE n END AS place FROM l)"""
 
 
-def _lines(spark, d) -> DataFrame:
-    """Lines of each order, numbered."""
-    return T.read(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-
-
 def _edits(spark, d) -> DataFrame:
-    """The commands of each line, from one numbering of the lines."""
-    zero, start = F.lit(0.0), F.col("l_discount") * 10
+    """The commands of each order's lines, all in one partition: lines are dealt by order and numbered once, and with what edits need alone."""
+    zero, start, lies, duration = F.lit(0.0), F.col("l_discount") * 10, F.col("l_partkey") % 1000 / 10, (F.col("l_quantity") / 10).cast("double")
 
     def step(k: int, command: str, which: F.Column, a: F.Column = zero, b: F.Column = zero) -> F.Column:
-        columns = (F.lit(100 * k) + F.col("n")).cast("int").alias("sequence"), F.lit(command).alias("command"), F.col("n").cast("int").alias("candidate_id"), a.cast("double").alias("a"), b.cast("double").alias("b"), (F.col("l_quantity") / 10).cast("double").alias("duration")
+        columns = (F.lit(100 * k) + F.col("n")).cast("int").alias("sequence"), F.lit(command).alias("command"), F.col("n").cast("int").alias("candidate_id"), a.cast("double").alias("a"), b.cast("double").alias("b"), duration.alias("duration")
         return F.when(which, F.struct(*columns))
 
-    steps = F.array(step(0, "add", F.lit(True)), step(1, "trim", F.lit(True), start, start + F.col("l_tax")), step(2, "down", F.col("n") == 1), step(3, "remove", F.col("l_returnflag") == "R"), step(4, "crossfade", F.col("l_linestatus") == "O", F.lit(1.0)))
-    return _lines(spark, d).select(F.col("l_orderkey").cast("string").alias("run_id"), F.explode(steps).alias("e")).filter("e IS NOT NULL").select("run_id", "e.*")
-
-
-def _replayed(spark, d) -> DataFrame:
-    return timeline.replay(_edits(spark, d))
+    columns = "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
+    lines = T.read(spark, d, "lineitem").select(*columns, (F.col("l_returnflag") == "R").alias("returned"), (F.col("l_linestatus") == "O").alias("open")).repartition("l_orderkey")
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+    steps = F.array(step(0, "add", F.lit(True), lies, lies + duration), step(1, "trim", F.lit(True), start, start + F.col("l_tax")), step(2, "down", F.col("n") == 1), step(3, "remove", F.col("returned")), step(4, "crossfade", F.col("open"), F.lit(1.0)))
+    return lines.select(F.col("l_orderkey").cast("string").alias("run_id"), F.explode(steps).alias("e")).filter("e IS NOT NULL").select("run_id", "e.*")
 
 
 @query(f"""WITH {REPLAYED} SELECT run::VARCHAR AS run_id, CASE WHEN gone THEN 'removed' ELSE 'kept' END AS status, (row_number() OVER (PARTITION BY run, gone ORDER BY CASE WHEN gone THEN n ELSE place END) - 1)::INTEGER AS position, n::INTEGER AS candidate_id, round(a, 6) AS trim_start,
   round(CASE WHEN b - a < 0.2 THEN least(d, a + 0.2) ELSE b END, 6) AS trim_end, x AND NOT gone AS crossfade_into_next FROM m""")
 def edit_replay(spark, d):
     """Each order's lines as an edit: all are added and trimmed, the first is moved down, returned ones are removed, open ones fade into the next."""
-    return _replayed(spark, d).select("run_id", "status", "position", "candidate_id", *r6("trim_start", "trim_end"), "crossfade_into_next")
+    return timeline.replay(_edits(spark, d), together=True).select("run_id", "status", "position", "candidate_id", *r6("trim_start", "trim_end"), "crossfade_into_next")
 
 
 @query(f"""WITH {REPLAYED}, k AS (SELECT *, CASE WHEN b - a < 0.2 THEN least(d, a + 0.2) ELSE b END AS e, row_number() OVER (PARTITION BY run, gone ORDER BY place) - 1 AS p, count(*) FILTER (gone) OVER (PARTITION BY run) AS removed FROM m)
 SELECT run::VARCHAR AS run_id, removed::INTEGER AS n_removed, p::INTEGER AS place, n::INTEGER AS candidate_id, round(o, 6) AS original_start, round(o + d, 6) AS original_end, round(a, 6) AS trim_start, round(e - a, 6) + 0.0 AS edited_duration, x AS crossfade_into_next FROM k WHERE NOT gone""")
 def composition_log_items(spark, d):
     """Each order's edit as a composition in the log, read back: what is kept, from where in its recording, and how much of it."""
-    clips = _lines(spark, d).select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("n").cast("int").alias("candidate_id"), (F.col("l_partkey") % 1000 / 10).alias("start_seconds"), (F.col("l_partkey") % 1000 / 10 + F.col("l_quantity") / 10).alias("end_seconds"))
     folder = f"{analysis.log_folder(spark)}/compositions"
-    logs.append(logs.composition_entries(_replayed(spark, d), clips, 0.0), folder, "composition")
+    logs.append(logs.composition_entries(_edits(spark, d), 0.0, together=True), folder, "composition")
     rows = logs.read(spark, folder, "composition").select("run_id", F.size("removed").alias("n_removed"), F.posexplode("items").alias("place", "i"))
     rows = rows.select("run_id", "n_removed", "place", "i.candidate_id", F.col("i.original_start_seconds").alias("original_start"), F.col("i.original_end_seconds").alias("original_end"), "i.trim_start", "i.edited_duration", "i.crossfade_into_next")
-    return _read_once(rows.select("run_id", "n_removed", "place", "candidate_id", *r6("original_start", "original_end", "trim_start"), (F.round("edited_duration", 6) + 0.0).alias("edited_duration"), "crossfade_into_next"), folder)
+    return rows.select("run_id", "n_removed", "place", "candidate_id", *r6("original_start", "original_end", "trim_start"), (F.round("edited_duration", 6) + 0.0).alias("edited_duration"), "crossfade_into_next")
 
 
 def _requests(spark, d) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,74 +59,111 @@ def compose(items: DataFrame, rate: int, cfg: Config = DEFAULT, runs: DataFrame
 
 
 EDIT_STATE = "run_id string, status string, position int, candidate_id int, trim_start double, trim_end double, crossfade_into_next boolean"
+EDIT_LISTS = (
+    "final_order array<int>, removed array<int>, "
+    "items array<struct<candidate_id:int,original_start_seconds:double,original_end_seconds:double,trim_start:double,trim_end:double,edited_duration:double,crossfade_into_next:boolean>>"
+)
+STATE_SCHEMA = pa.schema([("run_id", pa.string()), ("status", pa.string()), ("position", pa.int32()), ("candidate_id", pa.int32()), ("trim_start", pa.float64()), ("trim_end", pa.float64()), ("crossfade_into_next", pa.bool_())])
+ITEM = pa.struct([("candidate_id", pa.int32()), *((n, pa.float64()) for n in ("original_start_seconds", "original_end_seconds", "trim_start", "trim_end", "edited_duration")), ("crossfade_into_next", pa.bool_())])
+LISTS_SCHEMA = pa.schema([("run_id", pa.string()), ("final_order", pa.list_(pa.int32())), ("removed", pa.list_(pa.int32())), ("items", pa.list_(ITEM))])
 
 
 class Edit:
-    """The clips of one edit in their order, and those removed."""
+    """The clips of one edit in their order, and those removed: [candidate, trim start, trim end, crossfade, original start, original end]."""
 
     def __init__(self, cfg: Config):
-        self.live: list[dict] = []
-        self.gone: list[dict] = []
+        self.ids: list[int] = []  # of those in `live`
+        self.live: list[list] = []
+        self.gone: list[list] = []
         self.least = cfg.min_trim_seconds
 
     def apply(self, command: str, candidate: int, a: float, b: float, duration: float) -> None:
-        place = next((k for k, x in enumerate(self.live) if x["candidate_id"] == candidate), None)
+        place = self.ids.index(candidate) if candidate in self.ids else None
         if command == "add" and place is None:
-            self.live.append({"candidate_id": candidate, "trim_start": 0.0, "trim_end": duration, "crossfade_into_next": False})
+            self.ids.append(candidate)
+            self.live.append([candidate, 0.0, duration, False, a, b])
         elif command == "restore":
-            if back := next((x for x in self.gone if x["candidate_id"] == candidate), None):
+            if back := next((x for x in self.gone if x[0] == candidate), None):
                 self.gone.remove(back)
+                self.ids.append(candidate)
                 self.live.append(back)
         elif place is None:
             return
         elif command == "trim":
-            self.live[place] |= {"trim_start": a, "trim_end": b if b - a >= self.least else min(duration, a + self.least)}
+            self.live[place][1:3] = a, b if b - a >= self.least else min(duration, a + self.least)
         elif command in ("up", "down"):
             to = place + (1 if command == "down" else -1)
             if 0 <= to < len(self.live):
-                self.live[place], self.live[to] = self.live[to], self.live[place]
+                for xs in (self.ids, self.live):
+                    xs[place], xs[to] = xs[to], xs[place]
         elif command == "remove":
+            self.ids.pop(place)
             self.gone.append(self.live.pop(place))
         elif command == "crossfade":
-            self.live[place]["crossfade_into_next"] = bool(a)
+            self.live[place][3] = bool(a)
 
-    def rows(self, run: str) -> list[tuple]:
-        """As EDIT_STATE has them."""
-        return [(run, s, k, x["candidate_id"], x["trim_start"], x["trim_end"], x["crossfade_into_next"]) for s, xs in (("kept", self.live), ("removed", self.gone)) for k, x in enumerate(xs)]
 
+def _state_rows(runs: list[tuple[str, Edit]]) -> pa.RecordBatch:
+    """As EDIT_STATE has them."""
+    rows = [(run, s, k, *x[:4]) for run, edit in runs for s, xs in (("kept", edit.live), ("removed", edit.gone)) for k, x in enumerate(xs)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), STATE_SCHEMA)], schema=STATE_SCHEMA)
 
-def replay(edits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """EDIT_STATE after all edits (run_id, sequence, command, candidate_id, a, b, duration) in order.
 
-    Commands: add, trim (a, b), up, down, remove, restore (at the end), crossfade (a: 0 or 1). Unknown
-    ids and moves past an end change nothing. Edits are sorted by run in each task and read in one
-    pass; what a task holds is one run's state.
-    """
-    names, kinds = zip(*(x.split() for x in EDIT_STATE.split(", ")))
-    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[k]) for n, k in zip(names, kinds)])
+def _list_rows(runs: list[tuple[str, Edit]]) -> pa.RecordBatch:
+    """A row a run, as EDIT_LISTS has it."""
+    live, gone = ([getattr(edit, of) for _, edit in runs] for of in ("live", "gone"))
+
+    def lists(values: pa.Array, of: list[list]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, of))], pa.int32()), values)
 
+    items = [x for xs in live for x in xs]
+    candidate, start, end, cross, first, last = ([x[k] for x in items] for k in range(6))
+    columns = candidate, first, last, start, end, [b - a for a, b in zip(start, end)], cross
+    ids, removed = pa.array(candidate, pa.int32()), pa.array([x[0] for xs in gone for x in xs], pa.int32())
+    struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ITEM)], fields=list(ITEM))
+    return pa.RecordBatch.from_arrays([pa.array([run for run, _ in runs], pa.string()), lists(ids, live), lists(removed, gone), lists(struct, live)], schema=LISTS_SCHEMA)
+
+
+def _folded(edits: DataFrame, batch_of: Callable, schema: str, together: bool, cfg: Config) -> DataFrame:
     def values(column):  # by way of numpy where nothing is null, which is many times faster
         return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
     def run(batches):
-        now, edit, out = None, Edit(cfg), []
+        now, edit, done, size = None, Edit(cfg), [], 0
         for batch in batches:
             for of, *step in zip(*map(values, batch.columns)):
                 if of != now:
-                    out += edit.rows(now)
+                    if n := len(edit.live) + len(edit.gone):
+                        done.append((now, edit))
+                        size += n
+                    if size > 10_000:
+                        yield batch_of(done)
+                        done, size = [], 0
                     now, edit = of, Edit(cfg)
                 edit.apply(*step)
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        if out := out + edit.rows(now):
-            yield batch_of(out)
-
-    ordered = edits.repartition("run_id").sortWithinPartitions("run_id", "sequence")
-    return ordered.select("run_id", "command", "candidate_id", "a", "b", "duration").mapInArrow(run, EDIT_STATE)
+        if edit.live or edit.gone:
+            done.append((now, edit))
+        if done:
+            yield batch_of(done)
+
+    ordered = (edits if together else edits.repartition("run_id")).sortWithinPartitions("run_id", "sequence")
+    return ordered.select("run_id", "command", "candidate_id", "a", "b", "duration").mapInArrow(run, schema)
+
+
+def replay(edits: DataFrame, cfg: Config = DEFAULT, together: bool = False) -> DataFrame:
+    """EDIT_STATE after all edits (run_id, sequence, command, candidate_id, a, b, duration) in order.
+
+    Commands: add (a, b: where the clip lies in its recording), trim (a, b), up, down, remove, restore
+    (at the end), crossfade (a: 0 or 1). Unknown ids and moves past an end change nothing. Edits are
+    sorted by run in each task and read in one pass; what a task holds is one run's state. `together`:
+    a run's edits are in one partition already, and aren't shuffled.
+    """
+    return _folded(edits, _state_rows, EDIT_STATE, together, cfg)
+
+
+def replayed_lists(edits: DataFrame, cfg: Config = DEFAULT, together: bool = False) -> DataFrame:
+    """As `replay`, with a row a run: run_id and EDIT_LISTS. Runs that end without any clip have no row."""
+    return _folded(edits, _list_rows, f"run_id string, {EDIT_LISTS}", together, cfg)
 
 
 def swap_neighbours(items: DataFrame, candidate_id: int, down: bool) -> DataFrame:
