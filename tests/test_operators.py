@@ -210,6 +210,13 @@ def test_compositions_from_one_shuffle(spark, tmp_path, monkeypatch):
     assert want.count() == got.count() and not want.exceptAll(got).count()
 
 
+def test_edits_are_sorted_in_parts_of_bounded_size(spark, monkeypatch):
+    from wavelark import catalog
+
+    monkeypatch.setattr(catalog, "LINES_A_TASK", 500)
+    assert catalog._edits(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12
+
+
 def test_composition_entries(spark):
     """Runs without a clip in the end, with removed ones alone, restored ones and a null name."""
     steps = {"all gone": [("add", 1, 2.0, 7.0), ("remove", 1, 0.0, 0.0)], "none": [("trim", 1, 0.0, 1.0)], None: [("add", 5, 1.0, 6.0), ("crossfade", 5, 1.0, 0.0)]}

@@ -596,6 +596,10 @@ REPLAYED = """l AS (SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_
 m AS (SELECT *, CASE WHEN n = 1 AND of > 1 THEN 2 WHEN n = 2 THEN 1 ELSE n END AS place FROM l)"""
 
 
+#: Lines whose edits a task sorts in memory (about 100 MB), whatever the session's number of partitions.
+LINES_A_TASK = 250_000
+
+
 def _edits(spark, d) -> DataFrame:
     """The commands of each order's lines, all in one partition: lines are dealt by order and numbered once, and with what edits need alone."""
     zero, start, lies, duration = F.lit(0.0), F.col("l_discount") * 10, F.col("l_partkey") % 1000 / 10, (F.col("l_quantity") / 10).cast("double")
@@ -605,7 +609,9 @@ def _edits(spark, d) -> DataFrame:
         return F.when(which, F.struct(*columns))
 
     columns = "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
-    lines = T.read(spark, d, "lineitem").select(*columns, (F.col("l_returnflag") == "R").alias("returned"), (F.col("l_linestatus") == "O").alias("open")).repartition("l_orderkey")
+    rows = T.read(spark, d, "lineitem")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // LINES_A_TASK))
+    lines = rows.select(*columns, (F.col("l_returnflag") == "R").alias("returned"), (F.col("l_linestatus") == "O").alias("open")).repartition(tasks, "l_orderkey")
     lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     steps = F.array(step(0, "add", F.lit(True), lies, lies + duration), step(1, "trim", F.lit(True), start, start + F.col("l_tax")), step(2, "down", F.col("n") == 1), step(3, "remove", F.col("returned")), step(4, "crossfade", F.col("open"), F.lit(1.0)))
     return lines.select(F.col("l_orderkey").cast("string").alias("run_id"), F.explode(steps).alias("e")).filter("e IS NOT NULL").select("run_id", "e.*")
